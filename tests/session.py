@@ -1,0 +1,20 @@
+"""A small local session, shared by the tests, the check and the benchmark."""
+
+import os
+
+from pyspark.sql import SparkSession
+
+
+def local_session(cpus: int | str = 8, partitions: int = 8) -> SparkSession:
+    os.environ.setdefault("PYSPARK_PYTHON", "python")
+    spark = (
+        SparkSession.builder.master(f"local[{cpus}]").appName("skygauge")
+        .config("spark.sql.shuffle.partitions", partitions)
+        .config("spark.driver.memory", "8g")
+        .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.sql.session.timeZone", "UTC")
+        .getOrCreate()
+    )
+    spark.sparkContext.setLogLevel("ERROR")
+    return spark
