@@ -222,13 +222,13 @@ def recent_files(spark, sf_dir):
     return flat(S.read_recent_json(spark, path, days=1, schema=_SCHEMA), "event_id")
 
 
-@register("events_sink", sql("""SELECT source AS source_slug, replace(lower(coalesce(city, 'unknown')), ' ', '_') AS city_slug,
+@register("events_sink", sql("""SELECT replace(lower(coalesce(city, 'unknown')), ' ', '_') AS city_slug,
   CAST(event_ts AS DATE)::VARCHAR AS event_date, count(*) AS events FROM readings GROUP BY ALL"""))
 def events_sink(spark, sf_dir):
     path = new_path(spark, "events")
     W.write_events(readings(spark, sf_dir).select(*_STORED), path, "parquet")
     return spark.read.parquet(path).groupBy(
-        "source_slug", "city_slug", F.col("event_date").cast("string").alias("event_date")
+        "city_slug", F.col("event_date").cast("string").alias("event_date")
     ).agg(F.count(F.lit(1)).alias("events"))
 
 

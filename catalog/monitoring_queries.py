@@ -43,7 +43,7 @@ def _numeric_sql(field):
 
 _CHECKS = ",\n    ".join([_required_sql(f) for f in V.REQUIRED_FIELDS] + [_numeric_sql(f) for f in V.FEATURES])
 ISSUES = f"""{JSON_EVENTS}, checked AS (SELECT *, CASE WHEN json_valid(value) THEN
-  list_filter([{_CHECKS}], x -> x IS NOT NULL) END AS issues FROM json_events)"""
+  list_filter([{_CHECKS}], lambda x: x IS NOT NULL) END AS issues FROM json_events)"""
 
 
 def validated(spark, sf_dir):

@@ -5,6 +5,8 @@ Nothing here depends on the session time zone: text without a zone is UTC.
 
 from pyspark.sql import Column, functions as F
 
+# Only characters a plain decimal number is made of; the cast decides the rest.
+_DIGITS = r"^[-+0-9.eE]+$"
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 _SPECIAL = r"^(?i)[+-]?(nan|inf|infinity)$"
 _ISO_DATE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}"
@@ -18,10 +20,12 @@ def safe_double(c: Column) -> Column:
     Accepts surrounding blanks, digit-group underscores, exponents, nan and inf,
     but not the type suffixes or hex forms that a plain cast would take.
     """
-    text = F.regexp_replace(F.trim(c.cast("string")), "(?<=[0-9])_(?=[0-9])", "")
-    value = F.when(F.rlike(text, F.lit(_NUMBER)), text).when(
-        F.rlike(text, F.lit(_SPECIAL)), F.regexp_replace(text, "(?i)^[+-](?=nan)", "")
-    )
+    text = F.trim(c.cast("string"))
+    grouped = F.regexp_replace(text, "(?<=[0-9])_(?=[0-9])", "")
+    unsigned = F.regexp_replace(text, "(?i)^[+-](?=nan)", "")
+    value = F.when(F.rlike(text, F.lit(_DIGITS)), text).when(
+        F.rlike(grouped, F.lit(_NUMBER)), grouped
+    ).when(F.rlike(text, F.lit(_SPECIAL)), unsigned)
     return value.try_cast("double")
 
 

@@ -20,6 +20,7 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 GROUP_ROWS = 1_000_000
 HOT_KEYS = 100_000
 _EULER = 0.5772156649015329
+_CELLS_AT_ONCE = 1_000_000
 
 
 def expected_path(n):
@@ -87,23 +88,28 @@ class Forest:
 
     def score(self, x):
         """Raw score in (-1, 0): the lower, the easier a point is to isolate."""
-        n = len(x)
-        total = np.zeros(n)
-        rows = np.arange(n)
-        levels = int(np.log2(self.feature.shape[1] + 1))
-        for feature, threshold, size in zip(self.feature, self.threshold, self.size):
-            at = np.zeros(n, dtype="int64")
-            depth = np.zeros(n)
-            for _ in range(levels - 1):
-                f = feature[at]
-                inner = f >= 0
-                step = 2 * at + 1 + (x[rows, np.maximum(f, 0)] > threshold[at])
-                at = np.where(inner, step, at)
-                depth += inner
-            total += depth + expected_path(size[at])
-        mean = total / len(self.feature)
+        step = max(1, _CELLS_AT_ONCE // len(self.feature))
+        parts = [self._paths(x[i:i + step]) for i in range(0, len(x), step)]
+        mean = np.concatenate(parts) if parts else np.zeros(0)
         return -np.power(2.0, -mean / max(float(expected_path(self.samples)), 1e-12))
 
+    def _paths(self, x):
+        """Mean path length of each point, all trees walked at once."""
+        trees, nodes = self.feature.shape
+        base = np.arange(trees) * nodes
+        feature, threshold = self.feature.ravel(), self.threshold.ravel()
+        at = np.zeros((len(x), trees), dtype="int64")
+        depth = np.zeros((len(x), trees), dtype="int64")
+        rows = np.arange(len(x))[:, None]
+        for _ in range(int(np.log2(nodes + 1)) - 1):
+            f = feature[base + at]
+            inner = f >= 0
+            right = x[rows, np.maximum(f, 0)] > threshold[base + at]
+            at = np.where(inner, 2 * at + 1 + right, at)
+            depth += inner
+        lengths = expected_path(np.arange(self.samples + 1))
+        return (depth + lengths[self.size.ravel()[base + at]]).mean(axis=1)
+
     def decision(self, x):
         """Raw score less the training quantile; below zero is an anomaly."""
         return self.score(x) - self.offset

@@ -132,17 +132,27 @@ def top_rows(df: DataFrame, keys, order, n: int, id_col: str, salts: int = 32) -
     return limit(first, list(keys)).withColumnRenamed("_rank", "rank")
 
 
-def exact_quantiles(df: DataFrame, columns, probabilities) -> DataFrame:
+def exact_quantiles(
+    df: DataFrame, columns, probabilities, max_distinct: int = 1_000_000,
+) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per (metric, probability).
 
-    Nothing is gathered per metric: values are sorted across the cluster, and the two
-    neighbours of each quantile are picked by their position.
+    Equal values collapse into counts first. Up to ``max_distinct`` values per metric
+    (counted, one number to the driver) an aggregate over the counts does the rest.
+    Beyond that nothing is gathered per metric: values are sorted across the cluster and
+    the two neighbours of each quantile are picked by their position.
     """
     columns = list(columns)
     values = df.unpivot([], [F.col(c).cast("double").alias(c) for c in columns], "metric", "x")
     values = values.where(F.col("x").isNotNull() & ~F.isnan("x"))
-    # Equal values collapse before the sort; a frequency stands for all of them.
     freq = values.groupBy("metric", "x").agg(F.count(F.lit(1)).alias("f"))
+    if largest_group(freq, ["metric"]) <= max_distinct:
+        picked = freq.groupBy("metric").agg(
+            F.percentile("x", list(probabilities), F.col("f")).alias("v")
+        )
+        at = F.array(*map(F.lit, probabilities))
+        pairs = F.explode(F.arrays_zip(at.alias("probability"), F.col("v").alias("value")))
+        return picked.select("metric", pairs.alias("p")).select("metric", "p.*")
     placed = _with_running_count(freq)
     sizes = freq.groupBy("metric").agg(F.sum("f").alias("size"))
     wanted = sizes.select(

@@ -24,9 +24,38 @@ def _issue(kind: str, field: str, message: Column) -> Column:
     )
 
 
-def _required(event: Column, field: str) -> Column:
-    """missing_field or null_value; a JSON null has the type VOID, an absent key none."""
-    kind = F.schema_of_variant(F.try_variant_get(event, f"$.{field}", "variant"))
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is computed once per row, however often it is used.
+
+    A generator over one element stops the optimizer from copying the expression into
+    every filter and projection above it.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def _look(event: Column, field: str) -> Column:
+    """Type and text of a field: no type if the key is absent, VOID for a JSON null."""
+    path = f"$.{field}"
+    return F.struct(
+        F.schema_of_variant(F.try_variant_get(event, path, "variant")).alias("kind"),
+        F.try_variant_get(event, path, "string").alias("text"),
+    ).alias(field)
+
+
+def _number(seen: Column) -> Column:
+    """A boolean counts as 0 or 1; objects and arrays are no numbers."""
+    kind, text = seen["kind"], seen["text"]
+    return F.when(kind == "BOOLEAN", (text == "true").cast("double")).when(
+        ~_nested(kind), safe_double(text)
+    )
+
+
+def _nested(kind: Column) -> Column:
+    return F.startswith(kind, F.lit("OBJECT")) | F.startswith(kind, F.lit("ARRAY"))
+
+
+def _required(seen: Column, field: str) -> Column:
+    kind = seen["kind"]
     return F.when(kind.isNull(), _issue(
         "missing_field", field, F.lit(f"Required field `{field}` is missing.")
     )).when(kind == "VOID", _issue(
@@ -34,23 +63,18 @@ def _required(event: Column, field: str) -> Column:
     ))
 
 
-def _numeric(event: Column, field: str, bounds) -> Column:
+def _numeric(seen: Column, number: Column, field: str, bounds) -> Column:
     """type_mismatch or out_of_bounds; an absent or null value is neither.
 
-    A boolean counts as 0 or 1. NaN lies within any bounds: comparisons with it are
-    false, though Spark orders it last.
+    NaN lies within any bounds: comparisons with it are false, though Spark orders it
+    last.
     """
-    raw = F.try_variant_get(event, f"$.{field}", "variant")
-    kind = F.schema_of_variant(raw)
-    text = F.try_variant_get(event, f"$.{field}", "string")
-    number = F.when(kind == "BOOLEAN", (text == "true").cast("double")).otherwise(safe_double(text))
-    nested = F.startswith(kind, F.lit("OBJECT")) | F.startswith(kind, F.lit("ARRAY"))
-    given = F.when(F.startswith(kind, F.lit("OBJECT")), "dict").when(
+    kind = seen["kind"]
+    python_type = F.when(F.startswith(kind, F.lit("OBJECT")), "dict").when(
         F.startswith(kind, F.lit("ARRAY")), "list"
     ).otherwise("str")
-    mismatch = kind.isNotNull() & (kind != "VOID") & (nested | number.isNull())
-    out = F.when(mismatch, _issue("type_mismatch", field, F.concat(
-        F.lit(f"Expected numeric for `{field}`, got "), given, F.lit(".")
+    out = F.when((kind != "VOID") & number.isNull(), _issue("type_mismatch", field, F.concat(
+        F.lit(f"Expected numeric for `{field}`, got "), python_type, F.lit(".")
     )))
     low, high = bounds or (None, None)
     if low is None or high is None:
@@ -72,14 +96,21 @@ def validate(
     The event itself is not changed, and no row is dropped.
     """
     bounds = V.BOUNDS if bounds is None else bounds
-    event = F.col("_event")
-    checks = [_required(event, f) for f in required]
-    checks += [_numeric(event, f, bounds.get(f)) for f in numeric]
+    fields = list(dict.fromkeys([*required, *numeric]))
+    event, seen, numbers = F.col("_event"), F.col("_seen"), F.col("_numbers")
+    out = _once(df, "_event", parse_event(F.col(json_col)))
+    out = _once(out, "_seen", F.when(
+        F.startswith(F.schema_of_variant(event), F.lit("OBJECT")),
+        F.struct(*[_look(event, f) for f in fields]),
+    ))
+    out = _once(out, "_numbers", F.struct(*[_number(seen[f]).alias(f) for f in numeric]))
+    checks = [_required(seen[f], f) for f in required]
+    checks += [_numeric(seen[f], numbers[f], f, bounds.get(f)) for f in numeric]
     found = F.filter(F.array(*checks), lambda issue: issue.isNotNull())
-    usable = F.startswith(F.schema_of_variant(event), F.lit("OBJECT"))
-    out = df.withColumn("_event", parse_event(F.col(json_col)))
-    out = out.withColumn("issues", F.when(usable, found))
-    return out.withColumn("data_quality", quality_flag(F.col("issues"))).drop("_event")
+    out = _once(out, "issues", F.when(seen.isNotNull(), found))
+    return out.withColumn("data_quality", quality_flag(F.col("issues"))).drop(
+        "_event", "_seen", "_numbers"
+    )
 
 
 def quality_flag(issues: Column) -> Column:

@@ -7,6 +7,7 @@ any frame with the columns key, value, topic, partition, offset, timestamp.
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from skygauge import fixed_values as V
+from skygauge.functions.scalars import safe_double
 from skygauge.schemas import READING
 from skygauge.sources.files import CORRUPT
 
@@ -40,21 +41,44 @@ def read_kafka_batch(spark: SparkSession, servers: str, topic: str = V.RAW_TOPIC
     )
 
 
+def _as_text(dtype):
+    """The schema with numbers read as text, so that one odd value spoils nothing."""
+    if isinstance(dtype, T.StructType):
+        return T.StructType([T.StructField(f.name, _as_text(f.dataType)) for f in dtype.fields])
+    return T.StringType() if isinstance(dtype, T.NumericType) else dtype
+
+
+def _as_declared(c, dtype):
+    if isinstance(dtype, T.StructType):
+        fields = [_as_declared(c[f.name], f.dataType).alias(f.name) for f in dtype.fields]
+        return F.when(c.isNotNull(), F.struct(*fields))
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        return safe_double(c)
+    return c.try_cast(dtype) if isinstance(dtype, T.NumericType) else c
+
+
 def parse_kafka_value(df: DataFrame, schema: T.StructType = READING, keep=()) -> DataFrame:
     """Key as text and the JSON value expanded to columns, in one pass.
 
-    A value that does not parse leaves the fields NULL and its text in ``_corrupt``.
-    ``keep`` names columns of the frame to carry along, e.g. partition and offset.
+    Numbers are read leniently: ``"12.5"`` counts, other text is NULL. A value that is
+    no JSON object leaves the fields NULL and its text in ``_corrupt``. ``keep`` names
+    columns of the frame to carry along, e.g. partition and offset.
     """
-    if CORRUPT not in schema.fieldNames():
-        schema = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    value = F.col("value").cast("string")
+    fields = [f for f in schema.fields if f.name != CORRUPT]
+    texts = T.StructType([
+        *[T.StructField(f.name, _as_text(f.dataType)) for f in fields],
+        T.StructField(CORRUPT, T.StringType()),
+    ])
     parsed = F.from_json(
-        value, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+        F.col("value").cast("string"), texts,
+        {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT},
+    )
+    out = df.select(F.col("key").cast("string").alias("key"), *keep, parsed.alias("r"))
+    return out.select(
+        "key", *keep,
+        *[_as_declared(F.col("r")[f.name], f.dataType).alias(f.name) for f in fields],
+        F.col("r")[CORRUPT].alias(CORRUPT),
     )
-    return df.select(
-        F.col("key").cast("string").alias("key"), *keep, parsed.alias("r")
-    ).select("key", *keep, "r.*")
 
 
 def to_kafka_records(df: DataFrame, key: str = "city", now=None) -> DataFrame:

@@ -52,26 +52,28 @@ def with_address(df: DataFrame) -> DataFrame:
     return with_event_date(df).withColumn("city_slug", slug(F.col("city")))
 
 
+def _append_by(df: DataFrame, path: str, fmt: str, folders) -> None:
+    """Append by folder with few, evenly sized files.
+
+    The rebalance shuffle groups rows by folder; adaptive execution splits the folders
+    of a hot city over several tasks and joins small ones.
+    """
+    balanced = df.hint("rebalance", *folders)
+    balanced.write.mode("append").format(fmt).partitionBy(*folders).save(path)
+
+
 def write_events(df: DataFrame, path: str, fmt: str = "json") -> None:
-    """Append processed events by source, city and day.
+    """Append processed events by city and day.
 
     Appending never overwrites: two events of one city in one second both stay.
     """
-    addressed = with_address(df).withColumn(
-        "source_slug", F.coalesce(F.col("source"), F.lit("unknown"))
-    )
-    (
-        addressed.write.mode("append").format(fmt)
-        .partitionBy("source_slug", "city_slug", "event_date").save(path)
-    )
+    _append_by(with_address(df), path, fmt, ["city_slug", "event_date"])
 
 
 def land_raw(df: DataFrame, path: str, fmt: str = "json") -> None:
     """Append normalised readings to the raw zone by source and city."""
-    addressed = df.withColumn(
-        "source_slug", F.coalesce(F.col("source"), F.lit("unknown"))
-    ).withColumn("city_slug", slug(F.col("city")))
-    addressed.write.mode("append").format(fmt).partitionBy("source_slug", "city_slug").save(path)
+    addressed = df.withColumns({"source_slug": slug(F.col("source")), "city_slug": slug(F.col("city"))})
+    _append_by(addressed, path, fmt, ["source_slug", "city_slug"])
 
 
 def append_jsonl(df: DataFrame, path: str) -> None:

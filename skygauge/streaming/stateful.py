@@ -76,12 +76,12 @@ class _ZScore(_InArrivalOrder):
         out, kept = batch[self.carry].copy(), []
         for values, f in zip(past, self.features):
             values = np.array([np.nan if v is None else v for v in values], dtype="float64")
-            has = batch[f"_has_{f}"].to_numpy(bool)
+            has = batch[f"given_{f}"].to_numpy(bool)
             new = batch[f].to_numpy("float64")[has]
             z, exists = rolling_z(values, new, self.window, self.min_samples)
             scores, flags = np.zeros(len(batch)), np.zeros(len(batch), dtype=bool)
             scores[has], flags[has] = z, exists
-            out[f"_z_{f}"], out[f"_scored_{f}"] = scores, flags
+            out[f"z_{f}"], out[f"scored_{f}"] = scores, flags
             kept.append(np.concatenate([values, new])[-self.window:].tolist())
         self.past.update(tuple(kept))
         return out
@@ -99,7 +99,7 @@ class _IsolationForest(_InArrivalOrder):
 
     def scored(self, batch):
         x = batch[self.features].to_numpy("float64")
-        complete = batch[[f"_has_{f}" for f in self.features]].to_numpy(bool).all(axis=1)
+        complete = batch[[f"given_{f}" for f in self.features]].to_numpy(bool).all(axis=1)
         complete &= np.isfinite(x).all(axis=1)
         due = np.flatnonzero(complete)
         score = np.zeros(len(batch))
@@ -124,13 +124,16 @@ class _IsolationForest(_InArrivalOrder):
 
 
 def _keyed(stream, key, features):
-    """Key texts, and which features are there: Arrow turns NULL and NaN into one."""
-    names = [f"_key{i}" for i in range(len(key))]
+    """Key texts, and which features are there: Arrow turns NULL and NaN into one.
+
+    No name starts with an underscore; rows reach the processor as named tuples.
+    """
+    names = [f"key{i}" for i in range(len(key))]
     for name, k in zip(names, key):
         stream = stream.withColumn(name, key_text(F.col(k)))
     for f in features:
         stream = stream.withColumn(f, F.col(f).cast("double"))
-        stream = stream.withColumn(f"_has_{f}", F.col(f).isNotNull())
+        stream = stream.withColumn(f"given_{f}", F.col(f).isNotNull())
     return stream, names
 
 
@@ -150,15 +153,15 @@ def zscore_stream(
     """
     carry, order, features = list(carry), list(order), list(features)
     rows, names = _keyed(stream, key, features)
-    extra = [("_z_" + f, T.DoubleType()) for f in features]
-    extra += [("_scored_" + f, T.BooleanType()) for f in features]
+    extra = [("z_" + f, T.DoubleType()) for f in features]
+    extra += [("scored_" + f, T.BooleanType()) for f in features]
     needed = list(dict.fromkeys([*names, *carry, *order, *features]))
-    out = rows.select(*needed, *[f"_has_{f}" for f in features]).groupBy(*names).transformWithStateInPandas(
+    out = rows.select(*needed, *[f"given_{f}" for f in features]).groupBy(*names).transformWithStateInPandas(
         statefulProcessor=_ZScore(carry, order, features, window, min_samples),
         outputStructType=_output(rows, carry, extra), outputMode="Append", timeMode="None",
     )
     nan = F.lit(float("nan"))
-    z = {f: F.when(F.col(f"_scored_{f}"), F.coalesce(F.col(f"_z_{f}"), nan)) for f in features}
+    z = {f: F.when(F.col(f"scored_{f}"), F.coalesce(F.col(f"z_{f}"), nan)) for f in features}
     return out.select(*carry, anomaly_struct(z, threshold).alias("anomaly"))
 
 
@@ -173,7 +176,7 @@ def iforest_stream(
     rows, names = _keyed(stream, key, features)
     extra = [("_score", T.DoubleType()), ("_scored", T.BooleanType())]
     needed = list(dict.fromkeys([*names, *carry, *order, *features]))
-    out = rows.select(*needed, *[f"_has_{f}" for f in features]).groupBy(*names).transformWithStateInPandas(
+    out = rows.select(*needed, *[f"given_{f}" for f in features]).groupBy(*names).transformWithStateInPandas(
         statefulProcessor=_IsolationForest(
             carry, order, features, min_samples, trees, contamination, seed
         ),
