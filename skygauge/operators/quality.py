@@ -8,20 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from skygauge import fixed_values as V
 from skygauge.functions.scalars import iso_utc, number_text, safe_double
 
-# JSON as some writers produce it: bare NaN and Infinity, which the parser refuses.
-_BARE = r"([:\[,]\s*)(NaN|-?Infinity)(?=\s*[,}\]])"
-
-
-def parse_event(json: Column) -> Column:
-    """JSON text as a variant; NULL if it is no JSON."""
-    quoted = F.regexp_replace(json, _BARE, '$1"$2"')
-    return F.coalesce(F.try_parse_json(json), F.try_parse_json(quoted))
-
-
-def _issue(kind: str, field: str, message: Column) -> Column:
-    return F.struct(
-        F.lit(kind).alias("type"), F.lit(field).alias("field"), message.alias("message")
-    )
+_CORRUPT = "_corrupt"
 
 
 def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -33,56 +20,64 @@ def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def _look(event: Column, field: str) -> Column:
-    """Type and text of a field: no type if the key is absent, VOID for a JSON null."""
-    path = f"$.{field}"
-    return F.struct(
-        F.schema_of_variant(F.try_variant_get(event, path, "variant")).alias("kind"),
-        F.try_variant_get(event, path, "string").alias("text"),
-    ).alias(field)
+# A bare NaN or Infinity, which the strict JSON functions refuse.
+_BARE = r"([:\[,]\s*)(NaN|-?Infinity)(?=\s*[,}\]])"
 
 
-def _number(seen: Column) -> Column:
-    """A boolean counts as 0 or 1; objects and arrays are no numbers."""
-    kind, text = seen["kind"], seen["text"]
-    return F.when(kind == "BOOLEAN", (text == "true").cast("double")).when(
-        ~_nested(kind), safe_double(text)
-    )
+def _strict(fn, json: Column) -> Column:
+    return F.coalesce(fn(json), fn(F.regexp_replace(json, _BARE, '$1"$2"')))
 
 
-def _nested(kind: Column) -> Column:
-    return F.startswith(kind, F.lit("OBJECT")) | F.startswith(kind, F.lit("ARRAY"))
+def _shape(json: Column, field: str) -> Column:
+    """Type of a field's value; parses the event again, so for rare cases only."""
+    value = F.try_variant_get(_strict(F.try_parse_json, json), f"$.{field}", "variant")
+    return F.schema_of_variant(value)
 
 
-def _required(seen: Column, field: str) -> Column:
-    kind = seen["kind"]
-    return F.when(kind.isNull(), _issue(
-        "missing_field", field, F.lit(f"Required field `{field}` is missing.")
-    )).when(kind == "VOID", _issue(
-        "null_value", field, F.lit(f"Required field `{field}` is null.")
-    ))
+def _number(json: Column, field: str, text: Column) -> Column:
+    """What Python's float() makes of a value; a boolean counts as 0 or 1.
 
+    The parser hands a bare NaN or Infinity over in quotes.
+    """
+    boolean = text.isin("true", "false") & (_shape(json, field) == "BOOLEAN")
+    return F.when(boolean, (text == "true").cast("double")).when(
+        F.startswith(text, F.lit('"')), safe_double(F.regexp_extract(text, '^"(NaN|-?Infinity)"$', 1))
+    ).otherwise(safe_double(text))
 
-def _numeric(seen: Column, number: Column, field: str, bounds) -> Column:
-    """type_mismatch or out_of_bounds; an absent or null value is neither.
 
-    NaN lies within any bounds: comparisons with it are false, though Spark orders it
-    last.
-    """
-    kind = seen["kind"]
-    python_type = F.when(F.startswith(kind, F.lit("OBJECT")), "dict").when(
-        F.startswith(kind, F.lit("ARRAY")), "list"
-    ).otherwise("str")
-    out = F.when((kind != "VOID") & number.isNull(), _issue("type_mismatch", field, F.concat(
-        F.lit(f"Expected numeric for `{field}`, got "), python_type, F.lit(".")
-    )))
+def _required(json: Column, field: str, text: Column) -> Column:
+    present = F.array_contains(_strict(F.json_object_keys, json), field)
+    return F.when(text.isNull(), F.when(present, "null_value").otherwise("missing_field"))
+
+
+def _numeric(text: Column, number: Column, bounds) -> Column:
+    """A value that is absent or null is no issue here. NaN lies within any bounds:
+    comparisons with it are false, though Spark orders it last."""
+    out = F.when(text.isNotNull() & number.isNull(), "type_mismatch")
     low, high = bounds or (None, None)
     if low is None or high is None:
         return out
-    outside = ~F.isnan(number) & ((number < low) | (number > high))
-    return out.when(outside, _issue("out_of_bounds", field, F.concat(
-        F.lit(f"`{field}`="), number_text(number), F.lit(f" outside [{low}, {high}]")
-    )))
+    outside = ~F.isnan(number) & ((number < float(low)) | (number > float(high)))
+    return out.when(outside, "out_of_bounds")
+
+
+def _message(kind: Column, field: Column, text: Column, number: Column, limits: Column) -> Column:
+    name = F.concat(F.lit("`"), field, F.lit("`"))
+    return (
+        F.when(kind == "missing_field", F.concat(F.lit("Required field "), name, F.lit(" is missing.")))
+        .when(kind == "null_value", F.concat(F.lit("Required field "), name, F.lit(" is null.")))
+        .when(kind == "type_mismatch", F.concat(
+            F.lit("Expected numeric for "), name, F.lit(", got "), text, F.lit(".")
+        ))
+        .otherwise(F.concat(name, F.lit("="), number_text(number), limits))
+    )
+
+
+def _python_type(json: Column, field: str) -> Column:
+    shape = _shape(json, field)
+    return F.when(F.startswith(shape, F.lit("OBJECT")), "dict").when(
+        F.startswith(shape, F.lit("ARRAY")), "list"
+    ).otherwise("str")
 
 
 def validate(
@@ -94,22 +89,38 @@ def validate(
     Issues come in a fixed order: required fields as listed, then the numeric fields.
     Text that is no JSON object cannot be validated: both columns are NULL there.
     The event itself is not changed, and no row is dropped.
+
+    Only the checked fields are parsed, as text. What is rare is looked up when it
+    occurs: whether an empty field is absent or null, and the type of a value that is no
+    number. Messages are put together for checks that found something.
     """
     bounds = V.BOUNDS if bounds is None else bounds
     fields = list(dict.fromkeys([*required, *numeric]))
-    event, seen, numbers = F.col("_event"), F.col("_seen"), F.col("_numbers")
-    out = _once(df, "_event", parse_event(F.col(json_col)))
-    out = _once(out, "_seen", F.when(
-        F.startswith(F.schema_of_variant(event), F.lit("OBJECT")),
-        F.struct(*[_look(event, f) for f in fields]),
+    checks = [*required, *numeric]
+    schema = ", ".join(f"`{f}` string" for f in fields) + f", {_CORRUPT} string"
+    json, event, numbers = F.col(json_col), F.col("_event"), F.col("_numbers")
+    out = _once(df, "_event", F.from_json(
+        json, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
     ))
-    out = _once(out, "_numbers", F.struct(*[_number(seen[f]).alias(f) for f in numeric]))
-    checks = [_required(seen[f], f) for f in required]
-    checks += [_numeric(seen[f], numbers[f], f, bounds.get(f)) for f in numeric]
-    found = F.filter(F.array(*checks), lambda issue: issue.isNotNull())
-    out = _once(out, "issues", F.when(seen.isNotNull(), found))
+    out = _once(out, "_numbers", F.struct(*[_number(json, f, event[f]).alias(f) for f in numeric]))
+    kinds = [_required(json, f, event[f]) for f in required]
+    kinds += [_numeric(event[f], numbers[f], bounds.get(f)) for f in numeric]
+    readable = event.isNotNull() & event[_CORRUPT].isNull()
+    out = _once(out, "_kinds", F.when(readable, F.array(*kinds)))
+
+    def issue(position, field):
+        limits = " outside [{}, {}]".format(*(bounds.get(field) or (None, None)))
+        kind = F.col("_kinds")[position]
+        number = numbers[field] if field in numeric else F.lit(None).cast("double")
+        message = _message(kind, F.lit(field), _python_type(json, field), number, F.lit(limits))
+        return F.when(kind.isNotNull(), F.struct(
+            kind.alias("type"), F.lit(field).alias("field"), message.alias("message")
+        ))
+
+    found = F.array_compact(F.array(*[issue(i, f) for i, f in enumerate(checks)]))
+    out = _once(out, "issues", F.when(F.col("_kinds").isNotNull(), found))
     return out.withColumn("data_quality", quality_flag(F.col("issues"))).drop(
-        "_event", "_seen", "_numbers"
+        "_event", "_numbers", "_kinds"
     )
 
 
