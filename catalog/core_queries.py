@@ -93,7 +93,7 @@ def display_functions(spark, sf_dir):
     return readings(spark, sf_dir).select(
         "event_id", S.weather_icon(F.col("weather_condition")).alias("icon"),
         S.temperature_band(t).alias("band"), C.slug(F.col("city")).alias("slug"),
-        C.temperature_size(t).alias("marker"), C.num_or_zero(t.cast("string")).alias("chart_value"),
+        C.temperature_size(t).alias("marker"), C.num_or_zero("temperature").alias("chart_value"),
         C.fmt1(t).alias("shown"), C.capitalize(F.col("weather_description")).alias("title"),
     )
 

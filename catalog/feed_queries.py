@@ -98,7 +98,7 @@ def normalize_weatherapi(spark, sf_dir):
   coalesce(weather_condition, 'Unknown') AS weather_condition FROM readings"""))
 def normalize_mixed(spark, sf_dir):
     out = N.normalize(
-        _payloads(readings(spark, sf_dir)), timestamp_col="timestamp", defaults=True,
+        _payloads(readings(spark, sf_dir, spread=True)), timestamp_col="timestamp", defaults=True,
         wind_to_mps=False, keep=["event_id"],
     )
     return out.select(
@@ -142,7 +142,7 @@ def flatten_coordinates(spark, sf_dir):
   CASE WHEN json_valid(value) THEN pressure END AS pressure, NOT json_valid(value) AS corrupt
   FROM json_events j JOIN readings USING (event_id)""")
 def parse_kafka_value(spark, sf_dir):
-    out = K.parse_kafka_value(json_events(readings(spark, sf_dir)), keep=["event_id"])
+    out = K.parse_kafka_value(json_events(readings(spark, sf_dir, spread=True)), keep=["event_id"])
     return out.select("event_id", "key", "source", "pressure", F.col(S.CORRUPT).isNotNull().alias("corrupt"))
 
 

@@ -47,7 +47,7 @@ ISSUES = f"""{JSON_EVENTS}, checked AS (SELECT *, CASE WHEN json_valid(value) TH
 
 
 def validated(spark, sf_dir):
-    rows = readings(spark, sf_dir)
+    rows = readings(spark, sf_dir, spread=True)
     return Q.validate(rows.withColumn("value", F.expr(JSON_VALUE)))
 
 
@@ -163,7 +163,7 @@ def anomaly_events(spark, sf_dir):
 
 @register("iforest_scores")
 def iforest_scores(spark, sf_dir):
-    out = A.detect(readings(spark, sf_dir), method="isolation_forest", enabled=True)
+    out = A.detect(readings(spark, sf_dir, spread=True), method="isolation_forest", enabled=True)
     return flags(out)
 
 
@@ -172,7 +172,7 @@ def iforest_scores(spark, sf_dir):
     WHERE temperature IS NOT NULL AND humidity IS NOT NULL AND pressure IS NOT NULL AND wind_speed IS NOT NULL)
   SELECT event_id, coalesce(r > 200, false) AS scored FROM readings LEFT JOIN vectors USING (event_id)""")
 def iforest_scored_events(spark, sf_dir):
-    out = A.detect(readings(spark, sf_dir), method="isolation_forest", enabled=True)
+    out = A.detect(readings(spark, sf_dir, spread=True), method="isolation_forest", enabled=True)
     return out.select("event_id", F.col("anomaly.score").isNotNull().alias("scored"))
 
 
@@ -272,7 +272,9 @@ def iforest_stream(spark, sf_dir):
 def monitor_stream(spark, sf_dir):
     stream = reading_stream(spark, sf_dir).withColumn("value", F.expr(JSON_VALUE))
     out, checkpoint = new_path(spark, "monitor"), new_path(spark, "monitor-checkpoint")
-    _run_to_end(MO.start_monitor(stream, out, checkpoint, trigger="available_now"))
+    _run_to_end(MO.start_monitor(
+        stream, out, checkpoint, trigger="available_now", tasks=spark.sparkContext.defaultParallelism
+    ))
     schema = """event_id long, data_quality struct<passed boolean, issue_count long>,
       anomaly struct<is_anomaly boolean, score double>"""
     events = spark.read.schema(schema).json(f"{out}/events")
@@ -285,7 +287,7 @@ def monitor_stream(spark, sf_dir):
   SELECT event_id, len(issues) = 0 AS passed, len(issues) AS issue_count, is_anomaly, round(score, 6) AS score
   FROM checked JOIN scores USING (event_id)""")
 def monitor_batch(spark, sf_dir):
-    rows = readings(spark, sf_dir).withColumn("value", F.expr(JSON_VALUE))
+    rows = readings(spark, sf_dir, spread=True).withColumn("value", F.expr(JSON_VALUE))
     out = MO.monitor(rows, severity="combined")
     return rounded(out.select(
         "event_id", "data_quality.passed", F.col("data_quality.issue_count").cast("long").alias("issue_count"),

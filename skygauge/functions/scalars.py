@@ -5,28 +5,30 @@ Nothing here depends on the session time zone: text without a zone is UTC.
 
 from pyspark.sql import Column, functions as F
 
-# Only characters a plain decimal number is made of; the cast decides the rest.
-_DIGITS = r"^[-+0-9.eE]+$"
-_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-_SPECIAL = r"^(?i)[+-]?(nan|inf|infinity)$"
 _ISO_DATE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}"
 _ISO_TIME = r"([T ][0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]{1,6})?)?(Z|[+-][0-9]{2}:[0-9]{2})?)?$"
 _ISO_ZONE = r"[T ].*(Z|[+-][0-9]{2}:[0-9]{2})$"
 
 
-def safe_double(c: Column) -> Column:
-    """Number in a text as double, NULL if it is none.
+def safe_double_sql(x: str) -> str:
+    """Number in a text as double, NULL if it is none; ``x`` is SQL.
 
     Accepts surrounding blanks, digit-group underscores, exponents, nan and inf,
-    but not the type suffixes or hex forms that a plain cast would take.
+    but not the type suffixes or hex forms that a plain cast would take. Text made of
+    digits, signs and exponents goes straight to the cast.
     """
-    text = F.trim(c.cast("string"))
-    grouped = F.regexp_replace(text, "(?<=[0-9])_(?=[0-9])", "")
-    unsigned = F.regexp_replace(text, "(?i)^[+-](?=nan)", "")
-    value = F.when(F.rlike(text, F.lit(_DIGITS)), text).when(
-        F.rlike(grouped, F.lit(_NUMBER)), grouped
-    ).when(F.rlike(text, F.lit(_SPECIAL)), unsigned)
-    return value.try_cast("double")
+    text = f"trim(CAST({x} AS STRING))"
+    grouped = f"regexp_replace({text}, '(?<=[0-9])_(?=[0-9])', '')"
+    number = "^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+    return f"""try_cast(CASE WHEN {text} RLIKE '^[-+0-9.eE]+$' THEN {text}
+      WHEN {grouped} RLIKE '{number}' THEN {grouped}
+      WHEN {text} RLIKE '^(?i)[+-]?(nan|inf|infinity)$'
+        THEN regexp_replace({text}, '(?i)^[+-](?=nan)', '') END AS DOUBLE)"""
+
+
+def safe_double(x: str) -> Column:
+    """``safe_double_sql`` of a column name or SQL text, as a column."""
+    return F.expr(safe_double_sql(x))
 
 
 def event_ts(c: Column) -> Column:
@@ -67,9 +69,9 @@ def temperature_size(temp: Column) -> Column:
     return F.greatest(F.abs(temp), F.lit(5.0))
 
 
-def num_or_zero(c: Column) -> Column:
-    """Number for a chart; anything else, NaN included, is 0."""
-    return F.nanvl(F.coalesce(safe_double(c), F.lit(0.0)), F.lit(0.0))
+def num_or_zero(x: str) -> Column:
+    """Number for a chart from a column name or SQL text; anything else, NaN too, is 0."""
+    return F.nanvl(F.coalesce(safe_double(x), F.lit(0.0)), F.lit(0.0))
 
 
 def fmt1(c: Column) -> Column:
@@ -104,33 +106,28 @@ def nan_to_null(c: Column) -> Column:
     return F.nanvl(c, F.lit(None).cast("double"))
 
 
-def number_text(c: Column) -> Column:
-    """Shortest decimal text of a double in the notation Python users know.
+def number_text_sql(x: str) -> str:
+    """Shortest decimal text of a double in the notation Python users know; ``x`` is SQL.
 
     Spark writes 1.0E7 where this gives 10000000.0; exponents start at 1e16
     and below 1e-4.
     """
-    text = F.abs(c).cast("string")
-    mantissa = F.substring_index(text, "E", 1)
-    exponent = F.substring_index(text, "E", -1).try_cast("int")
-    digits = F.regexp_replace(F.replace(mantissa, F.lit("."), F.lit("")), "(?<=[0-9])0+$", "")
-    whole = F.rpad(F.substr(digits, F.lit(1), exponent + 1), exponent + 1, F.lit("0"))
-    tail = F.substr(digits, exponent + 2)
-    large = F.concat(whole, F.lit("."), F.when(F.length(tail) > 0, tail).otherwise("0"))
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
-    scientific = F.concat(
-        F.regexp_replace(mantissa, "[.]0$", ""),
-        F.lit("e"),
-        F.when(exponent < 0, "-").otherwise("+"),
-        F.lpad(F.abs(exponent).cast("string"), F.greatest(F.length(F.abs(exponent).cast("string")), F.lit(2)), F.lit("0")),
-    )
-    plain = ~F.contains(text, F.lit("E"))
-    body = (
-        F.when(F.isnan(c), "nan")
-        .when(F.abs(c) == F.lit(float("inf")), "inf")
-        .when(plain, text)
-        .when((exponent >= 0) & (exponent < 16), large)
-        .when((exponent < 0) & (exponent >= -4), small)
-        .otherwise(scientific)
-    )
-    return F.concat(F.when(c < 0, "-").otherwise(""), body)
+    text = f"CAST(abs({x}) AS STRING)"
+    mantissa = f"substring_index({text}, 'E', 1)"
+    exponent = f"try_cast(substring_index({text}, 'E', -1) AS INT)"
+    digits = f"regexp_replace(replace({mantissa}, '.', ''), '(?<=[0-9])0+$', '')"
+    tail = f"substr({digits}, {exponent} + 2)"
+    size = f"CAST(abs({exponent}) AS STRING)"
+    return f"""CASE WHEN {x} < 0 THEN '-' ELSE '' END || CASE
+      WHEN isnan({x}) THEN 'nan' WHEN abs({x}) = double('inf') THEN 'inf'
+      WHEN NOT contains({text}, 'E') THEN {text}
+      WHEN {exponent} BETWEEN 0 AND 15 THEN rpad(left({digits}, {exponent} + 1), {exponent} + 1, '0')
+        || '.' || CASE WHEN {tail} = '' THEN '0' ELSE {tail} END
+      WHEN {exponent} BETWEEN -4 AND -1 THEN '0.' || repeat('0', -{exponent} - 1) || {digits}
+      ELSE regexp_replace({mantissa}, '[.]0$', '') || 'e' || CASE WHEN {exponent} < 0 THEN '-' ELSE '+' END
+        || lpad({size}, greatest(length({size}), 2), '0') END"""
+
+
+def number_text(x: str) -> Column:
+    """``number_text_sql`` of a column name or SQL text, as a column."""
+    return F.expr(number_text_sql(x))

@@ -1,83 +1,83 @@
 """Data quality: required fields, numeric types, plausibility bounds.
 
-Checks run on the JSON text, where an absent key and a null are different things.
+Checks run on the JSON text, where an absent key and a null are different things. They
+are written as SQL text: one expression per check, parsed by Spark in one go.
 """
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from skygauge import fixed_values as V
-from skygauge.functions.scalars import iso_utc, number_text, safe_double
+from skygauge.functions.scalars import iso_utc, number_text_sql, safe_double_sql
 
 _CORRUPT = "_corrupt"
 
 
-def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+def _once(df: DataFrame, name: str, sql: str) -> DataFrame:
     """Add a column that is computed once per row, however often it is used.
 
     A generator over one element stops the optimizer from copying the expression into
     every filter and projection above it.
     """
-    return df.select("*", F.explode(F.array(value)).alias(name))
+    return df.select("*", F.expr(f"explode(array({sql}))").alias(name))
 
 
-# A bare NaN or Infinity, which the strict JSON functions refuse.
-_BARE = r"([:\[,]\s*)(NaN|-?Infinity)(?=\s*[,}\]])"
+def _strict(function: str, json: str) -> str:
+    """A JSON function that refuses a bare NaN or Infinity, with these quoted if needed."""
+    bare = r"((?::|,|\\[) *)(NaN|-?Infinity)(?= *(?:,|\\]|\\}))"
+    quoted = f"""regexp_replace({json}, '{bare}', '$1"$2"')"""
+    return f"coalesce({function}({json}), {function}({quoted}))"
 
 
-def _strict(fn, json: Column) -> Column:
-    return F.coalesce(fn(json), fn(F.regexp_replace(json, _BARE, '$1"$2"')))
-
-
-def _shape(json: Column, field: str) -> Column:
+def _shape(json: str, field: str) -> str:
     """Type of a field's value; parses the event again, so for rare cases only."""
-    value = F.try_variant_get(_strict(F.try_parse_json, json), f"$.{field}", "variant")
-    return F.schema_of_variant(value)
+    event = _strict("try_parse_json", json)
+    return f"schema_of_variant(try_variant_get({event}, '$.{field}', 'variant'))"
 
 
-def _number(json: Column, field: str, text: Column) -> Column:
+def _number(json: str, field: str) -> str:
     """What Python's float() makes of a value; a boolean counts as 0 or 1.
 
     The parser hands a bare NaN or Infinity over in quotes.
     """
-    boolean = text.isin("true", "false") & (_shape(json, field) == "BOOLEAN")
-    return F.when(boolean, (text == "true").cast("double")).when(
-        F.startswith(text, F.lit('"')), safe_double(F.regexp_extract(text, '^"(NaN|-?Infinity)"$', 1))
-    ).otherwise(safe_double(text))
+    text = f"_event.`{field}`"
+    bare = f"""regexp_extract({text}, '^"(NaN|-?Infinity)"$', 1)"""
+    return f"""CASE
+      WHEN {text} IN ('true', 'false') AND {_shape(json, field)} = 'BOOLEAN' THEN double({text} = 'true')
+      WHEN startswith({text}, '"') THEN {safe_double_sql(bare)} ELSE {safe_double_sql(text)} END"""
 
 
-def _required(json: Column, field: str, text: Column) -> Column:
-    present = F.array_contains(_strict(F.json_object_keys, json), field)
-    return F.when(text.isNull(), F.when(present, "null_value").otherwise("missing_field"))
+def _required(json: str, field: str) -> str:
+    keys = _strict("json_object_keys", json)
+    return f"""CASE WHEN _event.`{field}` IS NULL THEN
+      CASE WHEN array_contains({keys}, '{field}') THEN 'null_value' ELSE 'missing_field' END END"""
 
 
-def _numeric(text: Column, number: Column, bounds) -> Column:
+def _numeric(field: str, bounds) -> str:
     """A value that is absent or null is no issue here. NaN lies within any bounds:
     comparisons with it are false, though Spark orders it last."""
-    out = F.when(text.isNotNull() & number.isNull(), "type_mismatch")
-    low, high = bounds or (None, None)
-    if low is None or high is None:
-        return out
-    outside = ~F.isnan(number) & ((number < float(low)) | (number > float(high)))
-    return out.when(outside, "out_of_bounds")
-
-
-def _message(kind: Column, field: Column, text: Column, number: Column, limits: Column) -> Column:
-    name = F.concat(F.lit("`"), field, F.lit("`"))
-    return (
-        F.when(kind == "missing_field", F.concat(F.lit("Required field "), name, F.lit(" is missing.")))
-        .when(kind == "null_value", F.concat(F.lit("Required field "), name, F.lit(" is null.")))
-        .when(kind == "type_mismatch", F.concat(
-            F.lit("Expected numeric for "), name, F.lit(", got "), text, F.lit(".")
-        ))
-        .otherwise(F.concat(name, F.lit("="), number_text(number), limits))
+    text, n, (low, high) = f"_event.`{field}`", f"_numbers.`{field}`", bounds or (None, None)
+    outside = "false" if low is None or high is None else (
+        f"NOT isnan({n}) AND ({n} < {float(low)!r}D OR {n} > {float(high)!r}D)"
     )
+    return f"""CASE WHEN {text} IS NOT NULL AND {n} IS NULL THEN 'type_mismatch'
+      WHEN {outside} THEN 'out_of_bounds' END"""
 
 
-def _python_type(json: Column, field: str) -> Column:
+def _issue(json: str, position: int, field: str, bounds) -> str:
+    """The issue a check found, with its message, or NULL."""
+    kind, name = f"_kinds[{position}]", f"`{field}`"
     shape = _shape(json, field)
-    return F.when(F.startswith(shape, F.lit("OBJECT")), "dict").when(
-        F.startswith(shape, F.lit("ARRAY")), "list"
-    ).otherwise("str")
+    given = f"""CASE WHEN startswith({shape}, 'OBJECT') THEN 'dict'
+      WHEN startswith({shape}, 'ARRAY') THEN 'list' ELSE 'str' END"""
+    if bounds is None:
+        message = f"""CASE WHEN {kind} = 'missing_field' THEN 'Required field {name} is missing.'
+          ELSE 'Required field {name} is null.' END"""
+    else:
+        limits = "[{}, {}]".format(*bounds)
+        message = f"""CASE WHEN {kind} = 'type_mismatch' THEN 'Expected numeric for {name}, got ' || {given} || '.'
+          ELSE '{name}=' || {number_text_sql(f"_numbers.`{field}`")} || ' outside {limits}' END"""
+    return f"""CASE WHEN {kind} IS NOT NULL THEN
+      named_struct('type', {kind}, 'field', '{field}', 'message', {message}) END"""
 
 
 def validate(
@@ -95,30 +95,21 @@ def validate(
     number. Messages are put together for checks that found something.
     """
     bounds = V.BOUNDS if bounds is None else bounds
+    json = f"`{json_col}`"
     fields = list(dict.fromkeys([*required, *numeric]))
-    checks = [*required, *numeric]
     schema = ", ".join(f"`{f}` string" for f in fields) + f", {_CORRUPT} string"
-    json, event, numbers = F.col(json_col), F.col("_event"), F.col("_numbers")
-    out = _once(df, "_event", F.from_json(
-        json, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
-    ))
-    out = _once(out, "_numbers", F.struct(*[_number(json, f, event[f]).alias(f) for f in numeric]))
-    kinds = [_required(json, f, event[f]) for f in required]
-    kinds += [_numeric(event[f], numbers[f], bounds.get(f)) for f in numeric]
-    readable = event.isNotNull() & event[_CORRUPT].isNull()
-    out = _once(out, "_kinds", F.when(readable, F.array(*kinds)))
-
-    def issue(position, field):
-        limits = " outside [{}, {}]".format(*(bounds.get(field) or (None, None)))
-        kind = F.col("_kinds")[position]
-        number = numbers[field] if field in numeric else F.lit(None).cast("double")
-        message = _message(kind, F.lit(field), _python_type(json, field), number, F.lit(limits))
-        return F.when(kind.isNotNull(), F.struct(
-            kind.alias("type"), F.lit(field).alias("field"), message.alias("message")
-        ))
-
-    found = F.array_compact(F.array(*[issue(i, f) for i, f in enumerate(checks)]))
-    out = _once(out, "issues", F.when(F.col("_kinds").isNotNull(), found))
+    options = f"map('mode', 'PERMISSIVE', 'columnNameOfCorruptRecord', '{_CORRUPT}')"
+    numbers = ", ".join(f"'{f}', {_number(json, f)}" for f in numeric)
+    kinds = [_required(json, f) for f in required] + [_numeric(f, bounds.get(f)) for f in numeric]
+    checks = [(f, None) for f in required]
+    checks += [(f, tuple(bounds.get(f) or (None, None))) for f in numeric]
+    issues = ", ".join(_issue(json, i, f, b) for i, (f, b) in enumerate(checks))
+
+    out = _once(df, "_event", f"from_json({json}, '{schema}', {options})")
+    out = _once(out, "_numbers", f"named_struct({numbers})")
+    out = _once(out, "_kinds", f"""CASE WHEN _event IS NOT NULL AND _event.{_CORRUPT} IS NULL
+      THEN array({', '.join(kinds)}) END""")
+    out = _once(out, "issues", f"CASE WHEN _kinds IS NOT NULL THEN array_compact(array({issues})) END")
     return out.withColumn("data_quality", quality_flag(F.col("issues"))).drop(
         "_event", "_numbers", "_kinds"
     )

@@ -7,7 +7,7 @@ any frame with the columns key, value, topic, partition, offset, timestamp.
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from skygauge import fixed_values as V
-from skygauge.functions.scalars import safe_double
+from skygauge.functions.scalars import safe_double_sql
 from skygauge.schemas import READING
 from skygauge.sources.files import CORRUPT
 
@@ -48,13 +48,16 @@ def _as_text(dtype):
     return T.StringType() if isinstance(dtype, T.NumericType) else dtype
 
 
-def _as_declared(c, dtype):
+def _as_declared(x: str, dtype) -> str:
+    """SQL that turns the text ``x`` into its declared type."""
     if isinstance(dtype, T.StructType):
-        fields = [_as_declared(c[f.name], f.dataType).alias(f.name) for f in dtype.fields]
-        return F.when(c.isNotNull(), F.struct(*fields))
+        fields = ", ".join(
+            f"'{f.name}', {_as_declared(f'{x}.`{f.name}`', f.dataType)}" for f in dtype.fields
+        )
+        return f"CASE WHEN {x} IS NOT NULL THEN named_struct({fields}) END"
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
-        return safe_double(c)
-    return c.try_cast(dtype) if isinstance(dtype, T.NumericType) else c
+        return safe_double_sql(x)
+    return f"try_cast({x} AS {dtype.simpleString()})" if isinstance(dtype, T.NumericType) else x
 
 
 def parse_kafka_value(df: DataFrame, schema: T.StructType = READING, keep=()) -> DataFrame:
@@ -76,7 +79,7 @@ def parse_kafka_value(df: DataFrame, schema: T.StructType = READING, keep=()) ->
     out = df.select(F.col("key").cast("string").alias("key"), *keep, parsed.alias("r"))
     return out.select(
         "key", *keep,
-        *[_as_declared(F.col("r")[f.name], f.dataType).alias(f.name) for f in fields],
+        *[F.expr(_as_declared(f"r.`{f.name}`", f.dataType)).alias(f.name) for f in fields],
         F.col("r")[CORRUPT].alias(CORRUPT),
     )
 

@@ -7,7 +7,7 @@ folder per turn; a batch that runs again after a failure reads the same state an
 overwrites its own output, so nothing is lost or doubled.
 """
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from skygauge import fixed_values as V
@@ -71,34 +71,30 @@ def score_batch(
     kept = top_rows(values, keys, newest, window, "offset").drop("rank")
     # Arrival order among the kept values: all of them come before the next batch.
     kept = kept.withColumn("_turn", F.lit(0)).withColumn("_age", F.row_number().over(
-        _per_key(keys, order)
+        Window.partitionBy(*keys).orderBy(*order)
     ))
     kept = kept.withColumn("partition", F.lit(0).cast(dict(values.dtypes)["partition"]))
     kept = kept.withColumn("offset", F.col("_age").cast("long")).drop("_age")
     return wide.select(*_ID, result.alias("anomaly")), kept
 
 
-def _per_key(keys, order):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*keys).orderBy(*order)
-
-
 def start_monitor(
     stream: DataFrame, out: str, checkpoint: str, trigger=None, severity: str = "combined",
     features=V.FEATURES, log_every: int = V.METRIC_WINDOW_MESSAGES, json_col: str = "value",
-    now=None, **scoring,
+    now=None, tasks: int | None = None, **scoring,
 ) -> StreamingQuery:
     """Runs the monitored stream on parsed Kafka rows.
 
     ``stream`` has the reading columns, the JSON text, partition and offset. Output
-    folders below ``out``: events, quality, anomalies, metrics, each by batch.
+    folders below ``out``: events, quality, anomalies, metrics, each by batch. ``tasks``
+    deals a micro-batch out to that many tasks, for topics with few partitions.
     """
     state = f"{checkpoint}/scores"
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        events = Q.validate(enrich(batch, severity, now), json_col)
+        spread = batch.repartition(tasks) if tasks else batch
+        events = Q.validate(enrich(spread, severity, now), json_col)
         events = events.withColumn("processed_at", F.current_timestamp()).persist()
         try:
             past = None
