@@ -34,9 +34,10 @@ def safe_double(x: str) -> Column:
 def event_ts(c: Column) -> Column:
     """ISO-8601 text as TIMESTAMP; no zone means UTC; NULL if not parseable."""
     valid = F.rlike(c, F.lit(_ISO_DATE + _ISO_TIME))
-    zoned = F.when(F.rlike(c, F.lit(_ISO_ZONE)), c).otherwise(
-        F.concat(c, F.when(F.length(c) == 10, F.lit("T00:00:00Z")).otherwise(F.lit("Z")))
+    full = F.when(F.length(c) == 10, F.concat(c, F.lit("T00:00:00"))).otherwise(
+        F.regexp_replace(c, "([T ][0-9]{2}:[0-9]{2})(?=$|Z|[+-])", "$1:00")
     )
+    zoned = F.when(F.rlike(c, F.lit(_ISO_ZONE)), full).otherwise(F.concat(full, F.lit("Z")))
     return F.when(valid, F.try_to_timestamp(zoned))
 
 

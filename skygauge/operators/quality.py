@@ -22,9 +22,12 @@ def _once(df: DataFrame, name: str, sql: str) -> DataFrame:
 
 
 def _strict(function: str, json: str) -> str:
-    """A JSON function that refuses a bare NaN or Infinity, with these quoted if needed."""
-    bare = r"((?::|,|\\[) *)(NaN|-?Infinity)(?= *(?:,|\\]|\\}))"
-    quoted = f"""regexp_replace({json}, '{bare}', '$1"$2"')"""
+    """A JSON function that refuses a bare NaN or Infinity, with these quoted if needed.
+
+    A token is bare if only whole strings and other characters follow it.
+    """
+    rest = r'(?:[^"\\\\]++|"(?:[^"\\\\]++|\\\\.)*+")*+$'
+    quoted = f"""regexp_replace({json}, '(NaN|-?Infinity)(?={rest})', '"$1"')"""
     return f"coalesce({function}({json}), {function}({quoted}))"
 
 

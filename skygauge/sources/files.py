@@ -70,7 +70,7 @@ def read_processed(
     A key that is there with a null counts as present, so the check runs on the
     JSON text of the file's object (or line) before it is parsed.
     """
-    text = spark.read.option("wholetext", not lines).option("pathGlobFilter", name_pattern).text(path)
+    text = spark.read.option("pathGlobFilter", name_pattern).text(path, wholetext=not lines)
     kept = require_fields(text, required, "value")
     return kept.select(F.from_json("value", schema).alias("r")).select("r.*")
 

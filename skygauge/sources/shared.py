@@ -3,32 +3,23 @@
 import tempfile
 import uuid
 
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
-_CONF = "spark.checkpoint.dir"
-
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``.
+    """Folder named by ``spark.checkpoint.dir``, or the context's checkpoint folder.
 
-    Only a local session may go without it; there a temporary folder is set once.
+    Only a local session may go without either; a temporary folder is set there once.
     """
-    path = spark.conf.get(_CONF, None)
-    if path:
-        return path.rstrip("/")
-    try:
-        path = spark.sparkContext.getCheckpointDir()
-        local = spark.sparkContext.master.startswith("local")
-    except PySparkException:  # sessions without a Spark context
-        path, local = None, False
+    path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
-    if not local:
-        raise ValueError(f"set {_CONF} to a folder shared by all executors")
-    path = tempfile.mkdtemp(prefix="skygauge-")
-    spark.conf.set(_CONF, path)
-    return path
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="skygauge-"))
+    return context.getCheckpointDir().rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:

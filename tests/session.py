@@ -5,16 +5,18 @@ import os
 from pyspark.sql import SparkSession
 
 
-def local_session(cpus: int | str = 8, partitions: int = 8) -> SparkSession:
+def local_session(cpus: int | str = 8, partitions: int = 8, **conf) -> SparkSession:
     os.environ.setdefault("PYSPARK_PYTHON", "python")
-    spark = (
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]").appName("skygauge")
         .config("spark.sql.shuffle.partitions", partitions)
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
-        .getOrCreate()
     )
+    for name, value in conf.items():
+        builder = builder.config(name, value)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
