@@ -1,7 +1,6 @@
 """The registered queries: name, Spark function, and the SQL it must agree with."""
 
 from collections.abc import Callable
-from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,13 +16,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(query: Query) -> Query:
         if name in QUERIES:
             raise ValueError(f"registered twice: {name}")
-
-        @wraps(query)
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            ship(spark)
-            return query(spark, sf_dir)
-
-        QUERIES[name] = run
+        QUERIES[name] = query
         if sql is not None:
             ORACLES[name] = sql
         return query
@@ -32,5 +25,6 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> None:
-    """Import the modules that register queries."""
+    """Import the modules that register queries; their Python parts travel with the tasks."""
+    ship()
     from catalog import core_queries, feed_queries, monitoring_queries  # noqa: F401

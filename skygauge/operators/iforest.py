@@ -20,7 +20,7 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 GROUP_ROWS = 1_000_000
 HOT_KEYS = 100_000
 _EULER = 0.5772156649015329
-_CELLS_AT_ONCE = 1_000_000
+_CELLS_AT_ONCE = 200_000
 
 
 def expected_path(n):
@@ -150,7 +150,10 @@ def iforest_fit(
     ``cut`` is the order of the last training row, as a struct.
     """
     key, order, features = list(key), list(order), list(features)
-    first = top_rows(_vectors(df, id_col, order, features, key), key, order, min_samples, id_col)
+    # Few bytes, much arithmetic: keep adaptive execution from joining these tasks.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    vectors = _vectors(df, id_col, order, features, key)
+    first = top_rows(vectors, key, order, min_samples, id_col, tasks=tasks)
     types = dict(first.dtypes)
     columns = [*key, *order]
     schema = ", ".join(f"{c} {types[c]}" for c in columns) + ", model binary"

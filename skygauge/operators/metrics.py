@@ -78,35 +78,33 @@ def stream_metrics(
     )
 
 
-def metrics_summary(metrics: DataFrame, approximate: bool = False) -> DataFrame:
+_SUMMARY = (
+    ("throughput_mps", 0.5, "median_throughput_mps"), ("throughput_mps", 0.95, "p95_throughput_mps"),
+    ("avg_latency_ms", 0.5, "median_latency_ms"), ("avg_latency_ms", 0.95, "p95_latency_ms"),
+)
+
+
+def metrics_summary(
+    metrics: DataFrame, approximate: bool = False, max_windows: int = 1_000_000,
+) -> DataFrame:
     """Events, median and 95th percentile of throughput and latency over the windows.
 
-    Exact by default, with a distributed sort. ``approximate`` takes one pass with
-    mergeable sketches and is the choice for a live view of a large log.
+    Exact by default: an aggregate up to ``max_windows`` windows (counted first), beyond
+    that a distributed sort. ``approximate`` takes one pass with mergeable sketches and is
+    the choice for a live view of a large log.
     """
-    columns = ["throughput_mps", "avg_latency_ms"]
-    total = metrics.agg(
-        F.sum("window_messages").alias("events"), F.count(F.lit(1)).alias("windows"),
-        *([F.percentile_approx(c, [0.5, 0.95], 10000).alias(c) for c in columns] if approximate else []),
-    )
-    names = {
-        ("throughput_mps", 0.5): "median_throughput_mps",
-        ("throughput_mps", 0.95): "p95_throughput_mps",
-        ("avg_latency_ms", 0.5): "median_latency_ms",
-        ("avg_latency_ms", 0.95): "p95_latency_ms",
-    }
-    if approximate:
-        return total.select("events", "windows", *[
-            F.col(c)[0 if p == 0.5 else 1].alias(name) for (c, p), name in names.items()
-        ])
-    quantiles = exact_quantiles(metrics, columns, [0.5, 0.95])
-    wide = quantiles.agg(*[
+    sums = [F.sum("window_messages").alias("events"), F.count(F.lit(1)).alias("windows")]
+    if approximate or metrics.count() <= max_windows:
+        quantile = (lambda c, p: F.percentile_approx(c, p, 10000)) if approximate else F.percentile
+        return metrics.agg(*sums, *[quantile(c, p).alias(name) for c, p, name in _SUMMARY])
+    wide = exact_quantiles(metrics, ["throughput_mps", "avg_latency_ms"], [0.5, 0.95]).agg(*[
         F.max(F.when((F.col("metric") == c) & (F.col("probability") == p), F.col("value"))).alias(name)
-        for (c, p), name in names.items()
+        for c, p, name in _SUMMARY
     ])
     # One row each; the quantiles come in as a scalar subquery, not through a join.
-    row = wide.select(F.struct(*names.values())).scalar()
-    return total.select("events", "windows", *[row[n].alias(n) for n in names.values()])
+    names = [name for _, _, name in _SUMMARY]
+    row = wide.select(F.struct(*names)).scalar()
+    return metrics.agg(*sums).select("events", "windows", *[row[n].alias(n) for n in names])
 
 
 def zone_volume(files: DataFrame) -> DataFrame:

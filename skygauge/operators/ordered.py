@@ -115,12 +115,15 @@ def trailing_moments_split(
     return out.where(own == F.col("_piece")).drop("_piece", "_pos")
 
 
-def top_rows(df: DataFrame, keys, order, n: int, id_col: str, salts: int = 32) -> DataFrame:
+def top_rows(
+    df: DataFrame, keys, order, n: int, id_col: str, salts: int = 32, tasks: int | None = None,
+) -> DataFrame:
     """The first ``n`` rows of every key in the given order.
 
     The rank limit runs before each shuffle. The first round ranks within
     (key, salt), so the survivors of a hot key spread over ``salts`` tasks; the second
-    ranks at most n * salts rows per key. The result is exact.
+    ranks at most n * salts rows per key. The result is exact. ``tasks`` fixes the number
+    of tasks the keys end up in, for work that is heavy out of proportion to its bytes.
     """
     salt = F.pmod(F.xxhash64(id_col), F.lit(salts))
 
@@ -129,6 +132,8 @@ def top_rows(df: DataFrame, keys, order, n: int, id_col: str, salts: int = 32) -
         return frame.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= n)
 
     first = limit(df.withColumn("_salt", salt), [*keys, "_salt"]).drop("_rank", "_salt")
+    if tasks:
+        first = first.repartition(tasks, *keys)
     return limit(first, list(keys)).withColumnRenamed("_rank", "rank")
 
 

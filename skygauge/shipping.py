@@ -1,29 +1,14 @@
-"""Makes the package importable in Python workers."""
+"""Makes the package's Python functions run on executors that do not have it installed."""
 
-import os
-import tempfile
-import zipfile
+from pyspark import cloudpickle
 
-from pyspark.sql import SparkSession
+import skygauge
 
-_SHIPPED = set()
 
+def ship() -> None:
+    """Send functions and classes of this package with the tasks, by value.
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per application.
-
-    Needed when the package is not installed there; like ``--py-files`` on submit.
+    Nothing is written anywhere. Where the package is installed on every executor this
+    is not needed.
     """
-    context = spark.sparkContext
-    if context.applicationId in _SHIPPED:
-        return
-    root = os.path.dirname(os.path.abspath(__file__))
-    target = os.path.join(tempfile.mkdtemp(prefix="skygauge-ship-"), "skygauge.zip")
-    with zipfile.ZipFile(target, "w") as archive:
-        for folder, _, names in os.walk(root):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    archive.write(full, os.path.relpath(full, os.path.dirname(root)))
-    context.addPyFile(target)
-    _SHIPPED.add(context.applicationId)
+    cloudpickle.register_pickle_by_value(skygauge)

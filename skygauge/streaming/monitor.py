@@ -96,12 +96,13 @@ def start_monitor(
         spread = batch.repartition(tasks) if tasks else batch
         events = Q.validate(enrich(spread, severity, now), json_col)
         events = events.withColumn("processed_at", F.current_timestamp()).persist()
+        past = scores = None
         try:
-            past = None
             if batch_id:
                 slot = f"{state}/slot={(batch_id - 1) % _SLOTS}"
                 past = spark.read.parquet(slot).where(F.col("batch_id") == batch_id - 1).drop("batch_id")
             scores, kept = score_batch(events, past, features, **scoring)
+            scores = scores.persist()
             kept.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(
                 f"{state}/slot={batch_id % _SLOTS}"
             )
@@ -121,6 +122,8 @@ def start_monitor(
                 )
         finally:
             events.unpersist()
+            if scores is not None:
+                scores.unpersist()
 
     writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return _trigger(writer, trigger).start()

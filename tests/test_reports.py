@@ -165,6 +165,7 @@ def test_metrics_summary(spark):
     metrics = M.stream_metrics(M.with_latency(frame), 25)
     data = metrics.toPandas()
     exact, rough = M.metrics_summary(metrics).first(), M.metrics_summary(metrics, approximate=True).first()
+    assert M.metrics_summary(metrics, max_windows=0).first() == exact
     assert (exact.events, exact.windows, rough.events) == (400, 16, 400)
     assert exact.median_latency_ms == pytest.approx(data.avg_latency_ms.quantile(0.5))
     assert exact.p95_throughput_mps == pytest.approx(data.throughput_mps.quantile(0.95))
