@@ -7,6 +7,7 @@ from pyspark.sql import functions as F, types as T
 from catalog.core_queries import ENRICHED, enriched
 from catalog.readings import JSON_EVENTS, READINGS, json_events, reading_stream, readings
 from catalog.registry import register
+from skygauge.functions.scalars import event_ts
 from skygauge.operators import enrich as E, normalize as N, reports as R
 from skygauge.plans import jobs as J
 from skygauge.schemas import READING
@@ -305,3 +306,19 @@ def processed_files(spark, sf_dir):
         spark, path, ["city", "temperature"], _SCHEMA, name_pattern="part-*.json", lines=True
     )
     return flat(back, "event_id")
+
+
+@register("run_counts", sql("SELECT count(*) AS records FROM readings"))
+def run_counts(spark, sf_dir):
+    """Rows counted on the way into a sink, without a pass of their own."""
+    frame, seen = R.run_counts(readings(spark, sf_dir))
+    W.write_batch(frame.select(*_STORED), new_path(spark, "counted"), "parquet", "run")
+    return spark.createDataFrame([(seen.get["records"],)], "records long")
+
+
+@register("ingest_stamp", sql("SELECT event_id, true AS stamped FROM readings"))
+def ingest_stamp(spark, sf_dir):
+    """Every reading gets the time of normalisation, as ISO text in UTC."""
+    stamped = E.with_ingest_ts(readings(spark, sf_dir), "normalised_at")
+    recent = event_ts(F.col("normalised_at")) > F.current_timestamp() - F.make_interval(hours=F.lit(1))
+    return stamped.select("event_id", recent.alias("stamped"))

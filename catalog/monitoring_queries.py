@@ -8,6 +8,8 @@ from catalog.readings import (
 from catalog.registry import register
 from skygauge import fixed_values as V
 from skygauge.operators import anomaly as A, filters as FL, iforest as I, metrics as M, quality as Q
+from skygauge.schemas import ANOMALY_EVENT, QUALITY_EVENT, STREAM_METRIC
+from skygauge.sources import sinks as W
 from skygauge.sources.shared import new_path
 from skygauge.streaming import monitor as MO, stateful as ST
 from skygauge.streaming.sinks import start_log_sink
@@ -232,6 +234,30 @@ def metrics_summary(spark, sf_dir):
     return rounded(out, *[c for c in out.columns if c.endswith(("_mps", "_ms"))], places=4)
 
 
+@register("monitoring_logs", f"""WITH {READINGS}, {ISSUES}, {ZSCORES}, {MESSAGES}
+  SELECT 'quality' AS log, count(*) AS records, sum(len(issues))::BIGINT AS detail FROM checked WHERE len(issues) > 0
+  UNION ALL SELECT 'anomaly', count(*), count(DISTINCT city) FROM scores JOIN readings USING (event_id) WHERE is_anomaly
+  UNION ALL SELECT 'metrics', count(*), sum(window_messages)::BIGINT FROM metrics""")
+def monitoring_logs(spark, sf_dir):
+    """The three logs, appended as JSON Lines and read back."""
+    base = new_path(spark, "logs")
+    W.append_jsonl(Q.quality_events(validated(spark, sf_dir)), f"{base}/quality")
+    W.append_jsonl(A.anomaly_events(A.detect(readings(spark, sf_dir))), f"{base}/anomaly")
+    W.append_jsonl(M.stream_metrics(messages(spark, sf_dir)), f"{base}/metrics")
+    details = (
+        ("quality", QUALITY_EVENT, F.sum(F.size("issues"))),
+        ("anomaly", ANOMALY_EVENT, F.count_distinct("city")),
+        ("metrics", STREAM_METRIC, F.sum("window_messages")),
+    )
+    logs = [
+        spark.read.schema(schema).json(f"{base}/{name}")
+        .agg(F.count("ts_utc").alias("records"), detail.alias("detail"))
+        .select(F.lit(name).alias("log"), "records", "detail")
+        for name, schema, detail in details
+    ]
+    return logs[0].unionByName(logs[1]).unionByName(logs[2])
+
+
 # --- streaming forms; their results must equal the batch forms
 
 

@@ -92,9 +92,10 @@ def retain_recent(
     return df.where(F.col(ts_col) > reference - F.make_interval(days=F.lit(days + 1)))
 
 
-def rewrite_retained(df: DataFrame, path: str, partition_by=("event_date",)) -> None:
-    """Write the retained days back, one partition at a time (dynamic overwrite)."""
-    (
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*partition_by).parquet(path)
-    )
+def write_retained(df: DataFrame, target: str, partition_by=("event_date",)) -> None:
+    """Write the rows that stay to a folder of their own, to take the zone's place.
+
+    Spark cannot overwrite a folder it is reading, and replacing single partitions would
+    leave the expired ones behind.
+    """
+    df.write.mode("overwrite").partitionBy(*partition_by).parquet(target)

@@ -28,10 +28,12 @@ def monitor(
     json_col: str = "value", severity: str = "combined", method: str = "zscore",
     enabled: bool = False, now=None, **options,
 ) -> DataFrame:
-    """Batch form: readings with their JSON text, enriched, validated and scored."""
-    events = enrich(df, severity, now)
-    events = Q.validate(events, json_col)
-    return A.detect(events, method, enabled, id_col, order, **options)
+    """Batch form: readings with their JSON text, enriched, scored and validated.
+
+    Scoring reads the frame more than once, so the costly validation comes after it.
+    """
+    events = A.detect(enrich(df, severity, now), method, enabled, id_col, order, **options)
+    return Q.validate(events, json_col)
 
 
 def _long(df: DataFrame, features) -> DataFrame:

@@ -104,6 +104,8 @@ def test_retention(spark, tmp_path):
     rows = spark.createDataFrame([(a, now - timedelta(seconds=a)) for a in ages], "age long, ts timestamp")
     kept = W.retain_recent(rows, "ts", now=F.lit(now))
     assert sorted(r.age for r in kept.collect()) == ages[:2]
+    W.write_retained(kept.withColumn("event_date", F.to_date("ts")), str(tmp_path / "kept"))
+    assert spark.read.parquet(str(tmp_path / "kept")).count() == 2
 
 
 def test_kafka_shapes(spark):

@@ -17,7 +17,7 @@ EAGER = {
     "json_lines_files", "parquet_files", "csv_files", "raw_json_arrays", "recent_files", "events_sink", "land_raw",
     "parquet_stream", "event_stream", "batch_job", "report_job", "processed_files", "zscore_stream",
     "iforest_stream", "monitor_stream", "iforest_scores", "iforest_scored_events", "zscore_scores_split",
-    "describe_quartiles", "metrics_summary",
+    "describe_quartiles", "metrics_summary", "monitoring_logs", "run_counts",
 }
 
 
