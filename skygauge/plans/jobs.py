@@ -14,7 +14,7 @@ from skygauge.sources.files import (
 from skygauge.sources.sinks import run_stamp, with_event_date, write_batch
 
 
-def pipeline(df: DataFrame, transforms: Iterable[Callable[[DataFrame], DataFrame]]) -> DataFrame:
+def apply_all(df: DataFrame, transforms: Iterable[Callable[[DataFrame], DataFrame]]) -> DataFrame:
     """Apply user functions in order, on a batch or a stream.
 
     A function drops events by filtering them out.
@@ -36,7 +36,7 @@ def run_batch(
     which large files should be: Spark can split them.
     """
     raw = _sound((read_json_lines if lines else read_raw_json)(spark, source, schema))
-    frame = pipeline(enrich(raw, severity, now), transforms)
+    frame = apply_all(enrich(raw, severity, now), transforms)
     frame, seen = R.run_counts(frame)
     stamp = run_stamp(now)
     dated = with_event_date(frame)
