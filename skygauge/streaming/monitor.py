@@ -102,7 +102,10 @@ def start_monitor(
         try:
             if batch_id:
                 slot = f"{state}/slot={(batch_id - 1) % _SLOTS}"
-                past = spark.read.parquet(slot).where(F.col("batch_id") == batch_id - 1).drop("batch_id")
+                past = spark.read.parquet(slot)
+                if not past.where(F.col("batch_id") != batch_id - 1).isEmpty():
+                    raise RuntimeError(f"state in {slot} is not of batch {batch_id - 1}")
+                past = past.drop("batch_id")
             scores, kept = score_batch(events, past, features, **scoring)
             scores = scores.persist()
             kept.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(
