@@ -1,7 +1,9 @@
 """One query per corpus operator, over its whole table, with production parameters."""
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
+from skygauge.llm.bpe import encode_decode
 from skygauge.llm.common import table
 from skygauge.llm.registry import ORACLES, QUERIES, register  # noqa: F401
 from skygauge.llm.simhash import simhash_dedup
@@ -18,3 +20,13 @@ def op4(spark, folder):
 def op5(spark, folder):
     found = simhash_dedup(table(spark, folder, "documents"))
     return found.select(found["id"].alias("doc_id"), "fingerprint", "component_id")
+
+
+@register("op7_byte_bpe")
+def op7(spark, folder):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    coded = encode_decode(table(spark, folder, "documents"), path, public_tokenizers.PATTERN)
+    return coded.select(
+        coded["id"].alias("doc_id"), "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )

@@ -7,13 +7,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skygauge.llm.common import per_row, text_of
+from skygauge.llm.pieces import SAFE
 
 LIMIT = 512
 CALL_BYTES = 1 << 20
 KEEP = 1 << 18
-SPACE = r"\t-\r \x85\xa0  -     　"
-#: A text may be cut between these: the tokenizer's own pieces never cross such a boundary.
-SAFE = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
 
 class Counter:
