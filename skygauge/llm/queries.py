@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from skygauge.llm.bpe import encode_decode
 from skygauge.llm.common import table
+from skygauge.llm.decontam import overlaps
 from skygauge.llm.registry import ORACLES, QUERIES, register  # noqa: F401
 from skygauge.llm.simhash import simhash_dedup
 from skygauge.llm.token_count import count_tokens
@@ -30,3 +31,9 @@ def op7(spark, folder):
         coded["id"].alias("doc_id"), "n_tokens",
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@register("op10_decontamination")
+def op10(spark, folder):
+    found = overlaps(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.withColumnRenamed("id", "doc_id")
