@@ -7,6 +7,7 @@ from skygauge.llm.bpe import encode_decode
 from skygauge.llm.common import table
 from skygauge.llm.decontam import overlaps
 from skygauge.llm.registry import ORACLES, QUERIES, register  # noqa: F401
+from skygauge.llm.secret_scan import find_secrets, listed
 from skygauge.llm.simhash import simhash_dedup
 from skygauge.llm.token_count import count_tokens
 
@@ -37,3 +38,16 @@ def op7(spark, folder):
 def op10(spark, folder):
     found = overlaps(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.withColumnRenamed("id", "doc_id")
+
+
+@register("op6_secret_scan")
+def op6(spark, folder):
+    found = find_secrets(table(spark, folder, "documents"))
+
+    def count(kind):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        F.col("id").alias("doc_id"), count("assign"), count("access"), count("hex"),
+        F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"),
+    )
