@@ -7,6 +7,7 @@ from skygauge.llm.bpe import encode_decode
 from skygauge.llm.common import table
 from skygauge.llm.decontam import overlaps
 from skygauge.llm.registry import ORACLES, QUERIES, register  # noqa: F401
+from skygauge.llm.license_scan import scan_licenses
 from skygauge.llm.secret_scan import find_secrets, listed
 from skygauge.llm.simhash import simhash_dedup
 from skygauge.llm.token_count import count_tokens
@@ -51,3 +52,10 @@ def op6(spark, folder):
         F.col("id").alias("doc_id"), count("assign"), count("access"), count("hex"),
         F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"),
     )
+
+
+@register("op3_license_scan")
+def op3(spark, folder):
+    found = scan_licenses(table(spark, folder, "documents"))
+    joined = {c: F.array_join(c, ",") for c in ("base_labels", "labels")}
+    return found.withColumnRenamed("id", "doc_id").withColumns(joined)
