@@ -4,8 +4,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from skygauge.sources.shared import shared_dir
 
@@ -43,28 +46,26 @@ def per_row(
     names = list(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        function, arrow = None, None
+        function = None
         for batch in batches:
             function = function or open_task()
             for part in slices(batch, slice_bytes):
                 made = function(part.column(1).to_pylist())
-                arrow = arrow or out_schema
-                arrays = [part.column(0), *(pa.array(v, f.type) for v, f in zip(made, list(arrow)[1:]))]
+                arrays = [part.column(0), *map(_typed, made, list(arrow)[1:])]
                 yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
     picked = df.select(*(columns[n].alias(n) for n in names))
     made = StructType.fromDDL(schema)
-    out_schema = to_arrow_schema(StructType([picked.schema[0], *made.fields]))
+    arrow = to_arrow_schema(StructType([picked.schema[0], *made.fields]))
     return picked.mapInArrow(run, StructType([picked.schema[0], *made.fields]))
 
 
+def _typed(values, field: pa.Field) -> pa.Array:
+    return values.cast(field.type) if isinstance(values, pa.Array) else pa.array(values, field.type)
+
+
 def slices(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
     """Cut a batch of (id, text or binary) rows where the second column reaches ``size`` bytes."""
-    import pyarrow.compute as pc
-
     if not batch.num_rows:
         return
     lengths = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)

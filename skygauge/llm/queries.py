@@ -3,6 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
+from skygauge.llm import lang_id
 from skygauge.llm.bpe import encode_decode
 from skygauge.llm.common import table
 from skygauge.llm.decontam import overlaps
@@ -59,3 +60,12 @@ def op3(spark, folder):
     found = scan_licenses(table(spark, folder, "documents"))
     joined = {c: F.array_join(c, ",") for c in ("base_labels", "labels")}
     return found.withColumnRenamed("id", "doc_id").withColumns(joined)
+
+
+@register("op9_language_id")
+def op9(spark, folder):
+    documents = table(spark, folder, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    model = lang_id.train(documents.where(~held_out))
+    found = lang_id.label_languages(documents, model).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
