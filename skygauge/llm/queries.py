@@ -7,6 +7,7 @@ from skygauge.llm import lang_id
 from skygauge.llm.bpe import encode_decode
 from skygauge.llm.common import table
 from skygauge.llm.decontam import overlaps
+from skygauge.llm.embed_dedup import embedding_dedup
 from skygauge.llm.registry import ORACLES, QUERIES, register  # noqa: F401
 from skygauge.llm.license_scan import scan_licenses
 from skygauge.llm.secret_scan import find_secrets, listed
@@ -69,3 +70,8 @@ def op9(spark, folder):
     model = lang_id.train(documents.where(~held_out))
     found = lang_id.label_languages(documents, model).withColumnRenamed("id", "doc_id")
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@register("op1_embedding_dedup")
+def op1(spark, folder):
+    return embedding_dedup(table(spark, folder, "embeddings")).withColumnRenamed("id", "vec_id")
