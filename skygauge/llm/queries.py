@@ -10,6 +10,7 @@ from skygauge.llm.decontam import overlaps
 from skygauge.llm.embed_dedup import embedding_dedup
 from skygauge.llm.registry import ORACLES, QUERIES, register  # noqa: F401
 from skygauge.llm.license_scan import scan_licenses
+from skygauge.llm.lm_score import cross_entropy_difference
 from skygauge.llm.secret_scan import find_secrets, listed
 from skygauge.llm.simhash import simhash_dedup
 from skygauge.llm.token_count import count_tokens
@@ -75,3 +76,9 @@ def op9(spark, folder):
 @register("op1_embedding_dedup")
 def op1(spark, folder):
     return embedding_dedup(table(spark, folder, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+@register("op8_lm_score")
+def op8(spark, folder):
+    good = table(spark, folder, "labels").where("quality = 1 and toxic = 0").select("doc_id")
+    return cross_entropy_difference(table(spark, folder, "documents"), good).withColumnRenamed("id", "doc_id")
