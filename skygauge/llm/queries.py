@@ -9,6 +9,7 @@ from skygauge.llm.common import table
 from skygauge.llm.decontam import overlaps
 from skygauge.llm.embed_dedup import embedding_dedup
 from skygauge.llm.registry import ORACLES, QUERIES, register  # noqa: F401
+from skygauge.llm.html_extract import extract_text
 from skygauge.llm.license_scan import scan_licenses
 from skygauge.llm.lm_score import cross_entropy_difference
 from skygauge.llm.secret_scan import find_secrets, listed
@@ -82,3 +83,9 @@ def op1(spark, folder):
 def op8(spark, folder):
     good = table(spark, folder, "labels").where("quality = 1 and toxic = 0").select("doc_id")
     return cross_entropy_difference(table(spark, folder, "documents"), good).withColumnRenamed("id", "doc_id")
+
+
+@register("op2_html_extraction")
+def op2(spark, folder):
+    found = extract_text(table(spark, folder, "pages"), F.struct("page_id", "url"))
+    return found.select("id.page_id", "id.url", "text", F.length("text").cast("long").alias("n_chars"))
