@@ -3,8 +3,9 @@
 from collections.abc import Callable, Iterable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from skygauge import fixed_values as V
 from skygauge.operators import filters as F_, reports as R
 from skygauge.operators.enrich import enrich
 from skygauge.schemas import READING
@@ -35,7 +36,7 @@ def run_batch(
     files are scanned once. No input gives empty outputs. ``lines`` is for JSON Lines,
     which large files should be: Spark can split them.
     """
-    raw = _sound((read_json_lines if lines else read_raw_json)(spark, source, schema))
+    raw = _known_columns(_sound((read_json_lines if lines else read_raw_json)(spark, source, schema)))
     frame = apply_all(enrich(raw, severity, now), transforms)
     frame, seen = R.run_counts(frame)
     stamp = run_stamp(now)
@@ -53,8 +54,15 @@ def run_batch(
 
 
 def _sound(df: DataFrame) -> DataFrame:
-    """Rows of readable files, without the column that holds unreadable text."""
-    return df.where(f"{CORRUPT} IS NULL").drop(CORRUPT)
+    """Rows of readable files, without the column that holds unreadable text, which an
+    inferred schema has only if there was such text."""
+    return df.where(f"{CORRUPT} IS NULL").drop(CORRUPT) if CORRUPT in df.columns else df
+
+
+def _known_columns(df: DataFrame) -> DataFrame:
+    """An inferred schema lacks the columns that no file has; the steps count on them."""
+    missing = {f.name: F.lit(None).cast(f.dataType) for f in READING.fields if f.name not in df.columns}
+    return df.withColumns(missing)
 
 
 def _read_back(spark, path, fmt, like):
@@ -63,6 +71,12 @@ def _read_back(spark, path, fmt, like):
     return spark.read.schema(like.schema).format(fmt).load(path)
 
 
+#: The columns that the report tables read; only these are kept while they run.
+_REPORTED = (
+    "timestamp", "city", *V.FEATURES, "weather_condition", "weather_description", "weather_severity",
+)
+
+
 def report_tables(df: DataFrame, conditions=None) -> dict[str, DataFrame]:
     """The tables of the daily report from enriched readings."""
     return {
@@ -83,8 +97,8 @@ def run_reports(
 
     The recent readings are enriched once and kept while the six small reports run.
     """
-    recent = _sound(read_recent_json(spark, source, days, now, schema, lines))
-    frame = enrich(recent, now=now).persist()
+    recent = _known_columns(_sound(read_recent_json(spark, source, days, now, schema, lines)))
+    frame = enrich(recent, now=now).select(*_REPORTED).persist()
     stamp = run_stamp(now)
     paths = {}
     try:

@@ -1,6 +1,6 @@
 """The shared folder that every executor can read and write."""
 
-import tempfile
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,22 +9,26 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """Folder named by ``spark.checkpoint.dir``, or the context's checkpoint folder.
 
-    Only a local session may go without either; a temporary folder is set there once.
+    Where neither is set, a folder of the warehouse becomes the context's checkpoint folder:
+    the warehouse is shared storage too, on one machine as on a cluster.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="skygauge-"))
+        context.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints")
     return context.getCheckpointDir().rstrip("/")
 
 
+def _scratch(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/skygauge/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing uses yet."""
-    return f"{shared_dir(spark)}/skygauge/{name}-{uuid.uuid4().hex}"
+    """A path in this application's part of the shared folder that nothing uses yet."""
+    _once(spark)
+    return f"{_scratch(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -36,3 +40,25 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder, on whatever storage it is; nothing happens if it is not there."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Delete what this application has put below ``new_path``; runs by itself at its end."""
+    remove(spark, _scratch(spark))
+
+
+_KNOWN: set[str] = set()
+
+
+def _once(spark: SparkSession) -> None:
+    context = spark.sparkContext
+    if context.applicationId not in _KNOWN:
+        _KNOWN.add(context.applicationId)
+        # after the context has stopped nothing can be reached, and a folder with a lifetime helps
+        atexit.register(lambda: context._jsc and not context._jsc.sc().isStopped() and remove_scratch(spark))

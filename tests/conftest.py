@@ -1,6 +1,6 @@
 import pytest
 
-from tests.session import local_session
+from catalog.session import local_session
 
 
 @pytest.fixture(scope="session")
