@@ -131,14 +131,14 @@ _LONG_Z = f"""WITH {READINGS}, {ZSCORES}
 
 @register("zscore_scores", _LONG_Z)
 def zscore_scores(spark, sf_dir):
-    out = A.zscore_long(readings(spark, sf_dir))
+    out = A.zscore_long(readings(spark, sf_dir), hot_keys=False)
     return rounded(out.select("event_id", "city", "source", "feature", "z"), "z")
 
 
 @register("zscore_scores_split", _LONG_Z)
 def zscore_scores_split(spark, sf_dir):
-    """The form for hot keys: every key is cut into pieces."""
-    out = A.zscore_long(readings(spark, sf_dir), max_group_rows=0, piece_rows=4000)
+    """The default, for keys of any size: work is cut into pieces, here small ones."""
+    out = A.zscore_long(readings(spark, sf_dir), piece_rows=4000)
     return rounded(out.select("event_id", "city", "source", "feature", "z"), "z")
 
 

@@ -4,10 +4,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from skygauge import fixed_values as V
 from skygauge.functions.scalars import iso_utc
-from skygauge.operators.ordered import largest_group, trailing_moments, trailing_moments_split
+from skygauge.operators.ordered import trailing_moments, trailing_moments_split
 
-# A key that fits one task comfortably; larger ones are cut into pieces.
-MAX_GROUP_ROWS = 2_000_000
+# Rows of one task where keys are cut into pieces.
 PIECE_ROWS = 500_000
 
 
@@ -24,15 +23,14 @@ def zscore_expr(x: Column, n: Column, mean: Column, m2: Column, min_samples: int
 def zscore_long(
     df: DataFrame, id_col: str = "event_id", order=("event_ts", "event_id"),
     features=V.FEATURES, key=("city", "source"), window: int = V.ZSCORE_WINDOW,
-    min_samples: int = V.ZSCORE_MIN_SAMPLES, max_group_rows: int | None = MAX_GROUP_ROWS,
-    piece_rows: int = PIECE_ROWS,
+    min_samples: int = V.ZSCORE_MIN_SAMPLES, hot_keys: bool = True, piece_rows: int = PIECE_ROWS,
 ) -> DataFrame:
     """(id, key..., feature, x, z): z against the last ``window`` earlier values.
 
-    Long form, because a NULL does not enter its feature's window. The shuffle is on
-    key and feature; if the biggest such group exceeds ``max_group_rows`` (one count
-    over the key columns tells), the work is cut into pieces of ``piece_rows`` instead.
-    ``max_group_rows=None`` leaves the count out. ``order`` must be unique per key.
+    Long form, because a NULL does not enter its feature's window. Work is cut into pieces of
+    ``piece_rows`` after a range-partitioned sort, so a key may hold most of the rows.
+    ``hot_keys=False`` is for keys that are known to fit one task each: one shuffle on key and
+    feature, the same scores. ``order`` must be unique per key.
     """
     keys, order = [*key, "feature"], list(order)
     carried = [id_col, *[o for o in order if o != id_col]]
@@ -41,8 +39,7 @@ def zscore_long(
         *[F.col(f).cast("double").alias(f) for f in features],
     )
     long = values.unpivot([*carried, *key], list(features), "feature", "x").where("x IS NOT NULL")
-    split = max_group_rows is not None and largest_group(df, list(key)) > max_group_rows
-    if split:
+    if hot_keys:
         scored = trailing_moments_split(long, "x", keys, order, window, piece_rows)
     else:
         scored = trailing_moments(long, "x", keys, order, window)

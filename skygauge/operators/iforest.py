@@ -18,7 +18,6 @@ from skygauge.sources.shared import materialise
 METHOD = "isolation_forest"
 BROADCAST_BYTES = 64 * 1024 * 1024
 GROUP_ROWS = 1_000_000
-HOT_KEYS = 100_000
 _EULER = 0.5772156649015329
 _CELLS_AT_ONCE = 200_000
 
@@ -115,19 +114,28 @@ class Forest:
         return self.score(x) - self.offset
 
     def to_bytes(self) -> bytes:
+        """Real nodes only: which there are, their features, inner nodes' cuts, leaves' sizes."""
+        real = self.size > 0
+        inner = real & (self.feature >= 0)
         head = np.array([*self.feature.shape, self.samples], dtype="int64").tobytes()
-        tail = np.array([self.offset]).tobytes()
-        return head + self.feature.tobytes() + self.threshold.tobytes() + self.size.tobytes() + tail
+        return head + np.array([self.offset]).tobytes() + b"".join((
+            np.packbits(real).tobytes(), self.feature[real].tobytes(), self.threshold[inner].tobytes(),
+            self.size[real].astype("uint16").tobytes(),
+        ))
 
     @classmethod
     def from_bytes(cls, data: bytes) -> "Forest":
         trees, nodes, samples = (int(v) for v in np.frombuffer(data, "int64", 3))
-        cells, shape, at = trees * nodes, (trees, nodes), 24
-        parts = []
-        for dtype, width in (("int8", 1), ("float64", 8), ("int32", 4)):
-            parts.append(np.frombuffer(data, dtype, cells, at).reshape(shape))
-            at += cells * width
-        return cls(*parts, samples, float(np.frombuffer(data, "float64", 1, at)[0]))
+        cells, shape, at = trees * nodes, (trees, nodes), 32 + -(-trees * nodes // 8)
+        real = np.unpackbits(np.frombuffer(data, "uint8", at - 32, 32), count=cells).astype(bool).reshape(shape)
+        feature = np.full(shape, -1, "int8")
+        feature[real] = np.frombuffer(data, "int8", count := int(real.sum()), at)
+        at += count
+        threshold, inner = np.zeros(shape), feature >= 0
+        threshold[inner] = np.frombuffer(data, "float64", cuts := int(inner.sum()), at)
+        size = np.zeros(shape, "int32")
+        size[real] = np.frombuffer(data, "uint16", count, at + 8 * cuts)
+        return cls(feature, threshold, size, samples, float(np.frombuffer(data, "float64", 1, 24)[0]))
 
 
 def _vectors(df, id_col, order, features, key):
@@ -176,19 +184,18 @@ def iforest_score(
 ) -> DataFrame:
     """(id, score) of every complete vector after its key's training rows.
 
-    ``models`` must be materialised. Models up to ``broadcast_bytes`` in total travel to
-    the tasks and no row is shuffled. Beyond that, rows meet their model by key; keys
-    above ``group_rows`` are salted and their model copied to every salt.
+    Which vectors are due is decided by a join with the models' cuts, the same way for both
+    forms. ``models`` must be materialised. Models of up to ``broadcast_bytes`` in total travel
+    to the tasks and no vector is shuffled to them. Beyond that, vectors meet their model by key
+    in groups of about ``group_rows``: larger keys are salted and their model copied to every salt.
     """
     key, order, features = list(key), list(order), list(features)
     rows = _vectors(df, id_col, order, features, key)
-    id_type = dict(rows.dtypes)[id_col]
-    schema = f"{id_col} {id_type}, score double"
+    schema = f"{id_col} {rows.schema[id_col].dataType.simpleString()}, score double"
+    due = rows.join(models.select(*key, "cut"), key).where(F.struct(*order) > F.col("cut")).select(id_col, *key, *features)
     size = models.agg(F.sum(F.length("model") + 64)).first()[0] or 0
     if size <= broadcast_bytes:
-        cuts = models.select(*key, "cut")
-        due = rows.join(F.broadcast(cuts), key).where(F.struct(*order) > F.col("cut"))
-        table = {tuple(r[k] for k in key): bytes(r["model"]) for r in models.collect()}
+        table = {tuple(r[k] for k in key): bytes(r["model"]) for r in models.select(*key, "model").collect()}
         shared = df.sparkSession.sparkContext.broadcast(table)
 
         def score(batches):
@@ -201,32 +208,18 @@ def iforest_score(
                     out[at] = forests[k].decision(pdf[features].to_numpy("float64")[at])
                 yield pd.DataFrame({id_col: pdf[id_col], "score": out})
 
-        return due.select(id_col, *key, *features).mapInPandas(score, schema)
-
-    counts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    # At most HOT_KEYS keys can exceed this, so the list of hot keys is small.
-    limit = max(group_rows, -(-total // HOT_KEYS))
-    hot = counts.where(F.col("n") > limit).select(*key, F.ceil(F.col("n") / limit).alias("salts"))
-    salts = F.coalesce(F.col("salts"), F.lit(1))
-    salted = rows.join(F.broadcast(hot), key, "left").withColumn(
-        "salt", F.pmod(F.xxhash64(id_col), salts)
-    ).drop("salts")
-    copies = models.join(F.broadcast(hot), key, "left").withColumn(
-        "salt", F.explode(F.sequence(F.lit(0).cast("long"), salts.cast("long") - 1))
-    ).drop("salts")
-    copies = copies.select(*key, "salt", "model", *[F.col("cut")[o].alias(f"cut_{o}") for o in order])
+        return due.mapInPandas(score, schema)
+
+    counts = due.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    hot = counts.select(*key, F.ceil(F.col("n") / group_rows).alias("salts"))
+    salted = due.join(hot, key).withColumn("salt", F.pmod(F.xxhash64(id_col), "salts")).drop("salts")
+    copies = models.join(hot, key).withColumn(
+        "salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts").cast("long") - 1))
+    ).select(*key, "salt", "model")
 
     def score_group(pdf: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
         if not len(pdf) or not len(model):
             return pd.DataFrame({id_col: pdf[id_col][:0], "score": np.zeros(0)})
-        due = np.zeros(len(pdf), dtype=bool)
-        same = np.ones(len(pdf), dtype=bool)
-        for o in order:
-            cut = model[f"cut_{o}"].iloc[0]
-            due |= same & (pdf[o] > cut).to_numpy()
-            same &= (pdf[o] == cut).to_numpy()
-        pdf = pdf[due]
         forest = Forest.from_bytes(bytes(model["model"].iloc[0]))
         return pd.DataFrame({
             id_col: pdf[id_col], "score": forest.decision(pdf[features].to_numpy("float64")),

@@ -12,12 +12,6 @@ from skygauge.sources.shared import materialise
 _PARTITION_BITS = 33  # monotonically_increasing_id keeps the task's partition above these
 
 
-def largest_group(df: DataFrame, keys) -> int:
-    """Rows of the biggest group: a map-side combined count, one number to the driver."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return sizes.agg(F.max("n")).first()[0] or 0
-
-
 def with_position(df: DataFrame, order, name: str = "position") -> DataFrame:
     """Dense position (0, 1, 2, ...) of every row in the global order.
 
@@ -137,27 +131,26 @@ def top_rows(
     return limit(first, list(keys)).withColumnRenamed("_rank", "rank")
 
 
-def exact_quantiles(
-    df: DataFrame, columns, probabilities, max_distinct: int = 1_000_000,
-) -> DataFrame:
+def exact_quantiles(df: DataFrame, columns, probabilities, few_values: bool = False) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per (metric, probability).
 
-    Equal values collapse into counts first. Up to ``max_distinct`` values per metric
-    (counted, one number to the driver) an aggregate over the counts does the rest.
-    Beyond that nothing is gathered per metric: values are sorted across the cluster and
-    the two neighbours of each quantile are picked by their position.
+    Equal values collapse into counts first. Nothing is gathered per metric: values are sorted
+    across the cluster and the two neighbours of each quantile are picked by their position.
+    ``few_values`` is for metrics that are known to have few distinct values: one aggregate over
+    the counts does the rest, with the same result.
     """
     columns = list(columns)
     values = df.unpivot([], [F.col(c).cast("double").alias(c) for c in columns], "metric", "x")
     values = values.where(F.col("x").isNotNull() & ~F.isnan("x"))
     freq = values.groupBy("metric", "x").agg(F.count(F.lit(1)).alias("f"))
-    if largest_group(freq, ["metric"]) <= max_distinct:
+    if few_values:
         picked = freq.groupBy("metric").agg(
             F.percentile("x", list(probabilities), F.col("f")).alias("v")
         )
         at = F.array(*map(F.lit, probabilities))
         pairs = F.explode(F.arrays_zip(at.alias("probability"), F.col("v").alias("value")))
         return picked.select("metric", pairs.alias("p")).select("metric", "p.*")
+    freq = materialise(freq, "counted")
     placed = _with_running_count(freq)
     sizes = freq.groupBy("metric").agg(F.sum("f").alias("size"))
     wanted = sizes.select(
@@ -177,7 +170,7 @@ def exact_quantiles(
     )
     part = F.col("rank") - F.floor("rank")
     value = F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(
-        F.col("lo") + (F.col("hi") - F.col("lo")) * part
+        (F.ceil("rank") - F.col("rank")) * F.col("lo") + part * F.col("hi")
     )
     return picked.select("metric", "probability", value.alias("value"))
 

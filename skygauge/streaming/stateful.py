@@ -149,7 +149,7 @@ def zscore_stream(
 ) -> DataFrame:
     """The ``carry`` columns of every event with ``anomaly``, scored on arrival.
 
-    State per key: the last ``window`` values of each feature.
+    A key's micro-batches must come in order; within one, ``order`` sorts. State per key: the last ``window`` values of each feature.
     """
     carry, order, features = list(carry), list(order), list(features)
     rows, names = _keyed(stream, key, features)

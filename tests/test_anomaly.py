@@ -59,8 +59,8 @@ def same(a, b):
 
 
 @pytest.mark.parametrize("options", [
-    {}, {"max_group_rows": 0, "piece_rows": 250}, {"max_group_rows": 0, "piece_rows": 10_000},
-    {"window": 7, "min_samples": 3}, {"window": 7, "min_samples": 1, "max_group_rows": 0, "piece_rows": 1},
+    {"hot_keys": False}, {"piece_rows": 250}, {},
+    {"window": 7, "min_samples": 3, "hot_keys": False}, {"window": 7, "min_samples": 1, "piece_rows": 1},
 ])
 def test_zscore_matches_brute_force(spark, options):
     rows = series()
@@ -206,3 +206,25 @@ def test_iforest_fit_needs_enough_rows(spark):
     frame = spark.createDataFrame(iforest_rows(), SCHEMA)
     models = materialise(I.iforest_fit(frame, order=["event_id"], min_samples=400, trees=5), "m")
     assert [r.city for r in models.collect()] == ["Hot"]
+
+
+def test_both_forms_of_forest_scores_agree_to_the_bit(spark):
+    """Also where the order holds nulls, among them that of the last training row."""
+    rows = [(*r, None if i < 130 else float(i)) for i, r in enumerate(iforest_rows())]
+    frame = spark.createDataFrame(rows, SCHEMA + ", at double")
+    models = materialise(I.iforest_fit(frame, order=["at", "event_id"], min_samples=50, trees=20), "m")
+    forms = [
+        {r.event_id: r.score for r in I.iforest_score(frame, models, order=["at", "event_id"], **options).collect()}
+        for options in ({}, {"broadcast_bytes": 0, "group_rows": 40})
+    ]
+    assert forms[0] == forms[1] and len(forms[0]) > 700
+
+
+def test_both_forms_of_zscores_agree(spark):
+    frame = spark.createDataFrame(series(), SCHEMA)
+    forms = [
+        {(r.event_id, r.feature): r.z for r in A.zscore_long(frame, order=["event_id"], window=240, **options).collect()}
+        for options in ({"hot_keys": False}, {"piece_rows": 480})
+    ]
+    assert forms[0].keys() == forms[1].keys()
+    assert all(same(z, forms[1][k]) for k, z in forms[0].items())

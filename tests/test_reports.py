@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from skygauge.operators.ordered import exact_quantiles
 from skygauge.operators import filters as FL, metrics as M, reports as R, views as VW
 from skygauge.operators.enrich import enrich, with_severity
 from skygauge.operators.ordered import exact_quantiles
@@ -165,7 +166,6 @@ def test_metrics_summary(spark):
     metrics = M.stream_metrics(M.with_latency(frame), 25)
     data = metrics.toPandas()
     exact, rough = M.metrics_summary(metrics).first(), M.metrics_summary(metrics, approximate=True).first()
-    assert M.metrics_summary(metrics, max_windows=0).first() == exact
     assert (exact.events, exact.windows, rough.events) == (400, 16, 400)
     assert exact.median_latency_ms == pytest.approx(data.avg_latency_ms.quantile(0.5))
     assert exact.p95_throughput_mps == pytest.approx(data.throughput_mps.quantile(0.95))
@@ -187,3 +187,34 @@ def test_zone_volume(spark, tmp_path):
     spark.range(100).repartition(3).write.parquet(str(tmp_path / "z"))
     volume = M.zone_volume(spark.read.parquet(str(tmp_path / "z"))).first()
     assert volume.records == 100 and volume.bytes > 0
+
+
+def test_both_forms_of_quantiles_agree_to_the_bit(spark):
+    rows = [(i, ((i * 7919) % 997) / 7.0, None if i % 5 else float(i)) for i in range(1000)]
+    frame = spark.createDataFrame(rows, "i long, a double, b double")
+    at = [0.0, 0.05, 0.25, 1 / 3, 0.5, 0.95, 1.0]
+    forms = [
+        sorted(tuple(r) for r in exact_quantiles(frame, ["a", "b"], at, few_values=few).select("metric", "probability", "value").collect())
+        for few in (True, False)
+    ]
+    assert forms[0] == forms[1] and len(forms[0]) == 14
+
+
+def test_windows_go_on_across_cuts(spark):
+    """Any cut of the same messages gives the same closed windows; the open ones make up the rest."""
+    rows, frame = messages(spark, 330, 3)
+    timed = M.with_latency(frame)
+    whole = {(r.kafka_partition, r.kafka_offset): r for r in M.stream_metrics(timed, 25).collect()}
+    for cuts in ([40], [1, 2, 26, 27, 100], [25, 50, 75]):
+        got, state, open_ = [], None, []
+        for low, high in zip([0, *cuts], [*cuts, 10**6]):
+            new = M.message_windows(timed.where(f"offset >= {low} and offset < {high}"), 25)
+            closed, still, carried = M.live_windows(new, state, 25)
+            got += closed.collect()
+            open_, state = still.collect(), spark.createDataFrame(carried.collect(), carried.schema)
+        assert len({(r.kafka_partition, r.kafka_offset) for r in got + open_}) == len(got + open_) == len(whole)
+        for r in got + open_:
+            want = whole[r.kafka_partition, r.kafka_offset]
+            assert r.window_messages == want.window_messages and r.ts_utc == want.ts_utc
+            assert r.avg_latency_ms == pytest.approx(want.avg_latency_ms)
+            assert r.window_seconds == pytest.approx(want.window_seconds)

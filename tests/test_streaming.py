@@ -1,6 +1,7 @@
 """Streams must give what the batch forms give, however the input is cut."""
 
 import json
+import os
 
 import numpy as np
 import pytest
@@ -40,6 +41,8 @@ def land(folder, rows, parts):
     for p, chunk in enumerate(np.array_split(np.arange(len(rows)), parts)):
         name = folder / f"{already + p:04d}.json"
         name.write_text("\n".join(json.dumps(rows[i]) for i in chunk))
+        # files are read in the order of their times, which must not be equal
+        os.utime(name, (1_700_000_000 + already + p,) * 2)
 
 
 def stream(spark, folder):
@@ -107,7 +110,7 @@ def test_iforest_stream_equals_batch(spark, tmp_path, rocksdb):
     assert want[401][0] and sum(v[1] is not None for v in want.values()) > 150
 
 
-@pytest.mark.parametrize("options", [{}, {"max_group_rows": 0, "piece_rows": 240}])
+@pytest.mark.parametrize("options", [{"hot_keys": False}, {"piece_rows": 240}])
 def test_monitor_stream(spark, tmp_path, options):
     rows = events()
     del rows[5]["timestamp"], rows[6]["source"]
@@ -136,8 +139,10 @@ def test_monitor_stream(spark, tmp_path, options):
     assert quality == sum(not r["data_quality"]["passed"] for r in want.values())
     anomalies = spark.read.json(str(tmp_path / "out" / "anomalies")).count()
     assert anomalies == sum(r["anomaly"]["is_anomaly"] for r in want.values()) > 0
-    metrics = spark.read.json(str(tmp_path / "out" / "metrics"))
-    assert metrics.agg(F.sum("window_messages")).first()[0] == len(rows)
+    metrics = spark.read.json(str(tmp_path / "out" / "metrics")).drop("batch").unionByName(
+        spark.read.json(str(tmp_path / "out" / "open_metrics"))).collect()
+    assert sorted(r.window_messages for r in metrics) == [20] + [25] * 16
+    assert all(r.window_seconds > 1e-6 for r in metrics)
 
 
 SCHEMA_FIELDS = ["timestamp", "city", "source", *V.FEATURES]
@@ -163,3 +168,37 @@ def test_parquet_stream_equals_batch(spark, tmp_path):
     finish(start_parquet_sink(out, str(tmp_path / "out"), str(tmp_path / "cp"), "available_now", ["event_date"]))
     got = spark.read.parquet(str(tmp_path / "out"))
     assert got.groupBy("weather_severity").count().collect().__len__() == 2 and got.count() == 50
+
+
+def test_monitor_with_isolation_forest(spark, tmp_path):
+    rows = events()
+    options = {"min_samples": 90, "trees": 30}
+    with_text = batch(spark, rows).withColumn("value", F.to_json(F.struct(*SCHEMA_FIELDS)))
+    want = scores([r.asDict(True) for r in MO.monitor(
+        with_text, "offset", ["offset"], method="isolation_forest", enabled=True, iforest_options=options).collect()])
+    for at, (low, high) in enumerate([(0, 60), (60, 300), (300, 420)]):
+        land(tmp_path / "in", rows[low:high], 1)
+        source = stream(spark, tmp_path / "in").withColumn("value", F.to_json(F.struct(*SCHEMA_FIELDS)))
+        finish(MO.start_monitor(
+            source, str(tmp_path / "out"), str(tmp_path / "cp"), "available_now", tasks=2 + at,
+            method="isolation_forest", enabled=True, **options))
+    got = scores([r.asDict(True) for r in spark.read.json(str(tmp_path / "out" / "events")).collect()])
+    close(got, want)
+    assert want[401][0] and sum(v[1] is not None for v in want.values()) > 150
+
+
+def test_keyed_state_keeps_the_newest_rows_of_every_key(spark, tmp_path):
+    state = MO.KeyedState(spark, str(tmp_path / "state"), "city string, source string, x long", fold=3, buckets=4)
+    rnd, held = np.random.default_rng(2), {}
+    for b in range(9):
+        touched = {f"c{k}": [int(v) for v in rnd.integers(0, 100, rnd.integers(0, 4))] for k in rnd.choice(12, 4, replace=False)}
+        keys = spark.createDataFrame([(c, "s") for c in touched], "city string, source string")
+        for _ in (1, 2):  # a batch that runs again reads the same and overwrites its own
+            past = state.read(b, keys)
+            seen = {} if past is None else {c: sorted(r.x for r in past.collect() if r.city == c) for c in touched}
+            assert all(seen.get(c, []) == sorted(held.get(c, [])) for c in touched)
+            rows = spark.createDataFrame([(c, "s", v) for c, vs in touched.items() for v in vs], "city string, source string, x long")
+            state.write(b, rows, keys)
+        held |= touched
+    everything = state.read(9).collect()
+    assert sorted((r.city, r.x) for r in everything) == sorted((c, v) for c, vs in held.items() for v in vs)
