@@ -1,6 +1,7 @@
 """Sources, sinks, payload normalisation and whole jobs."""
 
-from datetime import datetime, timezone
+import time
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import functions as F, types as T
 
@@ -165,16 +166,33 @@ def kafka_records(spark, sf_dir):
     return records.select("key", fields.alias("r")).select("r.event_id", "key", "r.ingest_ts_unix_ms", "r.temperature")
 
 
-@register("kafka_value", f"WITH {READINGS}, {ENRICHED} SELECT event_id, weather_severity FROM enriched")
+_WIDE = f"""WITH {READINGS}, {ENRICHED} SELECT event_id, timestamp, source, city, lat, temperature, humidity, weather_condition,
+  round(t, 6) AS temperature_fahrenheit, weather_severity FROM enriched"""
+
+
+def _wide(df):
+    return flat(df, "event_id", F.round("temperature_fahrenheit", 6).alias("temperature_fahrenheit"), "weather_severity")
+
+
+@register("kafka_value", _WIDE)
 def kafka_value(spark, sf_dir):
-    value = K.to_kafka_value(enriched(spark, sf_dir).drop("event_ts"))
-    return value.select(F.from_json("value", "event_id long, weather_severity string").alias("r")).select("r.*")
+    rows = enriched(spark, sf_dir).drop("event_ts")
+    return _wide(K.to_kafka_value(rows).select(F.from_json("value", rows.schema).alias("r")).select("r.*"))
 
 
-@register("peek_topic", sql("""SELECT partition, "offset", coalesce(city, 'unknown') AS key FROM readings
-  ORDER BY event_ts DESC LIMIT 20"""))
+@register("peek_topic", sql("""SELECT partition, "offset", coalesce(city, 'unknown') AS key, event_id, pressure, false AS has_raw
+  FROM readings ORDER BY event_ts DESC LIMIT 20"""))
 def peek_topic(spark, sf_dir):
-    return K.peek_topic(json_events(readings(spark, sf_dir)), 20).select("partition", "offset", "key")
+    """The newest messages; their values lose the bulky field and keep the others."""
+    bulky = F.to_json(F.struct("event_id", "pressure", F.lit("x" * 50).alias("raw_data")))
+    rows = json_events(readings(spark, sf_dir)).drop("value").join(
+        readings(spark, sf_dir).select("event_id", bulky.alias("value")), "event_id"
+    )
+    seen = K.peek_topic(rows, 20)
+    fields = F.from_json("value", "event_id long, pressure double, raw_data string").alias("r")
+    return seen.select("partition", "offset", "key", fields).select(
+        "partition", "offset", "key", "r.event_id", "r.pressure", F.col("r.raw_data").isNotNull().alias("has_raw")
+    )
 
 
 # --- files
@@ -204,23 +222,31 @@ def csv_files(spark, sf_dir):
     return back.select("event_id", "city", "temperature", lat.alias("lat"))
 
 
+def _write_arrays(rows, path):
+    """Raw zone files that hold an array of 500 objects each."""
+    chunk = rows.select(F.expr("event_id div 500").alias("chunk"), F.struct(*_STORED).alias("r"))
+    arrays = chunk.groupBy("chunk").agg(F.to_json(F.collect_list("r")).alias("value"))
+    arrays.select("value").write.mode("append").option("maxRecordsPerFile", 1).text(path)
+
+
 @register("raw_json_arrays", sql(f"SELECT {_READING} FROM readings"))
 def raw_json_arrays(spark, sf_dir):
-    """Raw zone files that hold arrays of 500 objects, flattened to rows."""
+    """Arrays of objects, flattened to rows."""
     path = new_path(spark, "arrays")
-    chunk = readings(spark, sf_dir).select(F.expr("event_id div 500").alias("chunk"), F.struct(*_STORED).alias("r"))
-    arrays = chunk.groupBy("chunk").agg(F.to_json(F.collect_list("r")).alias("value"))
-    arrays.write.partitionBy("chunk").text(path)
+    _write_arrays(readings(spark, sf_dir), path)
     return flat(S.read_raw_json(spark, path, _SCHEMA), "event_id")
 
 
-@register("recent_files", sql(f"SELECT {_READING} FROM readings"))
+@register("recent_files", sql(f"SELECT {_READING} FROM readings WHERE (event_id // 500) % 2 = 1"))
 def recent_files(spark, sf_dir):
-    path = new_path(spark, "recent")
-    chunk = readings(spark, sf_dir).select(F.expr("event_id div 500").alias("chunk"), F.struct(*_STORED).alias("r"))
-    arrays = chunk.groupBy("chunk").agg(F.to_json(F.collect_list("r")).alias("value"))
-    arrays.write.partitionBy("chunk").text(path)
-    return flat(S.read_recent_json(spark, path, days=1, schema=_SCHEMA), "event_id")
+    """Every second array is in a file that is just too old."""
+    path, rows = new_path(spark, "recent"), readings(spark, sf_dir)
+    _write_arrays(rows.where("event_id div 500 % 2 = 0"), path)
+    time.sleep(1.1)
+    between = datetime.now(timezone.utc)
+    time.sleep(0.1)
+    _write_arrays(rows.where("event_id div 500 % 2 = 1"), path)
+    return flat(S.read_recent_json(spark, path, days=1, now=between + timedelta(days=1), schema=_SCHEMA), "event_id")
 
 
 @register("events_sink", sql("""SELECT replace(lower(coalesce(city, 'unknown')), ' ', '_') AS city_slug,
@@ -250,14 +276,14 @@ def retain_recent(spark, sf_dir):
 # --- streaming sinks and whole jobs
 
 
-@register("parquet_stream", f"WITH {READINGS}, {ENRICHED} SELECT event_id, weather_severity FROM enriched")
+@register("parquet_stream", _WIDE)
 def parquet_stream(spark, sf_dir):
     path = new_path(spark, "stream")
     query = start_parquet_sink(
         E.enrich(reading_stream(spark, sf_dir)), path, new_path(spark, "stream-checkpoint"), "available_now"
     )
     query.awaitTermination()
-    return spark.read.parquet(path).select("event_id", "weather_severity")
+    return _wide(spark.read.parquet(path))
 
 
 @register("event_stream", sql("""SELECT replace(lower(coalesce(city, 'unknown')), ' ', '_') AS city_slug,

@@ -1,5 +1,7 @@
 """Quality, anomalies and stream metrics, in batch and streaming."""
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from catalog.readings import (
@@ -10,7 +12,7 @@ from skygauge import fixed_values as V
 from skygauge.operators import anomaly as A, filters as FL, iforest as I, metrics as M, quality as Q
 from skygauge.schemas import ANOMALY_EVENT, QUALITY_EVENT, STREAM_METRIC
 from skygauge.sources import sinks as W
-from skygauge.sources.shared import new_path
+from skygauge.sources.shared import materialise, new_path
 from skygauge.streaming import monitor as MO, stateful as ST
 from skygauge.streaming.sinks import start_log_sink
 
@@ -144,15 +146,23 @@ def zscore_scores_split(spark, sf_dir):
 
 _FLAGS = f"""WITH {READINGS}, {ZSCORES}
   SELECT event_id, is_anomaly, 'zscore' AS method, round(score, 6) AS score FROM scores"""
+_EACH = ", ".join(f"round(max(z) FILTER (feature = '{f}'), 6) AS z_{f}" for f in V.FEATURES)
+_FLAGS_EACH = f"""WITH {READINGS}, {ZSCORES}, each AS (SELECT event_id, {_EACH} FROM zscores GROUP BY event_id)
+  SELECT s.event_id, is_anomaly, 'zscore' AS method, round(score, 6) AS score, {', '.join(f'z_{f}' for f in V.FEATURES)}
+  FROM scores s LEFT JOIN each USING (event_id)"""
 
 
 def flags(df):
     return rounded(df.select("event_id", "anomaly.is_anomaly", "anomaly.method", "anomaly.score"), "score")
 
 
-@register("anomaly_flags", _FLAGS)
+@register("anomaly_flags", _FLAGS_EACH)
 def anomaly_flags(spark, sf_dir):
-    return flags(A.detect(readings(spark, sf_dir)))
+    out = A.detect(readings(spark, sf_dir))
+    each = {f"z_{f}": F.col("anomaly.feature_scores")[f] for f in V.FEATURES}
+    return rounded(out.select(
+        "event_id", "anomaly.is_anomaly", "anomaly.method", "anomaly.score", *[c.alias(n) for n, c in each.items()]
+    ), "score", *each)
 
 
 @register("anomaly_events", f"""WITH {READINGS}, {ZSCORES}
@@ -163,15 +173,100 @@ def anomaly_events(spark, sf_dir):
     return rounded(out.select("ts_utc", "city", "source", "event_timestamp", "anomaly.score"), "score")
 
 
-@register("iforest_scores")
+_FOREST_VECTORS = """vectors AS (SELECT event_id, row_number() OVER (
+    PARTITION BY coalesce(city, 'unknown'), source ORDER BY {order}) AS r FROM readings
+    WHERE temperature IS NOT NULL AND humidity IS NOT NULL AND pressure IS NOT NULL AND wind_speed IS NOT NULL)"""
+
+
+def forest_sql(order):
+    """What is known of scores without the trees: which rows have one, and that the flag follows it."""
+    return f"""WITH {READINGS}, {_FOREST_VECTORS.format(order=order)}
+  SELECT event_id, 'isolation_forest' AS method, coalesce(r > 200, false) AS scored, true AS flag_follows
+  FROM readings LEFT JOIN vectors USING (event_id)"""
+
+
+def forest_checks(df):
+    anomaly = F.col("anomaly")
+    follows = anomaly["is_anomaly"].eqNullSafe(F.coalesce(anomaly["score"] < 0, F.lit(False)))
+    return df.select("event_id", anomaly["method"].alias("method"), anomaly["score"].isNotNull().alias("scored"),
+                     follows.alias("flag_follows"))
+
+
+@register("iforest_scores", forest_sql("event_ts, event_id"))
 def iforest_scores(spark, sf_dir):
-    out = A.detect(readings(spark, sf_dir, spread=True), method="isolation_forest", enabled=True)
-    return flags(out)
+    return forest_checks(A.detect(readings(spark, sf_dir, spread=True), method="isolation_forest", enabled=True))
+
+
+#: A forest made by hand: two trees of depth two over eight samples. Nodes in level order.
+_FIXED = I.Forest(
+    np.array([[0, 1, -1, -1, -1, -1, -1], [3, -1, 2, -1, -1, -1, -1]], "int8"),
+    np.array([[10.0, 50.0, 0, 0, 0, 0, 0], [20.0, 0, 1000.0, 0, 0, 0, 0]]),
+    np.array([[8, 5, 3, 2, 3, 0, 0], [8, 6, 2, 0, 0, 1, 1]], "int32"), 8, -0.5,
+)
 
 
-@register("iforest_scored_events", f"""WITH {READINGS}, vectors AS (SELECT event_id, row_number() OVER (
-    PARTITION BY coalesce(city, 'unknown'), source ORDER BY event_ts, event_id) AS r FROM readings
+def _c(n):
+    """Mean path in a tree of n points, in SQL."""
+    return {1: "0.0e0", 2: "1.0e0"}.get(n, f"(2.0e0 * (ln({n - 1}) + 0.5772156649015329e0) - 2.0e0 * {n - 1} / {n})")
+
+
+_FIXED_SQL = f"""WITH {READINGS}, paths AS (SELECT event_id, event_ts, city,
+    CASE WHEN temperature > 10 THEN 1 + {_c(3)} WHEN humidity > 50 THEN 2 + {_c(3)} ELSE 2 + {_c(2)} END AS one,
+    CASE WHEN wind_speed > 20 THEN 2 + {_c(1)} ELSE 1 + {_c(6)} END AS two FROM readings
     WHERE temperature IS NOT NULL AND humidity IS NOT NULL AND pressure IS NOT NULL AND wind_speed IS NOT NULL)
+  SELECT event_id, round(-power(2.0e0, -((one + two) / 2) / {_c(8)}) + 0.5e0, 9) AS score FROM paths
+  WHERE event_ts > TIMESTAMP '2024-01-10' OR city = 'City 1'"""
+
+
+@register("iforest_fixed", _FIXED_SQL)
+def iforest_fixed(spark, sf_dir):
+    """Scores of a forest whose paths SQL can follow; keys differ in where their training ended."""
+    rows = readings(spark, sf_dir)
+    start = F.when(F.col("city") == "City 1", F.timestamp_seconds(F.lit(0))).otherwise(
+        F.timestamp_micros(F.lit(1704844800000000)))
+    last = F.when(F.col("city") == "City 1", F.lit(-1)).otherwise(F.lit(2**62)).cast("long")
+    keys = rows.select(A.key_text(F.col("city")).alias("city"), A.key_text(F.col("source")).alias("source")).distinct()
+    models = materialise(keys.select(
+        "city", "source", F.struct(start.alias("event_ts"), last.alias("event_id")).alias("cut"),
+        F.lit(bytearray(_FIXED.to_bytes())).alias("model"),
+    ), "fixed")
+    return rounded(I.iforest_score(rows, models), "score", places=9)
+
+
+@register("iforest_training", f"""WITH {READINGS}, {_FOREST_VECTORS.format(order="event_ts, event_id")},
+  keyed AS (SELECT coalesce(city, 'unknown') AS city, source, count(*) AS n FROM readings JOIN vectors USING (event_id) GROUP BY ALL)
+  SELECT city, source, {V.IFOREST_TREES}::BIGINT AS trees, {V.IFOREST_MIN_SAMPLES}::BIGINT AS samples, true AS sizes_add_up,
+  true AS cuts_within, true AS few_flagged FROM keyed WHERE n >= {V.IFOREST_MIN_SAMPLES}""")
+def iforest_training(spark, sf_dir):
+    """Every key's fitted forest: its trees hold all samples, children add up to their node, cuts lie
+    within the training values, and as many training rows are flagged as the contamination says."""
+    rows = readings(spark, sf_dir)
+    order, key = ["event_ts", "event_id"], ["city", "source"]
+    models = materialise(I.iforest_fit(rows), "training")
+    vectors = I._vectors(rows, "event_id", order, list(V.FEATURES), key)
+    first = vectors.join(models.select(*key, "cut"), key).where(F.struct(*order) <= F.col("cut")).drop("cut")
+
+    def look(pdf, model):
+        if not len(model):
+            return pd.DataFrame(columns=["city", "source", "trees", "samples", "sizes_add_up", "cuts_within", "few_flagged"])
+        forest, x = I.Forest.from_bytes(bytes(model["model"].iloc[0])), pdf[list(V.FEATURES)].to_numpy("float64")
+        inner = np.argwhere(forest.feature >= 0)
+        t, n = inner[:, 0], inner[:, 1]
+        f, cut = forest.feature[t, n], forest.threshold[t, n]
+        below = forest.decision(x) < 0
+        return pd.DataFrame([{
+            "city": model["city"].iloc[0], "source": model["source"].iloc[0], "trees": len(forest.feature), "samples": len(x),
+            "sizes_add_up": bool((forest.size[:, 0] == min(len(x), V.IFOREST_MAX_SAMPLES)).all()
+                                 and (forest.size[t, n] == forest.size[t, 2 * n + 1] + forest.size[t, 2 * n + 2]).all()),
+            "cuts_within": bool(((cut >= x.min(axis=0)[f]) & (cut < x.max(axis=0)[f])).all()),
+            "few_flagged": bool(abs(below.mean() - V.IFOREST_CONTAMINATION) <= 1.5 / len(x)),
+        }])
+
+    schema = "city string, source string, trees long, samples long, sizes_add_up boolean, cuts_within boolean, few_flagged boolean"
+    return first.groupBy(*key).cogroup(models.select(*key, "model").groupBy(*key)).applyInPandas(look, schema)
+
+
+@register("iforest_scored_events", f"""WITH {READINGS}, {_FOREST_VECTORS.format(order="event_ts, event_id")}
   SELECT event_id, coalesce(r > 200, false) AS scored FROM readings LEFT JOIN vectors USING (event_id)""")
 def iforest_scored_events(spark, sf_dir):
     out = A.detect(readings(spark, sf_dir, spread=True), method="isolation_forest", enabled=True)
@@ -287,9 +382,10 @@ def zscore_stream(spark, sf_dir):
     return rounded(_stateful(spark, sf_dir, ST.zscore_stream, "zscore"), "score")
 
 
-@register("iforest_stream")
+@register("iforest_stream", forest_sql("event_id"))
 def iforest_stream(spark, sf_dir):
-    return rounded(_stateful(spark, sf_dir, ST.iforest_stream, "iforest"), "score")
+    out = _stateful(spark, sf_dir, ST.iforest_stream, "iforest")
+    return forest_checks(out.select("event_id", F.struct("is_anomaly", "method", "score").alias("anomaly")))
 
 
 @register("monitor_stream", f"""WITH {READINGS}, {ISSUES}, {ZSCORES}
@@ -319,3 +415,60 @@ def monitor_batch(spark, sf_dir):
         "event_id", "data_quality.passed", F.col("data_quality.issue_count").cast("long").alias("issue_count"),
         "anomaly.is_anomaly", "anomaly.score",
     ), "score")
+
+
+def _in_parts(spark, rows, name, parts=3):
+    """The rows as a stream that arrives in parts, by event id: yields after landing each part."""
+    path = new_path(spark, name)
+    last = rows.agg(F.max("event_id")).first()[0] or 0
+    for part in range(parts):
+        low, high = (last + 1) * part // parts, (last + 1) * (part + 1) // parts
+        rows.where(f"event_id >= {low} AND event_id < {high}").write.mode("append").parquet(path)
+        yield spark.readStream.schema(rows.schema).parquet(path)
+
+
+@register("monitor_metrics", f"""WITH {READINGS}, {MESSAGES}
+  SELECT kafka_partition, kafka_offset, window_messages, round(window_seconds, 4) AS window_seconds,
+  round(window_messages / window_seconds, 4) AS throughput_mps, round(avg_latency_ms, 4) AS avg_latency_ms
+  FROM metrics""")
+def monitor_metrics(spark, sf_dir):
+    """The metric log of a run in several micro-batches; windows go on from one to the next."""
+    rows = messages(spark, sf_dir).drop("latency_ms").withColumnRenamed("processed_at", "stamp")
+    rows = rows.withColumn("value", F.expr(JSON_VALUE))
+    out, checkpoint = new_path(spark, "monitored"), new_path(spark, "monitored-checkpoint")
+    for stream in _in_parts(spark, rows, "messages"):
+        _run_to_end(MO.start_monitor(
+            stream, out, checkpoint, trigger="available_now", tasks=spark.sparkContext.defaultParallelism,
+            processed_at=F.col("stamp"),
+        ))
+    log = spark.read.schema(STREAM_METRIC).json(f"{out}/metrics").drop("batch").unionByName(
+        spark.read.schema(STREAM_METRIC).json(f"{out}/open_metrics"))
+    log = log.drop("ts_utc").withColumn("kafka_partition", F.col("kafka_partition").cast("long"))
+    return rounded(log, "window_seconds", "throughput_mps", "avg_latency_ms", places=4)
+
+
+@register("monitor_stream_iforest", forest_sql("event_id"))
+def monitor_stream_iforest(spark, sf_dir):
+    """The monitored stream with Isolation Forests, in several micro-batches."""
+    rows = readings(spark, sf_dir).withColumn("value", F.expr(JSON_VALUE))
+    out, checkpoint = new_path(spark, "forest"), new_path(spark, "forest-checkpoint")
+    for stream in _in_parts(spark, rows, "forest-events"):
+        _run_to_end(MO.start_monitor(
+            stream, out, checkpoint, trigger="available_now", tasks=spark.sparkContext.defaultParallelism,
+            method="isolation_forest", enabled=True,
+        ))
+    schema = "event_id long, anomaly struct<is_anomaly boolean, method string, score double>"
+    return forest_checks(spark.read.schema(schema).json(f"{out}/events"))
+
+
+@register("stream_progress", f"WITH {READINGS} SELECT sum(1)::BIGINT AS input_rows, true AS rates_known FROM readings")
+def stream_progress(spark, sf_dir):
+    """Rows and rates of a running query, as it reports them."""
+    query = start_log_sink(
+        reading_stream(spark, sf_dir).select("event_id"), new_path(spark, "progress"), new_path(spark, "progress-checkpoint"),
+        "available_now",
+    )
+    _run_to_end(query)
+    seen = [p for p in M.progress_metrics(query) if p["input_rows"]]
+    rows = [(sum(p["input_rows"] for p in seen), all(p["throughput_mps"] > 0 for p in seen))]
+    return spark.createDataFrame(rows, "input_rows long, rates_known boolean")

@@ -55,14 +55,11 @@ def project(events: DataFrame) -> DataFrame:
 def readings(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
     """Readings of the whole table.
 
-    ``spread`` is for work that is heavy per row: a table that comes in fewer splits than
-    there are cores is dealt out evenly. A large table has the splits and is not shuffled.
+    ``spread`` is for work that is heavy per row: the rows are dealt out evenly, whatever the
+    splits of the file, one part per core.
     """
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if spread and events.rdd.getNumPartitions() < cores:
-        events = events.repartition(cores)
-    return project(events)
+    return project(events.repartition(spark.sparkContext.defaultParallelism) if spread else events)
 
 
 def reading_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,4 +27,4 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 def load() -> None:
     """Import the modules that register queries; their Python parts travel with the tasks."""
     ship()
-    from catalog import core_queries, feed_queries, monitoring_queries  # noqa: F401
+    from catalog import core_queries, feed_queries, job_queries, monitoring_queries  # noqa: F401

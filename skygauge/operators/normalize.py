@@ -2,13 +2,14 @@
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from skygauge import fixed_values as V
-from skygauge.functions.scalars import iso_utc
+from skygauge.functions.scalars import iso_utc, safe_double
 from skygauge.functions.units import kelvin_to_c, kph_to_mps
 from skygauge.schemas import OPENWEATHER_PAYLOAD, WEATHERAPI_PAYLOAD
 
+CORRUPT = "_corrupt"
 _TEXTS = ("city", "country", "weather_condition", "weather_description")
 _ORDER = (
     "temperature", "humidity", "pressure", "wind_speed", "wind_direction", "clouds",
@@ -16,33 +17,48 @@ _ORDER = (
 )
 
 
-def _openweather_fields(p: Column, temp_unit: str) -> dict[str, Column]:
-    if temp_unit not in ("metric", "kelvin"):
-        raise ValueError(f"unknown temperature unit: {temp_unit}")
-    main, sky = p["main"], F.get(p["weather"], F.lit(0))
-    return {
-        "city": p["name"], "country": p["sys"]["country"],
-        "lat": p["coord"]["lat"], "lon": p["coord"]["lon"],
-        "temperature": kelvin_to_c(main["temp"]) if temp_unit == "kelvin" else main["temp"],
-        "humidity": main["humidity"], "pressure": main["pressure"],
-        "wind_speed": p["wind"]["speed"], "wind_direction": p["wind"]["deg"],
-        "clouds": p["clouds"]["all"],
-        "weather_condition": sky["main"], "weather_description": sky["description"],
-    }
-
-
-def _weatherapi_fields(p: Column, wind_to_mps: bool) -> dict[str, Column]:
-    now, place = p["current"], p["location"]
-    return {
-        "city": place["name"], "country": place["country"],
-        "lat": place["lat"], "lon": place["lon"],
-        "temperature": now["temp_c"],
-        "humidity": now["humidity"], "pressure": now["pressure_mb"],
-        "wind_speed": kph_to_mps(now["wind_kph"]) if wind_to_mps else now["wind_kph"],
-        "wind_direction": now["wind_degree"], "clouds": now["cloud"],
-        "weather_condition": now["condition"]["text"],
-        "weather_description": now["condition"]["text"],
-    }
+#: Where a field lies in a payload: the object that holds it and its key there.
+_OPENWEATHER = {
+    "city": ("$", "name"), "country": ("$.sys", "country"), "lat": ("$.coord", "lat"), "lon": ("$.coord", "lon"),
+    "temperature": ("$.main", "temp"), "humidity": ("$.main", "humidity"), "pressure": ("$.main", "pressure"),
+    "wind_speed": ("$.wind", "speed"), "wind_direction": ("$.wind", "deg"), "clouds": ("$.clouds", "all"),
+    "weather_condition": ("$.weather[0]", "main"), "weather_description": ("$.weather[0]", "description"),
+}
+_WEATHERAPI = {
+    "city": ("$.location", "name"), "country": ("$.location", "country"), "lat": ("$.location", "lat"),
+    "lon": ("$.location", "lon"), "temperature": ("$.current", "temp_c"), "humidity": ("$.current", "humidity"),
+    "pressure": ("$.current", "pressure_mb"), "wind_speed": ("$.current", "wind_kph"),
+    "wind_direction": ("$.current", "wind_degree"), "clouds": ("$.current", "cloud"),
+    "weather_condition": ("$.current.condition", "text"), "weather_description": ("$.current.condition", "text"),
+}
+
+
+def _as_texts(kind: T.DataType) -> T.DataType:
+    """A payload type with text in place of numbers, which are read leniently afterwards."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, _as_texts(f.dataType)) for f in kind.fields])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(_as_texts(kind.elementType))
+    return T.StringType()
+
+
+def _parse(payload: Column, kind: T.StructType) -> Column:
+    schema = T.StructType([*_as_texts(kind).fields, T.StructField(CORRUPT, T.StringType())])
+    return F.from_json(payload, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+
+
+def _value(parsed: str, name: str, holder: str, key: str) -> Column:
+    """The field of a parsed payload: text, or the number that the text stands for."""
+    path = parsed + holder.removeprefix("$").replace("[0]", "")
+    if holder.endswith("[0]"):
+        path = f"get({path}, 0)"
+    return F.expr(f"{path}.`{key}`") if name in _TEXTS else safe_double(f"{path}.`{key}`")
+
+
+def _absent(payload: Column, holder: str, key: str) -> Column:
+    """Whether the key is not there, as opposed to null or no number; for fields without a value."""
+    keys = F.json_object_keys(F.get_json_object(payload, holder))
+    return ~F.coalesce(F.array_contains(keys, key), F.lit(False))
 
 
 def normalize(
@@ -53,34 +69,46 @@ def normalize(
 ) -> DataFrame:
     """Payload texts of any mix of sources to readings.
 
-    City and country come from the request columns, else from the payload.
-    ``temp_unit`` is ``metric`` or ``kelvin`` and concerns OpenWeatherMap;
-    ``wind_to_mps`` concerns WeatherAPI. ``defaults`` fills what is absent (numbers
-    0, texts Unknown) and keeps the payload in ``raw_data``. A source nobody knows is
-    dropped, or with ``unknown="keep"`` stays as timestamp, source and ``raw_data``.
+    City and country come from the request columns, else from the payload. Numbers in quotes
+    count; other text in their place is NULL. ``temp_unit`` is ``metric`` or ``kelvin`` and
+    concerns OpenWeatherMap; ``wind_to_mps`` concerns WeatherAPI. ``defaults`` fills keys that
+    are absent (numbers 0, texts Unknown) and keeps the payload in ``raw_data``. A payload that
+    is no JSON object leaves the fields NULL and its text in ``_corrupt``. A source nobody knows
+    is dropped, or with ``unknown="keep"`` stays as timestamp, source and ``raw_data``.
     """
     if unknown not in ("drop", "keep"):
         raise ValueError(f"unknown must be drop or keep: {unknown}")
+    if temp_unit not in ("metric", "kelvin"):
+        raise ValueError(f"unknown temperature unit: {temp_unit}")
     source, payload = F.col(source_col), F.col(payload_col)
     is_ow = source.isin(V.OPENWEATHER, V.OPENWEATHER_LEGACY)
     is_wa = source == V.WEATHERAPI
     known = F.coalesce(is_ow | is_wa, F.lit(False))
     # Only the payload of the row's own source is parsed; the other struct is NULL.
     parsed = (df if unknown == "keep" else df.where(known)).withColumn(
-        "_ow", F.when(is_ow, F.from_json(payload, OPENWEATHER_PAYLOAD))
-    ).withColumn("_wa", F.when(is_wa, F.from_json(payload, WEATHERAPI_PAYLOAD)))
-    ow = _openweather_fields(F.col("_ow"), temp_unit)
-    wa = _weatherapi_fields(F.col("_wa"), wind_to_mps)
-    fields = {n: F.when(is_ow, ow[n]).otherwise(wa[n]) for n in ow}
+        "_ow", F.when(is_ow, _parse(payload, OPENWEATHER_PAYLOAD))
+    ).withColumn("_wa", F.when(is_wa, _parse(payload, WEATHERAPI_PAYLOAD)))
+    sound = F.when(is_ow, F.col("_ow").isNotNull() & F.col(f"_ow.{CORRUPT}").isNull()).otherwise(
+        F.col("_wa").isNotNull() & F.col(f"_wa.{CORRUPT}").isNull()
+    )
+    fields = {}
+    for name in _OPENWEATHER:
+        sides = []
+        for side, places in (("_ow", _OPENWEATHER), ("_wa", _WEATHERAPI)):
+            value = _value(side, name, *places[name])
+            if defaults:
+                gap = F.lit("Unknown") if name in _TEXTS else F.lit(0.0)
+                value = F.when(value.isNotNull(), value).when(sound & _absent(payload, *places[name]), gap)
+            if name == "temperature" and side == "_ow" and temp_unit == "kelvin":
+                value = kelvin_to_c(value)
+            if name == "wind_speed" and side == "_wa" and wind_to_mps:
+                value = kph_to_mps(value)
+            sides.append(value)
+        fields[name] = F.when(is_ow, sides[0]).otherwise(sides[1])
     if city_col:
         fields["city"] = F.col(city_col)
     if country_col:
         fields["country"] = F.col(country_col)
-    if defaults:
-        fields = {
-            n: F.coalesce(c, F.lit("Unknown") if n in _TEXTS else F.lit(0.0))
-            for n, c in fields.items()
-        }
     if unknown == "keep":
         fields = {n: F.when(known, c) for n, c in fields.items()}
     columns = [
@@ -93,6 +121,7 @@ def normalize(
     ]
     if defaults or unknown == "keep":
         columns.append((payload if defaults else F.when(~known, payload)).alias("raw_data"))
+    columns.append(F.when(known & payload.isNotNull() & ~sound, payload).alias(CORRUPT))
     return parsed.select(*keep, *columns)
 
 

@@ -1,6 +1,6 @@
 """Dashboard tables: latest readings, series, cards, display forms."""
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from skygauge import fixed_values as V
 from skygauge.functions.scalars import finite_or_null, temperature_size, utc_text
@@ -11,24 +11,28 @@ from skygauge.operators.ordered import top_rows
 from skygauge.operators.reports import severity_counts
 
 
-def _one_per_city(df: DataFrame, pick, order) -> DataFrame:
-    """One whole row per city by max_by or min_by.
+def _one_per_city(df: DataFrame, latest: bool, order) -> DataFrame:
+    """One whole row per city, the last or the first by ``order``.
 
-    The aggregate keeps one row per city and map task before the shuffle, so a city with
-    most of the readings costs no more than another.
+    The first column of the order is aggregated alone: a hash aggregate on a number, combined before
+    its shuffle. Rows with a city's extreme value are then picked by an equi-join whose other
+    side has a row per city (adaptive execution broadcasts it while that is small), and only
+    these few, ties among them, are ranked. Wide rows are neither sorted nor shuffled.
     """
-    row = pick(F.struct(*df.columns), F.struct(*order))
-    return df.groupBy("city").agg(row.alias("r")).select("r.*")
+    ends = df.groupBy(F.col("city").alias("_city")).agg((F.max if latest else F.min)(order[0]).alias("_end"))
+    near = df.join(ends, df["city"].eqNullSafe(ends["_city"]) & df[order[0]].eqNullSafe(ends["_end"])).drop("_city", "_end")
+    ranked = Window.partitionBy("city").orderBy(*[F.desc(o) if latest else F.asc(o) for o in order])
+    return near.withColumn("_rank", F.row_number().over(ranked)).where("_rank = 1").drop("_rank")
 
 
 def latest_per_city(df: DataFrame, order=("event_ts", "event_id")) -> DataFrame:
     """The newest reading of every city; ``order`` breaks ties in time."""
-    return _one_per_city(df.where(F.col(order[0]).isNotNull()), F.max_by, order)
+    return _one_per_city(df.where(F.col(order[0]).isNotNull()), True, order)
 
 
 def first_per_city(df: DataFrame, order=("event_id",)) -> DataFrame:
     """The first record of every city, for data without a usable timestamp."""
-    return _one_per_city(df, F.min_by, order)
+    return _one_per_city(df, False, order)
 
 
 def last_n_per_city(

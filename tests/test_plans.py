@@ -18,7 +18,9 @@ EAGER = {
     "json_lines_files", "parquet_files", "csv_files", "raw_json_arrays", "recent_files", "events_sink", "land_raw",
     "parquet_stream", "event_stream", "batch_job", "report_job", "processed_files", "zscore_stream",
     "iforest_stream", "monitor_stream", "iforest_scores", "iforest_scored_events", "zscore_scores_split",
-    "describe_quartiles", "metrics_summary", "monitoring_logs", "run_counts",
+    "describe_quartiles", "metrics_summary", "monitoring_logs", "run_counts", "anomaly_flags", "anomaly_events", "monitor_batch",
+    "monitor_metrics", "monitor_stream_iforest", "stream_progress", "inferred_job", "report_tables", "chain_job",
+    "retained_files", "zone_volume", "iforest_fixed", "iforest_training",
 }
 
 
@@ -77,3 +79,9 @@ def test_filters_reach_the_processed_zone(spark, tmp_path):
     assert "GreaterThanOrEqual(event_ts" in text
     assert re.search(r"PartitionFilters: \[isnotnull\(event_date", text)
     assert with_event_ts(zone).columns.count("event_ts") == 1
+
+
+@pytest.mark.parametrize("name", ["latest_per_city", "first_per_city", "city_cards", "temperature_map"])
+def test_rows_per_city_come_without_sorting_all_rows(spark, name):
+    text = plan(registry.QUERIES[name](spark, SF))
+    assert "SortAggregate" not in text and "HashAggregate" in text
