@@ -2,11 +2,12 @@
 
 import base64
 import heapq
-from collections.abc import Iterable
+from itertools import chain
 
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from skygauge.llm.pieces import SAFE
 
 #: Words per recursive query, words kept between slices, and the length from which a word,
 #: which would take a round of the query per byte, is contracted by a heap instead.
-WORDS, KEEP, LONG = 60_000, 400_000, 512
+WORDS, KEEP, LONG = 60_000, 600_000, 512
 
 _PAIRS = """
     SELECT s.*, (m << 32) | pos AS key
@@ -56,7 +57,7 @@ SELECT w, pos, tok FROM run WHERE best IS NULL
 """
 
 _DECODE = """
-SELECT s, list(bytes ORDER BY place) AS parts FROM sequence JOIN vocabulary ON tok = id GROUP BY s
+SELECT s, list(bytes ORDER BY place) AS parts FROM sequence JOIN vocabulary ON tok = id GROUP BY s ORDER BY s
 """
 
 
@@ -81,7 +82,7 @@ class Codec:
                 if left is not None and right is not None:
                     pairs.append(((left << 20) | right, rank))
         self.pairs = dict(pairs)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "preserve_insertion_order": False})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "preserve_insertion_order": False})
         merge = pa.table({"lr": pa.array(list(self.pairs), pa.int64()), "m": pa.array(list(self.pairs.values()), pa.int64())})
         vocabulary = pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "bytes": pa.array(list(ranks), pa.binary())})
         for name, rows in (("merge", merge), ("vocabulary", vocabulary)):
@@ -96,28 +97,25 @@ class Codec:
         finally:
             self.db.unregister(name)
 
-    def words(self, words: list[bytes]) -> list[bytes]:
-        """The ids of each word, as little-endian unsigned 32-bit integers."""
-        made: list[bytes | None] = [None] * len(words)
-        left = []
+    def words(self, words: list[bytes]) -> "Runs":
+        """The ids of each word."""
+        single, left, long = [], [], []
         for at, word in enumerate(words):
-            rank = self.ranks.get(word)
-            if rank is not None:
-                made[at] = rank.to_bytes(4, "little")
-            elif len(word) < LONG:
-                left.append(at)
+            if word in self.ranks:
+                single.append(at)
             else:
-                made[at] = self._long(word)
+                (left if len(word) < LONG else long).append(at)
+        made = [(np.array(single, np.int64), Runs(np.array([self.ranks[words[i]] for i in single], np.uint32), np.ones(len(single), np.int64)))]
         for start in range(0, len(left), WORDS):
             some = left[start:start + WORDS]
-            for at, ids in zip(some, self._contract([words[i] for i in some])):
-                made[at] = ids
-        return made
+            made.append((np.array(some), self._contract([words[i] for i in some])))
+        made += [(np.array([at]), Runs.of([self._long(words[at])])) for at in long]
+        return Runs.placed(len(words), made, np.uint32)
 
-    def _contract(self, words: list[bytes]) -> Iterable[bytes]:
+    def _contract(self, words: list[bytes]) -> "Runs":
         lengths = np.fromiter(map(len, words), np.int64)
         tokens = self.byte[np.frombuffer(b"".join(words), np.uint8)]
-        pos = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        pos = steps(lengths)
         last = pos == np.repeat(lengths, lengths) - 1
         seed = {
             "w": np.repeat(np.arange(len(words)), lengths), "pos": pos, "tok": tokens,
@@ -126,11 +124,9 @@ class Codec:
         table = self._rows(_CONTRACT, "seed", pa.table({n: pa.array(v.astype(np.int32)) for n, v in seed.items()}))
         w, at, tok = (table.column(n).to_numpy().astype(np.int64) for n in ("w", "pos", "tok"))
         order = np.argsort((w << 32) | at)
-        ends = np.searchsorted(w[order], np.arange(len(words) + 1)) * 4
-        ids = tok[order].astype("<u4").tobytes()
-        return (ids[a:b] for a, b in zip(ends, ends[1:]))
+        return Runs(tok[order].astype(np.uint32), np.bincount(w, minlength=len(words)))
 
-    def _long(self, word: bytes) -> bytes:
+    def _long(self, word: bytes) -> np.ndarray:
         """The same rule for one long word: a heap of (rank, position) over linked tokens."""
         tokens = self.byte[np.frombuffer(word, np.uint8)].tolist()
         right = [*range(1, len(tokens)), -1]
@@ -157,51 +153,116 @@ class Codec:
             offer(at)
             if left[at] >= 0:
                 offer(left[at])
-        return np.array([t for t in tokens if t >= 0], "<u4").tobytes()
+        return np.array([t for t in tokens if t >= 0], np.uint32)
 
-    def decode(self, sequences: list[bytes]) -> list[bytes]:
+    def decode(self, ids: "Runs") -> "Runs":
         """The bytes of each sequence of ids, by an aggregation ordered by position."""
-        made = [b""] * len(sequences)
-        for start in range(0, len(sequences), WORDS):
-            some = sequences[start:start + WORDS]
-            lengths = np.fromiter((len(s) // 4 for s in some), np.int64, len(some))
-            tok = np.frombuffer(b"".join(some), "<u4")
+        made, ends = [], np.cumsum(ids.counts)
+        for start in range(0, len(ids.counts), WORDS):
+            counts = ids.counts[start:start + WORDS]
+            tok = ids.flat[ends[start] - counts[0]:ends[start + len(counts) - 1]]
             given = pa.table({
-                "s": np.repeat(np.arange(start, start + len(some)), lengths),
-                "place": np.arange(len(tok)), "tok": pa.array(tok.astype(np.int32)),
+                "s": np.repeat(np.arange(len(counts)), counts), "place": np.arange(len(tok)),
+                "tok": pa.array(tok.astype(np.int32)),
             })
             table = self._rows(_DECODE, "sequence", given)
-            for s, parts in zip(table.column("s").to_pylist(), table.column("parts").to_pylist()):
-                made[s] = b"".join(parts)
-        return made
+            parts = table.column("parts").combine_chunks()
+            pieces = parts.flatten()  # the bytes of all lists, one after the other
+            sizes = pc.binary_length(pieces).to_numpy(zero_copy_only=False).astype(np.int64)
+            of = np.repeat(table.column("s").to_numpy(), pc.list_value_length(parts).to_numpy(zero_copy_only=False))
+            flat = np.frombuffer(b"".join(pieces.to_pylist()) if pieces.offset else pieces.buffers()[2] or b"", np.uint8)
+            total = np.bincount(of, sizes, len(counts)).astype(np.int64)
+            made.append((np.arange(start, start + len(counts)), Runs(flat[:total.sum()], total)))
+        return Runs.placed(len(ids.counts), made, np.uint8)
 
     def texts(self):
-        """A function from texts to (ids, decoded bytes), which keeps frequent segments' codes."""
-        known: dict[str, tuple[bytes, bytes]] = {}
-        find = self.pattern.findall
+        """A function from texts to their ids and decoded bytes, which keeps the codes of words
+        and segments from slice to slice, up to KEEP of each."""
+        kept = _Kept()
 
-        def run(texts: list[str]) -> tuple[list[bytes], list[bytes]]:
+        def run(texts: list[str]) -> tuple["Runs", "Runs"]:
+            nonlocal kept
             cut = [SAFE.findall(t) for t in texts]
-            new = list({s for segments in cut for s in segments}.difference(known))
-            pieces = [find(s) for s in new]
-            names = list({p for found in pieces for p in found})
-            ids = self.words([n.encode() for n in names])
-            codes = dict(zip(names, zip(ids, self.decode(ids))))
-            fresh = {s: tuple(map(b"".join, zip(*(codes[p] for p in found)))) for s, found in zip(new, pieces)}
-            if len(known) + len(fresh) > KEEP:
-                known.clear()
-                fresh |= {s: self._again(s, codes) for segments in cut for s in segments if s not in fresh}
-            known.update(fresh)
-            both = [[known[s] for s in segments] for segments in cut]
-            return [b"".join(c[0] for c in b) for b in both], [b"".join(c[1] for c in b) for b in both]
+            every = set().union(*cut)
+            if max(len(kept.segments), len(kept.words)) + len(every) > KEEP:
+                kept = _Kept()
+            new = [s for s in every if s not in kept.segments]
+            found = list(map(self.pattern.findall, new))
+            fresh = [w for w in set().union(*found) if w not in kept.words]
+            ids = self.words([w.encode() for w in fresh])
+            kept.add(fresh, ids, self.decode(ids), new, found)
+            counts = np.fromiter(map(len, cut), np.int64, len(cut))
+            segments = np.fromiter(map(kept.segments.__getitem__, chain.from_iterable(cut)), np.int64, int(counts.sum()))
+            words = kept.inner.pick(segments)
+            text = np.repeat(np.arange(len(cut)), counts)
+            text = np.repeat(text, kept.inner.counts[segments])
+            return kept.ids.joined(words.flat, text, len(cut)), kept.raw.joined(words.flat, text, len(cut))
         return run
 
-    def _again(self, segment: str, codes: dict) -> tuple[bytes, bytes]:
-        found = self.pattern.findall(segment)
-        missing = [p for p in found if p not in codes]
-        ids = self.words([p.encode() for p in missing])
-        codes.update(zip(missing, zip(ids, self.decode(ids))))
-        return tuple(map(b"".join, zip(*(codes[p] for p in found))))
+
+class _Kept:
+    """Codes of words, and the words of segments, by place."""
+
+    def __init__(self):
+        self.words: dict[str, int] = {}
+        self.segments: dict[str, int] = {}
+        none = np.empty(0, np.int64)
+        self.ids, self.raw, self.inner = Runs(none.astype(np.uint32), none), Runs(none.astype(np.uint8), none), Runs(none, none)
+
+    def add(self, words, ids, raw, segments, parts):
+        self.words.update(zip(words, range(len(self.words), len(self.words) + len(words))))
+        self.ids, self.raw = self.ids.and_(ids), self.raw.and_(raw)
+        self.segments.update(zip(segments, range(len(self.segments), len(self.segments) + len(segments))))
+        counts = np.fromiter(map(len, parts), np.int64, len(parts))
+        places = np.fromiter(map(self.words.__getitem__, chain.from_iterable(parts)), np.int64, int(counts.sum()))
+        self.inner = self.inner.and_(Runs(places, counts))
+
+
+class Runs:
+    """Sequences of numbers, one after the other, and the length of each."""
+
+    def __init__(self, flat: np.ndarray, counts: np.ndarray):
+        self.flat, self.counts = flat, counts
+        self.starts = np.cumsum(counts) - counts
+
+    @classmethod
+    def of(cls, arrays: list[np.ndarray]) -> "Runs":
+        return cls(np.concatenate(arrays), np.array([len(a) for a in arrays], np.int64))
+
+    @classmethod
+    def placed(cls, size: int, parts: list[tuple[np.ndarray, "Runs"]], kind) -> "Runs":
+        """Sequences that come in parts, each with the places of its own."""
+        counts = np.zeros(size, np.int64)
+        for places, runs in parts:
+            counts[places] = runs.counts
+        made = cls(np.empty(int(counts.sum()), kind), counts)
+        for places, runs in parts:
+            made.flat[np.repeat(made.starts[places], runs.counts) + steps(runs.counts)] = runs.flat
+        return made
+
+    def and_(self, other: "Runs") -> "Runs":
+        return Runs(np.concatenate([self.flat, other.flat]), np.concatenate([self.counts, other.counts]))
+
+    def pick(self, places: np.ndarray) -> "Runs":
+        counts = self.counts[places]
+        return Runs(self.flat[np.repeat(self.starts[places], counts) + steps(counts)], counts)
+
+    def joined(self, places: np.ndarray, owners: np.ndarray, size: int) -> "Runs":
+        """The picked sequences of each owner as one; owners are sorted."""
+        picked = self.pick(places)
+        return Runs(picked.flat, np.bincount(owners, picked.counts, size).astype(np.int64))
+
+    def binary(self) -> pa.Array:
+        """As binary values, little-endian."""
+        width = self.flat.itemsize
+        ends = np.concatenate([[0], np.cumsum(self.counts)]) * width
+        data = pa.py_buffer(np.ascontiguousarray(self.flat.astype(self.flat.dtype.newbyteorder("<"), copy=False)))
+        return pa.Array.from_buffers(pa.large_binary(), len(self.counts), [None, pa.py_buffer(ends.astype(np.int64)), data])
+
+
+def steps(counts: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each count."""
+    return np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
 def encode_decode(
@@ -223,7 +284,7 @@ def encode_decode(
 
         def rows(texts):
             ids, decoded = run(texts)
-            return [len(i) // 4 for i in ids], ids, decoded
+            return pa.array(ids.counts), ids.binary(), decoded.binary()
         return rows
 
     return per_row(
@@ -239,8 +300,9 @@ def decode(df: DataFrame, ranks: str, pattern: str, id_col: str = "id", ids_col:
         codec = Codec(ranks, pattern)
 
         def rows(ids):
-            made = iter(codec.decode([i for i in ids if i is not None]))
-            return ([None if i is None else next(made) for i in ids],)
+            given = [np.frombuffer(i or b"", "<u4") for i in ids]
+            flat = codec.decode(Runs.of(given)).binary().cast(pa.binary()).to_pylist()
+            return ([None if i is None else raw for i, raw in zip(ids, flat)],)
         return rows
 
     return per_row(df, {"id": F.col(id_col), "ids": F.col(ids_col)}, "decoded binary", open_task)
