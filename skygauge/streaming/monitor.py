@@ -211,7 +211,7 @@ def start_monitor(
             batch = batch.withColumn("processed_at", stamp).repartition(tasks)
         events = Q.validate(enrich(batch, severity, now), json_col)
         events = (events if tasks else events.withColumn("processed_at", stamp)).persist()
-        scores = None
+        keys = scores = fresh = None
         try:
             keys = events.select(*[A.key_text(F.col(k)).alias(k) for k in _KEY]).distinct().persist()
             past = state.read(batch_id, keys)
@@ -222,11 +222,13 @@ def start_monitor(
                     "bucket").parquet(f"{checkpoint}/models/batch={batch_id}")
             else:
                 scores, kept = score_batch(events, past, features, **scoring)
-            scores = scores.persist()
+            scores, kept = scores.persist(), kept.persist()
             state.write(batch_id, kept, keys)
+            kept.unpersist()
             windows = f"{checkpoint}/windows"
             before = spark.read.parquet(f"{windows}/{(batch_id - 1) % 2}") if batch_id else None
-            records, still, carried = M.live_windows(M.message_windows(M.with_latency(events), log_every), before, log_every)
+            fresh = M.message_windows(M.with_latency(events), log_every).persist()
+            records, still, carried = M.live_windows(fresh, before, log_every)
             carried.coalesce(1).write.mode("overwrite").parquet(f"{windows}/{batch_id % 2}")
             none = A.unscored(I.METHOD) if forest else A.unscored("zscore", features)
             full = events.join(scores, list(_ID), "left").withColumn("anomaly", F.coalesce("anomaly", none))
@@ -240,9 +242,9 @@ def start_monitor(
             for name, frame in parts.items():
                 frame.write.mode("overwrite").option("ignoreNullFields", False).json(f"{out}/{name}")
         finally:
-            events.unpersist()
-            if scores is not None:
-                scores.unpersist()
+            for frame in (events, keys, scores, fresh):
+                if frame is not None:
+                    frame.unpersist()
 
     writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return _trigger(writer, trigger).start()
