@@ -31,9 +31,13 @@ def write_batch(
 ) -> str:
     """Overwrite the run's own folder below ``path``; returns that folder.
 
-    As many files as the frame has partitions: nothing is pulled into one task.
+    As many files as the frame has partitions: nothing is pulled into one task. With
+    ``partition_by`` a rebalance shuffle groups rows by folder, so there are few files in each,
+    and adaptive execution splits large folders over several tasks.
     """
     target = f"{path}/weather_processed_{run_id or run_stamp()}.{fmt}"
+    if partition_by:
+        df = df.hint("rebalance", *partition_by)
     writer = (flatten_for_csv(df) if fmt == "csv" else df).write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
