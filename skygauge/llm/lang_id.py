@@ -72,6 +72,10 @@ class Model:
     def __init__(self, languages: list[str], table: np.ndarray, scripts: np.ndarray):
         self.languages, self.table, self.scripts = languages, table, scripts
 
+    def parts(self) -> tuple:
+        """What a task needs to build the model again, in types that every executor knows."""
+        return self.languages, self.table, self.scripts
+
     def scores(self, words: list[str]) -> np.ndarray:
         """One row per word: its score per language; languages of other scripts are far below."""
         bucket, owner = features(words)
@@ -242,10 +246,10 @@ def label_languages(
     Whole texts are labelled, in chunks; repeated rows give repeated rows; an empty table gives
     none. The model (buckets times languages) is broadcast; nothing is shuffled.
     """
-    sent = df.sparkSession.sparkContext.broadcast(model)
+    sent = df.sparkSession.sparkContext.broadcast(model.parts())
 
     def open_task():
-        label = Labeller(sent.value, penalty)
+        label = Labeller(Model(*sent.value), penalty)
 
         def run(texts):
             lang, score, (offsets, which, first, count) = label(texts)
@@ -260,15 +264,15 @@ def label_languages(
     )
 
 
-def keep_identified(df: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
+def keep_identified(df: DataFrame, model: Model, text_col: str = "text", least: float = 1 / 3) -> DataFrame:
     """The rows, with all their columns, whose text has a language with ``least`` of its letters."""
-    sent = df.sparkSession.sparkContext.broadcast(model)
+    sent = df.sparkSession.sparkContext.broadcast(model.parts())
     column = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         label = None
         for batch in batches:
-            label = label or Labeller(sent.value)
+            label = label or Labeller(Model(*sent.value))
             texts = batch.column(column).cast(pa.string())
             pair = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), texts], names=["row", "text"])
             keep = []
