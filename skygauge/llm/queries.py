@@ -39,7 +39,29 @@ def op7(spark, folder):
     )
 
 
-@register("op10_decontamination")
+# A stretch with its allowed substitutions holds three equal words in a row, so common word
+# triples name all diagonals that need a look.
+_WORDS_SQL = r"""list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'),
+    ' '), lambda w: w <> '')"""
+_OP10 = f"""WITH d AS (SELECT doc_id, {_WORDS_SQL} AS w FROM documents),
+  b AS (SELECT row_number() OVER () AS i, item_id, w, least(13, len(w)) AS n, ceil(0.8 * least(13, len(w))) AS need
+    FROM (SELECT DISTINCT item_id, {_WORDS_SQL} AS w FROM benchmark) WHERE len(w) >= 8),
+  dt AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS t FROM d),
+  bt AS (SELECT i, unnest(range(1, len(w) + 1)) AS q, unnest(w) AS t FROM b),
+  d3 AS (SELECT doc_id, p, t, lead(t, 1) OVER o AS u, lead(t, 2) OVER o AS v FROM dt WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+  b3 AS (SELECT i, q, t, lead(t, 1) OVER o AS u, lead(t, 2) OVER o AS v FROM bt WINDOW o AS (PARTITION BY i ORDER BY q)),
+  diagonal AS (SELECT DISTINCT doc_id, i, p - q AS shift FROM d3 JOIN b3 ON d3.t = b3.t AND d3.u = b3.u AND d3.v = b3.v),
+  aligned AS (SELECT g.doc_id, g.i, g.shift, list(coalesce((dt.t = bt.t)::INT, 0) ORDER BY q) AS e
+    FROM diagonal g JOIN bt ON g.i = bt.i LEFT JOIN dt ON dt.doc_id = g.doc_id AND dt.p = q + g.shift GROUP BY ALL),
+  stretch AS (SELECT doc_id, i, shift, e, unnest(range(1, len(e) - n + 2)) AS s FROM aligned JOIN b USING (i)),
+  scored AS (SELECT doc_id, item_id, n, need, s + shift AS first, list_sum(e[s:s + n - 1]) AS equal
+    FROM stretch JOIN b USING (i) JOIN d USING (doc_id) WHERE s + shift >= 1 AND s + shift + n - 1 <= len(d.w))
+SELECT doc_id, item_id, max(equal)::BIGINT AS n_equal, any_value(n)::BIGINT AS n_words,
+  min(first - 1) FILTER (equal = top)::BIGINT AS first_word
+FROM (SELECT *, max(equal) OVER (PARTITION BY doc_id, item_id) AS top FROM scored WHERE equal >= need) GROUP BY doc_id, item_id"""
+
+
+@register("op10_decontamination", _OP10)
 def op10(spark, folder):
     found = overlaps(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.withColumnRenamed("id", "doc_id")
@@ -74,7 +96,17 @@ def op9(spark, folder):
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-@register("op1_embedding_dedup")
+_OP1 = """WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+  links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+    WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+  reach AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
+SELECT vec_id, (SELECT count(*) FROM links WHERE x = vec_id)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY x) ON x = vec_id"""
+
+
+@register("op1_embedding_dedup", _OP1)
 def op1(spark, folder):
     return embedding_dedup(table(spark, folder, "embeddings")).withColumnRenamed("id", "vec_id")
 
