@@ -72,6 +72,10 @@ class Models:
     def __init__(self, hashes: np.ndarray, words: np.ndarray, pairs: np.ndarray):
         self.hashes, self.words, self.pairs = hashes, words.astype(float), pairs.astype(float)
 
+    def parts(self) -> tuple:
+        """What a task needs to build the models again, in types that every executor knows."""
+        return self.hashes, self.words, self.pairs
+
     def losses(self, texts: list[str], known: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
         """Words per text, and per text the mean loss in nats of background and target."""
         ids, lengths = _coded(texts, known)
@@ -152,13 +156,14 @@ def lm_scores(df: DataFrame, models: Models, id_col: str = "doc_id", text_col: s
     null losses and score 0; repeated rows give repeated rows; an empty table gives none. Other
     columns are not read. The models have a bounded size and are broadcast; nothing is shuffled.
     """
-    sent = df.sparkSession.sparkContext.broadcast(models)
+    sent = df.sparkSession.sparkContext.broadcast(models.parts())
 
     def open_task():
-        known = Vocabulary(sent.value.hashes)
+        models = Models(*sent.value)
+        known = Vocabulary(models.hashes)
 
         def run(texts):
-            lengths, losses = sent.value.losses(texts, known)
+            lengths, losses = models.losses(texts, known)
             some = lengths > 0
             mean = [pa.array(losses[:, m], mask=~some) for m in (0, 1)]
             return pa.array(lengths), *mean, pa.array(np.where(some, losses[:, 0] - losses[:, 1], 0.0))
@@ -176,9 +181,10 @@ def cross_entropy_difference(
     """``lm_scores`` of ``df`` under models fitted on it: the target's rows are those whose id is in
     ``targets`` (a frame of ids, nulls and repeats without effect).
 
-    The ids meet the texts in one shuffle, frozen on shared storage; scoring reads ``df``.
+    The ids meet the texts in one shuffle, frozen on shared storage; scoring reads ``df``. The
+    join is a sort-merge join at every size: nothing bounds the number of ids.
     """
-    ids = targets.toDF("target").where(F.col("target").isNotNull()).distinct()
+    ids = targets.toDF("target").where(F.col("target").isNotNull()).distinct().hint("merge")
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     marked = rows.join(ids, rows["id"] == ids["target"], "left").select("text", F.col("target").isNotNull().alias("target"))
     models = train(materialise(marked, "lm-target"), F.col("target"), "text", vocabulary)
