@@ -17,7 +17,7 @@ from skygauge.llm.pieces import SAFE
 
 #: Words per recursive query, words kept between slices, and the length from which a word,
 #: which would take a round of the query per byte, is contracted by a heap instead.
-WORDS, KEEP, LONG = 60_000, 600_000, 512
+WORDS, KEEP, LONG = 60_000, 300_000, 512
 
 _PAIRS = """
     SELECT s.*, (m << 32) | pos AS key
