@@ -5,15 +5,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skygauge.llm.common import per_row, settle, slices, text_of
+from skygauge.llm.common import settle, slices, text_of
 from skygauge.sources.shared import materialise
 
-#: Words that the models know at most, buckets for the counts of two words in a row, weight of the
-#: single-word probability in each context, and count added to every word.
-VOCABULARY, BUCKETS, BACKOFF, EXTRA = 1 << 16, 1 << 20, 5.0, 0.5
+#: Words seen less often than this are one (unknown) word; weight of the single-word probability in
+#: each context, and count added to every word.
+LEAST, BACKOFF, EXTRA = 2, 5.0, 0.5
+#: The most frequent words and pairs are sent to the tasks, all others are joined: no effect on results.
+HOT_WORDS, HOT_PAIRS = 1 << 16, 1 << 18
+#: Losses are added as integers of 1 / SCALE nats, so sums do not depend on their order.
+SCALE = 1 << 30
+#: What stands for the start of a text and for unknown words among the words' hashes.
+START, UNKNOWN = 1, 2
 KEEP = 400_000
 
 _PLAIN = bytes(b + 32 if 65 <= b <= 90 else 32 if b < 48 or 57 < b < 65 or 90 < b < 97 or 122 < b < 128 else b for b in range(256))
@@ -32,21 +38,8 @@ class Hashes(dict):
         return value
 
 
-class Vocabulary(Hashes):
-    """Word -> place among the known words' sorted hashes, from 1; 0 for all others."""
-
-    def __init__(self, hashes: np.ndarray):
-        self.hashes = hashes
-
-    def __missing__(self, word: bytes) -> int:
-        code = int.from_bytes(xxhash.xxh64_digest(word), "big", signed=True)
-        at = int(np.searchsorted(self.hashes, code))
-        value = self[word] = at + 1 if at < len(self.hashes) and self.hashes[at] == code else 0
-        return value
-
-
-def _coded(texts: list[str], known: dict) -> tuple[np.ndarray, np.ndarray]:
-    """The codes of all words of all texts, and how many each text has."""
+def _coded(texts: list[str], known: Hashes) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words of all texts, and how many each text has."""
     if len(known) > KEEP:
         known.clear()
     cut = [words_of(t) for t in texts]
@@ -54,138 +47,192 @@ def _coded(texts: list[str], known: dict) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter((known[w] for words in cut for w in words), np.int64, int(lengths.sum())), lengths
 
 
-def _pairs(ids: np.ndarray, lengths: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Every word's predecessor (``words`` + 1 at the start of a text) and the bucket of the two."""
+def _pairs(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every word's predecessor (START at the start of a text) and a 64-bit hash of the two."""
     before = np.empty_like(ids)
     before[1:] = ids[:-1]
-    before[(np.cumsum(lengths) - lengths)[lengths > 0]] = words + 1
+    before[(np.cumsum(lengths) - lengths)[lengths > 0]] = START
     mixed = before.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + ids.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
     mixed ^= mixed >> np.uint64(31)
     mixed *= np.uint64(0x94D049BB133111EB)
-    return before, (mixed >> np.uint64(32)).astype(np.int64) % BUCKETS
-
+    return before, (mixed ^ (mixed >> np.uint64(32))).view(np.int64)
 
-class Models:
-    """Two models over one vocabulary. Rows of ``words``: counts of 0 (all unknown words), the known
-    words, and text starts; of ``pairs``: counts of the buckets. Column 0 background, 1 target."""
 
-    def __init__(self, hashes: np.ndarray, words: np.ndarray, pairs: np.ndarray):
-        self.hashes, self.words, self.pairs = hashes, words.astype(float), pairs.astype(float)
-
-    def parts(self) -> tuple:
-        """What a task needs to build the models again, in types that every executor knows."""
-        return self.hashes, self.words, self.pairs
-
-    def losses(self, texts: list[str], known: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-        """Words per text, and per text the mean loss in nats of background and target."""
-        ids, lengths = _coded(texts, known)
-        before, bucket = _pairs(ids, lengths, len(self.hashes))
-        single = self.words[:-1] + EXTRA
-        single /= single.sum(0)
-        both = (self.pairs[bucket] + BACKOFF * single[ids]) / (np.maximum(self.words[before], self.pairs[bucket]) + BACKOFF)
-        text = np.repeat(np.arange(len(lengths)), lengths)
-        sums = np.stack([np.bincount(text, -np.log(both[:, m]), len(lengths)) for m in (0, 1)], 1)
-        return lengths, sums / np.maximum(1, lengths)[:, None]
-
-
-def train(df: DataFrame, target: F.Column, text_col: str = "text", vocabulary: int = VOCABULARY) -> Models:
-    """Background from all rows, target from those where ``target`` holds.
-
-    The vocabulary is every word of all texts that is at least as frequent as a threshold (an
-    eighth of a power of two) that leaves ``vocabulary`` of them; all other words are one. Counts
-    combine in the tasks and by shuffles and cover every row; what reaches the driver is at
-    most the vocabulary and the buckets, for two models.
-    """
-    rows = df.select(text_of(text_col).alias("text"), F.coalesce(target, F.lit(False)).alias("target"))
-
-    def flags(part):
-        return np.array(part.column(0).to_pylist(), bool)
-
-    def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def count_pairs(rows: DataFrame) -> DataFrame:
+    """(pair, v, w, n, t): how often word w follows word v in all of ``rows`` (target, text), and in
+    those with ``target``. Counts combine in the tasks and by one shuffle; nothing is left out."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Hashes()
         for batch in batches:
             for part in slices(batch, 4 << 20):
-                codes, lengths = _coded(part.column(1).to_pylist(), known)
-                words, place = np.unique(codes, return_inverse=True)
-                chosen = np.repeat(flags(part), lengths)
-                counts = np.bincount(place, minlength=len(words)), np.bincount(place[chosen], minlength=len(words))
-                yield pa.RecordBatch.from_arrays([pa.array(words), *map(pa.array, counts)], names=["word", "n", "t"])
-
-    rows = rows.select("target", "text")
-    words = settle(
-        rows.mapInArrow(count_words, "word long, n long, t long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-    )
+                ids, lengths = _coded(part.column(1).to_pylist(), known)
+                before, pair = _pairs(ids, lengths)
+                pairs, first, place = np.unique(pair, return_index=True, return_inverse=True)
+                chosen = np.repeat(np.array(part.column(0).to_pylist(), bool), lengths)
+                counts = np.bincount(place, minlength=len(pairs)), np.bincount(place[chosen], minlength=len(pairs))
+                yield pa.RecordBatch.from_arrays([*map(pa.array, (pairs, before[first], ids[first], *counts))], names=["pair", "v", "w", "n", "t"])
+
+    found = rows.select("target", "text").mapInArrow(run, "pair long, v long, w long, n long, t long")
+    return found.groupBy("pair", "v", "w").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+
+
+def _known(words: DataFrame, vocabulary: int | None) -> Column:
+    """Whether a word has a count of its own: LEAST places, or, where the caller gives the size of the
+    vocabulary, as many as an eighth of a power of two that leaves no more than that."""
+    if vocabulary is None:
+        return F.col("n") >= LEAST
     step = F.floor(8 * F.log2("n"))
-    steps = {r.step: (r.words, r.n, r.t) for r in words.groupBy(step.alias("step")).agg(
-        F.count("*").alias("words"), F.sum("n").alias("n"), F.sum("t").alias("t")).collect()}  # some hundreds at most
-    least, taken = float("inf"), 0
+    steps = {r.step: r["count"] for r in words.groupBy(step.alias("step")).count().collect()}  # some hundreds at most
+    least, taken = 1 << 30, 0
     for s in sorted(steps, reverse=True):
-        if taken + steps[s][0] > vocabulary:
+        if taken + steps[s] > vocabulary:
             break
-        least, taken = s, taken + steps[s][0]
-    known = words.where(step >= F.lit(least)).orderBy("word").toArrow()
-    hashes = known["word"].to_numpy()
-    unknown = np.array([[sum(v[1] for s, v in steps.items() if s < least), sum(v[2] for s, v in steps.items() if s < least)]])
-    singles = np.concatenate([unknown, np.stack([known["n"].to_numpy(), known["t"].to_numpy()], 1)]).astype(np.int64)
-    sent = df.sparkSession.sparkContext.broadcast(hashes)
-
-    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, places = np.zeros((BUCKETS + 1, 2), np.int64), Vocabulary(sent.value)
-        for batch in batches:
-            for part in slices(batch, 4 << 20):
-                ids, lengths = _coded(part.column(1).to_pylist(), places)
-                bucket, chosen = _pairs(ids, lengths, len(sent.value))[1], flags(part)
-                counts[:-1, 0] += np.bincount(bucket, minlength=BUCKETS)
-                counts[:-1, 1] += np.bincount(bucket[np.repeat(chosen, lengths)], minlength=BUCKETS)
-                counts[-1] += (lengths > 0).sum(), (lengths[chosen] > 0).sum()
-        at = np.flatnonzero(counts[:, 0])
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at, 0]), pa.array(counts[at, 1])], names=["b", "n", "t"])
+        least, taken = s, taken + steps[s]
+    return step >= F.lit(least)
+
 
-    found = rows.mapInArrow(count_pairs, "b long, n long, t long").groupBy("b").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).toArrow()
-    pairs = np.zeros((BUCKETS + 1, 2), np.int64)
-    pairs[found["b"].to_numpy()] = np.stack([found["n"].to_numpy(), found["t"].to_numpy()], 1)
-    return Models(hashes, np.concatenate([singles, pairs[-1:]]), pairs[:-1])
+def _named(counts: DataFrame, key: str, prefix: str) -> DataFrame:
+    return counts.select(F.col(key).alias(f"{prefix}_"), F.col("n").alias(f"{prefix}n"), F.col("t").alias(f"{prefix}t"))
 
 
-def lm_scores(df: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_words, loss_background, loss_target, score) per row: mean loss per word in nats under
-    each model, and how much lower the target's is.
+def _look_up(left: DataFrame, key: Column, counts: DataFrame, prefix: str) -> DataFrame:
+    """``left`` with the counts of its key, null where there are none or the columns are set already.
+
+    Rows that need none are spread by their pair, so they meet in no task.
+    """
+    right = _named(counts, "key", f"{prefix}x")
+    has = F.col(f"{prefix}n").isNotNull()
+    left = left.withColumn("_at", F.when(has | key.isNull(), F.col("pair")).otherwise(key))
+    made = left.join(right.hint("merge"), F.col("_at") == F.col(f"{prefix}x_"), "left")
+    wanted = ~has & key.isNotNull()
+    return made.withColumns({
+        f"{prefix}{c}": F.when(wanted, F.col(f"{prefix}x{c}")).otherwise(F.col(f"{prefix}{c}")) for c in "nt"
+    }).drop("_at", f"{prefix}x_", f"{prefix}xn", f"{prefix}xt")
+
+
+def train(df: DataFrame, target: Column, text_col: str = "text", vocabulary: int | None = None) -> DataFrame:
+    """(pair, n, lb, lt): for every two words in a row of ``df`` their exact count and the second one's
+    loss after the first, in 1 / SCALE nats, in the background model (all rows) and in the
+    target's (rows where ``target`` holds).
+
+    The vocabulary is every word seen LEAST times; it and the pairs grow with the input and stay
+    Spark tables. Words' counts meet the pairs in joins; the HOT_WORDS most frequent are
+    sent to the tasks instead, with the same counts.
+    """
+    rows = df.select(text_of(text_col).alias("text"), F.coalesce(target, F.lit(False)).alias("target"))
+    pairs = materialise(count_pairs(rows), "lm-pairs")
+    words = pairs.groupBy(F.col("w").alias("key")).agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+    words = settle(words)
+    words = words.withColumn("known", _known(words, vocabulary))
+    sums = {r.known: r for r in words.groupBy("known").agg(
+        F.count("*").alias("words"), F.sum("n").alias("n"), F.sum("t").alias("t")).collect()}
+    begun = pairs.where(F.col("v") == START).agg(F.sum("n").alias("n"), F.sum("t").alias("t")).first()
+
+    def of(known, name):
+        return sums[known][name] if known in sums else 0
+
+    whole = {c: float(of(True, c) + of(False, c) + EXTRA * (of(True, "words") + 1)) for c in "nt"}
+    words = words.where("known").drop("known")
+    hot = settle(words.orderBy(F.desc("n"), "key").limit(HOT_WORDS))
+    cold = words.join(F.broadcast(hot.select("key")), "key", "left_anti")
+    pairs = pairs.join(F.broadcast(_named(hot, "key", "v")), F.col("v") == F.col("v_"), "left")
+    pairs = pairs.join(F.broadcast(_named(hot, "key", "w")), F.col("w") == F.col("w_"), "left").drop("v_", "w_")
+    begin = F.col("v") == START
+    pairs = pairs.withColumns({f"v{c}": F.when(begin, F.lit(begun[c] or 0)).otherwise(F.col(f"v{c}")) for c in "nt"})
+
+    def losses(frame: DataFrame) -> DataFrame:
+        def loss(c):
+            single = (F.col(f"w{c}") + EXTRA) / whole[c]
+            both = (F.col(f"p{c}") + BACKOFF * single) / (F.greatest(f"v{c}", f"p{c}") + BACKOFF)
+            return F.round(-SCALE * F.log(both)).cast("long")
+
+        return frame.select("pair", "n", loss("n").alias("lb"), loss("t").alias("lt"))
+
+    settled = F.col("vn").isNotNull() & F.col("wn").isNotNull()
+    rest = _look_up(_look_up(pairs.where(~settled), F.col("v"), cold, "v"), F.col("w"), cold, "w")
+    side = {s: F.when(F.col(f"{s}n").isNull(), F.lit(UNKNOWN)).otherwise(F.col(s)) for s in "vw"}
+    code = F.when(~settled, F.xxhash64(side["v"].cast("long"), side["w"].cast("long")))
+    rest = materialise(rest.withColumn("code", code), "lm-rare")
+    # pairs with an unknown word share one count; the one of two unknown words is not joined
+    merged = settle(rest.where("code is not null").groupBy(F.col("code").alias("key")).agg(F.sum("n").alias("n"), F.sum("t").alias("t")))
+    often = merged.orderBy(F.desc("n"), "key").limit(HOT_WORDS)
+    rest = rest.join(F.broadcast(_named(often, "key", "p")), F.col("code") == F.col("p_"), "left").drop("p_")
+    rest = _look_up(rest, F.col("code"), merged, "p")
+    rest = rest.withColumns({
+        **{f"p{c}": F.coalesce(f"p{c}", c) for c in "nt"},
+        **{f"{s}{c}": F.coalesce(f"{s}{c}", F.lit(of(False, c))) for s in "vw" for c in "nt"},
+    })
+    easy = pairs.where(settled).withColumns({f"p{c}": F.col(c) for c in "nt"})
+    return materialise(losses(easy).unionByName(losses(rest)), "lm-losses")
+
+
+def lm_scores(rows: DataFrame, model: DataFrame) -> DataFrame:
+    """(id, n_words, loss_background, loss_target, score) per row of ``rows`` (row, id, text), the rows
+    that the model has counted: mean loss per word in nats under each model, and how much lower
+    the target's is.
 
     A model's probability of a word after another is interpolated with that of the word alone, by
-    the same weights in both. Whole texts count. A null text is empty; a text without words has
-    null losses and score 0; repeated rows give repeated rows; an empty table gives none. Other
-    columns are not read. The models have a bounded size and are broadcast; nothing is shuffled.
+    the same weights in both. Whole texts count: a text's distinct pairs meet their losses in a
+    join on the pair; the HOT_PAIRS most frequent are sent to the tasks and added up there, so
+    no pair gathers many rows. A null text is empty; a text without words has null losses
+    and score 0; repeated rows give repeated rows; an empty table gives none.
     """
-    sent = df.sparkSession.sparkContext.broadcast(models.parts())
-
-    def open_task():
-        models = Models(*sent.value)
-        known = Vocabulary(models.hashes)
-
-        def run(texts):
-            lengths, losses = models.losses(texts, known)
-            some = lengths > 0
-            mean = [pa.array(losses[:, m], mask=~some) for m in (0, 1)]
-            return pa.array(lengths), *mean, pa.array(np.where(some, losses[:, 0] - losses[:, 1], 0.0))
-        return run
-
-    return per_row(
-        df, {"id": F.col(id_col), "text": text_of(text_col)},
-        "n_words long, loss_background double, loss_target double, score double", open_task,
+    top = model.orderBy(F.desc("n"), "pair").limit(HOT_PAIRS).toArrow()
+    order = np.argsort(top["pair"].to_numpy())
+    sent = rows.sparkSession.sparkContext.broadcast(tuple(top[c].to_numpy()[order] for c in ("pair", "lb", "lt")))
+    schema = pa.schema([(c, pa.int64()) for c in ("row", "pair", "n", "words", "hb", "ht")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (hot, *values), known = sent.value, Hashes()
+        for batch in batches:
+            for part in slices(batch, 4 << 20):
+                row = part.column(0).to_numpy()
+                ids, lengths = _coded(part.column(1).to_pylist(), known)
+                pair, text = _pairs(ids, lengths)[1], np.repeat(np.arange(len(lengths)), lengths)
+                at = np.minimum(np.searchsorted(hot, pair), max(0, len(hot) - 1))
+                here = hot[at] == pair if len(hot) else np.zeros(len(pair), bool)
+                ends = np.cumsum(lengths)
+                sums = []
+                for value in values:
+                    total = np.zeros(len(pair) + 1, np.int64)
+                    np.cumsum(np.where(here, value[at], 0) if len(hot) else total[1:], out=total[1:])
+                    sums.append(total[ends] - total[ends - lengths])
+                # one record with the hot pairs' sum, of no weight in the join, spread by its row
+                spread = (row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, (row, spread, np.zeros_like(row), lengths, *sums))], schema=schema)
+                text, pair = text[~here], pair[~here]
+                order = np.lexsort((pair, text))
+                text, pair = text[order], pair[order]
+                new = np.ones(len(text), bool)
+                new[1:] = (text[1:] != text[:-1]) | (pair[1:] != pair[:-1])
+                first = np.flatnonzero(new)
+                none = np.zeros(len(first), np.int64)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, (
+                    row[text[first]], pair[first], np.diff(np.append(first, len(text))), none, none, none))], schema=schema)
+
+    found = rows.select("row", text_of("text").alias("text")).mapInArrow(run, ", ".join(f"{c} long" for c in schema.names))
+    found = found.join(model.drop("n").hint("merge"), "pair", "left")
+    sums = found.groupBy("row").agg(F.sum("words").alias("n_words"), *(
+        (F.sum(F.col(h) + F.col("n") * F.coalesce(own, F.lit(0)))).alias(own) for h, own in (("hb", "lb"), ("ht", "lt"))))
+    mean = {c: F.when(F.col("n_words") > 0, F.col(c) / F.lit(float(SCALE)) / F.col("n_words")) for c in ("lb", "lt")}
+    return rows.select("row", "id").join(sums.hint("merge"), "row").select(
+        "id", "n_words", mean["lb"].alias("loss_background"), mean["lt"].alias("loss_target"),
+        F.coalesce(mean["lb"] - mean["lt"], F.lit(0.0)).alias("score"),
     )
 
 
 def cross_entropy_difference(
-    df: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = VOCABULARY,
+    df: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: int | None = None,
 ) -> DataFrame:
     """``lm_scores`` of ``df`` under models fitted on it: the target's rows are those whose id is in
     ``targets`` (a frame of ids, nulls and repeats without effect).
 
-    The ids meet the texts in one shuffle, frozen on shared storage; scoring reads ``df``. The
+    The ids meet the texts in one shuffle, frozen on shared storage with a number for each row. The
     join is a sort-merge join at every size: nothing bounds the number of ids.
     """
     ids = targets.toDF("target").where(F.col("target").isNotNull()).distinct().hint("merge")
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    marked = rows.join(ids, rows["id"] == ids["target"], "left").select("text", F.col("target").isNotNull().alias("target"))
-    models = train(materialise(marked, "lm-target"), F.col("target"), "text", vocabulary)
-    return lm_scores(df, models, id_col, text_col)
+    marked = rows.join(ids, rows["id"] == ids["target"], "left").select(
+        F.monotonically_increasing_id().alias("row"), "id", "text", F.col("target").isNotNull().alias("target"))
+    marked = materialise(marked, "lm-target")
+    return lm_scores(marked, train(marked, F.col("target"), "text", vocabulary))

@@ -81,3 +81,42 @@ def test_query_and_odd_tables(spark, tmp_path):
     got = lm_score.cross_entropy_difference(frame, none).collect()
     assert len(got) == 3 and len({r.score for r in got}) == 1
     assert lm_score.cross_entropy_difference(frame.where(F.lit(False)), none).count() == 0
+
+
+def test_a_vocabulary_beyond_any_fixed_size_has_exact_counts(spark, monkeypatch):
+    """More words and pairs than the models once held, most of them joined instead of sent."""
+    monkeypatch.setattr(lm_score, "HOT_WORDS", 50)
+    monkeypatch.setattr(lm_score, "HOT_PAIRS", 50)
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{int(x)}" for x in rng.integers(0, 90_000, 4000)) for _ in range(120)]
+    texts += [" ".join(f"w{int(x)}" for x in rng.zipf(1.3, 500) % 90_000) for _ in range(20)] + ["", None, "once " * 9]
+    chosen = [i % 3 == 0 for i in range(len(texts))]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ids = spark.createDataFrame([(i,) for i, c in enumerate(chosen) if c], "doc_id long")
+    got = {r.id: r for r in lm_score.cross_entropy_difference(frame, ids).collect()}
+    assert len(got) == len(texts)
+    for i, (n, background, target) in enumerate(slow_by_count(texts, chosen, lm_score.LEAST)):
+        assert got[i].n_words == n
+        if n:
+            assert got[i].loss_background == pytest.approx(background, abs=1e-6)
+            assert got[i].loss_target == pytest.approx(target, abs=1e-6)
+
+
+def slow_by_count(texts, chosen, least):
+    """``slow`` with the words that are seen ``least`` times."""
+    cut = [lm_score.words_of(t or "") for t in texts]
+    every = Counter(w for words in cut for w in words)
+    known = {w for w, n in every.items() if n >= least}
+    assert len(known) > 1 << 16
+    cut = [["<s>"] + [w if w in known else "<unk>" for w in words] for words in cut]
+    models = []
+    for rows in (cut, [c for c, t in zip(cut, chosen) if t]):
+        models.append((Counter(w for c in rows if len(c) > 1 for w in c), Counter(p for c in rows for p in zip(c, c[1:]))))
+    wholes = [sum(n for w, n in single.items() if w != "<s>") + lm_score.EXTRA * (len(known) + 1) for single, _ in models]
+    for words in cut:
+        losses = []
+        for (single, pairs), whole in zip(models, wholes):
+            loss = [-math.log((pairs[v, w] + lm_score.BACKOFF * (single[w] + lm_score.EXTRA) / whole)
+                              / (max(single[v], pairs[v, w]) + lm_score.BACKOFF)) for v, w in zip(words, words[1:])]
+            losses.append(sum(loss) / len(loss) if loss else None)
+        yield len(words) - 1, *losses
