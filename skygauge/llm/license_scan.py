@@ -45,9 +45,9 @@ TEMPLATES = (
     ("epl", "made available under the terms of the eclipse public license v 2 0", ("eclipse public license",)),
 )
 
-#: Words in more templates than this are not indexed; this many of a file's indexed words, those of
-#: highest IDF, are looked up; and this share of a template's weight must fall into place.
-COMMON, LOOKED_UP, SHARE = 5, 8, 0.5
+#: Words in more templates than this are not indexed; a template weighs as much as this many of its
+#: words, those of highest IDF; and this share of its weight must fall into place.
+COMMON, WEIGHED, SHARE = 5, 8, 0.5
 
 
 class Postings:
@@ -76,9 +76,9 @@ class Postings:
         return next(i for i in range(len(words)) if words[i:i + len(phrase)] == phrase)
 
     def weight(self, idf: dict[str, float], t: int) -> float:
-        """What the template's LOOKED_UP rarest words weigh together."""
+        """What the template's WEIGHED rarest words weigh together."""
         own = [idf[w] for w, places in self.places.items() for u, _ in places if u == t]
-        return sum(sorted(own, reverse=True)[:LOOKED_UP])
+        return sum(sorted(own, reverse=True)[:WEIGHED])
 
 
 def _words(text: Column) -> tuple[Column, Column, Column]:
@@ -106,11 +106,12 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Words are the runs of digits, letters and non-ASCII characters of the lower-cased text, from 0.
     n_base counts the places of the base phrases, first_word and last_word are the smallest and
     largest of their starts (null without any), base_labels their labels. labels adds those of
-    templates that a text holds: the text's LOOKED_UP indexed words of highest IDF, over all
+    templates that a text holds: all indexed words of the text, each with its IDF over all
     documents, are looked up in the templates' postings; entries of a template that agree on the
     relative position are added up; where they reach ``share`` of the template's weight and every
-    key phrase stands at the same relative position, the template's label is given. score is
-    the largest such share (0 to 1; 0 without any). Labels are sorted, distinct arrays.
+    key phrase stands at the same relative position, the template's label is given, whatever
+    else the text holds. score is the largest such share (0 to 1; 0 without any). Labels are
+    sorted, distinct arrays.
 
     Texts are cut into words once; what goes on is the few indexed words and phrase places of each,
     frozen on shared storage, then events keyed by (row, template, relative position), which
@@ -163,10 +164,7 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     phrase_post = F.create_map(*(x for n, places in keys.items() for x in (
         F.lit(n), F.array(*(F.struct(F.lit(t).alias("t"), F.lit(a).alias("at")) for t, a in places)))))
 
-    distinct = F.array_distinct(F.transform("hits", lambda h: F.struct((-F.element_at(idf_map, h["word"])).alias("order"), h["word"].alias("word"))))
-    top = F.transform(F.slice(F.array_sort(distinct), 1, LOOKED_UP), lambda s: s["word"])
-    looked = with_hits.select("row", "phrases", F.expr("hits").alias("hits"), top.alias("top"))
-    votes = looked.select("row", F.explode(F.filter("hits", lambda h: F.array_contains("top", h["word"]))).alias("h")).select(
+    votes = with_hits.select("row", F.explode("hits").alias("h")).select(
         "row", F.explode(F.element_at(post, F.col("h.word"))).alias("p"), F.col("h.at").alias("at"), F.element_at(idf_map, F.col("h.word")).alias("w"),
     ).select("row", "p.t", (F.col("at") - F.col("p.at")).alias("offset"), "w", F.lit(0).alias("key"))
     proofs = with_hits.select("row", F.explode("phrases").alias("h")).select(

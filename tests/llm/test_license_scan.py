@@ -52,3 +52,18 @@ def test_query_and_odd_tables(spark, tmp_path):
     assert [r[:6] for r in rows] == [(1, 7, 2, 3, 5, "apache,mit")] * 2 + [(None, 0, 0, None, None, "")]
     assert rows[0][6].split(",") == sorted(set(rows[0][6].split(","))) and rows[2][6] == ""
     assert scan_licenses(frame.where(F.lit(False))).count() == 0
+
+
+def test_notices_in_one_text_do_not_starve_each_other(spark):
+    filler = "the of and in to some other words with no meaning at all "
+    many = [("mit", "bsd"), ("isc", "bsd", "zlib"), ("mpl", "bsd"), ("mit", "isc", "bsd", "gpl"), tuple({label for label, _, _ in TEMPLATES})]
+    whole = {label: max((t for n, t, _ in TEMPLATES if n == label), key=len) for label, _, _ in TEMPLATES}
+    rows = [(i, (filler * 200).join(whole[label] + ". " for label in labels)) for i, labels in enumerate(many)]
+    # words that are rarer than the notice's own, elsewhere in a long text
+    others = "unencumbered mozilla eclipse boost attribution affero creative lesser warranty implied liable damages "
+    rows.append((50, others * 20 + filler * 200 + whole["mit"]))
+    rows += [(100 + i, whole["mit"]) for i in range(30)]
+    got = {r.id: r for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, labels in enumerate(many):
+        assert set(labels) <= set(got[i].labels), (labels, got[i].labels)
+    assert "mit" in got[50].labels and got[50].score == 1
