@@ -46,9 +46,15 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|style|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _CLOSERS = {n: re.compile(rf"</{n}(?=[\s/>])[^>]*>?", re.I) for n in UNSEEN}
 
-#: Log-odds that a container with a customary meaning gives its blocks; weights of the edges to the
-#: next block and to the next one below the same container; capacities are integers of this unit.
-SEED, ADJACENT, PROXIMITY, UNIT = 8.0, 0.7, 0.5, 1000
+#: What a container may mean: nothing, a customary word in a class or id, an element or role made
+#: for it, text that is not shown.
+NOTHING, WORD, TAG, HIDDEN = range(4)
+#: Log-odds that a container's meaning adds to its blocks' classifier scores, which lie within +-LIMIT:
+#: in the article, and left out. Only text that is not shown is beyond what a score and edges outweigh.
+HOME, AWAY, LIMIT = 3.0, (0.0, 3.0, 6.0, 20.0), 5.0
+#: Weights of the edges to the next block and to the next one below the same container; capacities are
+#: integers of this unit.
+ADJACENT, PROXIMITY, UNIT = 0.7, 0.5, 1000
 TRAIN_PAGES = 2000
 #: Coefficients where there is nothing to learn from; one per feature of ``features``.
 PRIOR = (-2.0, 0.9, -4.0, 1.0, 0.8, 1.2, -0.8, -0.3)
@@ -64,28 +70,34 @@ class Block:
         self.name, self.home, self.away, self.parent, self.depth, self.path = frame
 
 
-def _meaning(name: str, attributes: str, home: bool) -> tuple[bool, bool]:
-    """Whether an element marks the article, and whether it marks what is left out."""
-    marks_home, marks_away = name in HOME_NAMES, name in AWAY_NAMES or (name == "header" and not home)
+def _meaning(name: str, attributes: str, home: bool) -> tuple[bool, int, bool]:
+    """Whether an element marks the article, how surely it marks what is left out, and whether it
+    is an article whatever words stand around it."""
+    made = name in HOME_NAMES
+    words_home, away = False, TAG if name in AWAY_NAMES or (name == "header" and not home) else NOTHING
     if attributes and name not in ("html", "body"):
         for key, *values in _ATTRIBUTE.findall(attributes):
             key, value = key.lower(), "".join(values).lower()
             if key == "role":
-                marks_home |= value in ("main", "article")
-                marks_away |= value in AWAY_ROLES
+                made |= value in ("main", "article")
+                away = max(away, TAG * (value in AWAY_ROLES))
             elif key in ("hidden", "aria-hidden"):
-                marks_away |= value != "false"
+                away = max(away, HIDDEN * (value != "false"))
             elif key == "style":
-                marks_away |= "display:none" in value.replace(" ", "") or "visibility:hidden" in value.replace(" ", "")
+                plain = value.replace(" ", "")
+                away = max(away, HIDDEN * ("display:none" in plain or "visibility:hidden" in plain))
             else:
                 for word in value.split():
                     parts = re.split(r"[-_:]+", word)
                     if parts[0] in ("has", "with", "no", "is", "not"):
                         continue
                     own = HOME_WORDS.intersection(parts)
-                    marks_home |= bool(own)
-                    marks_away |= bool(AWAY_WORDS.intersection(parts)) or (bool(EDGE_WORDS.intersection(parts)) and not own and not home)
-    return marks_home, marks_away
+                    words_home |= bool(own)
+                    if AWAY_WORDS.intersection(parts) or (EDGE_WORDS.intersection(parts) and not own and not home):
+                        away = max(away, WORD)
+    if made and away == WORD and words_home:
+        away = NOTHING  # an article that also names, say, its category
+    return made or words_home, away, made and away == NOTHING
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -94,7 +106,7 @@ def blocks_of(page: str) -> list[Block]:
     Unclosed, stray and crossed tags are taken as browsers do, roughly: a closing tag closes all up to
     its element, or nothing; a block closes an open paragraph; items and cells close the one before.
     """
-    frame = ("body", False, False, 0, 0, None)
+    frame = ("body", False, NOTHING, 0, 0, None)
     stack, open_names, made, block = [("", frame)], {}, [], None
     links, at, containers = 0, 0, 0
 
@@ -156,12 +168,14 @@ def blocks_of(page: str) -> list[Block]:
         if name == "a" and open_names.get("a"):
             pop_to("a")
         _, home, away, parent, depth, path = stack[-1][1]
-        marks_home, marks_away = _meaning(name, attributes, home)
+        marks_home, marks_away, overrides = _meaning(name, attributes, home)
+        if overrides and away == WORD:
+            away = NOTHING
         if name in BLOCKS or marks_home or marks_away:
             containers += 1
             if marks_home or marks_away:
                 block = None
-            inner = (name, home or marks_home, away or marks_away, containers, depth + 1, (parent, path))
+            inner = (name, home or marks_home, max(away, marks_away), containers, depth + 1, (parent, path))
         else:
             inner = stack[-1][1]
         if not attributes.endswith("/") or name in BLOCKS:
@@ -184,9 +198,9 @@ def features(block: Block, text: str) -> tuple[float, ...]:
     )
 
 
-def seed(block: Block) -> int:
-    """1 in the article, -1 in what is left out (also inside the article), 0 where nothing says."""
-    return -1 if block.away else 1 if block.home else 0
+def seed(block: Block) -> float:
+    """Above 0 in the article, below in what is left out (also inside the article), 0 where nothing says."""
+    return -AWAY[block.away] if block.away else HOME if block.home else 0.0
 
 
 def distance(a: Block, b: Block) -> int:
@@ -287,9 +301,8 @@ def _augment(odds, names, near):
 def label_blocks(blocks: list[Block], texts: list[str], weights: tuple[float, ...]) -> list[bool]:
     odds, edges, last = [], [], {}
     for i, (block, text) in enumerate(zip(blocks, texts)):
-        said = seed(block)
-        score = said * SEED if said else max(-SEED, min(SEED, sum(w * x for w, x in zip(weights, features(block, text)))))
-        odds.append(round(UNIT * score))
+        score = max(-LIMIT, min(LIMIT, sum(w * x for w, x in zip(weights, features(block, text)))))
+        odds.append(round(UNIT * (score + seed(block))))
         if i:
             edges.append((i - 1, i, round(UNIT * ADJACENT / max(1, distance(blocks[i - 1], block) - 1))))
         up = block.path[0] if block.path else 0
@@ -311,7 +324,7 @@ def main_text(page: str, weights: tuple[float, ...] = PRIOR) -> str:
 
 
 def train(df: DataFrame, html_col: str = "html", train_pages: int = TRAIN_PAGES) -> tuple[float, ...]:
-    """Weights of a logistic classifier for blocks whose containers say nothing.
+    """Weights of a logistic classifier for blocks, to which their containers' meaning is added.
 
     Labelled rows are the blocks of about ``train_pages`` pages (those that hash lowest) whose
     containers do say what they are. Sums for each combination of features, rounded, come to
@@ -325,7 +338,7 @@ def train(df: DataFrame, html_col: str = "html", train_pages: int = TRAIN_PAGES)
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for page in batch.column(0).to_pylist():
-                rows = [(seed(b), *(round(4 * x) for x in features(b, t)))
+                rows = [(1 if seed(b) > 0 else -1, *(round(4 * x) for x in features(b, t)))
                         for b in blocks_of(page) if (t := text_of_block(b)) and seed(b)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()) for c in zip(*rows)], names=names)
@@ -352,8 +365,9 @@ def extract_text(
 ) -> DataFrame:
     """(id, text) per row: the page's main text, blocks in page order joined by a line feed.
 
-    A page is cut into blocks of text at block elements. A block's classifier score, or the customary
-    meaning of its containers, is its capacity towards source (content) or sink (boilerplate); edges
+    A page is cut into blocks of text at block elements. A block's classifier score plus a term for the
+    customary meaning of its containers is its capacity towards source (content) or sink (boilerplate);
+    an article or main element ends what words around it mean, hidden text stays out; edges
     tie it to the next block, the weaker the farther apart they hang in the tree, and to the next one
     under the same grandparent; the minimum cut separates the two. Character references are decoded,
     white space becomes single spaces, and empty blocks go; scripts, styles and markup are never text.

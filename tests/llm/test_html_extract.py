@@ -85,3 +85,28 @@ def test_training_and_odd_tables(spark):
     assert extract.extract_text(frame.where(F.lit(False))).count() == 0
     fitted = extract.train(spark.read.parquet(f"{TABLES}/pages.parquet"))
     assert len(fitted) == len(extract.PRIOR) and fitted != extract.PRIOR and fitted[2] < 0
+
+
+LONG = [f"This is paragraph {i} of a long story, which goes on for a good many words, as a story in a paper commonly does, "
+        "until it has said what there is to say about the matter. Then it goes on, for the matter has more sides than one, and whoever "
+        "reads that far may want to know of all of them, or at least of those that count." for i in range(4)]
+
+
+def test_misleading_wrapper_names_do_not_take_the_article():
+    story = "".join(f"<p>{t}</p>" for t in LONG)
+    nav = "<nav><a href=1>Home</a> <a href=2>News</a></nav>"
+    for page in (
+        f"{nav}<article class='post category-social'><h1>A title</h1>{story}</article>",
+        f"{nav}<div class='content-sidebar-right'><article><h1>A title</h1>{story}</article></div>",
+        f"{nav}<div class='layout-sidebar'><main><h1>A title</h1>{story}</main></div>",
+    ):
+        assert extract.main_text(page).split("\n") == ["A title", *LONG]
+    assert extract.main_text(f"{nav}<div class='layout-sidebar'><div>{story}</div></div>").split("\n") == LONG
+    assert extract.main_text(f"<div hidden><article>{story}</article></div>") == ""
+    assert extract.main_text(f"<main>{story}<section id='comments'><article class='comment'><p>I like it.</p></article></section></main>").split("\n") == LONG
+
+
+def test_unnamed_boilerplate_inside_main_goes():
+    links = "<div><a href=1>Start</a> <a href=2>About us</a> <a href=3>Contact</a></div>"
+    page = f"<main>{links}<h1>A title</h1>" + "".join(f"<p>{t}</p>" for t in LONG) + f"{links}</main>"
+    assert extract.main_text(page).split("\n") == ["A title", *LONG]
