@@ -45,6 +45,8 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|style|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _CLOSERS = {n: re.compile(rf"</{n}(?=[\s/>])[^>]*>?", re.I) for n in UNSEEN}
+#: Elements that a '/' at the end of their tag closes, and that may hold others of their name.
+_NESTED = {n: re.compile(rf"<(/?){n}(?=[\s/>])((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>?", re.I) for n in ("svg", "math")}
 
 #: What a container may mean: nothing, a customary word in a class or id, an element or role made
 #: for it, text that is not shown.
@@ -100,6 +102,19 @@ def _meaning(name: str, attributes: str, home: bool) -> tuple[bool, int, bool]:
     return made or words_home, away, made and away == NOTHING
 
 
+def _end_of(name: str, page: str, at: int) -> int:
+    """Where the unseen element whose tag ends at ``at`` ends; the end of the page without a closer."""
+    if name not in _NESTED:
+        closer = _CLOSERS[name].search(page, at)
+        return closer.end() if closer else len(page)
+    depth = 1
+    for tag in _NESTED[name].finditer(page, at):
+        depth += -1 if tag[1] else not tag[2].endswith("/")
+        if not depth:
+            return tag.end()
+    return len(page)
+
+
 def blocks_of(page: str) -> list[Block]:
     """The text blocks of a page in order, with what their containers mean and where they hang.
 
@@ -153,8 +168,8 @@ def blocks_of(page: str) -> list[Block]:
                 pop_to(name)
             continue
         if name in UNSEEN:
-            closer = _CLOSERS[name].search(page, at)
-            at = closer.end() if closer else len(page)
+            if name not in _NESTED or not (token[3] or token[6] or "").endswith("/"):
+                at = _end_of(name, page, at)
             continue
         if name in VOID:
             if block is not None:

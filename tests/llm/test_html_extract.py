@@ -110,3 +110,9 @@ def test_unnamed_boilerplate_inside_main_goes():
     links = "<div><a href=1>Start</a> <a href=2>About us</a> <a href=3>Contact</a></div>"
     page = f"<main>{links}<h1>A title</h1>" + "".join(f"<p>{t}</p>" for t in LONG) + f"{links}</main>"
     assert extract.main_text(page).split("\n") == ["A title", *LONG]
+
+
+def test_self_closed_and_nested_icons_leave_the_text():
+    for icon in ("<svg class='i'/>", "<svg width=1 />", "<math/>", "<svg><svg><title>a</title></svg><svg/><text>b</text></svg>"):
+        page = f"<article><p>{LONG[0]} {icon}</p><p>{LONG[1]}</p><p>{LONG[2]} <svg><text>c</text></svg></p><p>{LONG[3]}</p></article>"
+        assert extract.main_text(page).split("\n") == LONG
