@@ -83,14 +83,14 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_r
     other, in thousandths of a nat: a square table by places in CHARS, row by row.
 
     Labelled samples: ordinary are the runs of CHARS in the ``train_rows`` documents of smallest
-    hash (rows repeated throughout count as one; they stay where they are read) outside the fixed forms; random are the values in the fixed forms of
+    hash (rows repeated throughout count as one, dealt out over tasks again) outside the fixed forms; random are the values in the fixed forms of
     these, and ``train_rows`` digests of each of four sorts. Both models have half a count more for
     every pair, so an empty table still gives a model.
     """
     spark = df.sparkSession
     texts = df.select(text_of(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"))
-    last = texts.select("h").orderBy("h").limit(train_rows).agg(F.max("h")).first()[0]
-    some = texts.where(F.col("h") <= F.lit(last))
+    last = texts.select("h").distinct().orderBy("h").limit(train_rows).agg(F.max("h")).first()[0]
+    some = texts.where(F.col("h") <= F.lit(last)).dropDuplicates(["h"]).repartition(spark.sparkContext.defaultParallelism)
     fixed = f"{ASSIGN}|{ACCESS}|[0-9a-f]{{{LEAST['hex']},}}"
     ordinary = some.select(
         F.explode(F.regexp_extract_all(F.regexp_replace("text", fixed, " "), F.lit(RUN % 4), F.lit(0))).alias("w")

@@ -82,3 +82,10 @@ def test_query_and_odd_tables(spark, tmp_path):
         joined = ",".join(f"{k}:{s}:{e}" for s, _, e, k in slow_base(text))
         assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
     assert scan.find_secrets(frame.where(F.lit(False))).count() == 0
+
+
+def test_a_repeated_row_does_not_fill_the_training_sample(spark):
+    docs = spark.createDataFrame([(i, f"the word{i} isordinary{i * 7} text") for i in range(60)], "doc_id long, text string").cache()
+    first = docs.orderBy(F.xxhash64("doc_id", "text")).limit(1)
+    often = docs.unionByName(first.crossJoin(spark.range(200)).select("doc_id", "text"))
+    assert scan.train(often, train_rows=20) == scan.train(docs, train_rows=20)
