@@ -20,7 +20,8 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter or without a language for a third of their letters.
+    """Drops documents without a letter, without a language for a third of their letters, or mostly in
+    scripts that no learned language uses.
 
     The model learns from the documents that name their language. Null texts go.
     """

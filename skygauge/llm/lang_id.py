@@ -16,6 +16,8 @@ TRAIN_ROWS, BUCKETS, SIZES = 3000, 1 << 17, (1, 2, 3, 4)
 #: Nats lost at every change of language, weight of the overlapping n-grams, chunk of the search.
 PENALTY, WEIGHT, CHUNK = 8.0, 0.5, 32
 KEEP = 300_000
+#: Letters in scripts of no learned language that are evidence of another language: one may be a symbol.
+EVIDENCE = 2
 UNKNOWN = "und"
 
 #: First code points of runs of one script (fixed values, Unicode blocks), in order.
@@ -76,6 +78,11 @@ class Model:
         """What a task needs to build the model again, in types that every executor knows."""
         return self.languages, self.table, self.scripts
 
+    def foreign(self, words: list[str]) -> np.ndarray:
+        """Whether each word has letters, but of a script that no learned language uses."""
+        script = np.array([script_of(w) for w in words], np.int64)
+        return (script >= 0) & ~self.scripts[script].any(1)
+
     def scores(self, words: list[str]) -> np.ndarray:
         """One row per word: its score per language; languages of other scripts are far below."""
         bucket, owner = features(words)
@@ -202,6 +209,7 @@ class Labeller:
     def _forget(self):
         self.known: dict[str, int] = {}
         self.rows = np.empty((0, len(self.model.languages)), np.float32)
+        self.strange = np.empty(0, bool)
 
     def __call__(self, texts: list[str]):
         """Per text: language, share of its letters, and arrays of spans' offsets, languages, first words, counts."""
@@ -212,6 +220,7 @@ class Labeller:
         if new and self.model.languages:
             self.known.update(zip(new, range(len(self.rows), len(self.rows) + len(new))))
             self.rows = np.concatenate([self.rows, self.model.scores(new)])
+            self.strange = np.concatenate([self.strange, self.model.foreign(new)])
         lengths = np.array([len(w) for w in cut], np.int64) if self.model.languages else np.zeros(len(cut), np.int64)
         count, languages = int(lengths.sum()), len(self.model.languages)
         words = [w for part in cut for w in part] if count else []
@@ -221,6 +230,9 @@ class Labeller:
         label = viterbi(self.rows[row], lengths, self.penalty) if count else np.empty(0, np.int64)
         letters = np.bincount(text * max(1, languages) + label, size, len(cut) * max(1, languages)).reshape(len(cut), -1)
         whole = letters.sum(1)
+        # of the texts last labelled: how many of their letters stand in words of foreign scripts, and their share
+        self.foreign = np.bincount(text, size * self.strange[row], len(cut))
+        self.foreign_share = self.foreign / np.maximum(1, whole)
         share = letters.max(1) / np.maximum(1, whole)
         none = np.array([not n or not any(c.isalpha() for w in part for c in w) for n, part in zip(whole, cut)], bool)
         top = np.where(none, languages, letters.argmax(1))
@@ -265,7 +277,8 @@ def label_languages(
 
 
 def keep_identified(df: DataFrame, model: Model, text_col: str = "text", least: float = 1 / 3) -> DataFrame:
-    """The rows, with all their columns, whose text has a language with ``least`` of its letters."""
+    """The rows, with all their columns, whose text has a language with ``least`` of its letters, and not
+    most of them (EVIDENCE or more) in scripts that no learned language uses."""
     sent = df.sparkSession.sparkContext.broadcast(model.parts())
     column = df.columns.index(text_col)
 
@@ -278,7 +291,8 @@ def keep_identified(df: DataFrame, model: Model, text_col: str = "text", least:
             keep = []
             for part in slices(pair, 4 << 20):
                 lang, score, _ = label([t or "" for t in part.column(1).to_pylist()])
-                keep += [l != UNKNOWN and s >= least for l, s in zip(lang, score)]
+                other = (label.foreign >= EVIDENCE) & (label.foreign_share > 0.5)
+                keep += [l != UNKNOWN and s >= least and not o for l, s, o in zip(lang, score, other)]
             if any(keep):
                 yield batch.filter(pa.array(keep, pa.bool_()))
 

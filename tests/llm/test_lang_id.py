@@ -77,3 +77,14 @@ def test_mixed_texts_scripts_and_odd_rows(spark, tmp_path):
     assert lang_id.label_languages(frame.limit(0), model).count() == 0
     nothing = lang_id.train(table.limit(0))
     assert {r.lang_pred for r in lang_id.label_languages(frame, nothing).collect()} == {"und"}
+
+
+def test_texts_in_scripts_of_no_learned_language_go(spark):
+    docs = spark.read.parquet(f"{TABLES}/documents.parquet").select("doc_id", "text", "lang")
+    model = lang_id.train(docs)
+    english = docs.where("lang = 'en' and length(text) > 500").first().text[:300]
+    planted = [(1, "это текст на языке, которого модель не знает", None), (2, "这是一个模型不认识的语言的文本", "en"), (3, "да", None),
+               (4, english + " это слово", None), (5, "α", None), (6, english, None), (7, "это " * 200 + english, "en")]
+    kept = lang_id.keep_identified(spark.createDataFrame(planted, "doc_id long, text string, lang string"), model).collect()
+    assert sorted(r.doc_id for r in kept) == [4, 5, 6]
+    assert lang_id.keep_identified(docs, model).count() == docs.where("text rlike '[A-Za-z]'").count()
