@@ -8,6 +8,7 @@ from skygauge.llm.bpe import encode_decode
 from skygauge.llm.common import table
 from skygauge.llm.decontam import overlaps
 from skygauge.llm.embed_dedup import embedding_dedup
+from skygauge.llm.fill_middle import fill_in_middle
 from skygauge.llm.registry import ORACLES, QUERIES, register  # noqa: F401
 from skygauge.llm.html_extract import extract_text
 from skygauge.llm.license_scan import scan_licenses
@@ -121,3 +122,21 @@ def op8(spark, folder):
 def op2(spark, folder):
     found = extract_text(table(spark, folder, "pages"), F.struct("page_id", "url"))
     return found.select("id.page_id", "id.url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+_OP12 = r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+    list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(sha256('1:' || coalesce(doc_id::VARCHAR, '')), i, 8))::BIGINT) AS h FROM documents),
+  c AS (SELECT *, least(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS a, greatest(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 90 THEN 'plain'
+      WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM t),
+  p AS (SELECT *, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle, array_to_string(u[b + 1:], '') AS suffix FROM c)
+SELECT doc_id, len(u)::BIGINT AS n, form,
+  CASE WHEN form <> 'plain' THEN length(prefix) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(prefix || middle || suffix) AS restored_sha256 FROM p"""
+
+
+@register("op12_fill_in_middle", _OP12)
+def op12(spark, folder):
+    return fill_in_middle(table(spark, folder, "documents"), outputs=False).withColumnRenamed("id", "doc_id")
