@@ -13,6 +13,7 @@ from skygauge.llm.registry import ORACLES, QUERIES, register  # noqa: F401
 from skygauge.llm.html_extract import extract_text
 from skygauge.llm.license_scan import scan_licenses
 from skygauge.llm.lm_score import cross_entropy_difference
+from skygauge.llm.mixing import mix, with_targets, words_taken
 from skygauge.llm.secret_scan import find_secrets, listed
 from skygauge.llm.simhash import simhash_dedup
 from skygauge.llm.token_count import count_tokens
@@ -140,3 +141,25 @@ SELECT doc_id, len(u)::BIGINT AS n, form,
 @register("op12_fill_in_middle", _OP12)
 def op12(spark, folder):
     return fill_in_middle(table(spark, folder, "documents"), outputs=False).withColumnRenamed("id", "doc_id")
+
+
+# The place of a row in its source's shuffle and the source's rounded target say what is taken of it.
+_OP11 = r"""WITH d AS (SELECT doc_id, source, source IS NULL AS gone, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+  s AS (SELECT gone, source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY gone, source) - 1 AS rank FROM d GROUP BY gone, source),
+  w AS (SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][rank % 3 + 1] AS weight, source_size * 2.0::DOUBLE AS cap FROM s),
+  l AS (SELECT *, (1.5::DOUBLE * (SELECT sum(source_size) FROM s)::DOUBLE
+      - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+    FROM w WINDOW o AS (ORDER BY cap / weight, rank)),
+  t AS (SELECT gone, source, source_size, least(cap, weight * (SELECT min_by(level, (cap / weight, rank)) FROM l WHERE level * weight <= cap)) AS target FROM l),
+  p AS (SELECT d.*, source_size, target, pass, pass * source_size + coalesce(sum(size) OVER (PARTITION BY d.gone, d.source, pass
+      ORDER BY md5('1:' || pass || ':' || coalesce(doc_id::VARCHAR, '')), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+    FROM d JOIN t ON d.gone = t.gone AND d.source IS NOT DISTINCT FROM t.source, range(2) r(pass))
+SELECT doc_id, size, source_size, target, sum(greatest(0, least(start + size, round(target)::BIGINT) - start))::BIGINT AS taken
+FROM p GROUP BY doc_id, source, size, source_size, target"""
+
+
+@register("op11_source_mixing", _OP11)
+def op11(spark, folder):
+    rows, spans, sources = mix(table(spark, folder, "documents"))
+    taken = with_targets(words_taken(rows, spans), sources)
+    return taken.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
