@@ -16,6 +16,7 @@ from skygauge.llm.lm_score import cross_entropy_difference
 from skygauge.llm.mixing import mix, with_targets, words_taken
 from skygauge.llm.secret_scan import find_secrets, listed
 from skygauge.llm.simhash import simhash_dedup
+from skygauge.llm.spelling import group_spellings
 from skygauge.llm.token_count import count_tokens
 
 
@@ -163,3 +164,8 @@ def op11(spark, folder):
     rows, spans, sources = mix(table(spark, folder, "documents"))
     taken = with_targets(words_taken(rows, spans), sources)
     return taken.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+@register("op13_spelling_variants")
+def op13(spark, folder):
+    return group_spellings(table(spark, folder, "documents"))
