@@ -4,6 +4,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ RUN, SHORTEST, LEAST, TIMES = r"[A-Za-zÀ-ÿ]", 6, 5, 5
 NOISE = 199
 #: Letters with a group of their own; groups that the others share, by code point; words of a subtree that
 #: one task holds, and subtrees at most at each depth; words of a leaf.
-LETTERS, SHARED, SUBTREE, SUBTREES, LEAF = 60, 4, 1024, 1 << 14, 6
+LETTERS, SHARED, SUBTREE, SUBTREES, LEAF = 60, 4, 4096, 1 << 14, 16
 _SMALL, _CAPITAL = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -79,52 +80,87 @@ def one_edit(a: str, b: str) -> bool:
     return a[i + 1:] == b[i + 1:] if len(a) == len(b) else a[i:] == b[i + 1:]
 
 
-def steps(count: int, surplus: int, deficit: int, spent: bool) -> tuple:
-    """(count, surplus left, deficit left, spent) of the children that a word with ``count`` at this level visits.
+#: What a search has left: a surplus and a deficit, a surplus, a deficit (its surplus spent), nothing.
+BOTH, SURPLUS, DEFICIT, NOTHING = range(4)
+
+
+def steps(count: int, state: int) -> tuple:
+    """(count, what is left) of the children that a word with ``count`` at this level visits.
 
     Each pair of words is looked for from the smaller vector, so a surplus is spent first.
     """
-    own = (count, surplus, deficit, spent)
-    if not spent:
-        return (own, (count + 1, surplus - 1, deficit, True)) if surplus else (own,)
-    return (own, (count - 1, surplus, deficit - 1, True)) if deficit and count else (own,)
+    own = (count, state)
+    if state < DEFICIT:
+        return own, (count + 1, state + 2)
+    return (own, (count - 1, NOTHING)) if state == DEFICIT and count else (own,)
 
 
 def start(size: int) -> tuple:
     """The first level is the group of all letters: a replaced letter keeps their number and is one
     surplus and one deficit, an inserted one raises it and is one surplus."""
-    own = (size, 1, 1, False)
-    return (own, (size + 1, 1, 0, False)) if size < 255 else (own,)
+    return ((size, BOTH), (size + 1, SURPLUS)) if size < 255 else ((size, BOTH),)
 
 
 class Trie:
-    """Words by successive counts of their vectors, from a level on; leaves hold LEAF words or equal vectors."""
+    """Words by successive counts of their vectors, from a level on; leaves hold LEAF words or equal vectors.
+
+    Many words search together: each step of the depth-first search takes those whose budget reaches a child.
+    """
 
     def __init__(self, words: list[tuple[bytes, str]], level: int, size: int):
-        self.size, self.level = size, level
-        self.root = self._grow(words, level)
-
-    def _grow(self, words, level):
-        if len(words) <= LEAF or level >= self.size:
-            return words
-        children = defaultdict(list)
-        for w in words:
-            children[at(w[0], level)].append(w)
-        return {count: self._grow(own, level + 1) for count, own in children.items()}
-
-    def near(self, vector: bytes, word: str, surplus: int, deficit: int, spent: bool) -> Iterator[str]:
-        """Words after this one (by vector, then word) that are one edit away."""
-        stack = [(self.root, self.level, surplus, deficit, spent)]
+        self.words, self.level, self.size = words, level, size
+        self.counts, self.ends = _matrix([vector for vector, _ in words], size), _ends([word for _, word in words])
+        self.root = self._grow(np.arange(len(words)), level)
+
+    def _grow(self, members: np.ndarray, level: int):
+        if len(members) <= LEAF or level >= self.size:
+            return members
+        counts = self.counts[members, level]
+        return {int(c): self._grow(members[counts == c], level + 1) for c in np.unique(counts)}
+
+    def near(self, words: list[tuple[bytes, str]], states: np.ndarray) -> Iterator[tuple[str, str]]:
+        """(word, other) for all words of the trie after one of ``words`` (by vector, then word) that are one edit away.
+
+        ``states`` says what a word has left: 0 a surplus and a deficit, 1 a surplus, 2 a deficit, 3 nothing.
+        """
+        counts, ends = _matrix([vector for vector, _ in words], self.size), _ends([word for _, word in words])
+        stack = [(self.root, self.level, np.arange(len(words)), states)]
         while stack:
-            node, level, surplus, deficit, spent = stack.pop()
-            if type(node) is list:
-                for other in node:
-                    if (vector, word) < other and one_edit(word, other[1]):
-                        yield other[1]
+            node, level, own, state = stack.pop()
+            if not isinstance(node, dict):
+                yield from self._verified(node, words, counts, ends, own)
                 continue
-            for count, *left in steps(at(vector, level), surplus, deficit, spent):
-                if count in node:
-                    stack.append((node[count], level + 1, *left))
+            for count, child in node.items():
+                more = count - counts[own, level]
+                here = (more == 0) | (more == 1) & (state < 2) | (more == -1) & (state == 2)
+                if here.any():
+                    more, left = more[here], state[here]
+                    stack.append((child, level + 1, own[here], np.where(more == 0, left, np.where(more == 1, left + 2, 3))))
+
+    def _verified(self, members, words, counts, ends, own, block: int = 4096):
+        """One edit leaves the first or the last letters as they are, and changes two counts at most."""
+        for some in np.split(own, range(block, len(own), block)):
+            same = (self.ends[members][None] == ends[some][:, None]).any(2)
+            i, k = np.nonzero(same | (ends[some, 0] == 0)[:, None])
+            i, k = some[i], members[k]
+            more = self.counts[k, 1:] - counts[i, 1:]
+            fits = (np.maximum(more, 0).sum(1) <= 1) & (np.maximum(-more, 0).sum(1) <= 1)
+            for x, y in zip(i[fits], k[fits]):
+                word, other = words[x], self.words[y]
+                if word < other and one_edit(word[1], other[1]):
+                    yield word[1], other[1]
+
+
+def _ends(words: list[str]) -> np.ndarray:
+    """The first and the last three letters of each word as numbers; 0 for words shorter than six."""
+    long = [w if len(w) >= 6 else "\0" * 6 for w in words]
+    codes = np.array([[*map(ord, w[:3]), *map(ord, w[-3:])] for w in long], np.int64).reshape(-1, 2, 3)
+    return codes[..., 0] << 42 | codes[..., 1] << 21 | codes[..., 2]
+
+
+def _matrix(vectors: list[bytes], size: int) -> np.ndarray:
+    packed = b"".join(v.ljust(size, b"\0") for v in vectors)
+    return np.frombuffer(packed, np.uint8).reshape(len(vectors), size).astype(np.int16)
 
 
 def _variants(word: str) -> Iterator[str]:
@@ -150,17 +186,42 @@ class Splitter:
         return padded, True
 
     def visits(self, vector: bytes) -> Iterator[tuple]:
-        """(prefix, surplus left, deficit left, spent, is a single large vector) of all subtrees within the budget."""
-        stack = [(bytes([count]), *left) for count, *left in start(vector[0])]
+        """(prefix, what is left, is a single large vector) of all subtrees within the budget."""
+        stack = [(bytes([count]), left) for count, left in start(vector[0])]
         while stack:
-            prefix, *left = stack.pop()
+            prefix, left = stack.pop()
             if prefix not in self.large or len(prefix) == self.groups.size:
-                yield prefix, *left, prefix in self.large
+                yield prefix, left, prefix in self.large
             else:
-                stack += [(prefix + bytes([count]), *rest) for count, *rest in steps(at(vector, len(prefix)), *left) if count < 256]
+                stack += [(prefix + bytes([count]), rest) for count, rest in steps(at(vector, len(prefix)), left) if count < 256]
+
+
+def _large_prefixes(words: DataFrame, groups: Groups, limit: int, depths: int = 8) -> set[bytes]:
+    """Prefixes of vectors that more than ``limit`` words have; ``depths`` levels are counted at a time, from
+    the second time on for the words below large prefixes only."""
+    large: set[bytes] = set()
+    for depth in range(0, groups.size, depths):
+        known, last = frozenset(large), min(depth + depths, groups.size)
+
+        def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                seen = defaultdict(int)
+                for word in batch.column(0).to_pylist():
+                    vector = groups.vector(word).ljust(groups.size, b"\0")
+                    if not depth or vector[:depth] in known:
+                        for end in range(depth + 1, last + 1):
+                            seen[vector[:end]] += 1
+                yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], names=["prefix", "n"])
+
+        counted = words.mapInArrow(prefixes, "prefix binary, n long").groupBy("prefix").agg(F.sum("n").alias("n"))
+        new = {bytes(r.prefix) for r in counted.where(F.col("n") > limit).collect()}
+        large |= new
+        if not any(len(p) == last for p in new):
+            break
+    return large
 
 
-_ROW = "node binary, visits boolean, word string, vector binary, surplus byte, deficit byte, spent boolean, variant string"
+_ROW = "node binary, visits boolean, word string, vector binary, left byte, variant string"
 
 
 def near_pairs(words: DataFrame, subtree: int = SUBTREE) -> DataFrame:
@@ -180,17 +241,7 @@ def near_pairs(words: DataFrame, subtree: int = SUBTREE) -> DataFrame:
     groups = Groups(letters)
     limit = max(subtree, words.count() // SUBTREES)
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen = defaultdict(int)
-            for word in batch.column(0).to_pylist():
-                vector = groups.vector(word).ljust(groups.size, b"\0")
-                for depth in range(1, groups.size + 1):
-                    seen[vector[:depth]] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], names=["prefix", "n"])
-
-    counted = words.mapInArrow(prefixes, "prefix binary, n long").groupBy("prefix").agg(F.sum("n").alias("n"))
-    splitter = Splitter(groups, [bytes(r.prefix) for r in counted.where(F.col("n") > limit).collect()])
+    splitter = Splitter(groups, _large_prefixes(words, groups, limit))
     sent = words.sparkSession.sparkContext.broadcast(splitter)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,33 +253,30 @@ def near_pairs(words: DataFrame, subtree: int = SUBTREE) -> DataFrame:
                     vector = known.groups.vector(word)
                     home, large = known.home(vector)
                     spread = _variants(word) if large else [None]
-                    rows += [(home + _part(v), False, word, vector, 0, 0, False, v) for v in spread]
-                    for prefix, surplus, deficit, spent, large in known.visits(vector):
+                    rows += [(home + _part(v), False, word, vector, BOTH, v) for v in spread]
+                    for prefix, left, large in known.visits(vector):
                         for v in _variants(word) if large else [None]:
-                            rows.append((prefix + _part(v), True, word, vector, surplus, deficit, spent, v))
+                            rows.append((prefix + _part(v), True, word, vector, left, v))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], names=_NAMES)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        node, held, trie, size = None, [], None, sent.value.groups.size
+        node, held, known, size = None, [], None, sent.value.groups.size
         for batch in batches:
-            found = []
-            for own, visits, word, vector, surplus, deficit, spent, variant in zip(*(c.to_pylist() for c in batch.columns)):
-                if own != node:
-                    node, held, trie = own, [], None
-                if not visits:
-                    held.append((vector, word, variant))
-                elif not held:
-                    continue
-                elif variant is not None:
-                    if type(trie) is not defaultdict:
-                        trie = defaultdict(list)
-                        for v, w, key in held:
-                            trie[key].append((v, w))
-                    found += {(word, w) for v, w in trie.get(variant, ()) if (vector, word) < (v, w) and one_edit(word, w)}
-                else:
-                    if trie is None:
-                        trie = Trie([h[:2] for h in held], len(own), size)
-                    found += ((word, w) for w in trie.near(vector, word, surplus, deficit, spent))
+            found, columns = [], [c.to_pylist() for c in batch.columns]
+            ends = [i + 1 for i in range(batch.num_rows - 1) if columns[0][i] != columns[0][i + 1] or columns[1][i] != columns[1][i + 1]]
+            for begin, end in zip([0, *ends], [*ends, batch.num_rows]):
+                own, visits, words, vectors, left, variants = (c[begin:end] for c in columns)
+                if own[0] != node:
+                    node, held, known = own[0], [], None
+                rows = list(zip(vectors, words))
+                if not visits[0]:
+                    held += zip(rows, variants)
+                elif held and variants[0] is not None:
+                    known = known or _shared(held)
+                    found += {(w[1], o[1]) for w, v in zip(rows, variants) for o in known.get(v, ()) if w < o and one_edit(w[1], o[1])}
+                elif held:
+                    known = known or Trie([row for row, _ in held], len(node), size)
+                    found += known.near(rows, np.array(left, np.int8))
             yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.string()) for i in (0, 1)], names=["a", "b"])
 
     dealt = words.mapInArrow(deal, _ROW).repartition("node").sortWithinPartitions("node", "visits")
@@ -241,8 +289,15 @@ def _part(variant: str | None) -> bytes:
     return b"" if variant is None else zlib.crc32(variant.encode()).to_bytes(4, "big")
 
 
+def _shared(held: list) -> dict:
+    known = defaultdict(list)
+    for row, variant in held:
+        known[variant].append(row)
+    return known
+
+
 _NAMES = [c.split()[0] for c in _ROW.split(", ")]
-_TYPES = [pa.binary(), pa.bool_(), pa.string(), pa.binary(), pa.int8(), pa.int8(), pa.bool_(), pa.string()]
+_TYPES = [pa.binary(), pa.bool_(), pa.string(), pa.binary(), pa.int8(), pa.string()]
 
 
 def variant_forms(words: DataFrame, pairs: DataFrame, times: int = TIMES) -> DataFrame:

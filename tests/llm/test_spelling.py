@@ -3,6 +3,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from skygauge.llm import spelling as S
@@ -94,12 +95,10 @@ def test_search_finds_each_pair_from_its_smaller_vector():
     words = sorted({"".join(rng.choices("abcd", k=rng.randrange(3, 6))) for _ in range(300)})
     groups = S.Groups(list("abcd"))
     vectors = [(groups.vector(w), w) for w in words]
-    trie = S.Trie(vectors, 0, groups.size)
-    found = [(w, o) for v, w in vectors for count, *left in S.start(len(w)) if count in trie.root for o in _under(trie, count, v, w, left)]
+    found = []
+    for n in range(3, 6):
+        trie = S.Trie([v for v in vectors if v[0][0] == n], 1, groups.size)
+        for state in (S.BOTH, S.SURPLUS):
+            some = [v for v in vectors if (n, state) in S.start(v[0][0])]
+            found += trie.near(some, np.full(len(some), state))
     assert len(found) == len(set(found)) and {tuple(sorted(f)) for f in found} == slow_pairs(set(words))
-
-
-def _under(trie, count, vector, word, left):
-    part = S.Trie([], 1, trie.size)
-    part.root = trie.root[count]
-    return part.near(vector, word, *left)
