@@ -7,6 +7,8 @@ from skygauge.llm.common import settle
 
 #: Words of a block; rows (units, slots) that one task orders; passes over a source at most.
 BLOCK_WORDS, PIECE_ROWS, PASSES = 1024, 50_000, 2
+#: Buckets of a source at least.
+BUCKETS = 64
 WORDS = r"[^\x20\x09-\x0D]+"
 _SOURCE = ("no_source", "source")
 
@@ -82,7 +84,7 @@ def schedule(sources: DataFrame) -> DataFrame:
     first = F.col("first_point")
     points = _spread(sources.where("blocks > 0"), first, first + F.col("blocks") - 1, "point", deal=True)
     slots = points.select(*_SOURCE, F.conv(F.reverse(F.lpad(F.bin("point"), bits, "0")), 2, 10).cast("long").alias("slot"))
-    width = (1 << bits) // max(1, blocks // PIECE_ROWS)
+    width = max(1, (1 << bits) // max(BUCKETS, blocks // PIECE_ROWS))
     return _placed(slots, list(_SOURCE), ["slot"], F.lit(1), F.floor(F.col("slot") / width), "block")
 
 
@@ -119,7 +121,7 @@ def mix(
     before = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
     sources = settle(targets.withColumn("first_point", F.coalesce(F.sum("blocks").over(before), F.lit(0))))
 
-    buckets = max(1, units.count() // PIECE_ROWS)
+    buckets = max(BUCKETS, units.count() // PIECE_ROWS)
     passes = units.where("size > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(PASSES - 1))))
     key = F.md5(F.concat_ws(":", F.lit(seed), "pass", F.coalesce(F.col("id").cast("string"), F.lit(""))).cast("binary"))
     bucket = F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * buckets / float(1 << 32))
