@@ -158,7 +158,8 @@ def flags(df):
 
 @register("anomaly_flags", _FLAGS_EACH)
 def anomaly_flags(spark, sf_dir):
-    out = A.detect(readings(spark, sf_dir))
+    columns = ["event_id", "event_ts", "city", "source", *V.FEATURES]
+    out = A.detect(readings(spark, sf_dir).select(columns))
     each = {f"z_{f}": F.col("anomaly.feature_scores")[f] for f in V.FEATURES}
     return rounded(out.select(
         "event_id", "anomaly.is_anomaly", "anomaly.method", "anomaly.score", *[c.alias(n) for n, c in each.items()]

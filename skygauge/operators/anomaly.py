@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from skygauge import fixed_values as V
 from skygauge.functions.scalars import iso_utc
 from skygauge.operators.ordered import trailing_moments, trailing_moments_split
+from skygauge.operators.rolling import zscore_rows
 
 # Rows of one task where keys are cut into pieces.
 PIECE_ROWS = 500_000
@@ -61,17 +62,6 @@ def anomaly_struct(z: dict[str, Column], threshold: float = V.ZSCORE_THRESHOLD)
     )
 
 
-def zscore_events(
-    long: DataFrame, id_col: str = "event_id", features=V.FEATURES,
-    threshold: float = V.ZSCORE_THRESHOLD,
-) -> DataFrame:
-    """One row per event id with its ``anomaly`` struct."""
-    wide = long.groupBy(id_col).agg(*[
-        F.max(F.when(F.col("feature") == f, F.col("z"))).alias(f) for f in features
-    ])
-    return wide.select(id_col, anomaly_struct({f: F.col(f) for f in features}, threshold).alias("anomaly"))
-
-
 def unscored(method: str, features=()) -> Column:
     """Result of an event that could not be scored."""
     pairs = [p for f in features for p in (F.lit(f), F.lit(None).cast("double"))]
@@ -93,16 +83,19 @@ def detect(
     order=("event_ts", "event_id"), features=V.FEATURES, threshold: float = V.ZSCORE_THRESHOLD,
     iforest_options: dict | None = None, **options,
 ) -> DataFrame:
-    """Adds ``anomaly``. The Isolation Forest runs if asked for and enabled, else z-scores."""
+    """Adds ``anomaly``. The Isolation Forest runs if asked for and enabled, else z-scores (``zscore_rows``).
+
+    Z-scores are made on the event's own row, in one shuffle of the columns of ``df``.
+    """
     if method.lower() == "isolation_forest" and enabled:
         from skygauge.operators.iforest import iforest_detect
 
         return iforest_detect(
             df, id_col=id_col, order=order, features=features, **(iforest_options or {})
         )
-    long = zscore_long(df, id_col, order, features, **options)
-    scores = zscore_events(long, id_col, features, threshold)
-    return attach(df, scores, id_col, unscored("zscore", features))
+    scored = zscore_rows(df, order, features, **options)
+    z = {f: F.col(f"z_{f}") for f in features}
+    return scored.withColumn("anomaly", anomaly_struct(z, threshold)).drop(*[f"z_{f}" for f in features])
 
 
 def anomaly_events(df: DataFrame, now=None, timestamp: str = "timestamp") -> DataFrame:

@@ -13,8 +13,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from skygauge import fixed_values as V
 from skygauge.operators.anomaly import anomaly_struct, key_text, unscored
 from skygauge.operators.iforest import METHOD, Forest
+from skygauge.operators.rolling import rolling_z
 
-_ROWS_AT_ONCE = 4096
 _PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -23,30 +23,6 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", _PROVIDER)
 
 
-def rolling_z(past, new, window: int, min_samples: int):
-    """z of each new value against the up to ``window`` values before it.
-
-    Returns the scores and which of them exist.
-    """
-    values = np.concatenate([past, new])
-    padded = np.concatenate([np.zeros(window), values])
-    z = np.zeros(len(new))
-    counts = np.minimum(np.arange(len(past), len(values)), window)
-    frames = np.lib.stride_tricks.sliding_window_view(padded, window)
-    for at in range(0, len(new), _ROWS_AT_ONCE):
-        rows = slice(at, min(at + _ROWS_AT_ONCE, len(new)))
-        first = len(past) + at
-        frame = frames[first:first + rows.stop - at]
-        n = counts[rows]
-        inside = np.arange(window)[None, :] >= window - n[:, None]
-        with np.errstate(all="ignore"):
-            mean = frame.sum(axis=1) / n
-            off = np.where(inside, frame - mean[:, None], 0.0)
-            sd = np.sqrt((off * off).sum(axis=1) / np.maximum(n - 1, 1))
-            z[rows] = np.where(sd <= V.ZSCORE_FLAT_SD, 0.0, (new[rows] - mean) / sd)
-    return z, counts >= min_samples
-
-
 class _InArrivalOrder(StatefulProcessor):
     """Hands a key's rows of the micro-batch over in arrival order."""
 
