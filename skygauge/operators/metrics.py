@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from skygauge import fixed_values as V
 from skygauge.functions.scalars import event_ts_ms, iso_utc
-from skygauge.operators.ordered import exact_quantiles
+from skygauge.operators.ordered import bracket_counts, bracket_quantiles, quantile_brackets
 
 
 def latency_ms(processed: Column, event: Column) -> Column:
@@ -139,20 +139,22 @@ _SUMMARY = (
 def metrics_summary(metrics: DataFrame, approximate: bool = False) -> DataFrame:
     """Events, median and 95th percentile of throughput and latency over the windows.
 
-    Exact by default, by a distributed sort. ``approximate`` takes one pass with mergeable
-    sketches and is the choice for a live view of a large log.
+    Exact by default, in two passes over the windows (``exact_quantiles``). ``approximate`` takes one pass with
+    mergeable sketches and is the choice for a live view of a large log.
     """
     sums = [F.sum("window_messages").alias("events"), F.count(F.lit(1)).alias("windows")]
     if approximate:
         return metrics.agg(*sums, *[F.percentile_approx(c, p, 10000).alias(name) for c, p, name in _SUMMARY])
-    wide = exact_quantiles(metrics, ["throughput_mps", "avg_latency_ms"], [0.5, 0.95]).agg(*[
-        F.max(F.when((F.col("metric") == c) & (F.col("probability") == p), F.col("value"))).alias(name)
-        for c, p, name in _SUMMARY
-    ])
-    # One row each; the quantiles come in as a scalar subquery, not through a join.
-    names = [name for _, _, name in _SUMMARY]
-    row = wide.select(F.struct(*names)).scalar()
-    return metrics.agg(*sums).select("events", "windows", *[row[n].alias(n) for n in names])
+    columns = ["throughput_mps", "avg_latency_ms"]
+    brackets = quantile_brackets(metrics, columns, [0.5, 0.95])
+    counted = bracket_counts(metrics, columns, brackets, F.sum("window_messages").alias("events"))
+    # every window has one count under each metric
+    mine = F.col("metric") == columns[0]
+    row = bracket_quantiles(
+        counted, brackets, F.sum(F.when(mine, F.col("events"))).alias("events"), F.coalesce(F.sum(F.when(mine, F.col("f"))), F.lit(0)).alias("windows"))
+    place = {(c, p): f"{c}_{i}" for c, own in brackets.items() for i, (p, *_) in enumerate(own)}
+    return row.select("events", "windows", *[
+        (F.col(place[c, p]) if (c, p) in place else F.lit(None).cast("double")).alias(name) for c, p, name in _SUMMARY])
 
 
 def zone_volume(files: DataFrame) -> DataFrame:

@@ -5,7 +5,9 @@ that the rows get a dense position in the global order instead, and work is cut
 pieces of equal size that do not care where a key starts or ends.
 """
 
-from pyspark.sql import DataFrame, Window, functions as F
+import math
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from skygauge.sources.shared import materialise
 
@@ -131,68 +133,127 @@ def top_rows(
     return limit(first, list(keys)).withColumnRenamed("_rank", "rank")
 
 
-def exact_quantiles(df: DataFrame, columns, probabilities, few_values: bool = False) -> DataFrame:
-    """Exact quantiles with linear interpolation, one row per (metric, probability).
+#: Steps from a quantile, as shares of the values, at which the sketch is asked for bounds.
+_STEPS = (0.01, 0.1)
+#: Points of the sketch of a bracket that is narrowed.
+_POINTS = 256
+
+
+def _number(column: str) -> Column:
+    x = F.col(column).cast("double")
+    return F.when(~F.isnan(x), x)
+
 
-    Equal values collapse into counts first. Nothing is gathered per metric: values are sorted
-    across the cluster and the two neighbours of each quantile are picked by their position.
-    ``few_values`` is for metrics that are known to have few distinct values: one aggregate over
-    the counts does the rest, with the same result.
+def quantile_brackets(
+    df: DataFrame, columns, probabilities, accuracy: int = 10_000, bracket_rows: int = 1_000_000,
+) -> dict[str, list[tuple]]:
+    """For each column with values: (probability, rank, low, high), the values that hold the quantile's neighbours.
+
+    One pass makes a mergeable sketch per column, whose ranks are known to err by less than the
+    number of values over ``accuracy``; bounds four times that away are sure to hold the neighbours. Of
+    very many values a bracket may still hold more than ``bracket_rows``: further passes count
+    below and inside it and sketch its inside only, each time some hundred times narrower.
+    """
+    columns, probabilities = list(columns), list(probabilities)
+    near = 8.0 / accuracy
+    asked = sorted({min(1.0, max(0.0, p + sign * s)) for p in probabilities for s in (near, *_STEPS) for sign in (-1, 1)} | {0.0, 1.0})
+    made = df.agg(*[part for i, c in enumerate(columns) for part in (
+        F.count(_number(c)).alias(f"n{i}"), F.percentile_approx(_number(c), asked, accuracy).alias(f"s{i}"),
+        F.min(_number(c)).alias(f"l{i}"), F.max(_number(c)).alias(f"h{i}"))]).first()
+    out = {}
+    for i, c in enumerate(columns):
+        n = made[f"n{i}"]
+        if n:
+            out[c] = []
+            at = dict(zip(asked, made[f"s{i}"]))
+            step = next((s for s in (near, *_STEPS) if s >= 4.0 / accuracy + 2.0 / n), None)
+            for p in probabilities:
+                low = made[f"l{i}"] if step is None or p - step <= 0 else at[p - step]
+                high = made[f"h{i}"] if step is None or p + step >= 1 else at[p + step]
+                inside = n if step is None else 2 * step * n
+                out[c].append((p, p * (n - 1), low, high) if inside <= bracket_rows else
+                              _narrowed(df, c, p, p * (n - 1), low, high, accuracy, bracket_rows))
+    return out
+
+
+def _narrowed(df: DataFrame, column: str, p: float, rank: float, low: float, high: float, accuracy: int, bracket_rows: int) -> tuple:
+    x = _number(column)
+    while low < high:
+        inside = F.when((x >= low) & (x <= high), x)
+        points = [i / _POINTS for i in range(_POINTS + 1)]
+        r = df.agg(F.count_if(x < low).alias("below"), F.count(inside).alias("n"), F.percentile_approx(inside, points, accuracy).alias("s")).first()
+        if r.n <= bracket_rows:
+            break
+        share = (rank - r.below) / r.n
+        first, last = int((share - 4.0 / accuracy) * _POINTS), int((share + 4.0 / accuracy) * _POINTS) + 2
+        lower = low if first <= 0 else r.s[first]
+        upper = high if last >= _POINTS else r.s[last]
+        if (lower, upper) == (low, high):  # so many equal values that they are one or two counts
+            break
+        low, high = lower, upper
+    return p, rank, low, high
+
+
+def bracket_counts(df: DataFrame, columns, brackets: dict[str, list[tuple]], *extra: Column) -> DataFrame:
+    """(metric, part, x, f, ...): counts of the values inside brackets, each value once, and one count for all those
+    between two of them (x null). Values that are missing count in part -1. ``extra`` are more aggregates."""
+    def cell(c):
+        x, own = _number(c), brackets.get(c, [])
+        part = F.lit(0)
+        inside = F.lit(False)
+        for low, high in sorted({(low, high) for _, _, low, high in own}, key=lambda b: b[1]):
+            part, inside = part + (x > high).cast("int"), inside | ((x >= low) & (x <= high))
+        return F.struct(F.lit(c).alias("metric"), F.coalesce(part, F.lit(-1)).alias("part") if own else F.lit(-1).alias("part"),
+                        F.when(inside, x).alias("x"))
+
+    kept = [c for c in df.columns if c not in ("metric", "part", "x")] if extra else []
+    long = df.select(*kept, F.explode(F.array(*map(cell, columns))).alias("_cell")).select(*kept, "_cell.*")
+    return long.groupBy("metric", "part", "x").agg(F.count(F.lit(1)).alias("f"), *extra)
+
+
+def bracket_quantiles(counted: DataFrame, brackets: dict[str, list[tuple]], *extra: Column) -> DataFrame:
+    """One row with the quantiles as <metric>_<i> by their place in ``brackets``, from ``bracket_counts``: only the
+    counted values are put in order. ``extra`` are more aggregates over the counts."""
+    before = Window.partitionBy("metric").orderBy("part", F.asc_nulls_first("x")).rowsBetween(Window.unboundedPreceding, -1)
+    counts = F.when(F.col("part") >= 0, F.col("f")).otherwise(0)
+    placed = counted.withColumn("first", F.coalesce(F.sum(counts).over(before), F.lit(0)))
+
+    def at(metric, place):
+        here = (F.col("metric") == metric) & (F.col("first") <= place) & (F.lit(place) < F.col("first") + F.col("f"))
+        return F.max(F.when(here & (F.col("part") >= 0), F.col("x")))
+
+    values = []
+    for metric, own in brackets.items():
+        for i, (_, rank, _, _) in enumerate(own):
+            low, high = math.floor(rank), math.ceil(rank)
+            lo, hi = at(metric, low), at(metric, high)
+            mixed = F.lit(high - rank) * lo + F.lit(rank - low) * hi
+            lost = F.raise_error(F.lit("a sketch erred by more than its bound: raise the accuracy")).cast("double")
+            values.append(F.when(lo.isNull() | hi.isNull(), lost).when(lo == hi, lo).otherwise(mixed).alias(f"{metric}_{i}"))
+    return placed.agg(F.count(F.lit(1)).alias("counts"), *values, *extra)
+
+
+def exact_quantiles(
+    df: DataFrame, columns, probabilities, few_values: bool = False, accuracy: int = 10_000, bracket_rows: int = 1_000_000,
+) -> DataFrame:
+    """Exact quantiles with linear interpolation, one row per (metric, probability); NaN and null are left out.
+
+    Two passes over ``df``: ``quantile_brackets`` (at once) finds two bounds for each quantile, then what lies
+    below and each value inside them is counted, and only the brackets' values are sorted: no
+    global sort, no files. ``few_values`` is for metrics that are known to have few distinct values: one
+    pass, one aggregate over the counts, the same result.
     """
     columns = list(columns)
-    values = df.unpivot([], [F.col(c).cast("double").alias(c) for c in columns], "metric", "x")
-    values = values.where(F.col("x").isNotNull() & ~F.isnan("x"))
-    freq = values.groupBy("metric", "x").agg(F.count(F.lit(1)).alias("f"))
     if few_values:
-        picked = freq.groupBy("metric").agg(
-            F.percentile("x", list(probabilities), F.col("f")).alias("v")
-        )
+        values = df.unpivot([], [F.col(c).cast("double").alias(c) for c in columns], "metric", "x")
+        freq = values.where(F.col("x").isNotNull() & ~F.isnan("x")).groupBy("metric", "x").agg(F.count(F.lit(1)).alias("f"))
+        picked = freq.groupBy("metric").agg(F.percentile("x", list(probabilities), F.col("f")).alias("v"))
         at = F.array(*map(F.lit, probabilities))
         pairs = F.explode(F.arrays_zip(at.alias("probability"), F.col("v").alias("value")))
         return picked.select("metric", pairs.alias("p")).select("metric", "p.*")
-    freq = materialise(freq, "counted")
-    placed = _with_running_count(freq)
-    sizes = freq.groupBy("metric").agg(F.sum("f").alias("size"))
-    wanted = sizes.select(
-        "metric", "size", F.explode(F.array(*map(F.lit, probabilities))).alias("probability")
-    ).withColumn("rank", F.col("probability") * (F.col("size") - 1))
-    low, high, end = F.floor("rank"), F.ceil("rank"), F.col("first") + F.col("f")
-    # `wanted` has as many rows as metrics times probabilities; of the values only the
-    # two neighbours of each quantile pass the join.
-    near = [F.col("p.metric") == F.col("w.metric"), F.col("first") <= high, low < end]
-    hits = placed.alias("p").join(F.broadcast(wanted).alias("w"), near)
-
-    def at(rank):
-        return F.max(F.when((F.col("first") <= rank) & (rank < end), F.col("x")))
-
-    picked = hits.groupBy("w.metric", "probability", "rank").agg(
-        at(low).alias("lo"), at(high).alias("hi")
-    )
-    part = F.col("rank") - F.floor("rank")
-    value = F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(
-        (F.ceil("rank") - F.col("rank")) * F.col("lo") + part * F.col("hi")
-    )
-    return picked.select("metric", "probability", value.alias("value"))
-
-
-def _with_running_count(freq: DataFrame, piece: int = 1_000_000) -> DataFrame:
-    """``first``: how many values of the metric come before this one."""
-    placed = with_position(freq, ["metric", "x"], "_pos").withColumn(
-        "_piece", F.expr(f"_pos div {piece}")
-    )
-    # Totals of whole pieces: one row per piece and metric.
-    totals = placed.groupBy("metric", "_piece").agg(F.sum("f").alias("_total"))
-    earlier = Window.partitionBy("metric").orderBy("_piece").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    totals = totals.select(
-        "metric", "_piece", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_base")
-    )
-    inside = Window.partitionBy("metric", "_piece").orderBy("_pos").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    return placed.withColumn("_in", F.coalesce(F.sum("f").over(inside), F.lit(0))).join(
-        totals, ["metric", "_piece"]
-    ).select("metric", "x", "f", (F.col("_base") + F.col("_in")).alias("first"))
-
-
+    brackets = quantile_brackets(df, columns, probabilities, accuracy, bracket_rows)
+    row = bracket_quantiles(bracket_counts(df, columns, brackets), brackets)
+    cells = [F.struct(F.lit(c).alias("metric"), F.lit(float(p)).alias("probability"), F.col(f"{c}_{i}").alias("value"))
+             for c, own in brackets.items() for i, (p, *_) in enumerate(own)]
+    empty = F.lit(None).cast("array<struct<metric:string,probability:double,value:double>>")
+    return row.select(F.explode(F.array(*cells) if cells else empty).alias("_cell")).select("_cell.*")

@@ -84,7 +84,7 @@ def describe_metrics(
 ) -> DataFrame:
     """count, mean, stddev, min, max per metric, and the quartiles on request.
 
-    Moments take one pass. Quartiles are exact and come from a distributed sort.
+    Moments take one pass. Quartiles are exact and take two more (``exact_quantiles``).
     """
     long = df.unpivot([], [F.col(c).cast("double").alias(c) for c in columns], "metric", "x")
     x = nan_to_null(F.col("x"))

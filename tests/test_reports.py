@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skygauge.operators.ordered import exact_quantiles
-from skygauge.operators import filters as FL, metrics as M, reports as R, views as VW
+from skygauge.operators import filters as FL, metrics as M, ordered as R_ordered, reports as R, views as VW
 from skygauge.operators.enrich import enrich, with_severity
 from skygauge.operators.ordered import exact_quantiles
 
@@ -218,3 +218,27 @@ def test_windows_go_on_across_cuts(spark):
             assert r.window_messages == want.window_messages and r.ts_utc == want.ts_utc
             assert r.avg_latency_ms == pytest.approx(want.avg_latency_ms)
             assert r.window_seconds == pytest.approx(want.window_seconds)
+
+
+@pytest.mark.parametrize("n, accuracy, bracket_rows", [(1, 10_000, 10 ** 6), (2, 10_000, 10 ** 6), (7, 10_000, 10 ** 6), (300, 10_000, 10 ** 6), (9000, 50, 10)])
+def test_bracketed_quantiles_are_exact(spark, n, accuracy, bracket_rows):
+    rnd = np.random.default_rng(n)
+    data = pd.DataFrame({
+        "a": rnd.integers(0, 3, n).astype(float), "b": rnd.normal(size=n), "c": np.full(n, 4.0),
+        "d": np.where(rnd.random(n) < 0.3, np.nan, rnd.lognormal(0, 9, n)), "e": np.full(n, np.nan)})
+    data.loc[0, "b"] = np.inf
+    at = [0.0, 0.25, 0.95, 1.0]
+    frame = spark.createDataFrame(data).repartition(3)
+    got = {(r.metric, r.probability): r.value for r in exact_quantiles(frame, list(data), at, accuracy=accuracy, bracket_rows=bracket_rows).collect()}
+    few = {(r.metric, r.probability): r.value for r in exact_quantiles(frame, list(data), at, few_values=True).collect()}
+    assert set(got) == set(few) and all(got[k] == few[k] or got[k] != got[k] and few[k] != few[k] for k in few)
+    assert len(got) == len(at) * sum(data[c].notna().any() for c in data)
+
+
+def test_brackets_hold_few_values(spark):
+    frame = spark.range(200_000).select((F.col("id") * 7919 % 200_003).cast("double").alias("x"))
+    brackets = R_ordered.quantile_brackets(frame, ["x"], [0.5], accuracy=1000, bracket_rows=100)
+    counted = R_ordered.bracket_counts(frame, ["x"], brackets)
+    assert counted.count() <= 102
+    text = counted._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange") == 1 and "Sort" not in text
