@@ -4,6 +4,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,10 +12,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StructField, StructType
 
 from skygauge.llm.common import slices, text_of
+from skygauge.sources.shared import materialise
 
 #: An overlap is a stretch of WINDOW words (a whole item, if that is shorter) of which at least
-#: SHARE are equal, in places that correspond; items of fewer than LEAST words are too short to
-#: tell a leak from chance.
+#: SHARE are equal, in places that correspond; items of fewer than LEAST words must stand whole, with
+#: all words equal.
 WINDOW, SHARE, LEAST = 13, 0.8, 8
 #: Fixed masks (1: the word counts, 0: it is ignored). Every stretch of 8 to 13 words with as
 #: many substitutions as SHARE allows has a place where one of them sees equal words only.
@@ -37,15 +39,24 @@ class Words(dict):
         return value
 
 
+#: Scripts that are written without blanks between words: a character is a word there.
+UNSPACED = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
+_ALONE = regex.compile(f"[{UNSPACED}]")
+_BETWEEN = regex.compile(r"[^\x00-\x7F\p{L}\p{M}\p{N}]")
+
+
 def words_of(text: str) -> list[bytes]:
-    """Lower-cased runs of letters and digits; other ASCII characters separate."""
-    return text.lower().encode("utf-8", "surrogatepass").translate(_PLAIN).split()
+    """Lower-cased runs of letters, marks and digits, and single characters of scripts without blanks."""
+    text = text.lower()
+    if not text.isascii():
+        text = _ALONE.sub(r" \g<0> ", _BETWEEN.sub(" ", text))
+    return text.encode("utf-8", "surrogatepass").translate(_PLAIN).split()
 
 
 def needed(length: int) -> tuple[int, int]:
     """For an item of so many words: the stretch's length and how many words must be equal."""
     stretch = min(WINDOW, length)
-    return stretch, -int(-SHARE * stretch // 1)
+    return stretch, -int(-SHARE * stretch // 1) if length >= LEAST else length
 
 
 def masked_hashes(words: np.ndarray, mask: str) -> np.ndarray:
@@ -66,7 +77,7 @@ class Index:
         known, kept = Words(), []
         for item, text in items:
             words = words_of(text or "")
-            if len(words) >= LEAST:
+            if words:
                 kept.append((item, np.fromiter(map(known.__getitem__, words), np.uint64, len(words))))
         self.items = [item for item, _ in kept]
         self.lengths = np.array([len(w) for _, w in kept], np.int64)
@@ -76,10 +87,13 @@ class Index:
         self.equal = np.array([needed(n)[1] for n in self.lengths], np.int64)
         owner = np.repeat(np.arange(len(kept)), self.lengths)
         self.seeds = []
-        for mask in MASKS:
+        length = self.lengths[owner] if len(kept) else np.empty(0, np.int64)
+        whole = ["1" * n for n in sorted(set(self.lengths.tolist())) if n < LEAST]
+        for mask in (*MASKS, *whole):
             hashes = masked_hashes(self.words, mask)
             place = np.arange(len(hashes))
             place = place[owner[place] == owner[place + len(mask) - 1]]
+            place = place[length[place] == len(mask) if mask in whole else length[place] >= LEAST]
             place = place[np.argsort(hashes[place], kind="stable")]
             hashes = hashes[place]
             flags = np.zeros(1 << self.FLAGS, bool)
@@ -165,7 +179,7 @@ def blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int)
     count = 1 + 2 * size // block_bytes
     for block in range(count):
         part = items if count == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(count)) == block)
-        yield [(r.item, r.text) for r in part.collect()]
+        yield [(r.item, r.text) for r in part.collect()], count
 
 
 def overlaps(
@@ -176,13 +190,13 @@ def overlaps(
 
     n_equal of the n_words words of the best stretch are equal; first_word is where that starts
     in the document (words from 0). The benchmark is the query set: its hashes are sent to all
-    tasks in blocks whose size is checked, one pass over the documents each, so a benchmark
-    of any size is searched whole and the documents are never shuffled. Tasks hash every
+    tasks in blocks whose size is checked, one pass over the documents each, whose hits are written
+    before the next, so a benchmark of any size is searched whole and the documents are never shuffled. Tasks hash every
     place of every text under each mask, look the hashes up, and compare the words along the
     diagonals so found; no place is left out, so the result is that of comparing everything.
 
-    A null text is empty; documents and items too short for a stretch have no rows, nor has an
-    empty table on either side. Documents in repeated rows give repeated rows; repeated items
+    A null text is empty; texts without words have no rows, nor has an empty table on either side. Items
+    of fewer than LEAST words count where they stand whole. Documents in repeated rows give repeated rows; repeated items
     count once, and items under one id with different texts give a row each. Only the columns
     named are read.
     """
@@ -192,8 +206,10 @@ def overlaps(
     schema = StructType([picked.schema[0], StructField("item_id", item_type), *numbers])
     arrow = to_arrow_schema(schema)
     made = None
-    for items in blocks(benchmark, item_col, item_text_col, block_bytes):
-        def run(batches, sent=docs.sparkSession.sparkContext.broadcast(items)):
+    for items, count in blocks(benchmark, item_col, item_text_col, block_bytes):
+        sent = docs.sparkSession.sparkContext.broadcast(items)
+
+        def run(batches, sent=sent):
             index, known = Index(sent.value), Words()
             for batch in batches:
                 for part in slices(batch, 4 << 20):
@@ -204,6 +220,9 @@ def overlaps(
                         yield pa.RecordBatch.from_arrays(ids + rest, schema=arrow)
 
         found = picked.mapInArrow(run, schema)
+        if count > 1:  # one block at a time is held by driver and tasks
+            found = materialise(found, "overlaps")
+            sent.destroy()
         made = found if made is None else made.unionByName(found)
     return made
 
@@ -212,10 +231,17 @@ def drop_contaminated(
     docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """The documents, with all their columns, that overlap no benchmark item."""
+    """The documents, with all their columns, that overlap no benchmark item.
+
+    A null text overlaps nothing and stays, as do empty ones; whole texts are compared, however long; repeated
+    rows stay or go together; an empty benchmark drops nothing, an empty table stays empty.
+    Columns of any name are kept as they are.
+    """
     arrow = to_arrow_schema(docs.schema)
-    for items in blocks(benchmark, item_col, item_text_col, block_bytes):
-        def run(batches, sent=docs.sparkSession.sparkContext.broadcast(items)):
+    for items, count in blocks(benchmark, item_col, item_text_col, block_bytes):
+        sent = docs.sparkSession.sparkContext.broadcast(items)
+
+        def run(batches, sent=sent):
             index, known = Index(sent.value), Words()
             place = arrow.get_field_index(text_col)
             for batch in batches:
@@ -229,4 +255,7 @@ def drop_contaminated(
                     yield batch.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, docs.schema)
+        if count > 1:
+            docs = materialise(docs, "no-overlaps")
+            sent.destroy()
     return docs

@@ -43,12 +43,13 @@ def op7(spark, folder):
 
 
 # A stretch with its allowed substitutions holds three equal words in a row, so common word
-# triples name all diagonals that need a look.
-_WORDS_SQL = r"""list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'),
-    ' '), lambda w: w <> '')"""
+# triples name all diagonals that need a look. Short items stand whole after their first word.
+_WORDS_SQL = r"""list_filter(string_split(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}]+', ' ', 'g'),
+    '([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])', ' \1 ', 'g'), ' '), lambda w: w <> '')"""
 _OP10 = f"""WITH d AS (SELECT doc_id, {_WORDS_SQL} AS w FROM documents),
+  items AS (SELECT DISTINCT item_id, {_WORDS_SQL} AS w FROM benchmark),
   b AS (SELECT row_number() OVER () AS i, item_id, w, least(13, len(w)) AS n, ceil(0.8 * least(13, len(w))) AS need
-    FROM (SELECT DISTINCT item_id, {_WORDS_SQL} AS w FROM benchmark) WHERE len(w) >= 8),
+    FROM items WHERE len(w) >= 8),
   dt AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS t FROM d),
   bt AS (SELECT i, unnest(range(1, len(w) + 1)) AS q, unnest(w) AS t FROM b),
   d3 AS (SELECT doc_id, p, t, lead(t, 1) OVER o AS u, lead(t, 2) OVER o AS v FROM dt WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
@@ -58,7 +59,9 @@ _OP10 = f"""WITH d AS (SELECT doc_id, {_WORDS_SQL} AS w FROM documents),
     FROM diagonal g JOIN bt ON g.i = bt.i LEFT JOIN dt ON dt.doc_id = g.doc_id AND dt.p = q + g.shift GROUP BY ALL),
   stretch AS (SELECT doc_id, i, shift, e, unnest(range(1, len(e) - n + 2)) AS s FROM aligned JOIN b USING (i)),
   scored AS (SELECT doc_id, item_id, n, need, s + shift AS first, list_sum(e[s:s + n - 1]) AS equal
-    FROM stretch JOIN b USING (i) JOIN d USING (doc_id) WHERE s + shift >= 1 AND s + shift + n - 1 <= len(d.w))
+    FROM stretch JOIN b USING (i) JOIN d USING (doc_id) WHERE s + shift >= 1 AND s + shift + n - 1 <= len(d.w)
+    UNION ALL SELECT doc_id, item_id, len(s.w), len(s.w), p, len(s.w) FROM dt JOIN items s ON dt.t = s.w[1] AND len(s.w) < 8
+    JOIN d USING (doc_id) WHERE d.w[p:p + len(s.w) - 1] = s.w)
 SELECT doc_id, item_id, max(equal)::BIGINT AS n_equal, any_value(n)::BIGINT AS n_words,
   min(first - 1) FILTER (equal = top)::BIGINT AS first_word
 FROM (SELECT *, max(equal) OVER (PARTITION BY doc_id, item_id) AS top FROM scored WHERE equal >= need) GROUP BY doc_id, item_id"""

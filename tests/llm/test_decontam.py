@@ -12,7 +12,7 @@ def slow(docs, items):
     rows = set()
     for (d, text), (i, item) in itertools.product(docs, items):
         a, b = words_of(text or ""), words_of(item or "")
-        if len(b) < LEAST:
+        if not b:
             continue
         length, least = needed(len(b))
         best = max(((sum(x == y for x, y in zip(a[p:p + length], b[q:q + length])), -p)
@@ -81,3 +81,35 @@ def test_empty_tables_and_repeated_rows(spark, data):
     assert overlaps(frame.where(F.lit(False)), bench).count() == 0
     assert overlaps(frame, bench.where(F.lit(False))).count() == 0
     assert drop_contaminated(frame, bench.where(F.lit(False))).count() == 2
+
+
+@pytest.mark.parametrize("item, hit, miss", [
+    ("What is the capital of Peru?", "ask: what is, the CAPITAL of Peru! now", "what was the capital of peru"),
+    ("今天的天气非常好我们去公园散步吧。你想一起去吗?", "他说:“今天的天气非常好，我们去公园散步吧。你想一起去吗?”然后走了", "今天的天气不好他们去商店买东西了"),
+    ("ตอบคำถามนี้ให้ถูกต้อง", "โปรด ตอบคำถามนี้ให้ถูกต้อง ครับ", "ตอบ"),
+    ("Élan vital — naïve", "un élan vital, naïve", "elan vital naive"),
+    ("x", "x", "y x1"),
+    ("a b c d e f g", "0 a b c d e f g 1", "a b c d e f h"),
+])
+def test_short_items_and_scripts_without_blanks(spark, item, hit, miss):
+    frame = spark.createDataFrame([(1, hit), (2, miss), (3, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert [(r.id, r.item_id, r.n_equal == r.n_words) for r in overlaps(frame, bench).collect()] == [(1, 7, True)]
+    assert sorted(r.doc_id for r in drop_contaminated(frame, bench).collect()) == [2, 3]
+
+
+def test_sql_has_short_items_too(spark, tmp_path):
+    import duckdb
+
+    from skygauge.llm.queries import ORACLES, QUERIES
+    docs = [(1, "What is up, doc? 今天的天气非常好我们去公园散步吧"), (2, "one two three four five six seven eight nine"), (3, None), (4, "naïve—ÉLAN")]
+    items = [(1, "what is up"), (2, "今天的天气非常好我们去公园散步"), (3, "two three FOUR five six seven eight nine"), (4, "élan"), (5, ""), (6, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    db = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    columns = ["doc_id", "item_id", "n_equal", "n_words", "first_word"]
+    want = db.execute(f"SELECT {', '.join(columns)} FROM ({ORACLES['op10_decontamination']})").fetchall()
+    got = [tuple(r) for r in QUERIES["op10_decontamination"](spark, str(tmp_path)).select(columns).collect()]
+    assert sorted(got) == sorted(want) and len(got) == 4
