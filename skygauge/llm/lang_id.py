@@ -18,6 +18,9 @@ PENALTY, WEIGHT, CHUNK = 8.0, 0.5, 32
 KEEP = 300_000
 #: Letters in scripts of no learned language that are evidence of another language: one may be a symbol.
 EVIDENCE = 2
+#: Words of a text that can be told from gibberish, and how many times the way from the median to the
+#: lowest thousandth of the labelled texts the level lies below the median.
+FEWEST, BELOW = 5, 3.0
 UNKNOWN = "und"
 
 #: First code points of runs of one script (fixed values, Unicode blocks), in order.
@@ -69,14 +72,15 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """Log-probabilities of n-gram buckets per language, and which scripts a language uses."""
+    """Log-probabilities of n-gram buckets per language, which scripts a language uses, and the mean
+    log-probability of an n-gram below which a text is in none of the languages."""
 
-    def __init__(self, languages: list[str], table: np.ndarray, scripts: np.ndarray):
-        self.languages, self.table, self.scripts = languages, table, scripts
+    def __init__(self, languages: list[str], table: np.ndarray, scripts: np.ndarray, level: float = -np.inf):
+        self.languages, self.table, self.scripts, self.level = languages, table, scripts, level
 
     def parts(self) -> tuple:
         """What a task needs to build the model again, in types that every executor knows."""
-        return self.languages, self.table, self.scripts
+        return self.languages, self.table, self.scripts, self.level
 
     def foreign(self, words: list[str]) -> np.ndarray:
         """Whether each word has letters, but of a script that no learned language uses."""
@@ -85,12 +89,17 @@ class Model:
 
     def scores(self, words: list[str]) -> np.ndarray:
         """One row per word: its score per language; languages of other scripts are far below."""
+        return self.told(words)[0]
+
+    def told(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``scores``, the log-probability of each word's n-grams in its best language, and their number."""
         bucket, owner = features(words)
         made = np.stack([np.bincount(owner, self.table[bucket, l], len(words)) for l in range(len(self.languages))], 1)
         allowed = self.scripts[[script_of(w) for w in words]]
         allowed |= ~allowed.any(1, keepdims=True)
+        best, grams = made.max(1), np.bincount(owner, minlength=len(words))
         made = WEIGHT * made - 1e4 * ~allowed
-        return (made - made.max(1, keepdims=True)).astype(np.float32)
+        return (made - made.max(1, keepdims=True)).astype(np.float32), best, grams
 
 
 def train(
@@ -133,7 +142,26 @@ def train(
     table = np.log(grams / grams.sum(1, keepdims=True)).T.astype(np.float32)
     used = sums[:, BUCKETS:]
     scripts = (used >= 0.01 * np.maximum(1, used.sum(1, keepdims=True))).T
-    return Model(languages, table, scripts)
+    model = Model(languages, table, scripts)
+    model.level = _level(some, model)
+    return model
+
+
+def _level(some: DataFrame, model: Model) -> float:
+    """The level below which gibberish lies, from the texts that the model was fitted on."""
+    sent = some.sparkSession.sparkContext.broadcast(model.parts())
+
+    def open_task():
+        label = Labeller(Model(*sent.value))
+
+        def run(texts):
+            label(texts)
+            return pa.array(label.quality, mask=label.words < FEWEST, from_pandas=False),
+        return run
+
+    found = per_row(some, {"id": F.lit(0), "text": text_of("text")}, "quality double", open_task)
+    low, middle = found.agg(F.percentile_approx("quality", [0.001, 0.5], 10_000).alias("q")).first().q or (-np.inf, -np.inf)
+    return middle - BELOW * (middle - low) if middle > low else -np.inf
 
 
 def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
@@ -210,6 +238,7 @@ class Labeller:
         self.known: dict[str, int] = {}
         self.rows = np.empty((0, len(self.model.languages)), np.float32)
         self.strange = np.empty(0, bool)
+        self.best, self.grams = np.empty(0), np.empty(0, np.int64)
 
     def __call__(self, texts: list[str]):
         """Per text: language, share of its letters, and arrays of spans' offsets, languages, first words, counts."""
@@ -219,7 +248,9 @@ class Labeller:
         new = list({w for words in cut for w in words}.difference(self.known))
         if new and self.model.languages:
             self.known.update(zip(new, range(len(self.rows), len(self.rows) + len(new))))
-            self.rows = np.concatenate([self.rows, self.model.scores(new)])
+            scores, best, grams = self.model.told(new)
+            self.rows = np.concatenate([self.rows, scores])
+            self.best, self.grams = np.concatenate([self.best, best]), np.concatenate([self.grams, grams])
             self.strange = np.concatenate([self.strange, self.model.foreign(new)])
         lengths = np.array([len(w) for w in cut], np.int64) if self.model.languages else np.zeros(len(cut), np.int64)
         count, languages = int(lengths.sum()), len(self.model.languages)
@@ -233,6 +264,9 @@ class Labeller:
         # of the texts last labelled: how many of their letters stand in words of foreign scripts, and their share
         self.foreign = np.bincount(text, size * self.strange[row], len(cut))
         self.foreign_share = self.foreign / np.maximum(1, whole)
+        # and how many words they have, and the mean log-probability of the words' n-grams
+        self.words = lengths
+        self.quality = np.bincount(text, self.best[row], len(cut)) / np.maximum(1, np.bincount(text, self.grams[row], len(cut)))
         share = letters.max(1) / np.maximum(1, whole)
         none = np.array([not n or not any(c.isalpha() for w in part for c in w) for n, part in zip(whole, cut)], bool)
         top = np.where(none, languages, letters.argmax(1))
@@ -277,8 +311,14 @@ def label_languages(
 
 
 def keep_identified(df: DataFrame, model: Model, text_col: str = "text", least: float = 1 / 3) -> DataFrame:
-    """The rows, with all their columns, whose text has a language with ``least`` of its letters, and not
-    most of them (EVIDENCE or more) in scripts that no learned language uses."""
+    """The rows, with all their columns, whose text has a language with ``least`` of its letters, not most of
+    them (EVIDENCE or more) in scripts that no learned language uses, and n-grams that are not
+    much rarer in their best language than those of the labelled texts (``Model.level``; texts of FEWEST
+    words or more). So texts in other languages of a learned script and gibberish go.
+
+    Null, empty and letterless texts go; whole texts count, however long; repeated rows stay or go
+    together; an empty table stays empty. Columns of any name are kept as they are.
+    """
     sent = df.sparkSession.sparkContext.broadcast(model.parts())
     column = df.columns.index(text_col)
 
@@ -292,6 +332,7 @@ def keep_identified(df: DataFrame, model: Model, text_col: str = "text", least:
             for part in slices(pair, 4 << 20):
                 lang, score, _ = label([t or "" for t in part.column(1).to_pylist()])
                 other = (label.foreign >= EVIDENCE) & (label.foreign_share > 0.5)
+                other |= (label.words >= FEWEST) & (label.quality < label.model.level)
                 keep += [l != UNKNOWN and s >= least and not o for l, s, o in zip(lang, score, other)]
             if any(keep):
                 yield batch.filter(pa.array(keep, pa.bool_()))

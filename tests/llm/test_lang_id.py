@@ -1,4 +1,5 @@
 import itertools
+import random
 import zlib
 
 import numpy as np
@@ -88,3 +89,19 @@ def test_texts_in_scripts_of_no_learned_language_go(spark):
     kept = lang_id.keep_identified(spark.createDataFrame(planted, "doc_id long, text string, lang string"), model).collect()
     assert sorted(r.doc_id for r in kept) == [4, 5, 6]
     assert lang_id.keep_identified(docs, model).count() == docs.where("text rlike '[A-Za-z]'").count()
+
+
+def test_gibberish_and_other_languages_of_a_learned_script_go(spark):
+    rng = random.Random(1)
+    docs = spark.read.parquet(f"{TABLES}/documents.parquet").select("doc_id", "text", "lang")
+    model = lang_id.train(docs)
+
+    def words(letters):
+        return " ".join("".join(rng.choices(letters, k=rng.randrange(3, 10))) for _ in range(60))
+
+    planted = [(i, words("bcdfghjklmnpqrstvwxz"), "en") for i in range(50)] + [(50 + i, words("abcdefghijklmnopqrstuvwxyz"), None) for i in range(50)]
+    planted += [(100, "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan", "en"),
+                (101, "To be or not to be, that is the question: whether tis nobler in the mind to suffer", None),
+                (102, "All rights reserved.", None), (103, "zxq bvw", None)]
+    kept = lang_id.keep_identified(spark.createDataFrame(planted, "doc_id long, text string, lang string"), model).collect()
+    assert sorted(r.doc_id for r in kept) == [101, 102, 103]
