@@ -141,10 +141,11 @@ def chain_job(spark, sf_dir):
 @register("retained_files", sql("""SELECT CAST(event_ts AS DATE)::VARCHAR AS event_date, count(*) AS events FROM readings
   WHERE event_ts > TIMESTAMP '2024-02-10 12:00:00' - INTERVAL 31 DAY GROUP BY ALL"""))
 def retained_files(spark, sf_dir):
-    """The zone without its expired rows, written to a folder of its own."""
+    """The zone after its expired days were dropped and its border day rewritten."""
     path, now = new_path(spark, "retained"), F.timestamp_micros(F.lit(1707566400000000))
     rows = W.with_event_date(readings(spark, sf_dir).select("event_ts", *_STORED))
-    W.write_retained(W.retain_recent(rows, "event_ts", now=now), path)
+    rows.hint("rebalance", "event_date").write.partitionBy("event_date").parquet(path)
+    W.retain_zone(spark, path, now=now)
     back = S.read_processed_parquet(spark, path)
     return back.groupBy(F.col("event_date").cast("string").alias("event_date")).agg(F.count(F.lit(1)).alias("events"))
 

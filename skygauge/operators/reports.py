@@ -60,13 +60,25 @@ def _counts(df: DataFrame, column: str) -> DataFrame:
     )
 
 
-def condition_report(df: DataFrame, conditions=None) -> DataFrame:
+def condition_report(df: DataFrame, conditions=None, group: int = 1000) -> DataFrame:
     """City by condition, 0 where a city has none.
 
-    Without the list of conditions Spark first looks up the distinct ones, on the
-    small counted frame.
+    Without the list of conditions the distinct ones are looked up first, on the counted frame. A
+    row's counts are gathered in a map, and the columns taken from it, in groups of ``group`` for one
+    projection each; there is no limit to their number but that of columns.
     """
-    return _pivot(condition_counts(df), "weather_condition", conditions)
+    counts = condition_counts(df)
+    if conditions is None:
+        conditions = [r[0] for r in counts.select("weather_condition").distinct().orderBy("weather_condition").collect()]
+    conditions = list(conditions)
+    pairs = F.collect_list(F.struct("weather_condition", "count"))
+    wide = counts.groupBy("city").agg(F.map_from_entries(pairs).alias("_counts"))
+    taken = ["city"]
+    for start in range(0, len(conditions), group):
+        some = conditions[start:start + group]
+        wide = wide.select("_counts", *taken, *[F.coalesce(F.try_element_at("_counts", F.lit(c)), F.lit(0)).alias(c) for c in some])
+        taken += ["`" + c.replace("`", "``") + "`" for c in some]
+    return wide.select(*taken)
 
 
 def severity_report(df: DataFrame) -> DataFrame:

@@ -12,9 +12,14 @@ from skygauge.schemas import READING
 from skygauge.sources.files import (
     CORRUPT, read_json_lines, read_raw_json, read_recent_json,
 )
+from skygauge.sources.shared import remove
 from skygauge.sources.sinks import run_stamp, with_event_date, write_batch
 
 
+class NoInput(RuntimeError):
+    """The raw zone had no reading; later steps of a chain must not run."""
+
+
 def apply_all(df: DataFrame, transforms: Iterable[Callable[[DataFrame], DataFrame]]) -> DataFrame:
     """Apply user functions in order, on a batch or a stream.
 
@@ -33,8 +38,9 @@ def run_batch(
     """Read the raw zone, enrich, write every format; returns folders and counts.
 
     The first write counts rows on the way and the others copy its result, so the raw
-    files are scanned once. No input gives empty outputs. ``lines`` is for JSON Lines,
-    which large files should be: Spark can split them.
+    files are scanned once. A zone without a reading stops the run with ``NoInput`` and leaves no
+    output; readings that all fall to ``transforms`` give empty outputs. ``lines`` is for JSON Lines, which
+    large files should be: Spark can split them.
     """
     raw = _known_columns(_sound((read_json_lines if lines else read_raw_json)(spark, source, schema)))
     frame = apply_all(enrich(raw, severity, now), transforms)
@@ -45,6 +51,10 @@ def run_batch(
     first = write_batch(
         dated if partition_by else frame, target, formats[0], stamp, partition_by
     )
+    # the count is observed in passing; a look at the zone tells no input from none kept
+    if not seen.get["records"] and raw.head() is None:
+        remove(spark, first)
+        raise NoInput(f"no reading in {source}")
     folders = {formats[0]: first}
     if len(formats) > 1:
         done = _read_back(spark, first, formats[0], frame)
@@ -114,7 +124,7 @@ def run_chain(
     spark: SparkSession, collect: Callable[[], object] | None, raw: str, processed: str,
     reports: str, **options,
 ) -> dict:
-    """Collect, process, report; an exception in one step keeps the next from running."""
+    """Collect, process, report; an exception in one step, ``NoInput`` too, keeps the next from running."""
     if collect is not None:
         collect()
     shared = {k: options[k] for k in ("now", "schema", "lines") if k in options}

@@ -2,6 +2,7 @@
 
 import atexit
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -9,18 +10,27 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """Folder named by ``spark.checkpoint.dir``, or the context's checkpoint folder.
 
-    Where neither is set, a folder of the warehouse becomes the context's checkpoint folder:
-    the warehouse is shared storage too, on one machine as on a cluster.
+    Where neither is set, a folder of the warehouse becomes the context's checkpoint folder, if that
+    is storage which all executors reach: one machine holds them all, or the warehouse's path names a
+    file system other than the local one. Else this raises.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints")
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        _must_be_shared(context.master, warehouse, spark.conf.get("spark.hadoop.fs.defaultFS", "file:///"))
+        context.setCheckpointDir(f"{warehouse}/checkpoints")
     return context.getCheckpointDir().rstrip("/")
 
 
+def _must_be_shared(master: str, path: str, default: str) -> None:
+    scheme = path.partition(":")[0] if ":/" in path else default.partition(":")[0]
+    if scheme == "file" and not master.startswith("local"):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors reach; {path} is on a local disk")
+
+
 def _scratch(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/skygauge/{spark.sparkContext.applicationId}"
 
@@ -28,7 +38,23 @@ def _scratch(spark: SparkSession) -> str:
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in this application's part of the shared folder that nothing uses yet."""
     _once(spark)
-    return f"{_scratch(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_scratch(spark)}/{name}-{uuid.uuid4().hex}"
+    for made in _OPEN:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def temporary(spark: SparkSession):
+    """What is put below ``new_path`` inside goes at the end, whether it ends well or not."""
+    made: list[str] = []
+    _OPEN.append(made)
+    try:
+        yield
+    finally:
+        _OPEN.remove(made)
+        for path in made:
+            remove(spark, path)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -54,6 +80,7 @@ def remove_scratch(spark: SparkSession) -> None:
 
 
 _KNOWN: set[str] = set()
+_OPEN: list[list[str]] = []
 
 
 def _once(spark: SparkSession) -> None:

@@ -2,10 +2,11 @@
 
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from skygauge import fixed_values as V
 from skygauge.functions.scalars import event_ts, slug, utc_date
+from skygauge.sources.shared import materialise, remove, temporary
 
 
 def run_stamp(now: datetime | None = None) -> str:
@@ -103,3 +104,47 @@ def write_retained(df: DataFrame, target: str, partition_by=("event_date",)) ->
     leave the expired ones behind.
     """
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(target)
+
+
+def retain_zone(spark: SparkSession, zone: str, ts_col: str = "event_ts", days: int = V.RETENTION_DAYS, now=None) -> dict[str, list[str]]:
+    """Apply ``retain_recent`` to a Parquet zone by ``event_date`` in its place; returns what was dropped and rewritten.
+
+    Days that have expired as a whole go by their folders, without a row read, and so do rows without a
+    day; days that have not keep their files. Only the day in which the limit falls is read: the rows that
+    stay are frozen on shared storage, then take its place by dynamic partition overwrite, in
+    files of even size. A run that is repeated finds nothing more to do.
+    """
+    reference = F.current_timestamp() if now is None else now
+    limit = reference - F.make_interval(days=F.lit(days + 1))
+    at, border = spark.range(1).select(F.unix_micros(limit.cast("timestamp")), utc_date(limit.cast("timestamp")).cast("string")).first()
+    dropped, rewritten = [], []
+    for folder, day in _days(spark, zone):
+        if day is None or day < border:
+            remove(spark, folder)
+            dropped.append(day)
+        elif day == border:
+            rows = spark.read.option("basePath", zone).parquet(folder)
+            kept = rows.where(F.col(ts_col) > F.timestamp_micros(F.lit(at)))
+            expired = rows.count() - kept.count()
+            if expired:
+                with temporary(spark):
+                    still = materialise(kept, "border-day")
+                    if still.isEmpty():
+                        remove(spark, folder)
+                        dropped.append(day)
+                    else:
+                        still.hint("rebalance").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_date").parquet(zone)
+                        rewritten.append(day)
+    return {"dropped": dropped, "rewritten": rewritten}
+
+
+def _days(spark: SparkSession, zone: str) -> list[tuple[str, str | None]]:
+    """The folders of a zone by ``event_date``, one listing call, and their days; None for rows without one."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(zone)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = []
+    for status in files.listStatus(path):
+        name, _, day = status.getPath().getName().partition("=")
+        if name == "event_date":
+            found.append((status.getPath().toString(), None if day.startswith("__HIVE_DEFAULT") else day))
+    return sorted(found, key=str)

@@ -15,7 +15,7 @@ from skygauge import fixed_values as V
 from skygauge.operators import anomaly as A, iforest as I, metrics as M, quality as Q
 from skygauge.operators.enrich import enrich
 from skygauge.operators.ordered import top_rows, trailing_moments, trailing_moments_split
-from skygauge.sources.shared import materialise, remove
+from skygauge.sources.shared import materialise, remove, temporary
 from skygauge.sources.sinks import with_address
 from skygauge.streaming.sinks import _trigger
 
@@ -212,39 +212,40 @@ def start_monitor(
         events = Q.validate(enrich(batch, severity, now), json_col)
         events = (events if tasks else events.withColumn("processed_at", stamp)).persist()
         keys = scores = fresh = None
-        try:
-            keys = events.select(*[A.key_text(F.col(k)).alias(k) for k in _KEY]).distinct().persist()
-            past = state.read(batch_id, keys)
-            if forest:
-                models = _models(state, checkpoint, batch_id, keys)
-                scores, kept, fitted = forest_batch(events, past, models, features, **scoring)
-                fitted.select(*_KEY, "model").withColumn("bucket", state.bucket()).write.mode("overwrite").partitionBy(
-                    "bucket").parquet(f"{checkpoint}/models/batch={batch_id}")
-            else:
-                scores, kept = score_batch(events, past, features, **scoring)
-            scores, kept = scores.persist(), kept.persist()
-            state.write(batch_id, kept, keys)
-            kept.unpersist()
-            windows = f"{checkpoint}/windows"
-            before = spark.read.parquet(f"{windows}/{(batch_id - 1) % 2}") if batch_id else None
-            fresh = M.message_windows(M.with_latency(events), log_every).persist()
-            records, still, carried = M.live_windows(fresh, before, log_every)
-            carried.coalesce(1).write.mode("overwrite").parquet(f"{windows}/{batch_id % 2}")
-            none = A.unscored(I.METHOD) if forest else A.unscored("zscore", features)
-            full = events.join(scores, list(_ID), "left").withColumn("anomaly", F.coalesce("anomaly", none))
-            parts = {
-                f"events/batch={batch_id}": with_address(full.drop("issues", json_col)),
-                f"quality/batch={batch_id}": Q.quality_events(events, now),
-                f"anomalies/batch={batch_id}": A.anomaly_events(full, now),
-                f"metrics/batch={batch_id}": records,
-                "open_metrics": still,
-            }
-            for name, frame in parts.items():
-                frame.write.mode("overwrite").option("ignoreNullFields", False).json(f"{out}/{name}")
-        finally:
-            for frame in (events, keys, scores, fresh):
-                if frame is not None:
-                    frame.unpersist()
+        with temporary(spark):
+            try:
+                keys = events.select(*[A.key_text(F.col(k)).alias(k) for k in _KEY]).distinct().persist()
+                past = state.read(batch_id, keys)
+                if forest:
+                    models = _models(state, checkpoint, batch_id, keys)
+                    scores, kept, fitted = forest_batch(events, past, models, features, **scoring)
+                    fitted.select(*_KEY, "model").withColumn("bucket", state.bucket()).write.mode("overwrite").partitionBy(
+                        "bucket").parquet(f"{checkpoint}/models/batch={batch_id}")
+                else:
+                    scores, kept = score_batch(events, past, features, **scoring)
+                scores, kept = scores.persist(), kept.persist()
+                state.write(batch_id, kept, keys)
+                kept.unpersist()
+                windows = f"{checkpoint}/windows"
+                before = spark.read.parquet(f"{windows}/{(batch_id - 1) % 2}") if batch_id else None
+                fresh = M.message_windows(M.with_latency(events), log_every).persist()
+                records, still, carried = M.live_windows(fresh, before, log_every)
+                carried.coalesce(1).write.mode("overwrite").parquet(f"{windows}/{batch_id % 2}")
+                none = A.unscored(I.METHOD) if forest else A.unscored("zscore", features)
+                full = events.join(scores, list(_ID), "left").withColumn("anomaly", F.coalesce("anomaly", none))
+                parts = {
+                    f"events/batch={batch_id}": with_address(full.drop("issues", json_col)),
+                    f"quality/batch={batch_id}": Q.quality_events(events, now),
+                    f"anomalies/batch={batch_id}": A.anomaly_events(full, now),
+                    f"metrics/batch={batch_id}": records,
+                    "open_metrics": still,
+                }
+                for name, frame in parts.items():
+                    frame.write.mode("overwrite").option("ignoreNullFields", False).json(f"{out}/{name}")
+            finally:
+                for frame in (events, keys, scores, fresh):
+                    if frame is not None:
+                        frame.unpersist()
 
     writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return _trigger(writer, trigger).start()

@@ -156,3 +156,32 @@ def test_chain_stops_at_failure(spark, raw, tmp_path):
     assert alerts.count() == 2
     pivot = spark.read.option("header", True).csv(done["reports"]["weather_severity_report"])
     assert pivot.columns == ["city", "normal", "mild", "moderate", "severe"]
+
+
+def test_a_zone_without_readings_stops_the_chain(spark, tmp_path):
+    raw, out = tmp_path / "raw", tmp_path / "out"
+    raw.mkdir()
+    (raw / "nothing.json").write_text("[]")
+    for formats in (("parquet", "json"), ("json",)):
+        with pytest.raises(J.NoInput):
+            J.run_batch(spark, str(raw), str(out), formats=formats)
+    with pytest.raises(J.NoInput):
+        J.run_chain(spark, None, str(raw), str(out), str(tmp_path / "reports"))
+    assert not (tmp_path / "reports").exists() and not list(out.glob("*/*.parquet"))
+
+
+def test_retention_touches_the_border_day_only(spark, tmp_path):
+    zone, now = str(tmp_path / "zone"), datetime(2024, 3, 10, 12, tzinfo=timezone.utc)
+    rows = [(i, now - timedelta(hours=6 * i)) for i in range(60)] + [(99, None)]
+    frame = spark.createDataFrame(rows, "n long, event_ts timestamp").withColumn("event_date", F.to_date("event_ts"))
+    frame.write.partitionBy("event_date").parquet(zone)
+    files = lambda: {str(p): p.stat().st_mtime_ns for p in (tmp_path / "zone").glob("event_date=*/*.parquet")}
+    before = files()
+    done = W.retain_zone(spark, zone, days=4, now=F.lit(now))
+    assert done["rewritten"] == ["2024-03-05"] and None in done["dropped"] and "2024-03-04" in done["dropped"]
+    kept = [r.n for r in spark.read.parquet(zone).collect()]
+    assert sorted(kept) == [i for i, t in rows if t and t > now - timedelta(days=5)]
+    after = files()
+    assert all(after[p] == before[p] for p in after if "2024-03-05" not in p) and not set(after) <= {p for p in after if "2024-03-05" in p}
+    assert W.retain_zone(spark, zone, days=4, now=F.lit(now)) == {"dropped": [], "rewritten": []}
+    assert W.retain_zone(spark, zone, days=-1, now=F.lit(now + timedelta(days=9)))["rewritten"] == [] and not files()

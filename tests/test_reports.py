@@ -242,3 +242,17 @@ def test_brackets_hold_few_values(spark):
     assert counted.count() <= 102
     text = counted._jdf.queryExecution().executedPlan().toString()
     assert text.count("Exchange") == 1 and "Sort" not in text
+
+
+def test_conditions_beyond_the_pivots_limit(spark):
+    spark.conf.set("spark.sql.pivotMaxValues", 3)
+    try:
+        rows = [(c, f"kind {k}.`x`") for c in "AB" for k in range(12) for _ in range(k) if (c, k) != ("B", 5)] + [(None, "kind 1.`x`"), ("A", None)]
+        frame = spark.createDataFrame(rows, "city string, weather_condition string")
+        got = {r.city: tuple(r)[1:] for r in R.condition_report(frame, group=5).collect()}
+        names = sorted(f"kind {k}.`x`" for k in range(1, 12))
+        assert R.condition_report(frame, group=5).columns == ["city", *names]
+        want = {c: tuple(rows.count((c, n)) for n in names) for c in "AB"}
+        assert {c: got[c] for c in "AB"} == want and 0 in got["B"]
+    finally:
+        spark.conf.unset("spark.sql.pivotMaxValues")
