@@ -5,6 +5,8 @@ again as the next one's docs; all but the last keep the columns of docs. Nulls i
 column, empty tables and repeated rows pass every stage; each says what becomes of them.
 """
 
+from itertools import count
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,8 +22,8 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter, without a language for a third of their letters, or mostly in
-    scripts that no learned language uses.
+    """Drops documents without a letter, without a language for a third of their letters, mostly in scripts
+    that no learned language uses, or with n-grams far rarer than those of labelled texts.
 
     The model learns from the documents that name their language. Null texts go.
     """
@@ -34,14 +36,16 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Rows with null ids come last; among rows of one id the smallest hash of the row stays, and of
     rows that are equal throughout, one. Keys meet the documents in one shuffle.
     """
-    keyed = docs.withColumns({"_null": F.col("doc_id").isNull(), "_hash": F.xxhash64(*docs.columns)})
-    key = F.struct(F.col("_null").alias("missing"), F.col("doc_id").alias("id"), F.col("_hash").alias("hash"))
-    groups = simhash_dedup(keyed.select(key.alias("key"), "text"), "key", "text")
+    # the row is nested, so its columns may have any name
+    key = F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("id"), F.xxhash64(*docs.columns).alias("hash"))
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), key.alias("key"))
+    groups = simhash_dedup(keyed.select("key", "row.text"), "key", "text")
     kept = groups.where("id = component_id or (id is null and component_id is null)").select(
-        F.col("id.id").alias("_kept_id"), F.col("id.hash").alias("_kept_hash")
+        F.col("id.id").alias("kept_id"), F.col("id.hash").alias("kept_hash")
     )
-    same = keyed["_hash"].eqNullSafe(kept["_kept_hash"]) & keyed["doc_id"].eqNullSafe(kept["_kept_id"])
-    return keyed.join(kept, same, "left_semi").dropDuplicates(["_hash", "doc_id"]).select(*docs.columns)
+    same = F.col("key.hash").eqNullSafe(F.col("kept_hash")) & F.col("key.id").eqNullSafe(F.col("kept_id"))
+    once = keyed.select("row", "key", "key.id", "key.hash").join(kept, same, "left_semi").dropDuplicates(["hash", "id"])
+    return once.select("row.*")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +55,9 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces secrets in the texts and sets n_chars anew where that changed one; keeps every row."""
-    found = secret_scan.redact(docs.withColumn("_text", F.col("text")))
-    changed = F.col("text").isNotNull() & (F.col("text") != F.col("_text"))
+    before = next(name for i in count() if (name := f"text{i}") not in docs.columns)
+    found = secret_scan.redact(docs.withColumn(before, F.col("text")))
+    changed = F.col("text").isNotNull() & (F.col("text") != F.col(before))
     length = F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return found.withColumn("n_chars", length).select(*docs.columns)
 
