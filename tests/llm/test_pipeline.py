@@ -103,3 +103,31 @@ def test_null_texts_and_ids_pass_the_later_stages(spark, folder):
     assert leaks(spark, docs, folder).count() == 3
     assert [tuple(r) for r in secrets(spark, docs, folder).collect()] == [tuple(r) for r in docs.collect()]
     assert [(r.n_tokens, r.round_trip) for r in bpe(spark, docs, folder).collect()] == [(0, True)] * 3
+
+
+def test_columns_of_any_name_come_back_as_they_were(spark, folder):
+    names = ["_text", "_hash", "_null", "text0", "id", "key", "row", "hash", "kept_id"]
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id is null or doc_id < 20 or doc_id > 1000")
+    wide = docs.withColumns({n: F.concat(F.lit(f"{n}:"), F.col("text")) for n in names})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        made = stage(spark, wide, folder)
+        assert made.columns == wide.columns, name
+        for r in made.select("doc_id", *names).collect():
+            assert {r[n] and r[n].removeprefix(f"{n}:") for n in names} == {r["_text"] and r["_text"][6:]}, name
+    assert stage is corpus_pipeline.redact_secrets
+    secret = {r.doc_id: r for r in made.collect()}[9004]
+    assert "[SECRET]" in secret.text and "[SECRET]" not in secret["_text"]
+    assert corpus_pipeline.encode(spark, wide, folder).count() == wide.count()
+
+
+def test_very_long_texts_pass_every_stage(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    text = docs.where("lang = 'en' and n_chars between 400 and 3000").orderBy("doc_id").first().text
+    long = [(1, (text + " ") * 150 + "token = abcdef0123456789abcdef01", "en", "s", None), (2, "x" * 30_000, "en", "s", None)]
+    frame = docs.where("lang = 'en'").orderBy("doc_id").limit(20).unionByName(spark.createDataFrame(long, docs.schema))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        frame = stage(spark, frame, folder)
+    kept = {r.doc_id: r for r in frame.where("length(text) > 25000").collect()}
+    assert kept[1].text.endswith("[SECRET]") and kept[1].n_chars == len(kept[1].text)
+    ids = {r.doc_id: r for r in corpus_pipeline.encode(spark, frame, folder).collect()}
+    assert all(r.round_trip for r in ids.values())
