@@ -12,7 +12,6 @@ from skygauge.schemas import READING
 from skygauge.sources.files import (
     CORRUPT, read_json_lines, read_raw_json, read_recent_json,
 )
-from skygauge.sources.shared import remove
 from skygauge.sources.sinks import run_stamp, with_event_date, write_batch
 
 
@@ -38,11 +37,13 @@ def run_batch(
     """Read the raw zone, enrich, write every format; returns folders and counts.
 
     The first write counts rows on the way and the others copy its result, so the raw
-    files are scanned once. A zone without a reading stops the run with ``NoInput`` and leaves no
+    files are scanned once. A zone without a reading stops the run with ``NoInput`` before there is any
     output; readings that all fall to ``transforms`` give empty outputs. ``lines`` is for JSON Lines, which
     large files should be: Spark can split them.
     """
     raw = _known_columns(_sound((read_json_lines if lines else read_raw_json)(spark, source, schema)))
+    if raw.head() is None:  # stops at the first row, before anything is written
+        raise NoInput(f"no reading in {source}")
     frame = apply_all(enrich(raw, severity, now), transforms)
     frame, seen = R.run_counts(frame)
     stamp = run_stamp(now)
@@ -51,10 +52,6 @@ def run_batch(
     first = write_batch(
         dated if partition_by else frame, target, formats[0], stamp, partition_by
     )
-    # the count is observed in passing; a look at the zone tells no input from none kept
-    if not seen.get["records"] and raw.head() is None:
-        remove(spark, first)
-        raise NoInput(f"no reading in {source}")
     folders = {formats[0]: first}
     if len(formats) > 1:
         done = _read_back(spark, first, formats[0], frame)
