@@ -102,12 +102,14 @@ UNION ALL SELECT 'daily_summary', city, 'avg_humidity', round(u, 6) FROM by_city
 """ for c in _CONDITIONS) + "".join(f"""UNION ALL SELECT 'weather_severity_report', city, '{s}', (SELECT count(*) FROM enriched e
   WHERE e.city = b.city AND e.weather_severity = '{s}')::DOUBLE FROM by_city b
 """ for s in V.SEVERITY_LEVELS) + """UNION ALL SELECT 'severe_alerts', city, weather_condition, count(*)::DOUBLE FROM enriched
-  WHERE weather_severity = 'severe' GROUP BY ALL"""
+  WHERE weather_severity = 'severe' GROUP BY ALL
+UNION ALL SELECT 'dominant_condition', t.city, t.c || ': ' || upper(k.s[1]) || lower(k.s[2:]), 1.0 FROM top t
+  JOIN kinds k ON t.city = k.city AND t.c = k.c WHERE t.r = 1 AND k.r = 1"""
 
 
 @register("report_tables", _REPORTS)
 def report_tables(spark, sf_dir):
-    """The report job's numeric tables, read back from its files, in long form."""
+    """The report job's six tables, read back from its files, in long form."""
     paths = J.run_reports(
         spark, _landed(spark, sf_dir, "tables-raw"), new_path(spark, "tables"), schema=_SCHEMA, lines=True,
         conditions=list(_CONDITIONS),
@@ -119,6 +121,10 @@ def report_tables(spark, sf_dir):
         long = table.select("city", *values).unpivot(["city"], None, "detail", "value").select(F.lit(name).alias("report"), "city", "detail", "value")
         out = long if out is None else out.unionByName(long)
     alerts = spark.read.option("header", True).csv(paths["severe_alerts"]).groupBy("city", "weather_condition").count()
+    dominant = spark.read.option("header", True).csv(paths["dominant_condition"])
+    out = out.unionByName(dominant.select(
+        F.lit("dominant_condition").alias("report"), "city",
+        F.concat_ws(": ", "weather_condition", "weather_severity").alias("detail"), F.lit(1.0).alias("value")))
     return out.unionByName(alerts.select(
         F.lit("severe_alerts").alias("report"), "city", F.col("weather_condition").alias("detail"), F.col("count").cast("double").alias("value")
     ))

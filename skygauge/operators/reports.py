@@ -67,7 +67,10 @@ def condition_report(df: DataFrame, conditions=None, group: int = 1000) -> DataF
     row's counts are gathered in a map, and the columns taken from it, in groups of ``group`` for one
     projection each; there is no limit to their number but that of columns.
     """
-    counts = condition_counts(df)
+    return _condition_table(condition_counts(df), conditions, group)
+
+
+def _condition_table(counts: DataFrame, conditions=None, group: int = 1000) -> DataFrame:
     if conditions is None:
         conditions = [r[0] for r in counts.select("weather_condition").distinct().orderBy("weather_condition").collect()]
     conditions = list(conditions)
@@ -123,6 +126,10 @@ def dominant_condition(df: DataFrame) -> DataFrame:
     counted = _rows(df, "city", "weather_condition").groupBy(
         "city", "weather_condition", "weather_severity"
     ).agg(F.count(F.lit(1)).alias("n"))
+    return _dominant(counted)
+
+
+def _dominant(counted: DataFrame) -> DataFrame:
     by_condition = Window.partitionBy("city", "weather_condition")
     known = F.col("weather_severity").isNotNull()
     ranked = counted.withColumn("total", F.sum("n").over(by_condition)).withColumn(
@@ -135,9 +142,43 @@ def dominant_condition(df: DataFrame) -> DataFrame:
 
 def condition_summary(df: DataFrame) -> DataFrame:
     """``dominant_condition`` as the report prints it."""
-    return dominant_condition(df).withColumn(
-        "weather_severity", capitalize(F.col("weather_severity"))
-    )
+    return _printed(dominant_condition(df))
+
+
+def _printed(dominant: DataFrame) -> DataFrame:
+    return dominant.withColumn("weather_severity", capitalize(F.col("weather_severity")))
+
+
+def report_counts(df: DataFrame) -> DataFrame:
+    """One row per city, condition and severity, from which all tables of the daily report roll up.
+
+    Counts, sums and extremes combine in the tasks before the one shuffle; rows without a city drop out.
+    """
+    numbers = [part for c in ("temperature", "humidity") for part in (
+        _stat(F.sum, c).alias(f"{c}_sum"), _stat(F.count, c).alias(f"{c}_n"), _stat(F.min, c).alias(f"{c}_min"), _stat(F.max, c).alias(f"{c}_max"))]
+    return _rows(df, "city").groupBy("city", "weather_condition", "weather_severity").agg(F.count(F.lit(1)).alias("n"), *numbers)
+
+
+def rolled_up(counts: DataFrame, conditions=None) -> dict[str, DataFrame]:
+    """The tables of the daily report, without the alerts, from ``report_counts``; the same as from the readings."""
+    def mean(c):
+        total = F.sum(f"{c}_n")
+        return (F.sum(f"{c}_sum") / F.when(total > 0, total)).alias("avg_temp" if c == "temperature" else "avg_humidity")
+
+    extremes = [F.min("temperature_min").alias("min_temp"), F.max("temperature_max").alias("max_temp")]
+    by_city = counts.groupBy("city")
+
+    def counted(column):
+        return counts.dropna(subset=[column]).groupBy("city", column).agg(F.sum("n").alias("count"))
+
+    named = counts.dropna(subset=["weather_condition"]).select("city", "weather_condition", "weather_severity", "n")
+    return {
+        "temperature_report": by_city.agg(mean("temperature"), *extremes),
+        "weather_condition_report": _condition_table(counted("weather_condition"), conditions),
+        "weather_severity_report": _pivot(counted("weather_severity"), "weather_severity", list(V.SEVERITY_LEVELS)),
+        "daily_summary": by_city.agg(mean("temperature"), *extremes, mean("humidity")),
+        "dominant_condition": _printed(_dominant(named)),
+    }
 
 
 def condition_share(df: DataFrame) -> DataFrame:

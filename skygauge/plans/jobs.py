@@ -12,6 +12,7 @@ from skygauge.schemas import READING
 from skygauge.sources.files import (
     CORRUPT, read_json_lines, read_raw_json, read_recent_json,
 )
+from skygauge.sources.shared import materialise, temporary
 from skygauge.sources.sinks import run_stamp, with_event_date, write_batch
 
 
@@ -86,14 +87,7 @@ _REPORTED = (
 
 def report_tables(df: DataFrame, conditions=None) -> dict[str, DataFrame]:
     """The tables of the daily report from enriched readings."""
-    return {
-        "temperature_report": R.temperature_report(df),
-        "weather_condition_report": R.condition_report(df, conditions),
-        "weather_severity_report": R.severity_report(df),
-        "daily_summary": R.daily_summary(df),
-        "dominant_condition": R.condition_summary(df),
-        "severe_alerts": F_.severe_alerts(df, report=True),
-    }
+    return {**R.rolled_up(R.report_counts(df), conditions), "severe_alerts": F_.severe_alerts(df, report=True)}
 
 
 def run_reports(
@@ -102,18 +96,18 @@ def run_reports(
 ) -> dict[str, str]:
     """Reports of the last days as CSV folders; returns their paths.
 
-    The recent readings are enriched once and kept while the six small reports run.
+    The recent readings are read and enriched once for all tables, which roll up from one small frame of counts
+    on shared storage, and once more for the alerts, a filter; nothing is kept in memory.
     """
     recent = _known_columns(_sound(read_recent_json(spark, source, days, now, schema, lines)))
-    frame = enrich(recent, now=now).select(*_REPORTED).persist()
+    frame = enrich(recent, now=now).select(*_REPORTED)
     stamp = run_stamp(now)
     paths = {}
-    try:
-        for name, table in report_tables(frame, conditions).items():
+    with temporary(spark):
+        tables = R.rolled_up(materialise(R.report_counts(frame), "report-counts"), conditions)
+        for name, table in {**tables, "severe_alerts": F_.severe_alerts(frame, report=True)}.items():
             paths[name] = f"{target}/{name}_{stamp}"
             table.write.mode("overwrite").option("header", True).csv(paths[name])
-    finally:
-        frame.unpersist()
     return paths
 
 

@@ -256,3 +256,19 @@ def test_conditions_beyond_the_pivots_limit(spark):
         assert {c: got[c] for c in "AB"} == want and 0 in got["B"]
     finally:
         spark.conf.unset("spark.sql.pivotMaxValues")
+
+
+def test_tables_roll_up_from_one_frame_of_counts(frame):
+    tables, counts = R.rolled_up(R.report_counts(frame)), R.report_counts(frame)
+    one_by_one = {
+        "temperature_report": R.temperature_report(frame), "weather_condition_report": R.condition_report(frame),
+        "weather_severity_report": R.severity_report(frame), "daily_summary": R.daily_summary(frame),
+        "dominant_condition": R.condition_summary(frame),
+    }
+    assert set(tables) == set(one_by_one)
+    for name, table in one_by_one.items():
+        assert tables[name].columns == table.columns, name
+        rows = lambda t: sorted(t.collect(), key=str)
+        assert rows(tables[name]) == rows(table), name
+    text = counts._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning") == 1 and "SortAggregate" not in text
