@@ -1,5 +1,7 @@
 """Helpers shared by the corpus operators."""
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,6 +31,16 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def give_back() -> None:
+    """Return what earlier tasks of this Python worker have freed to the system: workers are used again,
+    and the memory they hold counts for the executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
 def text_of(column: str) -> F.Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
@@ -48,7 +60,9 @@ def per_row(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = None
         for batch in batches:
-            function = function or open_task()
+            if function is None:
+                give_back()
+                function = open_task()
             for part in slices(batch, slice_bytes):
                 made = function(part.column(1).to_pylist())
                 arrays = [part.column(0), *map(_typed, made, list(arrow)[1:])]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StructField, StructType
 
-from skygauge.llm.common import slices, text_of
+from skygauge.llm.common import give_back, slices, text_of
 from skygauge.sources.shared import materialise
 
 #: An overlap is a stretch of WINDOW words (a whole item, if that is shorter) of which at least
@@ -242,6 +242,7 @@ def drop_contaminated(
         sent = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches, sent=sent):
+            give_back()
             index, known = Index(sent.value), Words()
             place = arrow.get_field_index(text_col)
             for batch in batches:

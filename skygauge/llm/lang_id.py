@@ -9,13 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skygauge.llm.common import per_row, slices, text_of
+from skygauge.llm.common import give_back, per_row, slices, text_of
 
 #: Training documents per language (expected), hash buckets of n-grams, sizes of n-grams.
 TRAIN_ROWS, BUCKETS, SIZES = 3000, 1 << 17, (1, 2, 3, 4)
 #: Nats lost at every change of language, weight of the overlapping n-grams, chunk of the search.
 PENALTY, WEIGHT, CHUNK = 8.0, 0.5, 32
-KEEP = 300_000
+KEEP = 150_000
 #: Letters in scripts of no learned language that are evidence of another language: one may be a symbol.
 EVIDENCE = 2
 #: Words of a text that can be told from gibberish, and how many times the way from the median to the
@@ -336,5 +336,7 @@ def keep_identified(df: DataFrame, model: Model, text_col: str = "text", least:
                 keep += [l != UNKNOWN and s >= least and not o for l, s, o in zip(lang, score, other)]
             if any(keep):
                 yield batch.filter(pa.array(keep, pa.bool_()))
+        label = None
+        give_back()
 
     return df.mapInArrow(run, df.schema)
