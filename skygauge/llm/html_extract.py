@@ -26,13 +26,21 @@ UNSEEN = frozenset(
 AWAY_NAMES = frozenset("nav footer aside form button select menu dialog fieldset datalist search".split())
 HOME_NAMES = frozenset(("article", "main"))
 AWAY_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
-AWAY_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement sponsor sponsored promo promotion banner comment comments disqus replies "
-    "respond reviews cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup login "
-    "register share sharing social related recommended recommendations trending teaser breadcrumb breadcrumbs menu nav "
-    "navbar navigation sidebar toolbar pagination pager popup modal overlay widget copyright disclaimer masthead "
-    "sitemap skip tags".split()
+#: Words for what no article is, words for what stands beside one, and words that only hint at either.
+OTHER_WORDS = frozenset(
+    "ad ads adv advert adverts advertisement sponsor sponsored comment comments disqus replies respond cookie cookies "
+    "consent gdpr".split()
 )
+BESIDE_WORDS = frozenset(
+    "promo promotion banner notice notices alert newsletter subscribe subscription related recommended recommendations "
+    "trending breadcrumb breadcrumbs menu nav navbar navigation sidebar toolbar pagination pager popup modal sitemap".split()
+)
+HINT_WORDS = frozenset(
+    "reviews signup login register share sharing social teaser overlay widget copyright disclaimer masthead skip tags".split()
+)
+#: A name that begins or ends with one of these says what a page has or what it is filed under.
+STATE_FIRST = frozenset("has with no is not category tag format type status".split())
+STATE_LAST = frozenset("open closed free off enabled disabled".split())
 EDGE_WORDS = frozenset("header footer top bottom side aside".split())
 HOME_WORDS = frozenset("article content main post entry story body text".split())
 _SENTENCE_ENDS = ".!?:;…。！？\"'”’»)"
@@ -48,12 +56,15 @@ _CLOSERS = {n: re.compile(rf"</{n}(?=[\s/>])[^>]*>?", re.I) for n in UNSEEN}
 #: Elements that a '/' at the end of their tag closes, and that may hold others of their name.
 _NESTED = {n: re.compile(rf"<(/?){n}(?=[\s/>])((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>?", re.I) for n in ("svg", "math")}
 
-#: What a container may mean: nothing, a customary word in a class or id, an element or role made
-#: for it, text that is not shown.
-NOTHING, WORD, TAG, HIDDEN = range(4)
-#: Log-odds that a container's meaning adds to its blocks' classifier scores, which lie within +-LIMIT:
-#: in the article, and left out. Only text that is not shown is beyond what a score and edges outweigh.
-HOME, AWAY, LIMIT = 3.0, (0.0, 3.0, 6.0, 20.0), 5.0
+#: What a container may mean: nothing, a hint in a class or id, a name, element or role made for what is
+#: left out, text that is not shown.
+NOTHING, HINT, NAMED, HIDDEN = range(4)
+#: Log-odds that a container's meaning adds to its blocks' classifier scores, which lie within +-LIMIT: in the
+#: article, and left out. Hints leave the cut to decide; a score and edges do not outweigh a name.
+HOME, AWAY, LIMIT = 3.0, (0.0, 3.0, 9.0, 20.0), 5.0
+#: A named container of this many words of prose may turn out to be a wrapper of the page; names nested
+#: deeper than that stand.
+WRAPPER_WORDS, NESTED_NAMES = 50, 16
 #: Weights of the edges to the next block and to the next one below the same container; capacities are
 #: integers of this unit.
 ADJACENT, PROXIMITY, UNIT = 0.7, 0.5, 1000
@@ -65,41 +76,55 @@ PRIOR = (-2.0, 0.9, -4.0, 1.0, 0.8, 1.2, -0.8, -0.3)
 class Block:
     """A run of text between block boundaries."""
 
-    __slots__ = ("parts", "linked", "home", "away", "parent", "depth", "path", "name")
+    __slots__ = ("parts", "linked", "home", "made", "away", "names", "parent", "depth", "path", "name")
 
     def __init__(self, frame):
         self.parts, self.linked = [], 0
-        self.name, self.home, self.away, self.parent, self.depth, self.path = frame
+        self.name, self.home, self.made, self.away, self.names, self.parent, self.depth, self.path = frame
 
 
-def _meaning(name: str, attributes: str, home: bool) -> tuple[bool, int, bool]:
-    """Whether an element marks the article, how surely it marks what is left out, and whether it
-    is an article whatever words stand around it."""
-    made = name in HOME_NAMES
-    words_home, away = False, TAG if name in AWAY_NAMES or (name == "header" and not home) else NOTHING
+def _named(value: str, inside: bool) -> tuple[bool, int, bool]:
+    """What the words of a class or id say: of an article, how surely of what is left out, and whether
+    of something that no article is. A word means its container where it begins or ends a name."""
+    home, away, other = False, NOTHING, False
+    for word in value.split():
+        parts = re.split(r"[-_:]+", word)
+        if parts[0] in STATE_FIRST or parts[-1] in STATE_LAST:
+            continue
+        ends = {parts[0], parts[-1]}
+        if ends & OTHER_WORDS or ends & BESIDE_WORDS:
+            away, other = NAMED, other or bool(ends & OTHER_WORDS)
+            continue
+        own = HOME_WORDS.intersection(parts)
+        home |= bool(own)
+        hints = not (OTHER_WORDS | BESIDE_WORDS | HINT_WORDS).isdisjoint(parts)
+        if hints or (EDGE_WORDS.intersection(parts) and not own and not inside):
+            away = max(away, HINT)
+    return home, away, other
+
+
+def _meaning(name: str, attributes: str, inside: bool) -> tuple[bool, bool, int, bool]:
+    """Whether an element marks the article, whether it is made for that, how surely it marks what is left
+    out, and whether as something that no article is."""
+    made, words_home, other = name in HOME_NAMES, False, False
+    away = NAMED if name in AWAY_NAMES or (name == "header" and not inside) else NOTHING
     if attributes and name not in ("html", "body"):
         for key, *values in _ATTRIBUTE.findall(attributes):
             key, value = key.lower(), "".join(values).lower()
             if key == "role":
                 made |= value in ("main", "article")
-                away = max(away, TAG * (value in AWAY_ROLES))
+                away = max(away, NAMED * (value in AWAY_ROLES))
             elif key in ("hidden", "aria-hidden"):
                 away = max(away, HIDDEN * (value != "false"))
             elif key == "style":
                 plain = value.replace(" ", "")
                 away = max(away, HIDDEN * ("display:none" in plain or "visibility:hidden" in plain))
             else:
-                for word in value.split():
-                    parts = re.split(r"[-_:]+", word)
-                    if parts[0] in ("has", "with", "no", "is", "not"):
-                        continue
-                    own = HOME_WORDS.intersection(parts)
-                    words_home |= bool(own)
-                    if AWAY_WORDS.intersection(parts) or (EDGE_WORDS.intersection(parts) and not own and not home):
-                        away = max(away, WORD)
-    if made and away == WORD and words_home:
-        away = NOTHING  # an article that also names, say, its category
-    return made or words_home, away, made and away == NOTHING
+                said = _named(value, inside)
+                words_home, away, other = words_home or said[0], max(away, said[1]), other or said[2]
+    if made and away == HINT and words_home:
+        away = NOTHING  # an article that also names, say, its topic
+    return made or words_home, made and away == NOTHING, away, other
 
 
 def _end_of(name: str, page: str, at: int) -> int:
@@ -121,7 +146,7 @@ def blocks_of(page: str) -> list[Block]:
     Unclosed, stray and crossed tags are taken as browsers do, roughly: a closing tag closes all up to
     its element, or nothing; a block closes an open paragraph; items and cells close the one before.
     """
-    frame = ("body", False, NOTHING, 0, 0, None)
+    frame = ("body", False, False, NOTHING, (), 0, 0, None)
     stack, open_names, made, block = [("", frame)], {}, [], None
     links, at, containers = 0, 0, 0
 
@@ -182,15 +207,17 @@ def blocks_of(page: str) -> list[Block]:
             pop_to(name)
         if name == "a" and open_names.get("a"):
             pop_to("a")
-        _, home, away, parent, depth, path = stack[-1][1]
-        marks_home, marks_away, overrides = _meaning(name, attributes, home)
-        if overrides and away == WORD:
+        _, home, made_for, away, names, parent, depth, path = stack[-1][1]
+        marks_home, marks_made, marks_away, other = _meaning(name, attributes, home)
+        if marks_made and away == HINT:
             away = NOTHING
         if name in BLOCKS or marks_home or marks_away:
             containers += 1
             if marks_home or marks_away:
                 block = None
-            inner = (name, home or marks_home, max(away, marks_away), containers, depth + 1, (parent, path))
+            if marks_away == NAMED and len(names) < NESTED_NAMES:
+                names, marks_away = (*names, (containers, other)), NOTHING
+            inner = (name, home or marks_home, made_for or marks_made, max(away, marks_away), names, containers, depth + 1, (parent, path))
         else:
             inner = stack[-1][1]
         if not attributes.endswith("/") or name in BLOCKS:
@@ -213,6 +240,41 @@ def features(block: Block, text: str) -> tuple[float, ...]:
     )
 
 
+def settle_names(blocks: list[Block], texts: list[str]) -> None:
+    """Turn the names around each block into its ``away``, but for those of wrappers.
+
+    A page with prose in a free article or main has no wrappers. Elsewhere the outermost named
+    container with more prose than all free blocks is one, if it holds an article or main or
+    WRAPPER_WORDS of prose and is not named for what no article is; the names in it count as before.
+    """
+    words = [0 if b.away >= NAMED or 2 * b.linked > len(t) else t.count(" ") + 1 for b, t in zip(blocks, texts)]
+    while True:
+        free, held, article, other = 0, {}, set(), {}
+        for b, n in zip(blocks, words):
+            if not n:
+                continue
+            if not b.names:
+                if b.made:
+                    held = {}
+                    break
+                free += n
+                continue
+            key, other[b.names[0][0]] = b.names[0]
+            held[key] = held.get(key, 0) + n
+            if b.made:
+                article.add(key)
+        fit = [(n, -k) for k, n in held.items() if n > free and (k in article or n >= WRAPPER_WORDS and not other[k])]
+        if not fit:
+            break
+        wrapper = -max(fit)[1]
+        for b in blocks:
+            if b.names and b.names[0][0] == wrapper:
+                b.names = b.names[1:]
+    for b in blocks:
+        if b.names:
+            b.away = max(b.away, NAMED)
+
+
 def seed(block: Block) -> float:
     """Above 0 in the article, below in what is left out (also inside the article), 0 where nothing says."""
     return -AWAY[block.away] if block.away else HOME if block.home else 0.0
@@ -327,14 +389,17 @@ def label_blocks(blocks: list[Block], texts: list[str], weights: tuple[float, ..
     return minimum_cut(odds, edges)
 
 
+def read_page(page: str) -> tuple[list[Block], list[str]]:
+    """The blocks of a page that have text, with what their containers mean, and their texts."""
+    found = [(b, t) for b in blocks_of(page) if (t := text_of_block(b))]
+    blocks, texts = [b for b, _ in found], [t for _, t in found]
+    settle_names(blocks, texts)
+    return blocks, texts
+
+
 def main_text(page: str, weights: tuple[float, ...] = PRIOR) -> str:
     """The blocks of ``page`` on the content side of the minimum cut, one per line."""
-    blocks, texts = [], []
-    for block in blocks_of(page):
-        text = text_of_block(block)
-        if text:
-            blocks.append(block)
-            texts.append(text)
+    blocks, texts = read_page(page)
     return "\n".join(t for t, keep in zip(texts, label_blocks(blocks, texts, weights)) if keep)
 
 
@@ -354,7 +419,7 @@ def train(df: DataFrame, html_col: str = "html", train_pages: int = TRAIN_PAGES)
         for batch in batches:
             for page in batch.column(0).to_pylist():
                 rows = [(1 if seed(b) > 0 else -1, *(round(4 * x) for x in features(b, t)))
-                        for b in blocks_of(page) if (t := text_of_block(b)) and seed(b)]
+                        for b, t in zip(*read_page(page)) if seed(b)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()) for c in zip(*rows)], names=names)
 
@@ -382,8 +447,9 @@ def extract_text(
 
     A page is cut into blocks of text at block elements. A block's classifier score plus a term for the
     customary meaning of its containers is its capacity towards source (content) or sink (boilerplate);
-    an article or main element ends what words around it mean, hidden text stays out; edges
-    tie it to the next block, the weaker the farther apart they hang in the tree, and to the next one
+    names, elements and roles made for what is left out outweigh any score, hints do not; a named container
+    that wraps the page's article or nearly all its prose, a page-wide form say, means nothing by
+    its name (``settle_names``); hidden text stays out. Edges tie it to the next block, the weaker the farther apart they hang in the tree, and to the next one
     under the same grandparent; the minimum cut separates the two. Character references are decoded,
     white space becomes single spaces, and empty blocks go; scripts, styles and markup are never text.
 

@@ -116,3 +116,48 @@ def test_self_closed_and_nested_icons_leave_the_text():
     for icon in ("<svg class='i'/>", "<svg width=1 />", "<math/>", "<svg><svg><title>a</title></svg><svg/><text>b</text></svg>"):
         page = f"<article><p>{LONG[0]} {icon}</p><p>{LONG[1]}</p><p>{LONG[2]} <svg><text>c</text></svg></p><p>{LONG[3]}</p></article>"
         assert extract.main_text(page).split("\n") == LONG
+
+
+ASIDE = ("A reader of this page may well want to know that there are many more words in this box than one would think of "
+         "in such a place, for it goes on, line after line, in whole sentences, as any article would, and then it ends.")
+
+
+def test_long_prose_in_containers_beside_the_article_goes():
+    story = "".join(f"<p>{t}</p>" for t in LONG)
+    for tag in ("div class='comments'", "div id=comments", "div class='ad'", "div class='cookie-notice'", "div class='sidebar'",
+                "article class='comment'", "article class='comment-body'", "section class='post-comments'", "aside", "footer", "form",
+                "div class='related'", "div class='site-notice'", "div role='banner'", "nav", "div class='newsletter'"):
+        name = tag.split()[0]
+        box = f"<{tag}><p>{ASIDE}</p><p>{ASIDE}</p></{name}>"
+        for page in (
+            f"<article><h1>A title</h1>{story}</article>{box}", f"{box}<main><h1>A title</h1>{story}</main>",
+            f"<main><h1>A title</h1>{story}{box}</main>", f"<main><h1>A title</h1><p>{LONG[0]}</p>{box}{story[7 + len(LONG[0]):]}</main>",
+            f"<div><h1>A title</h1>{story}</div>{box}", f"{box * 20}<article><h1>A title</h1>{story}</article>",
+        ):
+            assert extract.main_text(page).split("\n") == ["A title", *LONG], (tag, page[:80])
+
+
+def test_wrappers_of_the_page_mean_nothing_by_their_name():
+    story = "".join(f"<p>{t}</p>" for t in LONG[:3])
+    nav, box = "<nav><a href=1>Home</a> <a href=2>News</a></nav>", f"<div class='comments'><p>{ASIDE}</p></div>"
+    for page in (
+        f"<form id=f>{nav}<div>{story}</div>{box}</form>", f"<form>{nav}<main>{story}</main>{box}</form>",
+        f"<form><div class='page-sidebar'>{story}</div>{box}</form>", f"<div class='ads'><main>{story}</main>{box}</div>",
+        f"<p>Site.</p><form><form><article class='post comments-open'>{story}</article></form>{box}</form>",
+    ):
+        assert extract.main_text(page).split("\n")[-3:] == LONG[:3]
+        assert ASIDE not in extract.main_text(page) and "Home" not in extract.main_text(page)
+    assert extract.main_text("<form><label>Name</label><input><label>Password</label><input></form>") == ""
+    assert extract.main_text(f"<div class='comments'><p>{ASIDE}</p><p>{ASIDE}</p></div>") == ""
+    assert extract.main_text("<div class=sidebar>" * 3000 + f"<p>{LONG[0]}</p>" + "</div>" * 3000) == ""
+
+
+def test_edges_of_the_cut_decide(monkeypatch):
+    page = f"<div><p>{LONG[0]}</p><p>So it is</p><p>{LONG[1]}</p></div><div><a href=1>Start</a> <a href=2>About</a></div>"
+    assert extract.main_text(page).split("\n") == [LONG[0], "So it is", LONG[1]]
+    monkeypatch.setattr(extract, "ADJACENT", 0.0)
+    monkeypatch.setattr(extract, "PROXIMITY", 0.0)
+    weights = (-2.0, 0.5, -4.0, 1.0, 0.2, 1.2, -0.8, -0.3)
+    assert extract.main_text(page, weights).split("\n") == LONG[:2]
+    monkeypatch.undo()
+    assert extract.main_text(page, weights).split("\n") == [LONG[0], "So it is", LONG[1]]
