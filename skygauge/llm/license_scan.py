@@ -43,11 +43,34 @@ TEMPLATES = (
      "any damages arising from the use of this software", ("implied warranty", "authors be held liable")),
     ("bsl", "distributed under the boost software license version 1 0", ("boost software license",)),
     ("epl", "made available under the terms of the eclipse public license v 2 0", ("eclipse public license",)),
+    # conditions, grants and disclaimers that stand without the notice
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial "
+     "portions of the software", ("substantial portions of the software",)),
+    ("isc", "the software is provided as is and the author disclaims all warranties with regard to this software "
+     "including all implied warranties of merchantability and fitness", ("author disclaims all warranties",)),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the "
+     "following disclaimer", ("redistributions of source code",)),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the "
+     "following disclaimer in the documentation", ("redistributions in binary form",)),
+    ("bsd", "this software is provided by the copyright holders and contributors as is and any express or implied "
+     "warranties including but not limited to the implied warranties of merchantability and fitness for a particular "
+     "purpose are disclaimed", ("copyright holders and contributors", "purpose are disclaimed")),
+    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is "
+     "distributed on an as is basis without warranties or conditions of any kind",
+     ("unless required by applicable law", "conditions of any kind")),
+    ("mpl", "if a copy of the mpl was not distributed with this file you can obtain one at", ("copy of the mpl",)),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software either in source "
+     "code form or as a compiled binary", ("publish use compile sell",)),
+    ("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications "
+     "and to alter it and redistribute it freely", ("alter it and redistribute it freely",)),
+    ("bsl", "permission is hereby granted free of charge to any person or organization obtaining a copy of the "
+     "software and accompanying documentation covered by this license", ("person or organization obtaining",)),
 )
 
-#: Words in more templates than this are not indexed; a template weighs as much as this many of its
-#: words, those of highest IDF; and this share of its weight must fall into place.
-COMMON, WEIGHED, SHARE = 5, 8, 0.5
+#: Words in more templates than this are not indexed. A template's postings are those of this many of its
+#: indexed words, the rarest by IDF, that have this part of its highest IDF (stop words have not); this
+#: share of their weight must fall into place.
+COMMON, LOOKED_UP, RARE, SHARE = 8, 8, 0.3, 0.5
 
 
 class Postings:
@@ -75,10 +98,20 @@ class Postings:
     def _find(words, phrase):
         return next(i for i in range(len(words)) if words[i:i + len(phrase)] == phrase)
 
-    def weight(self, idf: dict[str, float], t: int) -> float:
-        """What the template's WEIGHED rarest words weigh together."""
-        own = [idf[w] for w, places in self.places.items() for u, _ in places if u == t]
-        return sum(sorted(own, reverse=True)[:WEIGHED])
+    def chosen(self, idf: dict[str, float]) -> dict[str, list[tuple[int, int]]]:
+        """Word -> (template, place): each template's own LOOKED_UP words of highest IDF, of equal ones
+        the first by code point, so that templates do not compete for words."""
+        own: dict[int, set] = {}
+        for word, places in self.places.items():
+            for t, _ in places:
+                own.setdefault(t, set()).add(word)
+        kept: dict[str, list] = {}
+        for t, words in own.items():
+            best = sorted(words, key=lambda w: (-idf[w], w))[:LOOKED_UP]
+            for word in best:
+                if idf[word] >= RARE * idf[best[0]]:
+                    kept.setdefault(word, []).extend(p for p in self.places[word] if p[0] == t)
+        return kept
 
 
 def _words(text: Column) -> tuple[Column, Column, Column]:
@@ -106,9 +139,9 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Words are the runs of digits, letters and non-ASCII characters of the lower-cased text, from 0.
     n_base counts the places of the base phrases, first_word and last_word are the smallest and
     largest of their starts (null without any), base_labels their labels. labels adds those of
-    templates that a text holds: all indexed words of the text, each with its IDF over all
-    documents, are looked up in the templates' postings; entries of a template that agree on the
-    relative position are added up; where they reach ``share`` of the template's weight and every
+    templates that a text holds: each template's own rarest words by IDF over all documents are
+    looked up in its postings, wherever and however often the text has them; entries of a template
+    that agree on the relative position are added up by IDF; where they reach ``share`` of the template's weight and every
     key phrase stands at the same relative position, the template's label is given, whatever
     else the text holds. score is the largest such share (0 to 1; 0 without any). Labels are
     sorted, distinct arrays.
@@ -152,12 +185,13 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     seen = {r.word: r["count"] for r in stats.collect()}  # at most the indexed words
     documents = rows.count()
     idf = {w: math.log((documents + 1) / (seen.get(w, 0) + 1)) + 1e-9 for w in index.rare}
-    weights = [index.weight(idf, t) for t in range(len(index.labels))]
+    chosen = index.chosen(idf)
+    weights = [sum(idf[w] for w, places in chosen.items() for u, _ in places if u == t) for t in range(len(index.labels))]
 
-    idf_map = F.create_map(*(x for w in index.rare for x in (F.lit(w), F.lit(idf[w]))))
+    idf_map = F.create_map(*(x for w in chosen for x in (F.lit(w), F.lit(idf[w]))))
     entry = "array<struct<t:int,at:int>>"
-    post = F.create_map(*(x for w in index.rare for x in (
-        F.lit(w), F.array(*(F.struct(F.lit(t).alias("t"), F.lit(a).alias("at")) for t, a in index.places[w])).cast(entry))))
+    post = F.create_map(*(x for w in chosen for x in (
+        F.lit(w), F.array(*(F.struct(F.lit(t).alias("t"), F.lit(a).alias("at")) for t, a in chosen[w])).cast(entry))))
     keys: dict[int, list] = {}
     for t, phrase, at in index.phrases:
         keys.setdefault(number[phrase], []).append((t, at))
