@@ -364,16 +364,11 @@ def _run_to_end(query):
 
 
 def _stateful(spark, sf_dir, detector, name):
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider, None)
-    ST.use_rocksdb(spark)
-    try:
+    with ST.rocksdb(spark):
         path, checkpoint = new_path(spark, name), new_path(spark, f"{name}-checkpoint")
         scored = detector(reading_stream(spark, sf_dir), ["event_id"])
         out = scored.select("event_id", "anomaly.is_anomaly", "anomaly.method", "anomaly.score")
         _run_to_end(start_log_sink(out, path, checkpoint, "available_now"))
-    finally:
-        spark.conf.unset(provider) if before is None else spark.conf.set(provider, before)
     schema = "event_id long, is_anomaly boolean, method string, score double"
     return spark.read.schema(schema).json(path)
 

@@ -1,87 +1,26 @@
-"""The monitored event stream, one DataFrame job per micro-batch.
+"""The monitored event stream.
 
-Enrich, validate, score, measure and write. The scoring of a micro-batch is the batch
-operator over the batch plus the last values of its keys, so a hot key is spread over
-tasks like in a batch job. State lies as Parquet next to the checkpoint, in folders by bucket
-of key: a micro-batch reads the buckets of its keys and writes what has changed; now and
-then the changes are folded into a new base. A batch that runs again after a failure reads the
-same state and overwrites its own output, so nothing is lost or doubled.
+Events are scored on arrival with state in Spark's state store (``streaming.stateful``): the last
+values of each key, or its training vectors and forest. Each micro-batch of scored events is then
+enriched, validated, measured and written as one set of DataFrame jobs. A batch that runs again
+after a failure starts from the state before it and overwrites its own output, so nothing is
+lost or doubled. Message windows that are open go on from two small folders in turn.
 """
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from skygauge import fixed_values as V
 from skygauge.operators import anomaly as A, iforest as I, metrics as M, quality as Q
 from skygauge.operators.enrich import enrich
-from skygauge.operators.ordered import top_rows, trailing_moments, trailing_moments_split
-from skygauge.sources.shared import materialise, remove, temporary
 from skygauge.sources.sinks import with_address
+from skygauge.streaming import stateful
 from skygauge.streaming.sinks import _trigger
 
-#: Buckets of keys in the state, and micro-batches between two bases.
-BUCKETS, FOLD = 64, 16
 _ID = ("partition", "offset")
 _KEY = ("city", "source")
-
-
-class KeyedState:
-    """Rows per key, replaced key by key; only the keys of a micro-batch are written.
-
-    ``change=b`` holds the rows of the keys that batch b touched, ``base=b`` those of all keys
-    as of batch b. What counts for a key is the newest folder that has it.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, columns: str, fold: int = FOLD, buckets: int = BUCKETS):
-        self.spark, self.path, self.fold, self.buckets = spark, path, fold, buckets
-        self.schema = f"{columns}, _there boolean, bucket int"
-
-    def bucket(self):
-        return F.pmod(F.xxhash64(*_KEY), F.lit(self.buckets)).cast("int")
-
-    def touched(self, keys: DataFrame) -> list[int]:
-        """The buckets of some keys, at most ``buckets``."""
-        return [r[0] for r in keys.select(self.bucket().alias("b")).distinct().collect()]
-
-    def _folders(self, batch_id: int) -> list[tuple[int, str]]:
-        """The folders that hold the state before a batch, which is known from its number."""
-        if not batch_id:
-            return []
-        base = (batch_id - 1) // self.fold * self.fold
-        changes = [(b, f"{self.path}/change={b}") for b in range(base + (base > 0), batch_id)]
-        return ([(base, f"{self.path}/base={base}")] if base else []) + changes
-
-    def read(self, batch_id: int, keys: DataFrame | None = None) -> DataFrame | None:
-        """The rows before a batch, of the given keys or of all; None before the first."""
-        rows = None
-        for number, folder in self._folders(batch_id):
-            frame = self.spark.read.schema(self.schema).parquet(folder).withColumn("_batch", F.lit(number))
-            rows = frame if rows is None else rows.unionByName(frame)
-        if rows is None:
-            return None
-        if keys is not None:
-            rows = rows.where(F.col("bucket").isin(self.touched(keys))).join(keys, list(_KEY), "left_semi")
-        newest = rows.groupBy(*_KEY).agg(F.max("_batch").alias("_batch"))
-        # a key whose rows are all gone has one row that says so
-        return rows.join(newest, [*_KEY, "_batch"], "left_semi").where("_there").drop("_batch", "bucket", "_there")
-
-    def write(self, batch_id: int, rows: DataFrame, keys: DataFrame) -> None:
-        """Replace the rows of ``keys``; fold every ``fold`` batches."""
-        gone = keys.join(rows.select(*_KEY).distinct(), list(_KEY), "left_anti").withColumn("_there", F.lit(False))
-        rows = rows.withColumn("_there", F.lit(True))
-        self._put(rows.unionByName(gone, allowMissingColumns=True), f"{self.path}/change={batch_id}")
-        if batch_id and batch_id % self.fold == 0:
-            others = self.read(batch_id).join(keys, list(_KEY), "left_anti").withColumn("_there", F.lit(True))
-            self._put(others.unionByName(rows), f"{self.path}/base={batch_id}")
-            # a replay of this batch needs the base before it and the changes since; what is older can go
-            if batch_id > self.fold:
-                for b in range(batch_id - 2 * self.fold, batch_id - self.fold + 1):
-                    remove(self.spark, f"{self.path}/change={b}")
-                remove(self.spark, f"{self.path}/base={batch_id - 2 * self.fold}")
-
-    def _put(self, rows: DataFrame, folder: str) -> None:
-        dealt = rows.withColumn("bucket", self.bucket()).hint("rebalance", "bucket")
-        dealt.write.mode("overwrite").partitionBy("bucket").parquet(folder)
+#: Times keep their microseconds in the text that carries a row past the state.
+_EXACT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
 def monitor(
@@ -97,85 +36,6 @@ def monitor(
     return Q.validate(events, json_col)
 
 
-def _long(df: DataFrame, features) -> DataFrame:
-    keyed = df.select(
-        F.lit(1).alias("_turn"), *_ID, A.key_text(F.col("city")).alias("city"),
-        A.key_text(F.col("source")).alias("source"),
-        *[F.col(f).cast("double").alias(f) for f in features],
-    )
-    ids = ["_turn", *_ID, "city", "source"]
-    return keyed.unpivot(ids, list(features), "feature", "x").where("x IS NOT NULL")
-
-
-def score_batch(
-    batch: DataFrame, past: DataFrame | None, features=V.FEATURES,
-    window: int = V.ZSCORE_WINDOW, min_samples: int = V.ZSCORE_MIN_SAMPLES,
-    threshold: float = V.ZSCORE_THRESHOLD, hot_keys: bool = True, piece_rows: int = A.PIECE_ROWS,
-) -> tuple[DataFrame, DataFrame]:
-    """(partition, offset, anomaly) of a micro-batch, and the values to keep for the next.
-
-    ``past`` holds the last ``window`` values per key and feature in ``_turn`` 0; ``offset`` is their
-    order. ``hot_keys`` as in ``zscore_long``.
-    """
-    keys, order = [*_KEY, "feature"], ["_turn", *_ID]
-    new = _long(batch, features)
-    values = new if past is None else past.unionByName(new)
-    if hot_keys:
-        scored = trailing_moments_split(values, "x", keys, order, window, piece_rows)
-    else:
-        scored = trailing_moments(values, "x", keys, order, window)
-    z = A.zscore_expr(F.col("x"), F.col("_n"), F.col("_mean"), F.col("_m2"), min_samples)
-    fresh = scored.where("_turn = 1").select(*_ID, "feature", z.alias("z"))
-    wide = fresh.groupBy(*_ID).agg(*[
-        F.max(F.when(F.col("feature") == f, F.col("z"))).alias(f) for f in features
-    ])
-    result = A.anomaly_struct({f: F.col(f) for f in features}, threshold)
-    newest = [F.desc(c) for c in order]
-    kept = top_rows(values, keys, newest, window, "offset")
-    # Arrival order among the kept values: all of them come before the next batch.
-    kept = kept.withColumns({
-        "_turn": F.lit(0), "partition": F.lit(0).cast(dict(values.dtypes)["partition"]),
-        "offset": (F.lit(window) - F.col("rank")).cast("long"),
-    }).drop("rank")
-    return wide.select(*_ID, result.alias("anomaly")), kept
-
-
-def forest_batch(
-    batch: DataFrame, past: DataFrame | None, models: DataFrame | None, features=V.FEATURES,
-    min_samples: int = V.IFOREST_MIN_SAMPLES, trees: int = V.IFOREST_TREES,
-    contamination: float = V.IFOREST_CONTAMINATION, seed: int = V.IFOREST_SEED, **scoring,
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(partition, offset, anomaly) of a micro-batch by Isolation Forest, the complete vectors to keep
-    of keys that have too few yet, and the models fitted now.
-
-    ``past`` holds the kept vectors, ``models`` those fitted before; a key is fitted once.
-    """
-    order = ["_turn", *_ID]
-    new = batch.select(F.lit(1).alias("_turn"), *_ID, *_KEY, *[F.col(f).cast("double").alias(f) for f in features])
-    new = I._vectors(new, "offset", order, features, _KEY).select("_turn", *_ID, *_KEY, *features)
-    waiting = new if models is None else new.join(models.select(*_KEY), list(_KEY), "left_anti")
-    pool = waiting if past is None else past.unionByName(waiting)
-    fitted = materialise(I.iforest_fit(
-        pool, "offset", order, features, _KEY, min_samples, trees, contamination, seed
-    ), "iforest")
-    known = fitted if models is None else fitted.unionByName(models.withColumn("cut", F.struct(
-        F.lit(0).alias("_turn"), F.lit(0).cast(dict(new.dtypes)["partition"]).alias("partition"),
-        F.lit(-1).cast("long").alias("offset"),
-    )))
-    address = F.struct(*_ID).alias("at")
-    scores = I.iforest_score(new.withColumn("at", address), known, "at", order, features, _KEY, **scoring)
-    none = A.unscored(I.METHOD)
-    result = F.struct(
-        (F.col("score") < 0).alias("is_anomaly"), F.lit(I.METHOD).alias("method"),
-        F.col("score"), none["feature_scores"].alias("feature_scores"),
-    )
-    kept = top_rows(pool.join(fitted.select(*_KEY), list(_KEY), "left_anti"), _KEY, order, min_samples, "offset")
-    kept = kept.withColumns({
-        "_turn": F.lit(0), "partition": F.lit(0).cast(dict(new.dtypes)["partition"]), "offset": F.col("rank").cast("long"),
-    }).drop("rank")
-    return scores.select("at.partition", "at.offset", result.alias("anomaly")), kept, fitted
-
-
 def clock() -> F.Column:
     """The wall clock when a row passes, in microseconds; read for every row."""
     return F.expr("reflect('java.time.Instant', 'now')").cast("timestamp")
@@ -191,70 +51,46 @@ def start_monitor(
 
     ``stream`` has the reading columns, the JSON text, partition and offset. Output
     folders below ``out``: events, quality, anomalies, metrics, each by batch, and open_metrics
-    with the message windows that are not full yet. ``tasks`` deals a micro-batch out to that
-    many tasks, for topics with few partitions. The Isolation Forest scores if it is the
-    ``method`` and ``enabled``, else z-scores. ``processed_at`` is the time a message counts as
-    processed, by default a clock read for every row, at the end of its work or before it is dealt out.
+    with the message windows that are not full yet. ``tasks`` deals a scored micro-batch out to that
+    many tasks, for streams with few keys. The Isolation Forest scores if it is the
+    ``method`` and ``enabled``, else z-scores; ``scoring`` are options of ``stateful.iforest_stream`` or
+    ``zscore_stream``. ``processed_at`` is the time a message counts as processed, by default a clock
+    read for every row as it goes to its key's state: from there on a partition's rows are not in order.
     """
-    forest = method.lower() == I.METHOD and enabled
-    stamp = clock() if processed_at is None else processed_at
+    spark = stream.sparkSession
+    stream = stream.withColumn("processed_at", clock() if processed_at is None else processed_at)
+    columns = [c for c in stream.columns if c != "anomaly"]
+    detector = stateful.iforest_stream if method.lower() == I.METHOD and enabled else stateful.zscore_stream
+    schema = stream.select(*columns).schema
+    line = F.to_json(F.struct(*columns), _EXACT)
+    rows = stream.select(line.alias("line"), *_ID, *_KEY, *features)
+    scored = detector(rows, ["line"], _ID, features, _KEY, **scoring)
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        kind = dict(batch.dtypes)["partition"]
-        columns = f"_turn int, partition {kind}, offset long, city string, source string, "
-        if forest:
-            state = KeyedState(spark, f"{checkpoint}/vectors", columns + ", ".join(f"`{f}` double" for f in features))
-        else:
-            state = KeyedState(spark, f"{checkpoint}/scores", columns + "feature string, x double")
-        if tasks:  # a partition's rows are in order here, and no longer so where they are dealt out
-            batch = batch.withColumn("processed_at", stamp).repartition(tasks)
-        events = Q.validate(enrich(batch, severity, now), json_col)
-        events = (events if tasks else events.withColumn("processed_at", stamp)).persist()
-        keys = scores = fresh = None
-        with temporary(spark):
-            try:
-                keys = events.select(*[A.key_text(F.col(k)).alias(k) for k in _KEY]).distinct().persist()
-                past = state.read(batch_id, keys)
-                if forest:
-                    models = _models(state, checkpoint, batch_id, keys)
-                    scores, kept, fitted = forest_batch(events, past, models, features, **scoring)
-                    fitted.select(*_KEY, "model").withColumn("bucket", state.bucket()).write.mode("overwrite").partitionBy(
-                        "bucket").parquet(f"{checkpoint}/models/batch={batch_id}")
-                else:
-                    scores, kept = score_batch(events, past, features, **scoring)
-                scores, kept = scores.persist(), kept.persist()
-                state.write(batch_id, kept, keys)
-                kept.unpersist()
-                windows = f"{checkpoint}/windows"
-                before = spark.read.parquet(f"{windows}/{(batch_id - 1) % 2}") if batch_id else None
-                fresh = M.message_windows(M.with_latency(events), log_every).persist()
-                records, still, carried = M.live_windows(fresh, before, log_every)
-                carried.coalesce(1).write.mode("overwrite").parquet(f"{windows}/{batch_id % 2}")
-                none = A.unscored(I.METHOD) if forest else A.unscored("zscore", features)
-                full = events.join(scores, list(_ID), "left").withColumn("anomaly", F.coalesce("anomaly", none))
-                parts = {
-                    f"events/batch={batch_id}": with_address(full.drop("issues", json_col)),
-                    f"quality/batch={batch_id}": Q.quality_events(events, now),
-                    f"anomalies/batch={batch_id}": A.anomaly_events(full, now),
-                    f"metrics/batch={batch_id}": records,
-                    "open_metrics": still,
-                }
-                for name, frame in parts.items():
-                    frame.write.mode("overwrite").option("ignoreNullFields", False).json(f"{out}/{name}")
-            finally:
-                for frame in (events, keys, scores, fresh):
-                    if frame is not None:
-                        frame.unpersist()
-
-    writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
-    return _trigger(writer, trigger).start()
-
-
-def _models(state: KeyedState, checkpoint: str, batch_id: int, keys: DataFrame) -> DataFrame | None:
-    """The models fitted before a batch, of its keys; a key's model is written once."""
-    if not batch_id:
-        return None
-    models = state.spark.read.schema("city string, source string, model binary, batch int, bucket int").parquet(f"{checkpoint}/models")
-    models = models.where((F.col("batch") < batch_id) & F.col("bucket").isin(state.touched(keys)))
-    return models.select(*_KEY, "model").join(keys, list(_KEY), "left_semi")
+        batch = batch.select(F.from_json("line", schema, _EXACT).alias("r"), "anomaly").select("r.*", "anomaly")
+        if tasks:  # a key's rows are together here, and no longer so where they are dealt out
+            batch = batch.repartition(tasks)
+        # kept: the state is read and written once, by the first that asks for the events
+        events = Q.validate(enrich(batch, severity, now), json_col).persist()
+        fresh = M.message_windows(M.with_latency(events), log_every).persist()
+        try:
+            windows = f"{checkpoint}/windows"
+            before = batch.sparkSession.read.parquet(f"{windows}/{(batch_id - 1) % 2}") if batch_id else None
+            records, still, carried = M.live_windows(fresh, before, log_every)
+            carried.coalesce(1).write.mode("overwrite").parquet(f"{windows}/{batch_id % 2}")
+            parts = {
+                f"events/batch={batch_id}": with_address(events.drop("issues", json_col)),
+                f"quality/batch={batch_id}": Q.quality_events(events, now),
+                f"anomalies/batch={batch_id}": A.anomaly_events(events, now),
+                f"metrics/batch={batch_id}": records,
+                "open_metrics": still,
+            }
+            for name, frame in parts.items():
+                frame.write.mode("overwrite").option("ignoreNullFields", False).json(f"{out}/{name}")
+        finally:
+            fresh.unpersist()
+            events.unpersist()
+
+    writer = scored.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    with stateful.rocksdb(spark):
+        return _trigger(writer, trigger).start()

@@ -1,10 +1,14 @@
 """Anomaly detection with state in the state store, one processor per key.
 
-A key's rows of one micro-batch meet in one task, so bound the micro-batch at the
-source. Where a single key carries most of a fast stream use
-``streaming.monitor``, which spreads a key's rows over tasks.
+A key's rows of one micro-batch meet in one task, in chunks. The task holds the order columns and
+feature values of all of them, some ten numbers a row; what is carried along waits in the
+state store, one chunk at a time in memory.
 """
 
+import pickle
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -23,15 +27,63 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", _PROVIDER)
 
 
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """``use_rocksdb`` for the queries started inside."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    use_rocksdb(spark)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 class _InArrivalOrder(StatefulProcessor):
-    """Hands a key's rows of the micro-batch over in arrival order."""
+    """Scores a key's rows of the micro-batch in arrival order, whatever chunks they come in.
+
+    A chunk's carried columns are put into the state store when the next chunk comes, and taken out
+    again when the scores are known; nothing of them stays after the micro-batch.
+    """
 
     def __init__(self, carry, order, features):
         self.carry, self.order, self.features = carry, order, features
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.waiting = handle.getMapState("waiting", "chunk int", "rows binary")
+
     def handleInputRows(self, key, rows, timerValues):
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(self.order, kind="stable")
-        yield self.scored(batch.reset_index(drop=True))
+        names = list(dict.fromkeys([*self.order, *self.features, *(f"given_{f}" for f in self.features)]))
+        numbers, sizes, last = {n: [] for n in names}, [], None
+        for chunk in rows:
+            if last is not None:
+                self.waiting.updateValue((len(sizes) - 1,), (pickle.dumps(last, protocol=5),))
+            last = chunk[self.carry].reset_index(drop=True)
+            sizes.append(len(chunk))
+            for n in names:
+                numbers[n].append(chunk[n].to_numpy(copy=True))
+        if last is None:
+            return
+        numbers = {n: np.concatenate(numbers[n]) for n in names}
+        frame = pd.DataFrame({n: numbers[n] for n in self.order}, copy=False)
+        place = frame.sort_values(self.order, kind="stable").index.to_numpy()
+        del frame
+        values = np.stack([numbers[f].astype("float64")[place] for f in self.features], 1)
+        given = np.stack([numbers[f"given_{f}"].astype(bool)[place] for f in self.features], 1)
+        del numbers
+        made = {}
+        for name, column in self.scored(values, given).items():
+            made[name] = np.empty_like(column)
+            made[name][place] = column
+        at = 0
+        for chunk, size in enumerate(sizes):
+            if chunk < len(sizes) - 1:
+                carried = pickle.loads(bytes(self.waiting.getValue((chunk,))[0]))
+                self.waiting.removeKey((chunk,))
+            else:
+                carried = last
+            yield carried.assign(**{name: column[at:at + size] for name, column in made.items()})
+            at += size
 
     def close(self) -> None:
         pass
@@ -43,22 +95,23 @@ class _ZScore(_InArrivalOrder):
         self.window, self.min_samples = window, min_samples
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
         schema = ", ".join(f"f{i} array<double>" for i in range(len(self.features)))
         self.past = handle.getValueState("past", schema)
 
-    def scored(self, batch):
+    def scored(self, values, given):
         past = self.past.get()
         past = [[] for _ in self.features] if past is None else past
-        out, kept = batch[self.carry].copy(), []
-        for values, f in zip(past, self.features):
-            values = np.array([np.nan if v is None else v for v in values], dtype="float64")
-            has = batch[f"given_{f}"].to_numpy(bool)
-            new = batch[f].to_numpy("float64")[has]
-            z, exists = rolling_z(values, new, self.window, self.min_samples)
-            scores, flags = np.zeros(len(batch)), np.zeros(len(batch), dtype=bool)
+        out, kept = {}, []
+        for i, (before, f) in enumerate(zip(past, self.features)):
+            before = np.array([np.nan if v is None else v for v in before], dtype="float64")
+            has = given[:, i]
+            new = values[has, i]
+            z, exists = rolling_z(before, new, self.window, self.min_samples)
+            scores, flags = np.zeros(len(values)), np.zeros(len(values), dtype=bool)
             scores[has], flags[has] = z, exists
             out[f"z_{f}"], out[f"scored_{f}"] = scores, flags
-            kept.append(np.concatenate([values, new])[-self.window:].tolist())
+            kept.append(np.concatenate([before, new])[-self.window:].tolist())
         self.past.update(tuple(kept))
         return out
 
@@ -70,15 +123,13 @@ class _IsolationForest(_InArrivalOrder):
         self.contamination, self.seed = contamination, seed
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
         self.buffer = handle.getValueState("buffer", "flat array<double>")
         self.model = handle.getValueState("model", "bytes binary")
 
-    def scored(self, batch):
-        x = batch[self.features].to_numpy("float64")
-        complete = batch[[f"given_{f}" for f in self.features]].to_numpy(bool).all(axis=1)
-        complete &= np.isfinite(x).all(axis=1)
-        due = np.flatnonzero(complete)
-        score = np.zeros(len(batch))
+    def scored(self, values, given):
+        due = np.flatnonzero(given.all(axis=1) & np.isfinite(values).all(axis=1))
+        score, flags = np.zeros(len(values)), np.zeros(len(values), dtype=bool)
         model = self.model.get()
         forest = Forest.from_bytes(bytes(model[0])) if model is not None else None
         if forest is None:
@@ -86,17 +137,16 @@ class _IsolationForest(_InArrivalOrder):
             buffer = np.array([] if buffer is None else buffer[0]).reshape(-1, len(self.features))
             take = due[:self.min_samples - len(buffer)]
             due = due[len(take):]
-            buffer = np.concatenate([buffer, x[take]])
+            buffer = np.concatenate([buffer, values[take]])
             if len(buffer) >= self.min_samples:
                 forest = Forest.fit(buffer, self.trees, self.contamination, self.seed)
                 self.model.update((forest.to_bytes(),))
                 self.buffer.clear()
             else:
                 self.buffer.update((buffer.ravel().tolist(),))
-        flags = np.zeros(len(batch), dtype=bool)
         if forest is not None and len(due):
-            score[due], flags[due] = forest.decision(x[due]), True
-        return batch[self.carry].assign(_score=score, _scored=flags)
+            score[due], flags[due] = forest.decision(values[due]), True
+        return {"_score": score, "_scored": flags}
 
 
 def _keyed(stream, key, features):

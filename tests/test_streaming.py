@@ -110,8 +110,8 @@ def test_iforest_stream_equals_batch(spark, tmp_path, rocksdb):
     assert want[401][0] and sum(v[1] is not None for v in want.values()) > 150
 
 
-@pytest.mark.parametrize("options", [{"hot_keys": False}, {"piece_rows": 240}])
-def test_monitor_stream(spark, tmp_path, options):
+@pytest.mark.parametrize("tasks", [None, 3])
+def test_monitor_stream(spark, tmp_path, tasks):
     rows = events()
     del rows[5]["timestamp"], rows[6]["source"]
     rows[7]["pressure"] = 2000.0
@@ -123,7 +123,7 @@ def test_monitor_stream(spark, tmp_path, options):
     def run():
         source = stream(spark, tmp_path / "in").withColumn("value", F.to_json(F.struct(*SCHEMA_FIELDS)))
         finish(MO.start_monitor(
-            source, str(tmp_path / "out"), str(tmp_path / "cp"), "available_now", tasks=3, **options))
+            source, str(tmp_path / "out"), str(tmp_path / "cp"), "available_now", tasks=tasks))
 
     run()
     land(tmp_path / "in", rows[300:], 1)
@@ -148,16 +148,107 @@ def test_monitor_stream(spark, tmp_path, options):
 SCHEMA_FIELDS = ["timestamp", "city", "source", *V.FEATURES]
 
 
-def test_replayed_batch_changes_nothing(spark, tmp_path):
-    """A micro-batch that runs twice reads the same state and overwrites its own output."""
-    rows = batch(spark, events(120))
-    first, kept = MO.score_batch(rows.where("offset < 60"), None)
-    kept.write.parquet(str(tmp_path / "state"))
-    past = spark.read.parquet(str(tmp_path / "state"))
-    second = [scores([r.asDict(True) for r in MO.score_batch(rows.where("offset >= 60"), past)[0].collect()]) for _ in (1, 2)]
-    assert second[0] == second[1]
-    whole = scores([r.asDict(True) for r in A.detect(rows, id_col="offset", order=["offset"]).collect()])
-    close({**scores([r.asDict(True) for r in first.collect()]), **second[0]}, whole)
+def test_replayed_batch_changes_nothing(spark, tmp_path, monkeypatch):
+    """A micro-batch that fails after its state is written runs again from the state before it."""
+    rows = events(180)
+    land(tmp_path / "in", rows, 3)
+    logged, fails = A.anomaly_events, [False, True, False, False]
+
+    def anomaly_events(*given):
+        if fails.pop(0):
+            raise RuntimeError("no room")
+        return logged(*given)
+
+    monkeypatch.setattr(A, "anomaly_events", anomaly_events)
+
+    def run():
+        source = stream(spark, tmp_path / "in").withColumn("value", F.to_json(F.struct(*SCHEMA_FIELDS)))
+        return MO.start_monitor(source, str(tmp_path / "out"), str(tmp_path / "cp"), "available_now", tasks=2)
+
+    with pytest.raises(Exception, match="no room"):
+        run().awaitTermination()
+    finish(run())
+    assert not fails
+    got = scores([r.asDict(True) for r in spark.read.json(str(tmp_path / "out" / "events")).collect()])
+    close(got, scores([r.asDict(True) for r in A.detect(batch(spark, rows), id_col="offset", order=["offset"]).collect()]))
+
+
+def test_rows_pass_the_state_unchanged(spark, tmp_path):
+    """Any columns of the stream come back as they were: NaN, nulls, structs, times, an own anomaly column."""
+    schema = SCHEMA + ", extra struct<a: double, b: array<int>>, seen timestamp, day date, line string, anomaly int"
+    rows = [{**r, "extra": {"a": i / 7, "b": [i]} if i % 2 else None, "seen": f"2024-03-01T00:00:00.{i:03d}Z",
+             "day": "2024-03-01", "line": 'a "b"\n', "anomaly": 1} for i, r in enumerate(events(40))]
+    rows[3]["pressure"], rows[4]["city"] = "NaN", None
+    folder = tmp_path / "in"
+    land(folder, rows, 2)
+    source = spark.readStream.schema(schema).json(str(folder)).withColumn("value", F.to_json(F.struct(*SCHEMA_FIELDS)))
+    finish(MO.start_monitor(source, str(tmp_path / "out"), str(tmp_path / "cp"), "available_now"))
+    names = ["offset", "city", "temperature", "humidity", "pressure", "extra", "seen", "day", "line"]
+    read = lambda path: sorted(map(str, spark.read.schema(schema.replace("anomaly int", "x int")).json(path).select(*names).collect()))
+    assert read(str(tmp_path / "out" / "events")) == read(str(folder))
+    times = spark.range(3).select(F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.col("id")).alias("t"), F.expr(
+        "CASE id WHEN 0 THEN double('NaN') WHEN 1 THEN -double('inf') ELSE 1e-320 END AS x"))
+    line = F.to_json(F.struct("t", "x"), MO._EXACT)
+    back = times.select(F.from_json(line, times.schema, MO._EXACT).alias("r"), "t", "x")
+    assert back.where("r.t = t AND r.x = x").count() == 3
+
+
+def test_small_chunks_of_a_key(spark, tmp_path, rocksdb):
+    rows = events()
+    rnd = np.random.default_rng(5)
+    land(tmp_path / "in", [rows[i] for i in rnd.permutation(len(rows))], 1)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, 17)
+    try:
+        out = ST.zscore_stream(stream(spark, tmp_path / "in"), ["offset", "city"])
+        finish(start_log_sink(out, str(tmp_path / "out"), str(tmp_path / "cp"), "available_now"))
+    finally:
+        spark.conf.set(name, before)
+    got = spark.read.json(str(tmp_path / "out")).collect()
+    assert {r.offset: r.city for r in got} == {r["offset"]: r["city"] for r in rows}
+    close(scores([r.asDict(True) for r in got]), scores([r.asDict(True) for r in A.detect(
+        batch(spark, rows), id_col="offset", order=["offset"]).collect()]))
+
+
+class OnDisk:
+    """A map state that keeps its values out of memory."""
+
+    def __init__(self, folder):
+        self.folder = folder
+
+    def updateValue(self, key, value):
+        (self.folder / str(key[0])).write_bytes(value[0])
+
+    def getValue(self, key):
+        return ((self.folder / str(key[0])).read_bytes(),)
+
+    def removeKey(self, key):
+        (self.folder / str(key[0])).unlink()
+
+
+def test_a_key_with_a_million_rows_takes_bounded_memory(tmp_path):
+    import tracemalloc
+
+    import pandas as pd
+
+    processor = ST._ZScore(["line"], ["offset"], ["x"], 240, 30)
+    processor.waiting = OnDisk(tmp_path)
+    kept = []
+    processor.past = type("Past", (), {"get": lambda self: None, "update": lambda self, v: kept.append(v)})()
+    rnd = np.random.default_rng(1)
+
+    def chunks():
+        for i in range(100):
+            offset = np.arange(i * 10_000, (i + 1) * 10_000)
+            yield pd.DataFrame({"line": [f"{o:0500d}" for o in offset], "offset": offset[::-1], "x": rnd.normal(size=10_000), "given_x": True})
+
+    tracemalloc.start()
+    rows = sum(len(part) for part in processor.handleInputRows(("k",), chunks(), None))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 1_000_000 and len(kept[0][0]) == 240 and not list(tmp_path.iterdir())
+    assert peak < 200 << 20  # the texts alone are 550 MB
 
 
 def test_parquet_stream_equals_batch(spark, tmp_path):
@@ -185,20 +276,3 @@ def test_monitor_with_isolation_forest(spark, tmp_path):
     got = scores([r.asDict(True) for r in spark.read.json(str(tmp_path / "out" / "events")).collect()])
     close(got, want)
     assert want[401][0] and sum(v[1] is not None for v in want.values()) > 150
-
-
-def test_keyed_state_keeps_the_newest_rows_of_every_key(spark, tmp_path):
-    state = MO.KeyedState(spark, str(tmp_path / "state"), "city string, source string, x long", fold=3, buckets=4)
-    rnd, held = np.random.default_rng(2), {}
-    for b in range(9):
-        touched = {f"c{k}": [int(v) for v in rnd.integers(0, 100, rnd.integers(0, 4))] for k in rnd.choice(12, 4, replace=False)}
-        keys = spark.createDataFrame([(c, "s") for c in touched], "city string, source string")
-        for _ in (1, 2):  # a batch that runs again reads the same and overwrites its own
-            past = state.read(b, keys)
-            seen = {} if past is None else {c: sorted(r.x for r in past.collect() if r.city == c) for c in touched}
-            assert all(seen.get(c, []) == sorted(held.get(c, [])) for c in touched)
-            rows = spark.createDataFrame([(c, "s", v) for c, vs in touched.items() for v in vs], "city string, source string, x long")
-            state.write(b, rows, keys)
-        held |= touched
-    everything = state.read(9).collect()
-    assert sorted((r.city, r.x) for r in everything) == sorted((c, v) for c, vs in held.items() for v in vs)
