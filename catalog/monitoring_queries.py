@@ -378,6 +378,24 @@ def zscore_stream(spark, sf_dir):
     return rounded(_stateful(spark, sf_dir, ST.zscore_stream, "zscore"), "score")
 
 
+@register("zscore_state", f"""WITH {READINGS}, long AS ({_LONG_SQL}),
+  newest AS (SELECT * FROM long WHERE x IS NOT NULL
+    QUALIFY row_number() OVER (PARTITION BY city, source, feature ORDER BY event_id DESC) <= {V.ZSCORE_WINDOW})
+  SELECT city, source, feature, count(*) AS kept, round(sum(x), 4) AS total, round(max_by(x, event_id), 6) AS last FROM newest
+  GROUP BY city, source, feature""")
+def zscore_state(spark, sf_dir):
+    """What the stream keeps per key when all events have passed."""
+    with ST.rocksdb(spark):
+        checkpoint = new_path(spark, "audited-checkpoint")
+        scored = ST.zscore_stream(reading_stream(spark, sf_dir), ["event_id"])
+        _run_to_end(start_log_sink(scored, new_path(spark, "audited"), checkpoint, "available_now"))
+    found = ST.kept_values(spark, checkpoint).where(F.size("kept") > 0)
+    total = F.aggregate("kept", F.lit(0.0), lambda a, x: a + x)
+    return rounded(found.select(
+        "city", "source", "feature", F.size("kept").cast("long").alias("kept"), F.round(total, 4).alias("total"),
+        F.element_at("kept", -1).alias("last")), "last")
+
+
 @register("iforest_stream", forest_sql("event_id"))
 def iforest_stream(spark, sf_dir):
     out = _stateful(spark, sf_dir, ST.iforest_stream, "iforest")

@@ -60,6 +60,28 @@ def read_recent_json(
     return reader.json(path).where(F.col("_metadata.file_modification_time") >= exact)
 
 
+def stream_recent_json(
+    spark: SparkSession, path: str, days: int = 1, archive: str | None = None,
+    schema: T.StructType = READING, lines: bool = False, files_at_once: int | None = None,
+) -> DataFrame:
+    """A raw zone as a stream: each file is read once, rows as in ``read_raw_json`` (or JSON Lines).
+
+    Rows of files modified more than ``days`` before their micro-batch are left out; listings after the first
+    leave out files that much older than the newest one seen. Files that are done move to
+    ``archive``, outside of ``path``, when the micro-batch after theirs begins, so that listings stay short;
+    Spark moves them in the background and tries none twice. ``files_at_once`` bounds a micro-batch.
+    """
+    if CORRUPT not in schema.fieldNames():
+        schema = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "multiLine": not lines, "maxFileAge": f"{days}d"}
+    if archive:
+        options |= {"cleanSource": "archive", "sourceArchiveDir": archive}
+    if files_at_once:
+        options["maxFilesPerTrigger"] = files_at_once
+    since = F.current_timestamp() - F.expr(f"make_interval(0, 0, 0, {int(days)})")
+    return spark.readStream.schema(schema).options(**options).json(path).where(F.col("_metadata.file_modification_time") >= since)
+
+
 def read_processed(
     spark: SparkSession, path, required=V.DASHBOARD_FIELDS,
     schema: T.StructType = READING, name_pattern: str = "processed_*.json",

@@ -214,3 +214,14 @@ def iforest_stream(
         F.col("_score").alias("score"), none["feature_scores"].alias("feature_scores"),
     )
     return out.select(*carry, F.when(F.col("_scored"), result).otherwise(none).alias("anomaly"))
+
+
+def kept_values(spark: SparkSession, checkpoint: str, features=V.FEATURES, key=("city", "source")) -> DataFrame:
+    """What ``zscore_stream`` has in its state after the last micro-batch, read from the checkpoint: one
+    row per key and feature with ``kept``, its values from oldest to newest, for audits. A key's row
+    has at most the window's values of each feature; keys are read where their state lies.
+    """
+    state = spark.read.format("statestore").option("stateVarName", "past").load(checkpoint)
+    keys = [F.col(f"key.key{i}").alias(name) for i, name in enumerate(key)]
+    each = F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f"value.f{i}").alias("kept")) for i, f in enumerate(features)))
+    return state.select(*keys, F.explode(each).alias("e")).select(*key, "e.feature", "e.kept")

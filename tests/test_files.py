@@ -185,3 +185,31 @@ def test_retention_touches_the_border_day_only(spark, tmp_path):
     assert all(after[p] == before[p] for p in after if "2024-03-05" not in p) and not set(after) <= {p for p in after if "2024-03-05" in p}
     assert W.retain_zone(spark, zone, days=4, now=F.lit(now)) == {"dropped": [], "rewritten": []}
     assert W.retain_zone(spark, zone, days=-1, now=F.lit(now + timedelta(days=9)))["rewritten"] == [] and not files()
+
+
+def test_a_streamed_zone_is_read_once_and_archived(spark, tmp_path):
+    zone, archive, out = tmp_path / "zone", tmp_path / "archive", tmp_path / "out"
+    zone.mkdir()
+    now = time.time()
+
+    def land(name, age, *rows):
+        (zone / name).write_text(json.dumps([{"city": c, "humidity": 1.0} for c in rows]))
+        os.utime(zone / name, (now - age,) * 2)
+
+    def round_():
+        source = S.stream_recent_json(spark, str(zone), 1, str(archive))
+        query = source.select("city").writeStream.format("json").option("path", str(out)).option(
+            "checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        return sorted(r.city for r in spark.read.schema("city string").json(str(out)).collect())
+
+    land("a.json", 60, "a", "b")
+    land("old.json", 3 * 86400, "z")
+    assert round_() == ["a", "b"]
+    land("b.json", 30, "c")
+    assert round_() == ["a", "b", "c"]
+    land("c.json", 1, "d", "d")
+    assert round_() == ["a", "b", "c", "d", "d"]
+    assert round_() == ["a", "b", "c", "d", "d"]
+    kept, gone = {p.name for p in zone.iterdir()}, {p.name for p in archive.rglob("*.json")}
+    assert {"a.json", "b.json", "old.json"} <= gone and not kept & gone

@@ -16,7 +16,7 @@ SF = "/root/testdata/sf0.001"
 # Queries that write files before they return a frame; their plan is a plain scan.
 EAGER = {
     "json_lines_files", "parquet_files", "csv_files", "raw_json_arrays", "recent_files", "events_sink", "land_raw",
-    "parquet_stream", "event_stream", "batch_job", "report_job", "processed_files", "zscore_stream",
+    "parquet_stream", "event_stream", "batch_job", "report_job", "processed_files", "zscore_stream", "zscore_state",
     "iforest_stream", "monitor_stream", "iforest_scores", "iforest_scored_events", "zscore_scores_split",
     "monitoring_logs", "run_counts", "monitor_batch",
     "monitor_metrics", "monitor_stream_iforest", "stream_progress", "inferred_job", "report_tables", "chain_job",
