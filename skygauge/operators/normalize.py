@@ -43,16 +43,26 @@ def _as_texts(kind: T.DataType) -> T.DataType:
 
 
 def _parse(payload: Column, kind: T.StructType) -> Column:
-    schema = T.StructType([*_as_texts(kind).fields, T.StructField(CORRUPT, T.StringType())])
+    schema = T.StructType([*kind.fields, T.StructField(CORRUPT, T.StringType())])
     return F.from_json(payload, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
 
 
+def _clean(parsed: str) -> Column:
+    """Whether all of a payload could be read as its type."""
+    return F.col(parsed).isNotNull() & F.col(f"{parsed}.{CORRUPT}").isNull()
+
+
 def _value(parsed: str, name: str, holder: str, key: str) -> Column:
-    """The field of a parsed payload: text, or the number that the text stands for."""
-    path = parsed + holder.removeprefix("$").replace("[0]", "")
-    if holder.endswith("[0]"):
-        path = f"get({path}, 0)"
-    return F.expr(f"{path}.`{key}`") if name in _TEXTS else safe_double(f"{path}.`{key}`")
+    """The field of a parsed payload: as it was read with its type where all of the payload could be, else
+    text, or the number that the text stands for."""
+    path = holder.removeprefix("$").replace("[0]", "")
+    typed, text = (f"get({p}{path}, 0).`{key}`" if holder.endswith("[0]") else f"{p}{path}.`{key}`" for p in (parsed, f"{parsed}_text"))
+    if name in _TEXTS:
+        lenient = F.expr(text)
+    else:  # the parser puts numbers that are not finite into quotes where text is asked for
+        quoted = """'"Infinity"', '"-Infinity"', '"NaN"'"""
+        lenient = safe_double(f"""CASE WHEN {text} IN ({quoted}) THEN replace({text}, '"', '') ELSE {text} END""")
+    return F.when(_clean(parsed), F.expr(typed)).otherwise(lenient)
 
 
 def _absent(payload: Column, holder: str, key: str) -> Column:
@@ -84,13 +94,13 @@ def normalize(
     is_ow = source.isin(V.OPENWEATHER, V.OPENWEATHER_LEGACY)
     is_wa = source == V.WEATHERAPI
     known = F.coalesce(is_ow | is_wa, F.lit(False))
-    # Only the payload of the row's own source is parsed; the other struct is NULL.
-    parsed = (df if unknown == "keep" else df.where(known)).withColumn(
-        "_ow", F.when(is_ow, _parse(payload, OPENWEATHER_PAYLOAD))
-    ).withColumn("_wa", F.when(is_wa, _parse(payload, WEATHERAPI_PAYLOAD)))
-    sound = F.when(is_ow, F.col("_ow").isNotNull() & F.col(f"_ow.{CORRUPT}").isNull()).otherwise(
-        F.col("_wa").isNotNull() & F.col(f"_wa.{CORRUPT}").isNull()
-    )
+    # Only the payload of the row's own source is parsed, the other struct is NULL; and once more, with
+    # text in place of numbers, only where something in it is not of its type.
+    parsed = df if unknown == "keep" else df.where(known)
+    for name, own, kind in (("_ow", is_ow, OPENWEATHER_PAYLOAD), ("_wa", is_wa, WEATHERAPI_PAYLOAD)):
+        parsed = parsed.withColumn(name, F.when(own, _parse(payload, kind)))
+        parsed = parsed.withColumn(f"{name}_text", F.when(own & ~_clean(name), _parse(payload, _as_texts(kind))))
+    sound = F.when(is_ow, _clean("_ow") | _clean("_ow_text")).otherwise(_clean("_wa") | _clean("_wa_text"))
     fields = {}
     for name in _OPENWEATHER:
         sides = []

@@ -72,3 +72,31 @@ def test_union_and_flatten(spark):
     b = spark.createDataFrame([(2, (1.0, None))], "id int, coordinates struct<lat double, lon double>")
     rows = {r.id: r for r in N.flatten_coordinates(N.union_sources([a, b])).collect()}
     assert (rows[1].lat, rows[1].lon, rows[2].lat, rows[2].lon, rows[2].city) == (0.0, 0.0, 1.0, 0.0, None)
+
+
+def test_typed_and_lenient_reads_agree(spark):
+    """Odd values give what the lenient rules say, whether or not the rest of the payload is of its type."""
+    inf = float("inf")
+    odd = [
+        ("1", 1.0), ("-0.5e1", -5.0), ("1e400", inf), ("12345678901234567890", 12345678901234567890.0), ("0.1", 0.1), ('"15.5"', 15.5),
+        ('" 7 "', 7.0), ('"1_000"', 1000.0), ('"12d"', None), ('"0x1p3"', None), ('"inf"', inf), ('"-Infinity"', -inf),
+        ("true", None), ("null", None), ("[1]", None), ('{"v": 1}', None), ('""', None), ('"wet"', None),
+    ]
+    rows = []
+    for i, (text, _) in enumerate(odd):
+        for j, other in enumerate(("4", '"4"', "null", "[]", '"x"')):
+            rows.append((10 * i + j, f'{{"name": 5, "main": {{"temp": {text}, "humidity": {other}}}, "weather": [{{"main": "Fog"}}]}}'))
+    got = {r.i: r for r in N.normalize_openweather(spark.createDataFrame(rows, "i int, payload string"), keep=["i"]).collect()}
+    for i, (text, want) in enumerate(odd):
+        for j, humidity in enumerate((4.0, 4.0, None, None, None)):
+            r = got[10 * i + j]
+            assert (r.temperature, r.humidity, r.city, r.weather_condition, r._corrupt) == (want, humidity, "5", "Fog", None), (text, j)
+    shapes = {
+        '{"main": 5, "name": "A"}': ("A", None), '{"weather": {}, "name": "A", "main": {"temp": 2}}': ("A", 2.0),
+        '{"name": {"a": 1}, "main": {"temp": 2}}': ('{"a":1}', 2.0), '{"main": {"temp": 1, "temp": 2}}': (None, 2.0),
+        '{"main": {"temp": "nan"}}': (None, "nan"), '{"main": null}': (None, None), '{"weather": [], "main": {"temp": 3}}': (None, 3.0),
+    }
+    frame = spark.createDataFrame([(t,) for t in shapes], "payload string")
+    for r in N.normalize_openweather(frame, keep=["payload"]).collect():
+        city, temperature = shapes[r.payload]
+        assert r.city == city and (r.temperature == temperature or str(r.temperature) == temperature), r
