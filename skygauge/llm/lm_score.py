@@ -1,21 +1,31 @@
-"""Language-model scores: cross-entropy difference of matched target and background models."""
+"""Language-model scores: cross-entropy difference of matched target and background models.
+
+Texts are coded once, in chunks of some MB: their words as numbers within the chunk, and the chunk's distinct words.
+A chunk asks for the counts of its distinct words, and then of its distinct pairs of words, over all
+texts: its share of a bucket of hashes goes there as one packed row, meets those of the other chunks,
+and comes back as the total counts in the same order. A chunk that knows its counts scores its own texts.
+"""
 
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
+from pyspark.sql.types import ArrayType, StructField, StructType
 
-from skygauge.llm.common import settle, slices, text_of
-from skygauge.sources.shared import materialise
+from skygauge.llm.common import give_back, slices, text_of
+from skygauge.sources.shared import materialise, new_path, remove
 
 #: Words seen less often than this are one (unknown) word; weight of the single-word probability in
 #: each context, and count added to every word.
 LEAST, BACKOFF, EXTRA = 2, 5.0, 0.5
-#: The most frequent words and pairs are sent to the tasks, all others are joined: no effect on results.
-HOT_WORDS, HOT_PAIRS = 1 << 16, 1 << 18
+#: Words, and places of pairs, that a bucket gets at about; there are as many buckets as that takes: no effect on results.
+HOT_WORDS, HOT_PAIRS = 1 << 18, 1 << 20
+#: Bytes of text that are coded together, whole texts.
+CHUNK = 8 << 20
 #: Losses are added as integers of 1 / SCALE nats, so sums do not depend on their order.
 SCALE = 1 << 30
 #: What stands for the start of a text and for unknown words among the words' hashes.
@@ -47,192 +57,287 @@ def _coded(texts: list[str], known: Hashes) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter((known[w] for words in cut for w in words), np.int64, int(lengths.sum())), lengths
 
 
-def _pairs(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Every word's predecessor (START at the start of a text) and a 64-bit hash of the two."""
+def _starts(lengths: np.ndarray) -> np.ndarray:
+    """Places of the first words of the texts that have any."""
+    return (np.cumsum(lengths) - lengths)[lengths > 0]
+
+
+def _pairs(ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of every word and its predecessor (START at the start of a text)."""
     before = np.empty_like(ids)
     before[1:] = ids[:-1]
-    before[(np.cumsum(lengths) - lengths)[lengths > 0]] = START
-    mixed = before.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + ids.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    before[_starts(lengths)] = START
+    mixed = before.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + ids.view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
     mixed ^= mixed >> np.uint64(31)
     mixed *= np.uint64(0x94D049BB133111EB)
-    return before, (mixed ^ (mixed >> np.uint64(32))).view(np.int64)
+    return mixed ^ (mixed >> np.uint64(32))
 
 
-def count_pairs(rows: DataFrame) -> DataFrame:
-    """(pair, v, w, n, t): how often word w follows word v in all of ``rows`` (target, text), and in
-    those with ``target``. Counts combine in the tasks and by one shuffle; nothing is left out."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Hashes()
-        for batch in batches:
-            for part in slices(batch, 4 << 20):
-                ids, lengths = _coded(part.column(1).to_pylist(), known)
-                before, pair = _pairs(ids, lengths)
-                pairs, first, place = np.unique(pair, return_index=True, return_inverse=True)
-                chosen = np.repeat(np.array(part.column(0).to_pylist(), bool), lengths)
-                counts = np.bincount(place, minlength=len(pairs)), np.bincount(place[chosen], minlength=len(pairs))
-                yield pa.RecordBatch.from_arrays([*map(pa.array, (pairs, before[first], ids[first], *counts))], names=["pair", "v", "w", "n", "t"])
-
-    found = rows.select("target", "text").mapInArrow(run, "pair long, v long, w long, n long, t long")
-    return found.groupBy("pair", "v", "w").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-
-
-def _known(words: DataFrame, vocabulary: int | None) -> Column:
-    """Whether a word has a count of its own: LEAST places, or, where the caller gives the size of the
-    vocabulary, as many as an eighth of a power of two that leaves no more than that."""
-    if vocabulary is None:
-        return F.col("n") >= LEAST
-    step = F.floor(8 * F.log2("n"))
-    steps = {r.step: r["count"] for r in words.groupBy(step.alias("step")).count().collect()}  # some hundreds at most
-    least, taken = 1 << 30, 0
-    for s in sorted(steps, reverse=True):
-        if taken + steps[s] > vocabulary:
-            break
-        least, taken = s, taken + steps[s]
-    return step >= F.lit(least)
+def pack(values: np.ndarray) -> bytes:
+    """Numbers from 0 to 2^64 as compressed bytes, the lowest byte of all first: high bytes of small numbers cost nothing."""
+    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
-def _named(counts: DataFrame, key: str, prefix: str) -> DataFrame:
-    return counts.select(F.col(key).alias(f"{prefix}_"), F.col("n").alias(f"{prefix}n"), F.col("t").alias(f"{prefix}t"))
+def unpack(packed: bytes, count: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(packed, 8 * count, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, count).T).view("<u8").ravel()
 
 
-def _look_up(left: DataFrame, key: Column, counts: DataFrame, prefix: str) -> DataFrame:
-    """``left`` with the counts of its key, null where there are none or the columns are set already.
+def pack_sorted(keys: np.ndarray) -> bytes:
+    return pack(np.diff(keys, prepend=np.uint64(0)))
 
-    Rows that need none are spread by their pair, so they meet in no task.
-    """
-    right = _named(counts, "key", f"{prefix}x")
-    has = F.col(f"{prefix}n").isNotNull()
-    left = left.withColumn("_at", F.when(has | key.isNull(), F.col("pair")).otherwise(key))
-    made = left.join(right.hint("merge"), F.col("_at") == F.col(f"{prefix}x_"), "left")
-    wanted = ~has & key.isNotNull()
-    return made.withColumns({
-        f"{prefix}{c}": F.when(wanted, F.col(f"{prefix}x{c}")).otherwise(F.col(f"{prefix}{c}")) for c in "nt"
-    }).drop("_at", f"{prefix}x_", f"{prefix}xn", f"{prefix}xt")
-
-
-def train(df: DataFrame, target: Column, text_col: str = "text", vocabulary: int | None = None) -> DataFrame:
-    """(pair, n, lb, lt): for every two words in a row of ``df`` their exact count and the second one's
-    loss after the first, in 1 / SCALE nats, in the background model (all rows) and in the
-    target's (rows where ``target`` holds).
-
-    The vocabulary is every word seen LEAST times; it and the pairs grow with the input and stay
-    Spark tables. Words' counts meet the pairs in joins; the HOT_WORDS most frequent are
-    sent to the tasks instead, with the same counts.
-    """
-    rows = df.select(text_of(text_col).alias("text"), F.coalesce(target, F.lit(False)).alias("target"))
-    pairs = materialise(count_pairs(rows), "lm-pairs")
-    words = pairs.groupBy(F.col("w").alias("key")).agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-    words = settle(words)
-    words = words.withColumn("known", _known(words, vocabulary))
-    sums = {r.known: r for r in words.groupBy("known").agg(
-        F.count("*").alias("words"), F.sum("n").alias("n"), F.sum("t").alias("t")).collect()}
-    begun = pairs.where(F.col("v") == START).agg(F.sum("n").alias("n"), F.sum("t").alias("t")).first()
-
-    def of(known, name):
-        return sums[known][name] if known in sums else 0
-
-    whole = {c: float(of(True, c) + of(False, c) + EXTRA * (of(True, "words") + 1)) for c in "nt"}
-    words = words.where("known").drop("known")
-    hot = settle(words.orderBy(F.desc("n"), "key").limit(HOT_WORDS))
-    cold = words.join(F.broadcast(hot.select("key")), "key", "left_anti")
-    pairs = pairs.join(F.broadcast(_named(hot, "key", "v")), F.col("v") == F.col("v_"), "left")
-    pairs = pairs.join(F.broadcast(_named(hot, "key", "w")), F.col("w") == F.col("w_"), "left").drop("v_", "w_")
-    begin = F.col("v") == START
-    pairs = pairs.withColumns({f"v{c}": F.when(begin, F.lit(begun[c] or 0)).otherwise(F.col(f"v{c}")) for c in "nt"})
-
-    def losses(frame: DataFrame) -> DataFrame:
-        def loss(c):
-            single = (F.col(f"w{c}") + EXTRA) / whole[c]
-            both = (F.col(f"p{c}") + BACKOFF * single) / (F.greatest(f"v{c}", f"p{c}") + BACKOFF)
-            return F.round(-SCALE * F.log(both)).cast("long")
-
-        return frame.select("pair", "n", loss("n").alias("lb"), loss("t").alias("lt"))
-
-    settled = F.col("vn").isNotNull() & F.col("wn").isNotNull()
-    rest = _look_up(_look_up(pairs.where(~settled), F.col("v"), cold, "v"), F.col("w"), cold, "w")
-    side = {s: F.when(F.col(f"{s}n").isNull(), F.lit(UNKNOWN)).otherwise(F.col(s)) for s in "vw"}
-    code = F.when(~settled, F.xxhash64(side["v"].cast("long"), side["w"].cast("long")))
-    rest = materialise(rest.withColumn("code", code), "lm-rare")
-    # pairs with an unknown word share one count; the one of two unknown words is not joined
-    merged = settle(rest.where("code is not null").groupBy(F.col("code").alias("key")).agg(F.sum("n").alias("n"), F.sum("t").alias("t")))
-    often = merged.orderBy(F.desc("n"), "key").limit(HOT_WORDS)
-    rest = rest.join(F.broadcast(_named(often, "key", "p")), F.col("code") == F.col("p_"), "left").drop("p_")
-    rest = _look_up(rest, F.col("code"), merged, "p")
-    rest = rest.withColumns({
-        **{f"p{c}": F.coalesce(f"p{c}", c) for c in "nt"},
-        **{f"{s}{c}": F.coalesce(f"{s}{c}", F.lit(of(False, c))) for s in "vw" for c in "nt"},
-    })
-    easy = pairs.where(settled).withColumns({f"p{c}": F.col(c) for c in "nt"})
-    return materialise(losses(easy).unionByName(losses(rest)), "lm-losses")
-
-
-def lm_scores(rows: DataFrame, model: DataFrame) -> DataFrame:
-    """(id, n_words, loss_background, loss_target, score) per row of ``rows`` (row, id, text), the rows
-    that the model has counted: mean loss per word in nats under each model, and how much lower
-    the target's is.
-
-    A model's probability of a word after another is interpolated with that of the word alone, by
-    the same weights in both. Whole texts count: a text's distinct pairs meet their losses in a
-    join on the pair; the HOT_PAIRS most frequent are sent to the tasks and added up there, so
-    no pair gathers many rows. A null text is empty; a text without words has null losses
-    and score 0; repeated rows give repeated rows; an empty table gives none.
+
+def unpack_sorted(packed: bytes, count: int) -> np.ndarray:
+    return np.cumsum(unpack(packed, count), dtype=np.uint64)
+
+
+_ASKED = pa.schema([*((c, pa.int64()) for c in ("bucket", "chunk", "size")), *((c, pa.binary()) for c in ("keys", "n", "t"))])
+_ANSWER = pa.schema([*((c, pa.int64()) for c in ("chunk", "bucket", "size")), ("n", pa.binary()), ("t", pa.binary()), ("sums", pa.list_(pa.int64()))])
+
+
+def _asked(chunk: int, keys: np.ndarray, n: np.ndarray, t: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """A chunk's sorted keys with their counts there, one row for each bucket of keys."""
+    own = (keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+    bucket, first = np.unique(own, return_index=True)
+    parts = [slice(a, b) for a, b in zip(first, [*first[1:], len(keys)])]
+    columns = (
+        bucket.astype(np.int64), np.full(len(parts), chunk), [p.stop - p.start for p in parts],
+        [pack_sorted(keys[p]) for p in parts], [pack(n[p]) for p in parts], [pack(t[p]) for p in parts],
+    )
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ASKED)], schema=_ASKED)
+
+
+def step_of(n: np.ndarray) -> np.ndarray:
+    """Eighths of a power of two."""
+    return np.floor(8 * np.log2(np.maximum(n, 1))).astype(np.int64)
+
+
+def totals(asked: DataFrame) -> DataFrame:
+    """(chunk, bucket, size, n, t, sums): each row of ``asked`` with the counts of its keys over all chunks, in their
+    order. ``sums``, in one row of a bucket, has the number of keys by step of n, and the sums of their
+    n and t; those of fewer than LEAST apart.
+
+    A key comes once from each chunk, so no key gathers more rows than there are chunks.
     """
-    top = model.orderBy(F.desc("n"), "pair").limit(HOT_PAIRS).toArrow()
-    order = np.argsort(top["pair"].to_numpy())
-    sent = rows.sparkSession.sparkContext.broadcast(tuple(top[c].to_numpy()[order] for c in ("pair", "lb", "lt")))
-    schema = pa.schema([(c, pa.int64()) for c in ("row", "pair", "n", "words", "hb", "ht")])
+    def run(table: pa.Table) -> pa.Table:
+        sizes = table["size"].to_numpy()
+        keys = np.concatenate([unpack_sorted(k.as_py(), s) for k, s in zip(table["keys"], sizes)])
+        unique, place = np.unique(keys, return_inverse=True)
+        del keys
+        sums = []
+        for c in "nt":
+            counts = np.concatenate([unpack(k.as_py(), s) for k, s in zip(table[c], sizes)])
+            sums.append(np.bincount(place, counts.astype(float), len(unique)).astype(np.int64))  # exact below 2^53
+        n, t = sums
+        kind, at = np.unique(2 * step_of(n) + (n >= LEAST), return_inverse=True)
+        found = np.stack([kind, np.bincount(at), np.bincount(at, n).astype(np.int64), np.bincount(at, t).astype(np.int64)], 1)
+        ends = np.cumsum(sizes)
+        parts = [place[e - s:e] for e, s in zip(ends, sizes)]
+        columns = (
+            table["chunk"], table["bucket"], sizes, [pack(n[p]) for p in parts], [pack(t[p]) for p in parts],
+            [found.ravel().tolist(), *[None] * (len(parts) - 1)],
+        )
+        made = [c if isinstance(c, pa.ChunkedArray) else pa.array(c, f.type) for c, f in zip(columns, _ANSWER)]
+        return pa.Table.from_arrays(made, schema=_ANSWER)
+
+    return asked.groupBy("bucket").applyInArrow(run, from_arrow_schema(_ANSWER))
+
+
+def _listed(values, kind: pa.DataType) -> pa.Array:
+    """One row with all values as its array."""
+    values = values if isinstance(values, pa.Array) else pa.array(values)
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values.cast(kind.value_type), type=kind)
+
+
+def code_texts(rows: DataFrame) -> DataFrame:
+    """(ids, lengths, size, words, n, places, tokens) of chunks of the rows (id, text): how many words each text has,
+    the chunk's distinct words by hash with their counts, and all words in order as ranks by count."""
+    kind = StructType([StructField("ids", ArrayType(rows.schema["id"].dataType)), *StructType.fromDDL(
+        "lengths array<long>, size long, words binary, n binary, places long, tokens binary")])
+    schema = to_arrow_schema(kind)
+
+    def chunk(parts: list, ids: list, known: Hashes) -> pa.RecordBatch:
+        every, lengths = np.concatenate([i for i, _ in ids]), np.concatenate([n for _, n in ids])
+        words, place, n = np.unique(every.view(np.uint64), return_inverse=True, return_counts=True)
+        columns = (
+            _listed(pa.concat_arrays(parts), schema[0].type), _listed(lengths, schema[1].type),
+            [len(words)], [pack_sorted(words)], [pack(n)], [len(place)], [pack(ranks(n)[place])],
+        )
+        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (hot, *values), known = sent.value, Hashes()
+        known, parts, coded, held = Hashes(), [], [], 0
+        give_back()
         for batch in batches:
             for part in slices(batch, 4 << 20):
-                row = part.column(0).to_numpy()
-                ids, lengths = _coded(part.column(1).to_pylist(), known)
-                pair, text = _pairs(ids, lengths)[1], np.repeat(np.arange(len(lengths)), lengths)
-                at = np.minimum(np.searchsorted(hot, pair), max(0, len(hot) - 1))
-                here = hot[at] == pair if len(hot) else np.zeros(len(pair), bool)
-                ends = np.cumsum(lengths)
-                sums = []
-                for value in values:
-                    total = np.zeros(len(pair) + 1, np.int64)
-                    np.cumsum(np.where(here, value[at], 0) if len(hot) else total[1:], out=total[1:])
-                    sums.append(total[ends] - total[ends - lengths])
-                # one record with the hot pairs' sum, of no weight in the join, spread by its row
-                spread = (row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([*map(pa.array, (row, spread, np.zeros_like(row), lengths, *sums))], schema=schema)
-                text, pair = text[~here], pair[~here]
-                order = np.lexsort((pair, text))
-                text, pair = text[order], pair[order]
-                new = np.ones(len(text), bool)
-                new[1:] = (text[1:] != text[:-1]) | (pair[1:] != pair[:-1])
-                first = np.flatnonzero(new)
-                none = np.zeros(len(first), np.int64)
-                yield pa.RecordBatch.from_arrays([*map(pa.array, (
-                    row[text[first]], pair[first], np.diff(np.append(first, len(text))), none, none, none))], schema=schema)
-
-    found = rows.select("row", text_of("text").alias("text")).mapInArrow(run, ", ".join(f"{c} long" for c in schema.names))
-    found = found.join(model.drop("n").hint("merge"), "pair", "left")
-    sums = found.groupBy("row").agg(F.sum("words").alias("n_words"), *(
-        (F.sum(F.col(h) + F.col("n") * F.coalesce(own, F.lit(0)))).alias(own) for h, own in (("hb", "lb"), ("ht", "lt"))))
-    mean = {c: F.when(F.col("n_words") > 0, F.col(c) / F.lit(float(SCALE)) / F.col("n_words")) for c in ("lb", "lt")}
-    return rows.select("row", "id").join(sums.hint("merge"), "row").select(
-        "id", "n_words", mean["lb"].alias("loss_background"), mean["lt"].alias("loss_target"),
-        F.coalesce(mean["lb"] - mean["lt"], F.lit(0.0)).alias("score"),
-    )
+                size = part.column(1).nbytes
+                if parts and held + size > CHUNK:
+                    yield chunk(parts, coded, known)
+                    parts, coded, held = [], [], 0
+                coded.append(_coded(part.column(1).to_pylist(), known))
+                parts.append(part.column(0))
+                held += size
+        if parts:
+            yield chunk(parts, coded, known)
+
+    return rows.select("id", "text").mapInArrow(run, kind)
+
+
+def ranks(n: np.ndarray) -> np.ndarray:
+    """The place of each count in descending order."""
+    rank = np.empty(len(n), np.int64)
+    rank[np.argsort(-n.astype(np.int64), kind="stable")] = np.arange(len(n))
+    return rank
+
+
+class _Chunk:
+    """A chunk's row, unpacked."""
+
+    def __init__(self, row: dict):
+        self.lengths = np.array(row["lengths"], np.int64)
+        self.words = unpack_sorted(row["words"], row["size"])
+        order = np.argsort(ranks(unpack(row["n"], row["size"])))
+        self.tokens = order[unpack(row["tokens"], row["places"]).astype(np.int64)]
+        marked = np.zeros(len(self.lengths), bool)
+        marked[np.array(row["marks"] or [], np.int64)] = True
+        self.chosen = np.repeat(marked, self.lengths)
+
+    def counts(self, place: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """How often each number is in ``place``, one for each word, and how often in the target's texts."""
+        return np.bincount(place, minlength=size), np.bincount(place[self.chosen], minlength=size)
+
+    def pairs(self, known: np.ndarray) -> np.ndarray:
+        named = np.where(known, self.words, np.uint64(UNKNOWN)).view(np.int64)
+        return _pairs(named[self.tokens], self.lengths)
+
+
+_SHAPE = ("lengths", "marks", "size", "words", "n", "places", "tokens")
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+
+
+def _buckets(rows: DataFrame, places: int, each: int) -> int:
+    return max(2 * rows.sparkSession.sparkContext.defaultParallelism, -(-places // each))
+
+
+def _least(sums: list, vocabulary: int) -> int:
+    """The least step of a word with a count of its own, so that no more than ``vocabulary`` words have one."""
+    steps: dict[int, int] = {}
+    for r in sums:
+        steps[r.kind // 2] = steps.get(r.kind // 2, 0) + r.words
+    least, taken = 1 << 30, 0
+    for s in sorted(steps, reverse=True):
+        if taken + steps[s] > vocabulary:
+            break
+        least, taken = s, taken + steps[s]
+    return least
 
 
 def cross_entropy_difference(
     df: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: int | None = None,
 ) -> DataFrame:
-    """``lm_scores`` of ``df`` under models fitted on it: the target's rows are those whose id is in
-    ``targets`` (a frame of ids, nulls and repeats without effect).
+    """(id, n_words, loss_background, loss_target, score) per row of ``df``: mean loss per word in nats under models of
+    all rows and of the target's, and how much lower the target's is. The target's rows are
+    those whose id is in ``targets`` (a frame of ids, nulls and repeats without effect).
+
+    The vocabulary is every word seen LEAST times. A model's probability of a word after another is interpolated
+    with that of the word alone, by the same weights in both; all counts are exact and of whole
+    texts. A null text is empty; a text without words has null losses and score 0; repeated rows
+    give repeated rows; an empty table gives none.
 
-    The ids meet the texts in one shuffle, frozen on shared storage with a number for each row. The
-    join is a sort-merge join at every size: nothing bounds the number of ids.
+    Chunks are frozen on shared storage; they, not texts, meet their marks and counts, in sort-merge joins at every size:
+    nothing bounds the number of ids or of chunks.
     """
-    ids = targets.toDF("target").where(F.col("target").isNotNull()).distinct().hint("merge")
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    marked = rows.join(ids, rows["id"] == ids["target"], "left").select(
-        F.monotonically_increasing_id().alias("row"), "id", "text", F.col("target").isNotNull().alias("target"))
-    marked = materialise(marked, "lm-target")
-    return lm_scores(marked, train(marked, F.col("target"), "text", vocabulary))
+    spark = df.sparkSession
+    rows = df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+    path, coded = new_path(spark, "lm-coded"), code_texts(rows).withColumn("chunk", F.monotonically_increasing_id())
+    coded.write.parquet(path)
+    coded = spark.read.schema(coded.schema).parquet(path)
+    ids = targets.toDF("target").where(F.col("target").isNotNull()).distinct()
+    texts = coded.select("chunk", F.posexplode(F.arrays_zip("ids", "lengths")).alias("at", "own")).select("chunk", "at", "own.*")
+    marks = materialise(texts.join(ids.hint("merge"), texts["ids"] == ids["target"]).groupBy("chunk").agg(
+        F.collect_list("at").alias("marks"), F.count_if(F.col("lengths") > 0).alias("begun")), "lm-marks")
+    marked = coded.join(marks.drop("begun").hint("merge"), "chunk", "left")
+    begun = [coded.agg(F.sum(F.size(F.filter("lengths", lambda n: n > 0)))), marks.agg(F.sum("begun"))]
+    start = [float(f.first()[0] or 0) for f in begun]
+    size = coded.agg(F.sum("size").alias("words"), F.sum("places").alias("places")).first()
+    word_buckets, pair_buckets = _buckets(df, size.words or 0, HOT_WORDS), _buckets(df, size.places or 0, HOT_PAIRS)
+
+    def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
+        for row in _rows(batches):
+            own = _Chunk(row)
+            yield _asked(row["chunk"], own.words, *own.counts(own.tokens, len(own.words)), word_buckets)
+
+    answers = materialise(totals(marked.select("chunk", *_SHAPE).mapInArrow(ask_words, from_arrow_schema(_ASKED))), "lm-words")
+    each = answers.where("sums is not null").select(F.explode(F.sequence(F.lit(0), (F.size("sums") / 4 - 1).cast("int"))).alias("i"), "sums")
+    each = each.select(*(F.get("sums", 4 * F.col("i") + j).alias(c) for j, c in enumerate(("kind", "words", "n", "t"))))
+    sums = each.groupBy("kind").agg(*(F.sum(c).alias(c) for c in ("words", "n", "t"))).collect()  # some hundreds at most
+    least = None if vocabulary is None else _least(sums, vocabulary)
+
+    def is_known(kind: int) -> bool:
+        return kind % 2 == 1 if least is None else kind // 2 >= least
+
+    words = sum(r.words for r in sums if is_known(r.kind))
+    unknown = [float(sum(r[c] for r in sums if not is_known(r.kind))) for c in "nt"]
+    whole = [float(sum(r[c] for r in sums)) + EXTRA * (words + 1) for c in "nt"]
+
+    def known_of(n: np.ndarray) -> np.ndarray:
+        return n >= LEAST if least is None else step_of(n) >= least
+
+    parts = answers.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "size", "n", "t"))).alias("found"))
+    counted = materialise(marked.join(parts.hint("merge"), "chunk", "left"), "lm-counted")
+    remove(spark, path)
+
+    def unpacked(found: list[dict] | None, c: str) -> np.ndarray:
+        return np.concatenate([np.zeros(0, np.uint64), *(unpack(f[c], f["size"]) for f in found or [])]).astype(np.int64)
+
+    def ask_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
+        for row in _rows(batches):
+            own = _Chunk(row)
+            keys, place = np.unique(own.pairs(known_of(unpacked(row["found"], "n"))), return_inverse=True)
+            yield _asked(row["chunk"], keys, *own.counts(place, len(keys)), pair_buckets)
+
+    pairs = totals(counted.select("chunk", *_SHAPE, "found").mapInArrow(ask_pairs, from_arrow_schema(_ASKED))).drop("sums")
+    kind = StructType([StructField("id", rows.schema["id"].dataType), *StructType.fromDDL("n_words long, lb long, lt long")])
+    schema = to_arrow_schema(kind)
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        made = []
+        order = np.argsort(right["bucket"].to_numpy())
+        found = [{c: right[c][int(i)].as_py() for c in ("size", "n", "t")} for i in order]
+        for batch in left.to_batches():
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i].as_py() for c in ("found", *_SHAPE)}
+                own, n = _Chunk(row), unpacked(row["found"], "n")
+                known = known_of(n)
+                _, first, place = np.unique(own.pairs(known), return_index=True, return_inverse=True)
+                begins = np.zeros(len(own.tokens), bool)
+                begins[_starts(own.lengths)] = True
+                begins, last = begins[first], own.tokens[first - 1]
+                ends = np.cumsum(own.lengths)
+                columns = []
+                for c, many, rest, begin in zip("nt", whole, unknown, start):
+                    alone = np.where(known, unpacked(row["found"], c), rest)
+                    pair, v, w = unpacked(found, c), np.where(begins, begin, alone[last]), alone[own.tokens[first]]
+                    single = (w + EXTRA) / many
+                    loss = np.floor(-SCALE * np.log((pair + BACKOFF * single) / (np.maximum(v, pair) + BACKOFF)) + 0.5).astype(np.int64)
+                    total = np.concatenate([np.zeros(1, np.int64), np.cumsum(loss[place])])
+                    columns.append(pa.array(total[ends] - total[ends - own.lengths]))
+                ids = batch.column("ids")[i].values
+                made.append(pa.Table.from_arrays([ids.cast(schema[0].type), pa.array(own.lengths), *columns], schema=schema))
+        return pa.concat_tables(made) if made else schema.empty_table()
+
+    sides = [f.select("chunk", *c).groupBy("chunk") for f, c in ((counted, ("ids", *_SHAPE, "found")), (pairs, ("bucket", "size", "n", "t")))]
+    scored = sides[0].cogroup(sides[1]).applyInArrow(score, kind)
+    mean = {c: F.when(F.col("n_words") > 0, F.col(c) / F.lit(float(SCALE)) / F.col("n_words")) for c in ("lb", "lt")}
+    return scored.select(
+        "id", "n_words", mean["lb"].alias("loss_background"), mean["lt"].alias("loss_target"),
+        F.coalesce(mean["lb"] - mean["lt"], F.lit(0.0)).alias("score"),
+    )

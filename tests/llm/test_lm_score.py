@@ -1,5 +1,6 @@
 import math
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from skygauge.llm import lm_score
 from skygauge.llm.queries import op8
+from skygauge.sources import shared
 
 TABLES = "/root/testdata/sf0.001"
 
@@ -119,3 +121,17 @@ def slow_by_count(texts, chosen, least):
                               / (max(single[v], pairs[v, w]) + lm_score.BACKOFF)) for v, w in zip(words, words[1:])]
             losses.append(sum(loss) / len(loss) if loss else None)
         yield len(words) - 1, *losses
+
+
+def test_what_is_written_is_packed(spark):
+    """Texts of random pairs of words: what is put on shared storage is smaller than the texts, ids of any kind mark them."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{int(x)}" for x in rng.integers(0, 20_000, 2000)) for _ in range(150)]
+    frame = spark.createDataFrame([(f"id {i}", t) for i, t in enumerate(texts)], "doc_id string, text string")
+    ids = spark.createDataFrame([(f"id {i}",) for i in range(0, 150, 2)], "doc_id string")
+    folder = Path(shared._scratch(spark).removeprefix("file:"))
+    before = set(folder.glob("lm-*"))
+    rows = lm_score.cross_entropy_difference(frame, ids).collect()
+    made = [f for d in set(folder.glob("lm-*")) - before for f in d.rglob("*.parquet")]
+    assert made and sum(f.stat().st_size for f in made) < 0.8 * sum(map(len, texts))
+    assert len(rows) == 150 and all((r.score > 0) == (int(r.id[3:]) % 2 == 0) for r in rows)
