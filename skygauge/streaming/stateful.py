@@ -5,6 +5,7 @@ feature values of all of them, some ten numbers a row; what is carried along wai
 state store, one chunk at a time in memory.
 """
 
+import ctypes
 import pickle
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -39,6 +40,25 @@ def rocksdb(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
+#: Rows of a key whose scores are made in one step.
+_BLOCK = 1 << 16
+
+
+def _give_back() -> None:
+    """What a key's rows took goes back to the system: small pieces that are freed stay with the worker otherwise."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
+def _sorted_places(columns: list[np.ndarray]) -> np.ndarray:
+    """Places of the rows in the order of the columns, equal ones as they came, missing values last."""
+    if all(c.dtype.kind in "biufM" for c in columns):
+        return np.lexsort(columns[::-1])
+    frame = pd.DataFrame(dict(enumerate(columns)), copy=False)
+    return frame.sort_values(list(frame.columns), kind="stable").index.to_numpy()
+
+
 class _InArrivalOrder(StatefulProcessor):
     """Scores a key's rows of the micro-batch in arrival order, whatever chunks they come in.
 
@@ -64,17 +84,21 @@ class _InArrivalOrder(StatefulProcessor):
                 numbers[n].append(chunk[n].to_numpy(copy=True))
         if last is None:
             return
-        numbers = {n: np.concatenate(numbers[n]) for n in names}
-        frame = pd.DataFrame({n: numbers[n] for n in self.order}, copy=False)
-        place = frame.sort_values(self.order, kind="stable").index.to_numpy()
-        del frame
-        values = np.stack([numbers[f].astype("float64")[place] for f in self.features], 1)
-        given = np.stack([numbers[f"given_{f}"].astype(bool)[place] for f in self.features], 1)
-        del numbers
-        made = {}
-        for name, column in self.scored(values, given).items():
+        for n in names:  # one column at a time has two copies
+            numbers[n] = np.concatenate(numbers[n])
+        place = _sorted_places([numbers[n] for n in self.order])
+        for n in set(self.order) - set(self.features):
+            del numbers[n]
+        _give_back()
+        columns = []
+        for f in self.features:
+            columns.append((numbers.pop(f)[place].astype("float64", copy=False), numbers.pop(f"given_{f}")[place].astype(bool, copy=False)))
+        scores, made = self.scored(columns), {}
+        for name in list(scores):
+            column = scores.pop(name)
             made[name] = np.empty_like(column)
             made[name][place] = column
+        del column, place
         at = 0
         for chunk, size in enumerate(sizes):
             if chunk < len(sizes) - 1:
@@ -84,6 +108,8 @@ class _InArrivalOrder(StatefulProcessor):
                 carried = last
             yield carried.assign(**{name: column[at:at + size] for name, column in made.items()})
             at += size
+        del made
+        _give_back()
 
     def close(self) -> None:
         pass
@@ -99,19 +125,22 @@ class _ZScore(_InArrivalOrder):
         schema = ", ".join(f"f{i} array<double>" for i in range(len(self.features)))
         self.past = handle.getValueState("past", schema)
 
-    def scored(self, values, given):
+    def scored(self, columns):
         past = self.past.get()
         past = [[] for _ in self.features] if past is None else past
         out, kept = {}, []
         for i, (before, f) in enumerate(zip(past, self.features)):
             before = np.array([np.nan if v is None else v for v in before], dtype="float64")
-            has = given[:, i]
-            new = values[has, i]
-            z, exists = rolling_z(before, new, self.window, self.min_samples)
+            values, given = columns.pop(0)
             scores, flags = np.zeros(len(values)), np.zeros(len(values), dtype=bool)
-            scores[has], flags[has] = z, exists
+            for at in range(0, len(values), _BLOCK):
+                rows = slice(at, at + _BLOCK)
+                has = given[rows]
+                new = values[rows][has]
+                scores[rows][has], flags[rows][has] = rolling_z(before, new, self.window, self.min_samples)
+                before = np.concatenate([before, new])[-self.window:]
             out[f"z_{f}"], out[f"scored_{f}"] = scores, flags
-            kept.append(np.concatenate([before, new])[-self.window:].tolist())
+            kept.append(before.tolist())
         self.past.update(tuple(kept))
         return out
 
@@ -127,7 +156,9 @@ class _IsolationForest(_InArrivalOrder):
         self.buffer = handle.getValueState("buffer", "flat array<double>")
         self.model = handle.getValueState("model", "bytes binary")
 
-    def scored(self, values, given):
+    def scored(self, columns):
+        values, given = (np.stack(side, 1) for side in zip(*columns))
+        columns.clear()
         due = np.flatnonzero(given.all(axis=1) & np.isfinite(values).all(axis=1))
         score, flags = np.zeros(len(values)), np.zeros(len(values), dtype=bool)
         model = self.model.get()

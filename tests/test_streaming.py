@@ -276,3 +276,26 @@ def test_monitor_with_isolation_forest(spark, tmp_path):
     got = scores([r.asDict(True) for r in spark.read.json(str(tmp_path / "out" / "events")).collect()])
     close(got, want)
     assert want[401][0] and sum(v[1] is not None for v in want.values()) > 150
+
+
+def test_a_key_holds_its_numbers_once(tmp_path):
+    import tracemalloc
+
+    import pandas as pd
+
+    features = ["a", "b", "c", "d"]
+    processor = ST._ZScore(["line"], ["partition", "offset"], features, 240, 30)
+    processor.waiting = OnDisk(tmp_path)
+    processor.past = type("Past", (), {"get": lambda self: None, "update": lambda self, v: None})()
+
+    def chunks():
+        for i in range(100):
+            offset = np.arange(i * 10_000, (i + 1) * 10_000)
+            given = {f"given_{f}": np.ones(10_000, bool) for f in features}
+            yield pd.DataFrame({"line": offset, "partition": 0, "offset": -offset, **{f: np.sin(offset) for f in features}, **given})
+
+    tracemalloc.start()
+    rows = sum(len(part) for part in processor.handleInputRows(("k",), chunks(), None))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 1_000_000 and peak < rows * 100  # 52 bytes a row come in, a column at a time is copied
