@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from skygauge import fixed_values as V
 from skygauge.functions.scalars import iso_utc
-from skygauge.operators.ordered import trailing_moments, trailing_moments_split
+from skygauge.operators.ordered import tasks_for, trailing_moments, trailing_moments_split
 from skygauge.operators.rolling import zscore_rows
 
 # Rows of one task where keys are cut into pieces.
@@ -30,8 +30,9 @@ def zscore_long(
 
     Long form, because a NULL does not enter its feature's window. Work is cut into pieces of
     ``piece_rows`` after a range-partitioned sort, so a key may hold most of the rows.
-    ``hot_keys=False`` is for keys that are known to fit one task each: one shuffle on key and
-    feature, the same scores. ``order`` must be unique per key.
+    ``hot_keys=False`` is for keys that fit one task each: one shuffle on key and feature, the same
+    scores; keys are counted, and if one has more than ``piece_rows`` values, work is cut all the
+    same. ``order`` must be unique per key.
     """
     keys, order = [*key, "feature"], list(order)
     carried = [id_col, *[o for o in order if o != id_col]]
@@ -40,10 +41,12 @@ def zscore_long(
         *[F.col(f).cast("double").alias(f) for f in features],
     )
     long = values.unpivot([*carried, *key], list(features), "feature", "x").where("x IS NOT NULL")
-    if hot_keys:
+    if not hot_keys:
+        most = long.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if hot_keys or most > piece_rows:
         scored = trailing_moments_split(long, "x", keys, order, window, piece_rows)
     else:
-        scored = trailing_moments(long, "x", keys, order, window)
+        scored = trailing_moments(long, "x", keys, order, window, tasks_for(long))
     z = zscore_expr(F.col("x"), F.col("_n"), F.col("_mean"), F.col("_m2"), min_samples)
     return scored.select(*carried, *keys, "x", z.alias("z"))
 

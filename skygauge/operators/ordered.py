@@ -14,15 +14,27 @@ from skygauge.sources.shared import materialise
 _PARTITION_BITS = 33  # monotonically_increasing_id keeps the task's partition above these
 
 
-def with_position(df: DataFrame, order, name: str = "position") -> DataFrame:
+#: Rows of a task that sorts them, at about.
+ROWS_PER_TASK = 500_000
+
+
+def tasks_for(df: DataFrame) -> int | None:
+    """How many tasks take ROWS_PER_TASK rows each; None where the session's shuffle partitions are enough."""
+    tasks = -(-df.count() // ROWS_PER_TASK)
+    return tasks if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+
+
+def with_position(df: DataFrame, order, name: str = "position", tasks: int | None = None) -> DataFrame:
     """Dense position (0, 1, 2, ...) of every row in the global order.
 
     A range-partitioned sort balances the rows whatever the key distribution. The
     sorted rows are written to the shared folder, because the bounds of the range
     partitions must not change between counting the partitions and using the counts.
-    ``order`` must be unique for the positions to be reproducible.
+    ``order`` must be unique for the positions to be reproducible. ``tasks`` is the number of
+    range partitions, by default the session's.
     """
-    numbered = df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id())
+    ordered = df.repartitionByRange(tasks, *order).sortWithinPartitions(*order) if tasks else df.orderBy(*order)
+    numbered = ordered.withColumn("_id", F.monotonically_increasing_id())
     rows = materialise(numbered, "sorted")
     part = F.shiftright(F.col("_id"), _PARTITION_BITS)
     # One row per sort partition, so this window sees as many rows as there are tasks.
@@ -41,7 +53,7 @@ def with_position(df: DataFrame, order, name: str = "position") -> DataFrame:
     )
 
 
-def trailing_moments(df: DataFrame, value: str, keys, order, n: int) -> DataFrame:
+def trailing_moments(df: DataFrame, value: str, keys, order, n: int, tasks: int | None = None) -> DataFrame:
     """count, mean and sum of squared deviations of the previous ``n`` values.
 
     Adds ``_n``, ``_mean`` and ``_m2`` over the rows before the current one, within the
@@ -49,9 +61,12 @@ def trailing_moments(df: DataFrame, value: str, keys, order, n: int) -> DataFram
     cut into blocks of n: the previous n values are the tail of one block and the head
     of the next. Heads and tails are running aggregates, so a row costs the same for
     any n. Merging two parts by their means keeps the numerical quality of the two-pass
-    formula, and a constant series has exactly zero deviation.
+    formula, and a constant series has exactly zero deviation. ``tasks`` is the number of tasks the
+    keys are dealt out to, by default the session's.
     """
     keys = list(keys)
+    if tasks:
+        df = df.repartition(tasks, *keys)
     numbered = df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     numbered = numbered.withColumn("_block", F.expr(f"(_rn - 1) div {n}"))
     block = Window.partitionBy(*keys, "_block")
@@ -101,13 +116,14 @@ def trailing_moments_split(
     has exactly ``piece`` rows plus n borrowed ones, however large a key is.
     """
     piece = max(piece, n)
-    placed = with_position(df, [*keys, *order])
+    tasks = tasks_for(df)
+    placed = with_position(df, [*keys, *order], tasks=tasks)
     own = F.expr(f"_pos div {piece}")
     borrowed = (F.col("_pos") % piece) >= piece - n
     copies = F.when(borrowed, F.array(own, own + 1)).otherwise(F.array(own))
     placed = placed.withColumnRenamed("position", "_pos")
     cut = placed.withColumn("_piece", F.explode(copies))
-    out = trailing_moments(cut, value, ["_piece", *keys], ["_pos"], n)
+    out = trailing_moments(cut, value, ["_piece", *keys], ["_pos"], n, tasks)
     return out.where(own == F.col("_piece")).drop("_piece", "_pos")
 
 

@@ -228,3 +228,27 @@ def test_both_forms_of_zscores_agree(spark):
     ]
     assert forms[0].keys() == forms[1].keys()
     assert all(same(z, forms[1][k]) for k, z in forms[0].items())
+
+
+@pytest.mark.parametrize("options", [{"hot_keys": False}, {"piece_rows": 480}])
+def test_tasks_grow_with_the_rows(spark, monkeypatch, options):
+    from skygauge.operators import ordered
+
+    frame = spark.createDataFrame(series(), SCHEMA)
+    rows = lambda scored: {(r.event_id, r.feature): r.z for r in scored.collect()}
+    want = rows(A.zscore_long(frame, order=["event_id"], **options))
+    monkeypatch.setattr(ordered, "ROWS_PER_TASK", 40)
+    scored = A.zscore_long(frame, order=["event_id"], **options)
+    tasks = -(-len(want) // 40)
+    assert ("_piece" in scored._jdf.queryExecution().toString()) == ("piece_rows" in options)
+    assert tasks > 8 and f", {tasks}), REPARTITION_BY_NUM" in scored._jdf.queryExecution().toString()
+    got = rows(scored)
+    assert got.keys() == want.keys() and all(same(z, want[k]) for k, z in got.items())
+
+
+def test_keys_that_do_not_fit_a_task_are_cut(spark):
+    frame = spark.createDataFrame(series(), SCHEMA)
+    forms = [A.zscore_long(frame, order=["event_id"], hot_keys=False, **options) for options in ({}, {"piece_rows": 100})]
+    assert ["_piece" in f._jdf.queryExecution().toString() for f in forms] == [False, True]
+    a, b = ({(r.event_id, r.feature): r.z for r in f.collect()} for f in forms)
+    assert a.keys() == b.keys() and all(same(z, b[k]) for k, z in a.items())
