@@ -19,7 +19,7 @@ from skygauge.streaming.sinks import _trigger
 
 _ID = ("partition", "offset")
 _KEY = ("city", "source")
-#: Times keep their microseconds in the text that carries a row past the state.
+#: Times keep their microseconds in a row's JSON text.
 _EXACT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
@@ -61,15 +61,10 @@ def start_monitor(
     stream = stream.withColumn("processed_at", clock() if processed_at is None else processed_at)
     columns = [c for c in stream.columns if c != "anomaly"]
     detector = stateful.iforest_stream if method.lower() == I.METHOD and enabled else stateful.zscore_stream
-    schema = stream.select(*columns).schema
-    line = F.to_json(F.struct(*columns), _EXACT)
-    rows = stream.select(line.alias("line"), *_ID, *_KEY, *features)
-    scored = detector(rows, ["line"], _ID, features, _KEY, **scoring)
+    rows = stream.select(F.struct(*columns).alias("row"), *_ID, *_KEY, *features)
+    scored = detector(rows, ["row"], _ID, features, _KEY, tasks=tasks, **scoring).select("row.*", "anomaly")
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.select(F.from_json("line", schema, _EXACT).alias("r"), "anomaly").select("r.*", "anomaly")
-        if tasks:  # a key's rows are together here, and no longer so where they are dealt out
-            batch = batch.repartition(tasks)
         # kept: the state is read and written once, by the first that asks for the events
         events = Q.validate(enrich(batch, severity, now), json_col).persist()
         fresh = M.message_windows(M.with_latency(events), log_every).persist()

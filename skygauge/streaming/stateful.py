@@ -1,5 +1,8 @@
 """Anomaly detection with state in the state store, one processor per key.
 
+Rows go to their key's state in packs: compressed Arrow batches of one key's rows, made where the rows are
+read and taken apart again behind the state, so the state's task spends nothing on what it only carries.
+
 A key's rows of one micro-batch meet in one task, in chunks. The task holds the order columns and
 feature values of all of them, some ten numbers a row; what is carried along waits in the
 state store, one chunk at a time in memory.
@@ -7,12 +10,15 @@ state store, one chunk at a time in memory.
 
 import ctypes
 import pickle
+import struct
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from skygauge import fixed_values as V
@@ -42,6 +48,8 @@ def rocksdb(spark: SparkSession) -> Iterator[None]:
 
 #: Rows of a key whose scores are made in one step.
 _BLOCK = 1 << 16
+#: Rows and bytes that a task packs at once, rows of a pack, and bytes of packs that wait together.
+_AT_ONCE, _AT_ONCE_BYTES, _PACK, _WAIT_BYTES = 1 << 15, 64 << 20, 1 << 12, 4 << 20
 
 
 def _give_back() -> None:
@@ -72,16 +80,23 @@ class _InArrivalOrder(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.waiting = handle.getMapState("waiting", "chunk int", "rows binary")
 
+    def parts(self, chunk, names):
+        """What of a chunk is carried along, its rows, and the columns that are looked at."""
+        yield chunk[self.carry].reset_index(drop=True), len(chunk), {n: chunk[n].to_numpy(copy=True) for n in names}
+
+    def joined(self, carried, scores):
+        return carried.assign(**scores)
+
     def handleInputRows(self, key, rows, timerValues):
         names = list(dict.fromkeys([*self.order, *self.features, *(f"given_{f}" for f in self.features)]))
         numbers, sizes, last = {n: [] for n in names}, [], None
-        for chunk in rows:
+        for carried, size, columns in (part for chunk in rows for part in self.parts(chunk, names)):
             if last is not None:
                 self.waiting.updateValue((len(sizes) - 1,), (pickle.dumps(last, protocol=5),))
-            last = chunk[self.carry].reset_index(drop=True)
-            sizes.append(len(chunk))
+            last = carried
+            sizes.append(size)
             for n in names:
-                numbers[n].append(chunk[n].to_numpy(copy=True))
+                numbers[n].append(columns[n])
         if last is None:
             return
         for n in names:  # one column at a time has two copies
@@ -106,7 +121,7 @@ class _InArrivalOrder(StatefulProcessor):
                 self.waiting.removeKey((chunk,))
             else:
                 carried = last
-            yield carried.assign(**{name: column[at:at + size] for name, column in made.items()})
+            yield self.joined(carried, {name: column[at:at + size] for name, column in made.items()})
             at += size
         del made
         _give_back()
@@ -180,43 +195,151 @@ class _IsolationForest(_InArrivalOrder):
         return {"_score": score, "_scored": flags}
 
 
-def _keyed(stream, key, features):
-    """Key texts, and which features are there: Arrow turns NULL and NaN into one.
+def _pack(batch: pa.RecordBatch) -> bytes:
+    raw = batch.serialize()
+    return struct.pack("<q", raw.size) + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpack(pack: bytes, schema: pa.Schema) -> pa.RecordBatch:
+    size, = struct.unpack_from("<q", pack)
+    return pa.ipc.read_record_batch(pa.decompress(memoryview(pack)[8:], size, codec="zstd"), schema)
+
+
+class _Packed:
+    """Mixed into a processor whose rows come in packs, each with those columns of its rows that are looked at."""
+
+    def packs(self, looked: pa.Schema, scores: pa.Schema):
+        self.looked, self.scores = looked, scores
+        return self
+
+    def parts(self, chunk, names):
+        packs, at, held = [], [], 0
+        for pack, numbers in zip(chunk["pack"], chunk["numbers"]):
+            packs.append(pack)
+            at.append(_unpack(numbers, self.looked))
+            held += len(pack)
+            if held >= _WAIT_BYTES:
+                yield self._part(packs, at, names)
+                packs, at, held = [], [], 0
+        if packs:
+            yield self._part(packs, at, names)
+
+    def _part(self, packs, at, names):
+        table = pa.Table.from_batches(at)
+        columns = {n: table[n] for n in self.looked.names}
+        columns |= {f"given_{f}": columns[f].is_valid() for f in self.features}
+        return (packs, [len(b) for b in at]), len(table), {n: columns[n].to_numpy() for n in names}
+
+    def joined(self, carried, scores):
+        packs, sizes = carried
+        made, at = [], 0
+        for size in sizes:
+            columns = [pa.array(scores[n][at:at + size]) for n in self.scores.names]
+            made.append(_pack(pa.RecordBatch.from_arrays(columns, schema=self.scores)))
+            at += size
+        return pd.DataFrame({"pack": packs, "scores": made})
+
+
+class _PackedZScore(_Packed, _ZScore):
+    pass
 
-    No name starts with an underscore; rows reach the processor as named tuples.
+
+class _PackedIsolationForest(_Packed, _IsolationForest):
+    pass
+
+
+def _by_key(table: pa.Table, names: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
+    """Each key's rows in the order they have, as many as a pack holds at a time."""
+    code = np.zeros(len(table), dtype="int64")
+    for n in names:
+        own = table[n].combine_chunks().dictionary_encode()
+        code = np.unique(code * len(own.dictionary) + own.indices.to_numpy(), return_inverse=True)[1]
+    place = np.argsort(code, kind="stable")
+    table, code = table.take(pa.array(place)).combine_chunks(), code[place]
+    starts = [0, *(np.flatnonzero(np.diff(code)) + 1).tolist(), len(code)]
+    for begin, end in zip(starts, starts[1:]):
+        key = tuple(table[n][begin].as_py() for n in names)
+        for at in range(begin, end, _PACK):
+            yield key, table.slice(at, min(_PACK, end - at))
+
+
+def _through_state(stream, processor, carry, order, features, key, extra, tasks):
+    """The ``carry`` columns of all rows with the processor's ``extra`` scores, rows passing the state in packs.
+
+    ``tasks`` deals the packs out to that many tasks before they are taken apart.
     """
-    names = [f"key{i}" for i in range(len(key))]
-    for name, k in zip(names, key):
-        stream = stream.withColumn(name, key_text(F.col(k)))
     for f in features:
         stream = stream.withColumn(f, F.col(f).cast("double"))
-        stream = stream.withColumn(f"given_{f}", F.col(f).isNotNull())
-    return stream, names
-
-
-def _output(stream, carry, extra):
-    fields = [f for f in stream.schema.fields if f.name in carry]
-    return T.StructType([*fields, *[T.StructField(n, t) for n, t in extra]])
+    names = [f"key{i}" for i in range(len(key))]
+    looked = list(dict.fromkeys([*order, *features]))
+    place = [f"carry{i}" for i in range(len(carry))]
+    rows = stream.select(
+        *[key_text(F.col(k)).alias(n) for n, k in zip(names, key)],
+        *[F.col(c).alias(f"looked{i}") for i, c in enumerate(looked)], *[F.col(c).alias(n) for n, c in zip(place, carry)])
+    arrow = to_arrow_schema(rows.schema)
+    ends = len(names), len(names) + len(looked)
+    numbers = pa.schema([f.with_name(n) for f, n in zip(list(arrow)[ends[0]:ends[1]], looked)])
+    carried = pa.schema(list(arrow)[ends[1]:])
+    scores = to_arrow_schema(T.StructType([T.StructField(n, t) for n, t in extra]))
+    out_type = T.StructType([*rows.schema.fields[ends[1]:], *[T.StructField(n, t) for n, t in extra]])
+    whole = pa.schema([*carried, *scores])
+
+    def cut(held):
+        for at, part in _by_key(pa.Table.from_batches(held).cast(arrow), names):
+            batch = part.to_batches()[0]
+            yield (*at, _pack(pa.RecordBatch.from_arrays(batch.columns[ends[1]:], schema=carried)),
+                   _pack(pa.RecordBatch.from_arrays(batch.columns[ends[0]:ends[1]], schema=numbers)))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(held):
+            columns = zip(*cut(held))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, packed.types)], schema=packed)
+
+        held, n, size = [], 0, 0
+        for batch in batches:
+            if batch.num_rows:
+                held, n, size = [*held, batch], n + batch.num_rows, size + batch.nbytes
+            if n >= _AT_ONCE or size >= _AT_ONCE_BYTES:
+                yield made(held)
+                held, n, size = [], 0, 0
+        if held:
+            yield made(held)
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, made in zip(batch.column(0), batch.column(1)):
+                columns = [c for b, s in ((rows, carried), (made, scores)) for c in _unpack(b.as_py(), s).columns]
+                yield pa.RecordBatch.from_arrays(columns, schema=whole)
+
+    pack_type = T.StructType([
+        *[T.StructField(n, T.StringType(), False) for n in names],
+        T.StructField("pack", T.BinaryType(), False), T.StructField("numbers", T.BinaryType(), False)])
+    packed = to_arrow_schema(pack_type)
+    out = rows.mapInArrow(pack, pack_type).groupBy(*names).transformWithStateInPandas(
+        statefulProcessor=processor.packs(numbers, scores), outputStructType="pack binary, scores binary",
+        outputMode="Append", timeMode="None",
+    )
+    if tasks:  # a key's rows are together here, and no longer so where they are dealt out
+        out = out.repartition(tasks)
+    out = out.mapInArrow(unpack, out_type)
+    return out.select(*[F.col(n).alias(c) for n, c in zip(place, carry)], *[n for n, _ in extra])
 
 
 def zscore_stream(
     stream: DataFrame, carry, order=("partition", "offset"), features=V.FEATURES,
     key=("city", "source"), window: int = V.ZSCORE_WINDOW,
-    min_samples: int = V.ZSCORE_MIN_SAMPLES, threshold: float = V.ZSCORE_THRESHOLD,
+    min_samples: int = V.ZSCORE_MIN_SAMPLES, threshold: float = V.ZSCORE_THRESHOLD, tasks: int | None = None,
 ) -> DataFrame:
     """The ``carry`` columns of every event with ``anomaly``, scored on arrival.
 
     A key's micro-batches must come in order; within one, ``order`` sorts. State per key: the last ``window`` values of each feature.
+    ``tasks`` deals the scored rows out to that many tasks.
     """
     carry, order, features = list(carry), list(order), list(features)
-    rows, names = _keyed(stream, key, features)
     extra = [("z_" + f, T.DoubleType()) for f in features]
     extra += [("scored_" + f, T.BooleanType()) for f in features]
-    needed = list(dict.fromkeys([*names, *carry, *order, *features]))
-    out = rows.select(*needed, *[f"given_{f}" for f in features]).groupBy(*names).transformWithStateInPandas(
-        statefulProcessor=_ZScore(carry, order, features, window, min_samples),
-        outputStructType=_output(rows, carry, extra), outputMode="Append", timeMode="None",
-    )
+    processor = _PackedZScore(carry, order, features, window, min_samples)
+    out = _through_state(stream, processor, carry, order, features, key, extra, tasks)
     nan = F.lit(float("nan"))
     z = {f: F.when(F.col(f"scored_{f}"), F.coalesce(F.col(f"z_{f}"), nan)) for f in features}
     return out.select(*carry, anomaly_struct(z, threshold).alias("anomaly"))
@@ -226,19 +349,13 @@ def iforest_stream(
     stream: DataFrame, carry, order=("partition", "offset"), features=V.FEATURES,
     key=("city", "source"), min_samples: int = V.IFOREST_MIN_SAMPLES,
     trees: int = V.IFOREST_TREES, contamination: float = V.IFOREST_CONTAMINATION,
-    seed: int = V.IFOREST_SEED,
+    seed: int = V.IFOREST_SEED, tasks: int | None = None,
 ) -> DataFrame:
     """Like ``zscore_stream`` by Isolation Forest; state is the buffer, then the forest."""
     carry, order, features = list(carry), list(order), list(features)
-    rows, names = _keyed(stream, key, features)
     extra = [("_score", T.DoubleType()), ("_scored", T.BooleanType())]
-    needed = list(dict.fromkeys([*names, *carry, *order, *features]))
-    out = rows.select(*needed, *[f"given_{f}" for f in features]).groupBy(*names).transformWithStateInPandas(
-        statefulProcessor=_IsolationForest(
-            carry, order, features, min_samples, trees, contamination, seed
-        ),
-        outputStructType=_output(rows, carry, extra), outputMode="Append", timeMode="None",
-    )
+    processor = _PackedIsolationForest(carry, order, features, min_samples, trees, contamination, seed)
+    out = _through_state(stream, processor, carry, order, features, key, extra, tasks)
     none = unscored(METHOD)
     result = F.struct(
         (F.col("_score") < 0).alias("is_anomaly"), F.lit(METHOD).alias("method"),

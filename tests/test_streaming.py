@@ -299,3 +299,25 @@ def test_a_key_holds_its_numbers_once(tmp_path):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert rows == 1_000_000 and peak < rows * 100  # 52 bytes a row come in, a column at a time is copied
+
+
+def test_rows_pass_the_state_in_packs(spark, tmp_path):
+    """The state's task gets packs of rows of one key, and gives back packs."""
+    import pyarrow as pa
+
+    land(tmp_path / "in", events(40), 1)
+    out = ST.zscore_stream(stream(spark, tmp_path / "in"), ["offset", "city"], tasks=2)
+    assert out.schema.names == ["offset", "city", "anomaly"]
+    text = out._jdf.queryExecution().analyzed().toString()
+    state = next(line for line in text.splitlines() if "TransformWithState" in line)
+    assert "pack#" in state and "scores#" in state and "offset" not in state
+    rows = 30_000
+    table = pa.table({"key0": ["a" if i % 3 else "b" for i in range(rows)], "key1": ["s"] * rows, "x": range(rows)})
+    parts = list(ST._by_key(table, ["key0", "key1"]))
+    assert len(parts) == 8 and max(len(part) for _, part in parts) == 4096  # 20,000 and 10,000 rows
+    for key, part in parts:
+        assert set(part["key0"].to_pylist()) == {key[0]} and key[1] == "s"
+        batch = part.to_batches()[0]
+        assert ST._unpack(ST._pack(batch), batch.schema).equals(batch)
+        assert part["x"].to_pylist() == sorted(part["x"].to_pylist())
+    assert sorted(x for _, part in parts for x in part["x"].to_pylist()) == list(range(rows))
