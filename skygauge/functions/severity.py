@@ -1,7 +1,6 @@
 """Severity levels, icons and colour bands as column expressions."""
 
-from functools import reduce
-from operator import or_
+import re
 
 from pyspark.sql import Column, functions as F
 
@@ -9,9 +8,11 @@ from skygauge import fixed_values as V
 
 
 def _mentions(text: Column, words) -> Column:
-    """True if any word occurs in the text; NULL text mentions nothing."""
-    text = F.lower(F.coalesce(text, F.lit("")))
-    return reduce(or_, [F.contains(text, F.lit(w)) for w in words])
+    """True if any word occurs in the text; NULL text mentions nothing.
+
+    One expression for all words: generated code that is long is not compiled by the JVM.
+    """
+    return F.rlike(F.lower(F.coalesce(text, F.lit(""))), F.lit("|".join(map(re.escape, words))))
 
 
 def condition_severity(condition: Column) -> Column:

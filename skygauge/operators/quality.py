@@ -16,9 +16,10 @@ def _once(df: DataFrame, name: str, sql: str) -> DataFrame:
     """Add a column that is computed once per row, however often it is used.
 
     A generator over one element stops the optimizer from copying the expression into
-    every filter and projection above it.
+    every filter and projection above it. Within a lambda the expression stays out of the stage's
+    generated method, which the checks would make too long for the JVM to compile.
     """
-    return df.select("*", F.expr(f"explode(array({sql}))").alias(name))
+    return df.select("*", F.expr(f"explode(transform(array(0), _one -> {sql}))").alias(name))
 
 
 def _strict(function: str, json: str) -> str:

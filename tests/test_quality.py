@@ -76,3 +76,11 @@ def test_events_and_summary(spark):
     summary = Q.quality_summary(frame)
     assert summary.agg(F.sum("issue_count")).first()[0] == 7
     assert FL.failed(frame).count() == 1 and FL.passed(frame).count() == 0
+
+
+def test_checks_are_short_enough_to_be_compiled(spark):
+    """The JVM leaves methods of more than 8,000 bytes of bytecode to its interpreter."""
+    rows = spark.range(10).selectExpr("concat('{\"city\": ', id, '}') AS value")
+    stages = Q.validate(rows)._jdf.queryExecution().debug().codegenToSeq()
+    sizes = [stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.length())]
+    assert sizes and max(sizes) < 8000
